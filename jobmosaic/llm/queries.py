@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobmosaic.llm.ball_tree import top_k
+from jobmosaic.llm.byte_bpe import decode_documents, encode_documents
+from jobmosaic.llm.chunking import repeated_spans
 from jobmosaic.llm.exact_dedup import exact_dedup
 from jobmosaic.llm.simhash import simhash_components
 from jobmosaic.llm.source_mix import mix_documents
+from jobmosaic.llm.token_counts import length_table
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +31,30 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_table(_documents(spark, sf_dir), VOCABULARY, PATTERN)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(_documents(spark, sf_dir), VOCABULARY, PATTERN)
+    decoded = decode_documents(encoded, VOCABULARY, PATTERN)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op8_source_mix)}
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op7_byte_bpe, op8_source_mix, op10_topk_search)}
 
 _OP2 = r"""
 WITH n AS (
