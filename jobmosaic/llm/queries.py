@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from jobmosaic.llm.ball_tree import top_k
 from jobmosaic.llm.byte_bpe import decode_documents, encode_documents
 from jobmosaic.llm.chunking import repeated_spans
+from jobmosaic.llm.co_training import score_quality
 from jobmosaic.llm.exact_dedup import exact_dedup
+from jobmosaic.llm.language_id import held_out, identify_languages
 from jobmosaic.llm.simhash import simhash_components
 from jobmosaic.llm.source_mix import mix_documents
 from jobmosaic.llm.token_counts import length_table
@@ -39,6 +41,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(_documents(spark, sf_dir), VOCABULARY, PATTERN)
     decoded = decode_documents(encoded, VOCABULARY, PATTERN)
@@ -50,11 +56,17 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify_languages(docs, docs.filter(~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op7_byte_bpe, op8_source_mix, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search)}
 
 _OP2 = r"""
 WITH n AS (
