@@ -12,6 +12,7 @@ from jobmosaic.llm.chunking import repeated_spans
 from jobmosaic.llm.co_training import score_quality
 from jobmosaic.llm.exact_dedup import exact_dedup
 from jobmosaic.llm.language_id import held_out, identify_languages
+from jobmosaic.llm.secret_scan import scan_secrets
 from jobmosaic.llm.simhash import simhash_components
 from jobmosaic.llm.source_mix import mix_documents
 from jobmosaic.llm.token_counts import length_table
@@ -24,6 +25,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_documents(spark, sf_dir))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -66,7 +75,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search)}
 
 _OP2 = r"""
 WITH n AS (
