@@ -17,6 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 #: A step's rows are encoded in slices of about so many characters.
 SLICE_CHARS = 1 << 20
 #: Pieces that a worker keeps.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: Longer pieces (bytes) get a tree of their own.
 SIDE_BY_SIDE = 64
 #: So many pieces are merged side by side.
-COLUMNS = 1 << 15
+COLUMNS = 1 << 13
 _NONE = np.iinfo(np.int64).max
 _LEAST = np.iinfo(np.int32).max
 
@@ -260,15 +261,15 @@ def decode(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> tuple[np.n
     return vocab.bytes[where], upto[last] - upto[last - counts]
 
 
-def slices(texts: list[str]) -> list[tuple[int, int]]:
-    """Ranges of texts of about SLICE_CHARS characters, of one text at least."""
-    cuts, chars = [0], 0
-    for i, t in enumerate(texts):
-        if chars and chars + len(t) > SLICE_CHARS:
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of texts of about SLICE_CHARS bytes, of one text at least."""
+    cuts, size = [0], 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > SLICE_CHARS:
             cuts.append(i)
-            chars = 0
-        chars += len(t)
-    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if texts else []
+            size = 0
+        size += n
+    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if len(texts) else []
 
 
 def read_ranks(path: str) -> bytes:
@@ -284,8 +285,9 @@ def _offsets(counts: np.ndarray, kind) -> pa.Array:
     return pa.array(np.r_[0, np.cumsum(counts)], kind)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, token_ids), one row for each row of docs, as the ranks in path and the pattern give them.
+def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+    """(doc_id, token_ids), one row for each row of docs, as the ranks in path and the pattern give them; with back,
+    decoded too: the bytes that the ids decode to.
 
     A null text counts as empty and has no ids. Rows repeated are encoded again. Other columns aren't looked
     at. An empty table gives no rows."""
@@ -296,13 +298,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
     def run(batches):
         encoder = Encoder(vocabulary(lines.value, pattern))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in slices(texts):
-                ids, counts = encoder.encode(texts[low:high])
+            for low, high in slices(batch.column(1)):
+                ids, counts = encoder.encode(batch.column(1).slice(low, high - low).to_pylist())
                 lists = pa.ListArray.from_arrays(_offsets(counts, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["id", "token_ids"])
+                own = [batch.column(0).slice(low, high - low), lists]
+                yield pa.RecordBatch.from_arrays([*own, _decoded(lists, encoder.vocab)] if back else own, names=["id", "token_ids", "decoded"][: 2 + back])
 
-    return rows.mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(run, f"id {kind}, token_ids array<int>" + ", decoded binary" * back).withColumnRenamed("id", doc_id)
+
+
+def _decoded(lists: pa.ListArray, vocab: Vocabulary) -> pa.Array:
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    data, sizes = decode(lists.flatten().to_numpy(zero_copy_only=False), counts, vocab)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, _offsets(sizes, pa.int32()).buffers()[1], pa.py_buffer(data)])
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, doc_id: str = "doc_id") -> DataFrame:
@@ -319,14 +327,16 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, doc_id: str =
             step = max(1, (SLICE_CHARS // 2 * len(lists)) // max(1, len(lists.flatten())))
             for low in range(0, len(lists), step):
                 part = lists.slice(low, step)
-                counts = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                data, sizes = decode(part.flatten().to_numpy(zero_copy_only=False), counts, vocab)
-                raw = pa.Array.from_buffers(pa.binary(), len(part), [None, _offsets(sizes, pa.int32()).buffers()[1], pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, step), part, raw], names=["id", "token_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, step), part, _decoded(part, vocab)], names=["id", "token_ids", "decoded"])
 
     return rows.mapInArrow(run, f"id {kind}, token_ids array<int>, decoded binary").withColumnRenamed("id", doc_id)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What decode_documents makes of encode_documents, in one pass through Python."""
+    return encode_documents(docs, path, pattern, doc_id, text, back=True)
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """(length), one row for each row of docs: how many ids its text has; null counts as empty."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -335,8 +345,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -
     def run(batches):
         encoder = Encoder(vocabulary(lines.value, pattern))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for low, high in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder.lengths(texts[low:high]), pa.int64())], names=["length"])
+            for low, high in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(encoder.lengths(batch.column(0).slice(low, high - low).to_pylist()), pa.int64())], names=["length"])
 
     return rows.mapInArrow(run, "length long")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmosaic.llm.ball_tree import top_k
-from jobmosaic.llm.byte_bpe import decode_documents, encode_documents
+from jobmosaic.llm.byte_bpe import encode_and_decode
 from jobmosaic.llm.chunking import repeated_spans
 from jobmosaic.llm.co_training import score_quality
 from jobmosaic.llm.exact_dedup import exact_dedup
@@ -55,8 +55,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(_documents(spark, sf_dir), VOCABULARY, PATTERN)
-    decoded = decode_documents(encoded, VOCABULARY, PATTERN)
+    decoded = encode_and_decode(_documents(spark, sf_dir), VOCABULARY, PATTERN)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from jobmosaic.llm import byte_bpe
-from jobmosaic.llm.byte_bpe import Encoder, decode, decode_documents, encode_documents, merge_columns, merge_long, read_ranks, vocabulary
+from jobmosaic.llm.byte_bpe import Encoder, decode, decode_documents, encode_and_decode, encode_documents, merge_columns, merge_long, read_ranks, vocabulary
 from jobmosaic.llm.token_counts import length_table, quantiles_of, suffix_sums, totals_at
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,6 +69,8 @@ def test_documents(spark, peer, monkeypatch):
     assert len(both) == len(rows)
     for r in rows:
         assert both[r.doc_id] == (peer.encode_ordinary(r.text), r.text.encode())
+    once = encode_and_decode(docs, PATH, public_tokenizers.PATTERN)
+    assert {r.doc_id: (r.token_ids, bytes(r.decoded)) for r in once.collect()} == both
 
 
 def test_query_digests(spark, peer):
