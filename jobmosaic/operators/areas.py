@@ -84,6 +84,12 @@ def score_areas(rules: Rules) -> Column:
     return scores(F.col("norm_title"), F.col("norm_body"), every)
 
 
+def with_scores(jobs: DataFrame, rules: Rules) -> DataFrame:
+    """jobs with the column scores. The one-element explode keeps the optimiser from moving the function into the
+    expressions that read the scores, where it would run several times."""
+    return jobs.select("*", F.explode(F.array(score_areas(rules))).alias("scores"))
+
+
 def classify(jobs: DataFrame, rules: Rules) -> DataFrame:
     """area, area_score and area_matches from the column scores: the best area named in the title if there is one,
     else the best of all; below min_score it is the fallback, with score 0 and no matches."""

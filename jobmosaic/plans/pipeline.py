@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmosaic.functions.rules import Rules
 from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html
-from jobmosaic.operators.areas import classify, extract_skills, is_tech, score_areas, with_hits
+from jobmosaic.operators.areas import classify, extract_skills, is_tech, with_hits, with_scores
 from jobmosaic.operators.dedupe import dedupe_full, first_of_term
 from jobmosaic.operators.levels import all_levels, entry_level
 
@@ -32,7 +32,7 @@ def with_levels(jobs: DataFrame, rules: Rules, strict: bool = False, every: bool
 
 def enrich(jobs: DataFrame, rules: Rules) -> DataFrame:
     """area, area_score, area_matches and skills for postings that have their hits."""
-    scored = classify(jobs.withColumn("scores", score_areas(rules)), rules)
+    scored = classify(with_scores(jobs, rules), rules)
     return scored.withColumn("skills", extract_skills(normalize_tech(F.concat_ws(" ", "title", "description")), rules)).drop("scores")
 
 

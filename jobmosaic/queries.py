@@ -93,7 +93,7 @@ on(
     is_tech=lambda d: A.with_hits(d, RULES).select("ord", A.is_tech(RULES).alias("tech")),
     keyword_hits=lambda d: A.keyword_hits(A.with_hits(d, RULES), RULES),
     score_areas=lambda d: A.with_hits(d, RULES).select("ord", F.explode(A.score_areas(RULES)).alias("s")).select("ord", "s.area", "s.score", "s.title_score", joined("s.matches", "matches")),
-    classify=lambda d: A.classify(A.with_hits(d, RULES).withColumn("scores", A.score_areas(RULES)), RULES).select("ord", "area", "area_score", "area_matches"),
+    classify=lambda d: A.classify(A.with_scores(A.with_hits(d, RULES), RULES), RULES).select("ord", "area", "area_score", "area_matches"),
 )
 on(
     levelled,

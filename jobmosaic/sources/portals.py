@@ -183,7 +183,7 @@ def cards(pages: DataFrame, fields: Callable[[Node], list[dict[str, str]]]) -> D
 
     def run(batches):
         for batch in batches:
-            rows = [(t, p, n, list(card.items())) for t, p, h in zip(batch["term"], batch["page"], batch["html"], strict=True) for n, card in enumerate(fields(parse(h)))]
+            rows = [(t, p, n, card) for t, p, h in zip(batch["term"], batch["page"], batch["html"], strict=True) for n, card in enumerate(fields(parse(h)))]
             yield pd.DataFrame(rows, columns=["term", "page", "pos", "c"])
 
     return pages.select("term", "page", "html").mapInPandas(run, "term string, page long, pos long, c map<string,string>")
