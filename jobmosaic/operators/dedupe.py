@@ -120,4 +120,4 @@ def dedupe_titles(jobs: DataFrame, limit: int = LARGE_TITLE) -> DataFrame:
 def dedupe_full(jobs: DataFrame, limit: int = LARGE_TITLE) -> DataFrame:
     """All three steps. title_ord, then rep_ord, is the order of the survivors."""
     kept = dedupe_titles(dedupe_fingerprint(dedupe_source_key(jobs)), limit)
-    return kept.withColumn("title_ord", F.min("first_ord").over(Window.partitionBy("norm_title")))
+    return kept.withColumn("title_ord", F.min("rep_ord").over(Window.partitionBy("norm_title")))

@@ -121,7 +121,7 @@ def funnel_of(raw: str, tail: str) -> list[tuple[str, str]]:
           FROM r2{t} WINDOW k AS (PARTITION BY source, external_id)) WHERE n = 1"""),
         (f"w2{t}", f"""SELECT * REPLACE (fo AS first_ord) FROM (SELECT *, min(first_ord) OVER (PARTITION BY fp) AS fo, row_number() OVER (PARTITION BY fp ORDER BY size DESC, first_ord) AS m
           FROM (SELECT *, CASE WHEN len(idn) > 0 THEN nt || '|' || nc ELSE 'ord ' || ord END AS fp FROM w1{t})) WHERE m = 1"""),
-        (f"w3{t}", f"""SELECT *, min(first_ord) OVER (PARTITION BY nt) AS title_ord FROM (SELECT *, min(first_ord) OVER (PARTITION BY nt, fam) AS rep_ord, row_number() OVER (PARTITION BY nt, fam ORDER BY size DESC, first_ord) AS q
+        (f"w3{t}", f"""SELECT *, min(rep_ord) OVER (PARTITION BY nt) AS title_ord FROM (SELECT *, min(first_ord) OVER (PARTITION BY nt, fam) AS rep_ord, row_number() OVER (PARTITION BY nt, fam ORDER BY size DESC, first_ord) AS q
           FROM (SELECT *, CASE WHEN len(idn) > 0 THEN {family} || regexp_extract(nc, 'g[0-9]+$') ELSE 'ord ' || ord END AS fam FROM w2{t})) WHERE q = 1"""),
         (f"gate{t}", f"SELECT *, NOT {any_phrase('nt', RULES.gate_exclude)} AND ({any_phrase('nt', gate_title)} OR {any_phrase('nb', gate_body)}) AS tech FROM w3{t}"),
         (f"kept{t}", f"SELECT * FROM gate{t} WHERE tech"),
