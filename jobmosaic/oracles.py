@@ -13,7 +13,7 @@ def words(x: str, keep: str = "") -> str:
 
 
 def squash(x: str) -> str:
-    return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(coalesce({x}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
 def listed(values) -> str:

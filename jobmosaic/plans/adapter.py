@@ -17,7 +17,7 @@ TITLES = [
     "Programador Júnior/Pleno", "Jovem Aprendiz - Tecnologia", "Trainee de Tecnologia", "Estagiário de TI", "Analista Contábil Jr",
     "Analista Fiscal Júnior", "Jovem Aprendiz - Recepção", "Analista Administrativo I", "Estágio em Pesquisa e Desenvolvimento", "Analista de Desenvolvimento de Negócios Jr",
     "Técnico de Segurança do Trabalho Júnior", "Desenvolvedor Sênior", "Arquiteto de Software", "Tech Lead Back-End", "Gerente de Projetos",
-    "Desenvolvedor I", "Assistente de Escritório Jr", "QA Tester Intern", "Desenvolvedor  C# / .NET Jr", "Web3 Product Tester - Junior", "Analista de Sistemas Nível 1", "Especialista Kubernetes Jr",
+    "Desenvolvedor I", "Assistente de Escritório Jr", "QA Tester Intern", "Desenvolvedor  C# / .NET\u00a0Jr", "Web3 Product Tester - Junior", "Analista de Sistemas Nível 1", "Especialista Kubernetes Jr",
 ]
 COMPANIES = ["Minsait", "Minsait an Indra Company", "FEI", "Centro Universitário FEI", "ACME", "ACME Soluções em Tecnologia LTDA", "Techne", "Globoaves", "Wyntech", "Confidencial", ""]
 TAILS = [
