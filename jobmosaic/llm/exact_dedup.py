@@ -79,11 +79,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: those whose id is the least of their class.
 
-    The index is looked up by the text's hash and digest, so docs itself isn't joined by id."""
+    What goes is found on ids and hashes alone and written; texts move only if that list is too large for Spark
+    to broadcast. Ids that are null go if their class has another."""
     index = build_index(docs, doc_id, text)
     total = index.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     copies = index.filter("group_size > 1").select("hash", "digest", "keep_id", "group_size")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), normalised(text).alias("norm"))
-    rows = rows.select("row", F.xxhash64("norm").alias("hash"), F.sha2("norm", 256).alias("digest"))
-    found = join_classes(rows, copies, ["hash", "digest"], "group_size", total, F.col(f"row.`{doc_id}`"))
-    return found.filter(F.col("group_size").isNull() | F.col(f"row.`{doc_id}`").eqNullSafe(F.col("keep_id"))).select("row.*")
+    rows = docs.select(F.col(doc_id).alias("id"), normalised(text).alias("norm")).select("id", F.xxhash64("norm").alias("hash"), F.sha2("norm", 256).alias("digest"))
+    found = join_classes(rows, copies, ["hash", "digest"], "group_size", total, F.col("id"))
+    gone = found.filter(F.col("group_size").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__gone"), F.col("hash").alias("__hash")).distinct()
+    return docs.join(stored(gone, "exact-gone"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(normalised(text)) == F.col("__hash")), "left_anti")

@@ -178,7 +178,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least id of each component, with all its columns (several rows of one id all stay)."""
+    """The document with the least id of each component, with all its columns (several rows of one id all stay).
+
+    The ids that go are written first; texts move only if they are too many for Spark to broadcast."""
     groups = simhash_components(docs, words, radius, doc_id, text)
     gone = groups.filter(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    return docs.join(stored(gone, "near-gone"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
