@@ -12,7 +12,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,14 +214,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", th
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't rejected, with all their columns. Each row is judged where it stands: no join."""
     model = docs.sparkSession.sparkContext.broadcast(train_model(docs, labels, doc_id))
-    read = [c for c in ("text", "source", "lang", "n_chars") if c in docs.columns]
+    there = {c.lower() for c in docs.columns}
 
-    @F.pandas_udf("boolean")
-    def good(row):
-        batch = pa.RecordBatch.from_arrays([pa.array(row[c]) if c in row else pa.nulls(len(row)) for c in ("text", "source", "lang", "n_chars")], names=["text", "source", "lang", "n_chars"])
-        if not model.value or not len(row):
-            return pd.Series([True] * len(row))
-        return pd.Series(model.value.scores(_features(batch))[2] >= threshold)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, source, lang, n_chars], names=["text", "source", "lang", "n_chars"])
+        if not model.value or not len(batch):
+            return pa.array([True] * len(batch), pa.bool_())
+        return pa.array(model.value.scores(_features(batch))[2] >= threshold)
 
-    kinds = {"n_chars": "double"}
-    return docs.filter(good(F.struct(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in read])))
+    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "double"}
+    return docs.filter(good(*[(F.col(c) if c in there else F.lit(None)).cast(kind) for c, kind in kinds.items()]))
