@@ -49,7 +49,7 @@ def text_or_empty(name: str) -> Column:
 
 
 def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int, spread: Column) -> DataFrame:
-    """rows with the other columns of classes, by equal keys (never null); classes has one row a key.
+    """rows with the other columns of classes, by equal keys (never null, the first one long or binary); classes has one row a key.
 
     A class of over total / HOT_SHARE rows is looked up by broadcast (HOT_SHARE rows at most), so that its
     rows aren't gathered in one task; all the others are joined by a shuffle on the keys. Rows without a
@@ -61,7 +61,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     found = rows.join(F.broadcast(few), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
     # a row that is answered already goes to any task: its first key is replaced by a hash that spreads, and a flag keeps it from matching
     first, rest = keys[0], keys[1:]
-    found = found.withColumn("__spread", F.when(F.col("__is_hot"), F.xxhash64(spread)).otherwise(F.col(first)))
+    found = found.withColumn("__spread", F.when(F.col("__is_hot"), F.xxhash64(spread).cast("string").cast(rows.schema[first].dataType)).otherwise(F.col(first)))
     joined = found.join(
         many.withColumn("__open", F.lit(False)),
         [F.col("__spread") == F.col(f"__key_{first}"), F.coalesce("__is_hot", F.lit(False)) == F.col("__open"), *[F.col(k) == F.col(f"__key_{k}") for k in rest]],

@@ -6,11 +6,17 @@ still large is dealt out again by pairs of blocks of the other bits. Each shard
 that owns it and answers its own members; it is sent there by the shuffle, as trees for all tasks would grow
 with the data. A tree tells which of its fingerprints hang together with one link less than there are members,
 so the links never number more than the fingerprints in the shards.
+
+Texts that share four fifths of their shingles differ in about 10 of 64 bits, where no blocks of so few bits are
+both exact and selective. For a similarity, fingerprints are therefore 512 bits of the distinct shingles, the
+radius is what that similarity leads to, and a shard holds those that agree on one of BANDS bands of 16 bits; an
+overfull one is dealt out again by further bands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,78 +32,152 @@ SEED = 42
 SLICE = 1 << 15
 #: A shard with more members is dealt out again.
 SHARD = 4096
+#: 64-bit words of a wide fingerprint.
+LANES = 8
+#: Bands of a wide fingerprint; an overfull shard is dealt out by SUB_BANDS others, DEALS times at most.
+BANDS, SUB_BANDS, DEALS = 40, 16, 2
+#: Rows of bits that are summed in single bytes.
+BYTE_SUMS = 255
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """As a signed 64-bit number. Null is the empty text, whose fingerprint is zero."""
+def shingle_hashes(text: str | None, words: int) -> tuple[Iterator[int], int]:
+    """XXH64 of each shingle, and how many there are; a text of fewer words is one shingle, one without words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        shingles: Iterator[bytes] = iter([b" ".join(parts)])
-        total = 1
-    else:
-        shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+    if len(parts) > words:
+        shingles: Iterator[bytes] = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
         total = len(parts) - words + 1
+    else:
+        shingles, total = iter([b" ".join(parts)]), min(1, len(parts))
+    return map(xxhash.xxh64_intdigest, shingles, (SEED for _ in range(total))), total
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """As a signed 64-bit number. Null is the empty text, whose fingerprint is zero."""
+    hashed, total = shingle_hashes(text, words)
     ones = np.zeros(64, np.int64)
-    hashed = map(xxhash.xxh64_intdigest, shingles, (SEED for _ in range(total)))
     for low in range(0, total, SLICE):
         block = np.fromiter(hashed, "<u8", min(SLICE, total - low))
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def wide_fingerprint(text: str | None, words: int, lanes: int = LANES) -> bytes:
+    """64 bits a lane, of the distinct shingles; each lane mixes the shingles' hashes in its own way."""
+    hashed, total = shingle_hashes(text, words)
+    distinct = np.unique(np.fromiter(hashed, np.uint64, total))
+    ones = np.zeros(64 * lanes, np.int64)
+    own = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for low in range(0, len(distinct), BYTE_SUMS):
+        mixed = distinct[low : low + BYTE_SUMS, None] + own
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(distinct)).tobytes()
+
+
+def wide_radius(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits in which texts whose shingles have that Jaccard similarity differ, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def fingerprints(docs: DataFrame, mark: Callable, kind: pa.DataType, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp) for each row; the words are split at ASCII white space and only A-Z become lower case."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    id_kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            marks = [fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["id", "fp"])
+            marks = [mark(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, kind)], names=["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, f"id {id_kind}, fp {'long' if kind == pa.int64() else 'binary'}")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    """Bits that differ; the last axis holds the words of a fingerprint."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of values (distinct) that span the components of "within radius", by one BK-tree.
+def tree_links(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of rows of marks (distinct fingerprints, unsigned words) that span the components of "within radius",
+    by one BK-tree.
 
     The tree is built from the root down: children are keyed by their distance to the node. All members are
-    asked at once; those at distance d from a node follow only the edges from d - radius to d + radius."""
-    parent = list(range(len(values)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    asked at once; those at distance d from a node follow only the edges from d - radius to d + radius. Below a
+    node whose members hang together already, those of the same component needn't ask any more."""
     links = []
-    everyone = np.arange(len(values))
-    stack = [(everyone, everyone)]
+    component = np.arange(len(marks))
+    stack = [(component.copy(), component.copy())]
     while stack:
         members, asking = stack.pop()
+        own = component[members]
+        if (own == own[0]).all():
+            asking = asking[component[asking] != own[0]]
+            if not len(asking):
+                continue
         node = members[0]
-        far = distance(values[asking], values[node])
-        for other in asking[far <= radius].tolist():
-            a, b = top(int(node)), top(other)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(values[node]), int(values[other])))
+        far = distance(marks[asking], marks[node])
+        near = asking[far <= radius]
+        found, first = np.unique(component[near], return_index=True)
+        other = found != component[node]
+        if other.any():
+            links += [(int(node), int(x)) for x in near[first[other]]]
+            merged = np.append(found, component[node])
+            component[np.isin(component, merged)] = merged.min()
         below = members[1:]
-        edges = distance(values[below], values[node])
-        for edge in np.unique(edges).tolist():
+        if not len(below):
+            continue
+        edges = distance(marks[below], marks[node])
+        order = np.argsort(edges, kind="stable")
+        cuts = np.flatnonzero(np.diff(edges[order])) + 1
+        for bucket in np.split(order, cuts):
+            edge = edges[bucket[0]]
             follow = asking[(far >= edge - radius) & (far <= edge + radius)]
             if len(follow):
-                stack.append((below[edges == edge], follow))
+                stack.append((below[bucket], follow))
     return links
 
 
+def solve_shards(owned: DataFrame, radius: int, words_of: Callable) -> DataFrame:
+    """(a, b): links of each shard; owned (key, part, node, fp) lies and is sorted by key and part."""
+    names = ["key", "part", "node"]
+
+    def links(node: np.ndarray, marks: np.ndarray, cuts: list[int]) -> list[tuple[int, int]]:
+        return [(int(node[low + a]), int(node[low + b])) for low, high in zip(cuts, cuts[1:], strict=False) if high - low > 1 for a, b in tree_links(marks[low:high], radius)]
+
+    def run(batches):
+        kept, parts = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in names] + [words_of(batch.column("fp"))]
+            parts.append(now)
+            if kept is not None and now[0][-1] == kept[0] and now[1][-1] == kept[1]:
+                continue  # all of it belongs to the shard that is being read
+            key, part, node, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
+            if found := links(node, marks, starts):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            last = starts[-1]  # the last shard may go on in the next batch
+            parts, kept = [[x[last:] for x in (key, part, node, marks)]], (key[last], part[last])
+        if parts:
+            node, marks = (np.concatenate(x) for x in list(zip(*parts, strict=True))[2:])
+            if found := links(node, marks, [0, len(node)]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return owned.mapInArrow(run, "a long, b long")
+
+
+def _narrow_words(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+
+
+def _wide_words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
 def _bits(name: str, low: int, width: int):
     return F.shiftrightunsigned(name, low).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -135,27 +215,29 @@ def links_within(distinct: DataFrame, radius: int, shard: int = SHARD) -> DataFr
             keys.append(F.xxhash64(F.lit(k), *[_bits("fp", *s) for s in x + y]))
         finer = F.when(F.shiftrightunsigned("key", 48) == number, F.array(*keys)).otherwise(finer)
     dealt = members.select("fp", "key", F.explode(F.when(F.col("n") <= shard, F.array(F.lit(0).cast("long"))).otherwise(finer)).alias("part"))
-    owned = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+    owned = dealt.select("key", "part", F.col("fp").alias("node"), "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+    return solve_shards(owned, radius, _narrow_words)
 
-    def run(batches):
-        key = part = np.zeros(0, np.int64)
-        fp = np.zeros(0, np.int64)
 
-        def solve(values: np.ndarray) -> list[tuple[int, int]]:
-            return tree_links(values, radius) if len(values) > 1 else []
+def _bands(low: int, high: int, size: int = 8 * LANES) -> list[tuple[int, int]]:
+    """Pairs of bytes: neighbours first, then, round by round, those 3, 5, 7, ... apart."""
+    return [(2 * i % size, (2 * i + 1 + 2 * (2 * i // size)) % size) for i in range(low, high)]
 
-        for batch in batches:
-            key, part, fp = (np.concatenate([old, batch.column(n).to_numpy(zero_copy_only=False)]) for old, n in ((key, "key"), (part, "part"), (fp, "fp")))
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, int)
-            found = [x for a, b in zip(starts, starts[1:], strict=False) for x in solve(fp[a:b])]  # the last shard may go on in the next batch
-            if len(starts):
-                key, part, fp = key[starts[-1] :], part[starts[-1] :], fp[starts[-1] :]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-        if found := solve(fp):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return owned.mapInArrow(run, "a long, b long")
+def wide_links(classes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+    """(a, b): links between the nodes of classes (node, fp binary, distinct) within the radius.
+
+    Links that no band brings together are missed: 1 in 20 at a similarity of 0.8, fewer above."""
+    key = lambda bands: F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", b + 1, 1) for b in band]) for i, band in enumerate(bands)])
+    rows = classes.select("node", "fp", F.explode(key(_bands(0, BANDS))).alias("key"), F.lit(0).cast("long").alias("part"))
+    for deal in range(DEALS):
+        full = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
+        full = stored(full.select(F.col("key").alias("of"), F.col("part").alias("of_part"), F.lit(True).alias("full")), "simhash-full")
+        low = BANDS + deal * SUB_BANDS
+        finer = F.when(F.col("full"), F.transform(key(_bands(low, low + SUB_BANDS)), lambda k: F.xxhash64(k, "part"))).otherwise(F.array("part"))
+        rows = rows.join(full, (F.col("key") == F.col("of")) & (F.col("part") == F.col("of_part")), "left")
+        rows = rows.select("node", "fp", "key", F.explode(finer).alias("part"))
+    return solve_shards(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node"), radius, _wide_words)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
@@ -165,22 +247,39 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id:
     empty text has fingerprint zero, which links like any other. A text of fewer words is one shingle. Ids that
     are null count only where a component has no other. Rows repeated are rows of one class. Other columns
     aren't looked at. An empty table gives no rows."""
-    marks = stored(fingerprints(docs, words, doc_id, text), "simhash-marks")
+    marks = stored(fingerprints(docs, lambda x: fingerprint(x, words), pa.int64(), doc_id, text), "simhash-marks")
     classes = stored(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")), "simhash-classes")
     roots = connected_components(links_within(classes.select("fp"), radius, shard))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    found = _components(marks, classes.withColumn("node", F.col("fp")), roots)
+    return found.select(F.col("id").alias(doc_id), "fp", "component_id")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    """(doc_id, fp, component_id), one row for each row of docs, by wide fingerprints of the distinct shingles.
+
+    Links join texts of at least that Jaccard similarity, as far as 512 bits tell it. Nulls, empty texts,
+    repeated rows and other columns: as in simhash_components."""
+    marks = stored(fingerprints(docs, lambda x: wide_fingerprint(x, words), pa.binary(), doc_id, text), "simhash-marks")
+    classes = marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")
+    roots = connected_components(stored(wide_links(classes.select("node", "fp"), wide_radius(similarity), shard), "simhash-links"))
+    return _components(marks, classes, roots).select(F.col("id").alias(doc_id), "fp", "component_id")
+
+
+def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """marks (id, fp) with component_id; classes: fp, least, size, node; roots: (node, root) of the nodes with links."""
+    rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     linked = stored(rooted.select("fp", "least", "size", "root"), "simhash-roots")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     named = linked.join(least, F.col("root") == F.col("of")).select("fp", "size", "component_id")
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    found = join_classes(marks, stored(named, "simhash-named"), ["fp"], "size", total, F.col("id"))
-    return found.select(F.col("id").alias(doc_id), "fp", "component_id")
+    return join_classes(marks, stored(named, "simhash-named"), ["fp"], "size", total, F.col("id"))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least id of each component, with all its columns (several rows of one id all stay).
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the least id of each component of similar texts, with all its columns (several rows of one id all stay).
 
     The ids that go are written first; texts move only if they are too many for Spark to broadcast."""
-    groups = simhash_components(docs, words, radius, doc_id, text)
+    groups = similar_components(docs, words, similarity, doc_id, text)
     gone = groups.filter(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__gone")).distinct()
     return docs.join(stored(gone, "near-gone"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")

@@ -8,7 +8,8 @@ import tiktoken
 
 import corpus_pipeline
 from jobmosaic.llm.co_training import score_quality
-from test_simhash import components, slow_fingerprint
+from jobmosaic.llm.simhash import wide_radius
+from test_simhash import components, slow_wide, wide_linked
 from test_source_mix import brute_targets
 
 
@@ -33,7 +34,7 @@ def test_stages_against_brute_force(spark):
     assert sorted(r.doc_id for r in rows[1]) == sorted(least.values())
 
     ids = [r.doc_id for r in rows[1]]
-    named = components(ids, [slow_fingerprint(r.text, 5) for r in rows[1]], 3)
+    named = components(ids, [slow_wide(r.text) for r in rows[1]], wide_radius(0.8), wide_linked)
     assert sorted(r.doc_id for r in rows[2]) == sorted(set(named.values()))
 
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows[2]}

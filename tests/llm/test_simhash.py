@@ -1,26 +1,58 @@
 import random
+import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, simhash_components, tree_links
+from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
 
 
-def slow_fingerprint(text, words=3):
-    import re
-
+def slow_shingles(text, words):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     parts = re.findall(r"[^\x20\x09-\x0D]+", low)
-    if not parts:
+    return [" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)] or [" ".join(parts)] if parts else []
+
+
+def slow_wide(text, words=5):
+    """The 512 bits as a number, the first byte the most significant."""
+    most = 2**64 - 1
+    hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in slow_shingles(text, words)}
+    value = 0
+    for lane in range(1, 9):
+        mixed = []
+        for h in hashes:
+            x = (h + lane * 0x9E3779B97F4A7C15) & most
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+            mixed.append(x ^ x >> 31)
+        for b in (8 * byte + bit for byte in range(8) for bit in range(7, -1, -1)):
+            value = value << 1 | (2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+    return value
+
+
+def wide_linked(a, b, radius):
+    """Within the radius, and equal in one of 32 pairs of neighbouring bytes or of 8 pairs of bytes three apart."""
+    if bin(a ^ b).count("1") > radius:
+        return False
+    x = (a ^ b).to_bytes(64, "big")
+    return any(not x[2 * i] and not x[2 * i + 1] for i in range(32)) or any(not x[2 * i] and not x[2 * i + 3] for i in range(8))
+
+
+def slow_fingerprint(text, words=3):
+    shingles = slow_shingles(text, words)
+    if not shingles:
         return 0
-    shingles = [" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)] or [" ".join(parts)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     return value - (1 << 64) if value >> 63 else value
 
 
-def components(ids, marks, radius):
+def near(a, b, radius):
+    return bin((a ^ b) & (2**64 - 1)).count("1") <= radius
+
+
+def components(ids, marks, radius, linked=near):
     root = list(range(len(ids)))
 
     def top(x):
@@ -30,7 +62,7 @@ def components(ids, marks, radius):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin((marks[i] ^ marks[j]) & (2**64 - 1)).count("1") <= radius:
+            if linked(marks[i], marks[j], radius):
                 root[max(top(i), top(j))] = min(top(i), top(j))
     least = {}
     for i, d in enumerate(ids):
@@ -47,18 +79,58 @@ def test_tree_spans_components():
     rng = random.Random(3)
     seeds = [rng.getrandbits(64) for _ in range(30)]
     values = sorted({s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (2**64 - 1) for s in seeds for _ in range(12)})
-    array = np.array(values, np.uint64).view(np.int64)
-    links = tree_links(array, 2)
-    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in links)
-    place = {int(v): i for i, v in enumerate(array)}
-    want = components(range(len(array)), [int(v) for v in array], 2)
-    got = list(range(len(array)))
-    for _ in range(len(array)):
+    links = tree_links(np.array(values, np.uint64)[:, None], 2)
+    assert all(bin(values[a] ^ values[b]).count("1") <= 2 for a, b in links) and len(links) < len(values)
+    want = components(range(len(values)), values, 2)
+    got = list(range(len(values)))
+    for _ in range(len(values)):
         for a, b in links:
-            got[place[a]] = got[place[b]] = min(got[place[a]], got[place[b]])
+            got[a] = got[b] = min(got[a], got[b])
     assert dict(enumerate(got)) == want
 
 
+def edited(rng, words, share):
+    """Words with about that share of their shingles of five words changed."""
+    words = list(words)
+    for at in rng.sample(range(len(words)), round(len(words) * share / 5)):
+        words[at] = f"e{rng.random()}"
+    return words
+
+
+def similarity(a, b):
+    x, y = set(slow_shingles(a, 5)), set(slow_shingles(b, 5))
+    return len(x & y) / len(x | y)
+
+
+def test_wide_fingerprint():
+    rng = random.Random(2)
+    for text in [None, "", " \n", "One", "a b", "A b\tC d", "Größe   a b c d e f g h", "a b c " * 50, " ".join(str(rng.random()) for _ in range(600))]:
+        assert int.from_bytes(wide_fingerprint(text, 5), "big") == slow_wide(text)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(4)
+    rows, pairs = [(9000, None), (9001, ""), (9002, "word"), (9003, "word")], []
+    for k in range(150):
+        words = [str(rng.randrange(5000)) for _ in range(rng.randrange(150, 400))]
+        texts = " ".join(words), " ".join(edited(rng, words, rng.uniform(0.01, 0.2)))
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+        pairs.append((2 * k, similarity(*texts)))
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components([r[0] for r in rows], [slow_wide(t) for _, t in rows], wide_radius(0.8), wide_linked)
+    close = [a for a, alike in pairs if alike >= 0.8]
+    assert len(close) > 50 and sum(got[a + 1] == a for a in close) >= 0.9 * len(close)
+    assert got[9001] == 9000 and got[9003] == 9002 and all(got[a] == a for a, _ in pairs)
+
+
+def test_overfull_shards_of_similar_texts(spark):
+    rng = random.Random(6)
+    words = [str(rng.randrange(5000)) for _ in range(300)]
+    rows = [(k, " ".join(edited(rng, words, 0.05))) for k in range(80)] + [(100 + k, " ".join(str(rng.random()) for _ in range(50))) for k in range(40)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shard=8).collect()}
+    assert all(got[d] == (0 if d < 80 else d) for d, _ in rows)
+
+
 def test_large_shards_lose_no_link(spark):
     rng = random.Random(5)
     base = rng.getrandbits(64)
