@@ -36,6 +36,8 @@ SHARD = 4096
 LANES = 8
 #: Bands of a wide fingerprint; an overfull shard is dealt out by SUB_BANDS others, DEALS times at most.
 BANDS, SUB_BANDS, DEALS = 40, 16, 2
+#: Shards of so many members or fewer are looked through together for any link before they get trees.
+SIDE_BY_SIDE = 256
 #: Rows of bits that are summed in single bytes.
 BYTE_SUMS = 255
 
@@ -140,12 +142,27 @@ def tree_links(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def shards_with_links(marks: np.ndarray, cuts: list[int], radius: int) -> list[tuple[int, int]]:
+    """The shards (ranges of rows between cuts) that need a tree: those with two rows within the radius, and those
+    of more than SIDE_BY_SIDE rows. Rows 1, 2, ... places apart are compared for all small shards at once."""
+    sizes = np.diff(cuts)
+    shard = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = sizes > SIDE_BY_SIDE
+    at, apart = np.flatnonzero(~wanted[shard]), 1
+    while len(at):
+        at = at[at + apart < len(shard)]
+        at = at[(shard[at] == shard[at + apart]) & ~wanted[shard[at]]]
+        wanted[shard[at[distance(marks[at], marks[at + apart]) <= radius]]] = True
+        apart += 1
+    return [(cuts[i], cuts[i + 1]) for i in np.flatnonzero(wanted).tolist()]
+
+
 def solve_shards(owned: DataFrame, radius: int, words_of: Callable) -> DataFrame:
     """(a, b): links of each shard; owned (key, part, node, fp) lies and is sorted by key and part."""
     names = ["key", "part", "node"]
 
     def links(node: np.ndarray, marks: np.ndarray, cuts: list[int]) -> list[tuple[int, int]]:
-        return [(int(node[low + a]), int(node[low + b])) for low, high in zip(cuts, cuts[1:], strict=False) if high - low > 1 for a, b in tree_links(marks[low:high], radius)]
+        return [(int(node[low + a]), int(node[low + b])) for low, high in shards_with_links(marks, cuts, radius) for a, b in tree_links(marks[low:high], radius)]
 
     def run(batches):
         kept, parts = None, []

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
+from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, shards_with_links, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
 
 
 def slow_shingles(text, words):
@@ -89,6 +89,21 @@ def test_tree_spans_components():
     assert dict(enumerate(got)) == want
 
 
+def test_shards_with_links():
+    rng = random.Random(8)
+    cuts, values, want = [0], [], []
+    for k in range(60):
+        own = [rng.getrandbits(64) for _ in range(rng.choice([1, 2, 3, 9, 300]))]
+        if k % 3 == 0 and len(own) > 1:
+            own[-1] = own[0] ^ 5
+        values += own
+        cuts.append(len(values))
+        if len(own) > 256 or (k % 3 == 0 and len(own) > 1):
+            want.append((cuts[-2], cuts[-1]))
+    assert shards_with_links(np.array(values, np.uint64)[:, None], cuts, 2) == want
+    assert shards_with_links(np.zeros((0, 1), np.uint64), [0], 2) == []
+
+
 def edited(rng, words, share):
     """Words with about that share of their shingles of five words changed."""
     words = list(words)
