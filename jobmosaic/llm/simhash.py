@@ -9,8 +9,10 @@ so the links never number more than the fingerprints in the shards.
 
 Texts that share four fifths of their shingles differ in about 10 of 64 bits, where no blocks of so few bits are
 both exact and selective. For a similarity, fingerprints are therefore 512 bits of the distinct shingles, the
-radius is what that similarity leads to, and a shard holds those that agree on one of BANDS bands of 16 bits; an
-overfull one is dealt out again by further bands.
+radius is what that similarity leads to, and a shard holds those that agree on one of BANDS bands of 16 bits. An
+overfull one is cut into blocks. Each block is linked alone first, with one member that all blocks share; then
+those outside the shard's largest component meet each other and that component, block by block, so that no pair
+of the shard is left out.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from jobmosaic.llm.shared import connected_components, join_classes, stored
 SEED = 42
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 15
-#: A shard with more members is dealt out again.
+#: A shard with more members is dealt out again, or cut into blocks.
 SHARD = 4096
 #: 64-bit words of a wide fingerprint.
 LANES = 8
-#: Bands of a wide fingerprint; an overfull shard is dealt out by SUB_BANDS others, DEALS times at most.
-BANDS, SUB_BANDS, DEALS = 40, 16, 2
+#: Bands of a wide fingerprint.
+BANDS = 40
 #: Shards of so many members or fewer are looked through together for any link before they get trees.
 SIDE_BY_SIDE = 256
 #: Rows of bits that are summed in single bytes.
@@ -241,20 +243,50 @@ def _bands(low: int, high: int, size: int = 8 * LANES) -> list[tuple[int, int]]:
     return [(2 * i % size, (2 * i + 1 + 2 * (2 * i // size)) % size) for i in range(low, high)]
 
 
+def _blocks(rows, shard: int):
+    """How many blocks of half a shard so many rows fill."""
+    return F.ceil(2 * rows / F.lit(shard)).cast("long")
+
+
+def _part(i, j):
+    return F.shiftleft(i, 31).bitwiseOR(j)
+
+
 def wide_links(classes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """(a, b): links between the nodes of classes (node, fp binary, distinct) within the radius.
-
-    Links that no band brings together are missed: 1 in 20 at a similarity of 0.8, fewer above."""
-    key = lambda bands: F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", b + 1, 1) for b in band]) for i, band in enumerate(bands)])
-    rows = classes.select("node", "fp", F.explode(key(_bands(0, BANDS))).alias("key"), F.lit(0).cast("long").alias("part"))
-    for deal in range(DEALS):
-        full = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
-        full = stored(full.select(F.col("key").alias("of"), F.col("part").alias("of_part"), F.lit(True).alias("full")), "simhash-full")
-        low = BANDS + deal * SUB_BANDS
-        finer = F.when(F.col("full"), F.transform(key(_bands(low, low + SUB_BANDS)), lambda k: F.xxhash64(k, "part"))).otherwise(F.array("part"))
-        rows = rows.join(full, (F.col("key") == F.col("of")) & (F.col("part") == F.col("of_part")), "left")
-        rows = rows.select("node", "fp", "key", F.explode(finer).alias("part"))
-    return solve_shards(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node"), radius, _wide_words)
+    """(a, b): links that span what hangs together of the nodes of classes (node, fp binary, distinct) by pairs that
+    agree on a band and lie within the radius, whatever the size of a shard.
+
+    Pairs that no band brings together are missed: 1 in 20 at a similarity of 0.8, fewer above."""
+    key = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", b + 1, 1) for b in band]) for i, band in enumerate(_bands(0, BANDS))])
+    rows = classes.select("node", "fp", F.explode(key).alias("key"))
+    solved = lambda owned: solve_shards(owned.select("key", "part", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "node"), radius, _wide_words)
+    block = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
+    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
+    full = stored(full.select(F.col("key").alias("of"), _blocks(F.col("n"), shard).alias("blocks")), "simhash-full")
+    if full.isEmpty():
+        return solved(rows.withColumn("part", F.lit(0).cast("long")))
+
+    # each block of an overfull shard alone, with a member of the shard that all its blocks have
+    zero = F.lit(0).cast("long")
+    alone = rows.join(full, F.col("key") == F.col("of"), "left").withColumn("part", F.coalesce(block(F.col("blocks")), zero))
+    hubs = rows.join(full, F.col("key") == F.col("of")).groupBy("key", "blocks").agg(F.min(F.struct(F.xxhash64("node", "key").alias("at"), "node", "fp")).alias("hub"))
+    hubs = hubs.select("key", "blocks", "hub.node", "hub.fp", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("part")).filter(F.col("part") != block(F.col("blocks")))
+    first = stored(solved(alone.select("key", "part", "node", "fp").union(hubs.select("key", "part", "node", "fp"))), "simhash-first")
+
+    # what hangs together needn't be compared again: only those outside the largest component of the shard, with each other and with it
+    roots = stored(connected_components(first), "simhash-first-roots").withColumnRenamed("node", "rooted")
+    members = rows.join(full.select("of"), F.col("key") == F.col("of")).drop("of").join(roots, F.col("node") == F.col("rooted"), "left")
+    members = stored(members.select("node", "fp", "key", F.coalesce("root", "node").alias("root")), "simhash-members")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter(F.col("n") > F.col("most.n"))
+    sizes = stored(sizes.select(F.col("key").alias("of"), F.col("most.root").alias("largest"), _blocks(F.col("most.n"), shard).alias("inner"), _blocks(F.col("n") - F.col("most.n"), shard).alias("outer")), "simhash-sizes")
+    open_ = members.join(sizes, F.col("key") == F.col("of"))
+    upto = lambda blocks, part: F.transform(F.sequence(zero, F.col(blocks) - 1), part)
+    own = block(F.col("outer"))
+    outside = F.concat(upto("outer", lambda j: _part(F.least(own, j), F.greatest(own, j))), upto("inner", lambda j: _part(own, F.col("outer") + j)))
+    inside = upto("outer", lambda i: _part(i, F.col("outer") + block(F.col("inner"))))
+    again = open_.select("node", "fp", "key", F.explode(F.when(F.col("root") == F.col("largest"), inside).otherwise(outside)).alias("part"))
+    return first.union(solved(again))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:

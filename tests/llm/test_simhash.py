@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, shards_with_links, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
+from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, shards_with_links, similar_components, simhash_components, tree_links, wide_fingerprint, wide_links, wide_radius
 
 
 def slow_shingles(text, words):
@@ -146,6 +146,23 @@ def test_overfull_shards_of_similar_texts(spark):
     assert all(got[d] == (0 if d < 80 else d) for d, _ in rows)
 
 
+def test_overfull_wide_shards_lose_no_link(spark):
+    rng = random.Random(7)
+    marks = []
+    for family, flips, size in ((1, 20, 150), (2, 52, 150), (3, 42, 60)):
+        base = random.Random(family).getrandbits(512)
+        marks += [base ^ sum(1 << b for b in rng.sample(range(512), flips + rng.randrange(6))) for _ in range(size)]
+    ids = list(range(len(marks)))
+    classes = spark.createDataFrame([(i, m.to_bytes(64, "big")) for i, m in enumerate(marks)], "node long, fp binary")
+    want = components(ids, marks, wide_radius(0.8), wide_linked)
+    got = list(ids)
+    links = [(r.a, r.b) for r in wide_links(classes, wide_radius(0.8), shard=8).collect()]
+    for _ in ids:
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert dict(enumerate(got)) == want and 10 < len(set(want.values())) < 300
+
+
 def test_large_shards_lose_no_link(spark):
     rng = random.Random(5)
     base = rng.getrandbits(64)
