@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobmosaic.sources import portals as W
@@ -69,3 +70,16 @@ def test_union_order(spark):
     rows = W.collect_union({"gupy": landed(spark, [{"id": 5, "name": "a"}, {"id": 4, "name": "b"}]), "vagas": pages(spark, VAGAS), "outro": pages(spark, VAGAS)}, ["vagas", "gupy", "outro"], ["x", "termo"])
     assert [r.external_id for r in rows.orderBy("ord").select("external_id").collect()] == ["77", "78", "5", "4"]
     assert rows.select(F.countDistinct("ord")).first()[0] == 4
+
+
+def test_union_order_of_large_pages(spark):
+    at = [5, 65535, 65536, 65536 + 5, 200000]
+    cards = lambda numbers: spark.createDataFrame([(t, p, VAGAS) for t in ("x", "termo") for p in numbers], "term string, page long, html string")
+    rows = W.collect_union({"vagas": cards(at)}, ["vagas"], ["x", "termo"]).select("ord", "search_term", "external_id").orderBy("ord").collect()
+    assert len({r.ord for r in rows}) == len(rows) == 4 * len(at) and min(r.ord for r in rows) > 0
+    assert [r.search_term for r in rows] == ["x"] * 10 + ["termo"] * 10 and [r.external_id for r in rows] == ["77", "78"] * 10
+    places = [(r.ord >> 16) & (1 << W.WIDE_PAGE_BITS) - 1 for r in rows]
+    assert places == [p for p in at for _ in range(2)] * 2
+    for wrong in (-1, 1 << 31):
+        with pytest.raises(Exception, match="beyond"):
+            W.collect_union({"vagas": cards([wrong])}, ["vagas"], ["x", "termo"]).collect()
