@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmosaic.llm.shared import stored
+
 #: The rules, in the order in which kinds are listed: pattern, and the least length of its last group.
 RULES = [
     ("assign", re.compile(r"""(?=[pstaPSTA])(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 12),
@@ -25,10 +27,9 @@ RULES = [
     ("hex", re.compile(r"([0-9a-f]{16,})"), 16),
 ]
 KINDS = [k for k, _, _ in RULES] + ["crf"]
-#: Documents that are learned from, at most; and windows of tokens taken from each and from all of them.
+#: Documents that are learned from, at most; and windows of tokens taken from each.
 TRAIN_DOCS = 2000
 WINDOWS_A_DOC = 4
-TRAIN_WINDOWS = 4000
 #: Tokens in a window.
 WIDTH = 24
 #: Characters whose features are worked out at once.
@@ -301,9 +302,19 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
-    """Learns from what the rules find in train_docs documents at most, drawn by a hash of the id; their windows come to the driver."""
+    """Learns from what the rules find in train_docs documents at most, up to half of them with a rule's find and the rest
+    without, drawn by a hash of the id; all their windows come to the driver."""
     rows = _rows(docs, doc_id, text)
-    ids = rows.filter(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id", F.lit("field")), "id").limit(train_docs)
+    id_kind = rows.schema["id"].dataType.simpleString()
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(base_spans(x.as_py())) for x in batch.column(1)], pa.bool_())], names=["id", "hit"])
+
+    marked = stored(rows.filter(F.col("id").isNotNull()).select("id", "text").mapInArrow(mark, f"id {id_kind}, hit boolean").distinct(), "secret-hits")
+    drawn = lambda found, most: found.select("id").orderBy(F.xxhash64("id", F.lit("field")), "id").limit(most)
+    hits = stored(drawn(marked.filter("hit"), train_docs - train_docs // 2), "secret-drawn")
+    ids = hits.union(drawn(marked.filter("NOT hit"), train_docs - hits.count()))
     chosen = rows.join(F.broadcast(ids.distinct().withColumnRenamed("id", "of")), F.col("id") == F.col("of")).select("id", "text", "source", "lang")
 
     def run(batches):
@@ -314,7 +325,7 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
                 columns = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(list(columns[2]), pa.list_(pa.int32())), pa.array([t.astype(np.int32) for t in columns[3]], pa.list_(pa.int32()))], names=["id", "part", "features", "tags"])
 
-    found = chosen.mapInArrow(run, "id string, part int, features array<int>, tags array<int>").limit(TRAIN_WINDOWS).toPandas().sort_values(["id", "part"], kind="stable")
+    found = chosen.mapInArrow(run, "id string, part int, features array<int>, tags array<int>").toPandas().sort_values(["id", "part"], kind="stable")
     count = len(found)
     features, tags, lengths = np.zeros((count, WIDTH, PER_TOKEN), np.int64), np.zeros((count, WIDTH), np.int64), np.zeros(count, np.int64)
     for i, (f, t) in enumerate(zip(found["features"], found["tags"], strict=True)):

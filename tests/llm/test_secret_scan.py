@@ -131,3 +131,16 @@ def test_edges(spark):
     ]
     bare = S.scan_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()
     assert [tuple(r) for r in bare] == [(1, [])]
+
+
+def test_field_learns_from_rare_finds_and_all_windows(spark, monkeypatch):
+    from jobmosaic.llm import secret_scan
+
+    seen = []
+    monkeypatch.setattr(secret_scan, "fit", lambda features, tags, lengths: seen.append((len(tags), int((tags == secret_scan.B).sum()))))
+    lines = "\n".join(f"value {i} = other {i} ;" for i in range(8))
+    rows = [(i, lines + ("\npassword = abcdefgh12345678" if i % 400 == 7 else "")) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    secret_scan.train_field(docs, train_docs=20)
+    secret_scan.train_field(docs)
+    assert seen[0][1] >= 3 and seen[1][0] > 4000
