@@ -2,8 +2,13 @@
 
 A gear hash rolls over the UTF-8 bytes of a text: the last 32 bytes alone decide whether a chunk ends, so that
 the same passage is cut in the same places wherever it stands and an insertion moves only the chunks it
-touches. Chunks are compared by digest over all documents. Chunks with a digest that two documents or more
-have, standing side by side, are joined into spans; a span of MIN_SPAN bytes or more is a repeated passage.
+touches. What is compared over all documents is the digest of a run: a chunk with as many that follow it as make
+MIN_SPAN bytes. A run that two documents or more have is a repeated passage as it stands. Its keeper is the least
+of these documents: there it is left, and in all others it can go. Runs of one document that overlap and have one
+keeper are one span.
+
+No text is lost by cutting what isn't kept: where a chunk is cut, it also stands in a document of lesser id, and
+so on down to one where it is left.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ MIN_GAP = 8
 MAX_CHUNK = 256
 #: Bytes of a repeated passage, at least. A passage of 50 words has about 300, of which a chunk may be lost at either end.
 MIN_SPAN = 96
-#: Bytes that are hashed at once.
+#: Bytes that are hashed at once, and runs that are handed over at once.
 SLICE_BYTES = 1 << 21
+SLICE_RUNS = 1 << 16
 _NO_ID = -(2**63)
 
 
@@ -51,11 +57,21 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return value
 
 
+def possible_ends(data: np.ndarray) -> np.ndarray:
+    """Places behind bytes whose hash lets a chunk end, slice by slice; a slice starts with the bytes its first hash needs."""
+    found = [np.zeros(0, np.int64)]
+    for low in range(0, len(data), SLICE_BYTES):
+        before = min(low, WINDOW - 1)
+        hashes = rolling(data[low - before : low + SLICE_BYTES])[before:]
+        found.append(low + 1 + np.flatnonzero(hashes < np.uint32(2**32 // MEAN_GAP)))
+    return np.concatenate(found)
+
+
 def chunk_ends(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Starts and ends of the chunks of texts that stand at first:last in data, WINDOW zero bytes apart; never inside a code point."""
-    inner = np.r_[(data & 0xC0) == 0x80, False]
-    ends = np.flatnonzero(rolling(data) < np.uint32(2**32 // MEAN_GAP)) + 1
-    ends = ends[~inner[ends]]
+    inner = lambda at: (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80) & (at < len(data))
+    ends = possible_ends(data)
+    ends = ends[~inner(ends)]
     ends = ends[np.diff(ends, prepend=-MIN_GAP) >= MIN_GAP]
     of = np.searchsorted(first, ends - 1, side="right") - 1
     ok = of >= 0
@@ -67,15 +83,13 @@ def chunk_ends(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     more = np.where(cuts[:-1] < last[inside], (gaps - 1) // MAX_CHUNK, 0)
     extra = np.repeat(cuts[:-1], more) + MAX_CHUNK * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1)
     for _ in range(3):
-        extra = extra - inner[extra]
+        extra = extra - inner(extra)
     return np.unique(np.concatenate([cuts, extra]))
 
 
-def chunks_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(text number, start, end, bytes, digest) of all chunks; start and end in code points."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    gap = bytes(WINDOW)
-    joined = gap.join(raw)
+def chunks_of(raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in a row, and (text number, start, end) of their chunks, in bytes of that row."""
+    joined = bytes(WINDOW).join(raw)
     data = np.frombuffer(joined, np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     first = np.cumsum(sizes + WINDOW) - sizes - WINDOW
@@ -83,73 +97,114 @@ def chunks_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     numbers, begin, end = np.flatnonzero(filled), first[filled], (first + sizes)[filled]
     if not len(numbers):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, []
+        return joined, none, none, none
     cuts = chunk_ends(data, begin, end)
     starts, stops = cuts[:-1], cuts[1:]
     of = np.searchsorted(begin, starts, side="right") - 1
     ok = starts < end[of]  # what lies between two texts is no chunk
-    starts, stops, of = starts[ok], stops[ok], of[ok]
-    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    digests = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-    origin = points[begin[of]]
-    return numbers[of], points[starts] - origin, points[stops] - origin, stops - starts, digests
+    return joined, numbers[of[ok]], starts[ok], stops[ok]
 
 
-def slices(texts: list[str]) -> list[tuple[int, int]]:
+def runs_of(raw: list[bytes], min_span: int = MIN_SPAN):
+    """Blocks of (text number, start, stop, first byte, bytes, digest) of all runs; start and stop in code points of the text.
+
+    There is a run for each chunk behind which, the chunk included, its text has min_span bytes."""
+    joined, of, starts, stops = chunks_of(raw)
+    if not len(of):
+        return
+    data = np.frombuffer(joined, np.uint8)
+    points = np.cumsum(np.add.reduceat(data & 0xC0 != 0x80, np.r_[starts, stops[-1:]][: len(starts)], dtype=np.int64))
+    # what lies between two texts was counted with the last chunk of a text: a code point a byte
+    gap = np.where(np.r_[of[1:] != of[:-1], False], np.r_[starts[1:], stops[-1]] - stops, 0)
+    ends = points - np.cumsum(gap)
+    begins = np.r_[0, ends[:-1]]
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    text = np.cumsum(np.r_[True, of[1:] != of[:-1]]) - 1
+    origin, base = begins[heads][text], starts[heads][text]
+    final = np.searchsorted(stops, starts + min_span)
+    whole = np.flatnonzero((final < len(of)) & (of[np.minimum(final, len(of) - 1)] == of))
+    for low in range(0, len(whole), SLICE_RUNS):
+        at = whole[low : low + SLICE_RUNS]
+        to = final[at]
+        digests = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts[at].tolist(), stops[to].tolist(), strict=True)]
+        yield of[at], begins[at] - origin[at], ends[to] - origin[at], starts[at] - base[at], stops[to] - starts[at], np.array(digests, np.uint64).view(np.int64)
+
+
+def slices(sizes: list[int]) -> list[tuple[int, int]]:
+    """Ranges of texts of about SLICE_BYTES together, of one text at least."""
     cuts, size = [0], 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
+    for i, n in enumerate(sizes):
+        if size and size + n > SLICE_BYTES:
             cuts.append(i)
             size = 0
-        size += len(t)
-    return list(zip(cuts, [*cuts[1:], len(texts)], strict=True)) if texts else []
+        size += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)], strict=True)) if sizes else []
 
 
-def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, stop, bytes, digest): one row for each chunk of each text."""
+def document_runs(docs: DataFrame, min_span: int = MIN_SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, row, start, stop, low, bytes, digest): one row for each run of each text; row is a hash of the text."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+    names = ["id", "row", "start", "stop", "low", "bytes", "digest"]
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for low, high in slices(texts):
-                of, start, stop, size, digest = chunks_of(texts[low:high])
-                columns = [pa.array(ids[low:high][of], pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "stop", "bytes", "digest"])
+            ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for low, high in slices([len(t.as_buffer()) for t in texts]):
+                own, mark = ids[low:high], marks[low:high]
+                for of, start, stop, first, size, digest in runs_of(texts.slice(low, high - low).to_pylist(), min_span):
+                    columns = [pa.array(x, kind) for x, kind in zip((own[of], mark[of], start, stop, first, size, digest), _KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, "id long, row long, start int, stop int, low int, bytes int, digest long")
 
-    return rows.mapInArrow(run, "id long, start int, stop int, bytes int, digest long")
+
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+
+def _joined(runs: DataFrame, *keys: str) -> DataFrame:
+    """Runs (start, stop, low, high) that overlap, with the same keys, as one."""
+    along = Window.partitionBy(*keys).orderBy("start", "stop")
+    so_far = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") >= so_far, F.lit(True)).cast("int")
+    told = runs.withColumn("new", begins).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return told.groupBy(*keys, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("low").alias("low"), F.max("high").alias("high")).drop("span")
+
+
+def _spans(docs: DataFrame, min_span: int, doc_id: str, text: str) -> DataFrame:
+    """(id, row, least, start, stop, low, high) of the repeated passages."""
+    runs = document_runs(docs, min_span, doc_id, text)
+    seen = runs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    repeated = stored(seen.filter("least < most").select("digest", "least", "n"), "repeated-runs")
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_classes(runs, repeated, ["digest"], "n", total, F.struct("id", "start")).filter(F.col("n").isNotNull())
+    found = found.select("id", "row", "least", "start", "stop", "low", (F.col("low") + F.col("bytes")).alias("high")).distinct()
+    return _joined(found, "id", "row", "least")
 
 
 def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, stop, n_bytes, n_chunks, first_doc_id, kept): the repeated passages of all documents.
+    """(doc_id, start, stop, n_bytes, first_doc_id, kept): the repeated passages of all documents.
 
-    start and stop are code points, stop exclusive. first_doc_id is the least id of the documents that have a
-    chunk of the span; kept is true where that is the document itself, so that one copy stays. Repeats inside
+    start and stop are code points, stop exclusive. first_doc_id is the least id of the documents that have the
+    passage (or each of the overlapping runs it is made of); kept is true where that is the document itself.
+    Spans with different first documents may overlap; what a span that isn't kept covers can go. Repeats inside
     one document alone don't count. Ids are whole numbers; rows with one id are one document, and rows without
-    an id are together one document of null id, which is the least. A null or empty text has no span. Other
-    columns aren't looked at. An empty table gives no rows."""
-    chunks = chunk_documents(docs, doc_id, text)
-    seen = chunks.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
-    repeated = stored(seen.filter("least < most").select("digest", "least", "n"), "repeated-chunks")
-    total = docs.count()  # classes of over total / HOT_SHARE chunks are broadcast: the number of chunks bounds them further
-    chunks_total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = join_classes(chunks, repeated, ["digest"], "n", max(total, chunks_total), F.struct("id", "start")).filter(F.col("n").isNotNull())
-    found = found.select("id", "start", "stop", "bytes", "least").distinct()
-    along = Window.partitionBy("id").orderBy("start", "stop")
-    begins = F.coalesce(F.col("start") > F.lag("stop").over(along), F.lit(True))
-    runs = found.withColumn("new", begins.cast("int")).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_chunks"), F.min("least").alias("first"),
-    ).filter(F.col("n_bytes") >= min_span)
+    an id are together one document of null id, which is the least; rows of one document with the same text
+    give their spans once. A null or empty text has no span. Other columns aren't looked at. An empty table
+    gives no rows."""
+    spans = _spans(docs, min_span, doc_id, text)
     public = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return spans.select(public("id").alias("doc_id"), "start", "stop", "n_bytes", "n_chunks", public("first").alias("first_doc_id"), (F.col("id") == F.col("first")).alias("kept"))
+    return spans.select(public("id").alias("doc_id"), "start", "stop", (F.col("high") - F.col("low")).alias("n_bytes"), public("least").alias("first_doc_id"), (F.col("id") == F.col("least")).alias("kept"))
 
 
 def cut_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """docs with the repeated spans that aren't kept cut out of their texts; all columns and rows stay."""
-    spans = repeated_spans(docs, min_span).filter(~F.col("kept"))
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")).withColumnRenamed("doc_id", "__id")
+    """docs with the repeated spans that aren't kept cut out of their texts; all columns and rows stay.
+
+    Each chunk of the texts is left in one document at least."""
+    spans = _joined(_spans(docs, min_span, "doc_id", "text").filter("id <> least"), "id", "row")
+    cuts = spans.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "cuts")
     pieces = F.expr("transform(sequence(0, size(cuts)), i -> substring(text, if(i = 0, 0, element_at(cuts, i).stop) + 1, if(i = size(cuts), length(text), element_at(cuts, i + 1).start) - if(i = 0, 0, element_at(cuts, i).stop)))")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    joined = wide.join(cuts, F.col("id").eqNullSafe(F.col("__id")), "left").withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    joined = wide.join(cuts, (F.col("id") == F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left")
+    joined = joined.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
     return joined.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
