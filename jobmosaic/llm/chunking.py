@@ -4,7 +4,7 @@ A gear hash rolls over the UTF-8 bytes of a text: the last 32 bytes alone decide
 the same passage is cut in the same places wherever it stands and an insertion moves only the chunks it
 touches. What is compared over all documents is the digest of a run: a chunk with as many that follow it as make
 MIN_SPAN bytes. A run that two documents or more have is a repeated passage as it stands. Its keeper is the least
-of these documents: there it is left, and in all others it can go. Runs of one document that overlap and have one
+of these documents: there it is left, and in all others it can go. Runs of one document that overlap or touch and have one
 keeper are one span.
 
 No text is lost by cutting what isn't kept: where a chunk is cut, it also stands in a document of lesser id, and
@@ -163,10 +163,10 @@ _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()
 
 
 def _joined(runs: DataFrame, *keys: str) -> DataFrame:
-    """Runs (start, stop, low, high) that overlap, with the same keys, as one."""
+    """Runs (start, stop, low, high) that overlap or touch, with the same keys, as one."""
     along = Window.partitionBy(*keys).orderBy("start", "stop")
     so_far = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce(F.col("start") >= so_far, F.lit(True)).cast("int")
+    begins = F.coalesce(F.col("start") > so_far, F.lit(True)).cast("int")
     told = runs.withColumn("new", begins).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     return told.groupBy(*keys, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("low").alias("low"), F.max("high").alias("high")).drop("span")
 
