@@ -2,8 +2,8 @@
 
 A gear hash rolls over the UTF-8 bytes of a text: the last 32 bytes alone decide whether a chunk ends, so that
 the same passage is cut in the same places wherever it stands and an insertion moves only the chunks it
-touches. What is compared over all documents is the digest of a run: a chunk with as many that follow it as make
-MIN_SPAN bytes. A run that two documents or more have is a repeated passage as it stands. Its keeper is the least
+touches. What is compared over all documents is the digest of a run (its bytes, and where they are cut): a chunk with
+as many that follow it as make MIN_SPAN bytes. A run that two documents or more have is a repeated passage as it stands. Its keeper is the least
 of these documents: there it is left, and in all others it can go. Runs of one document that overlap or touch and have one
 keeper are one span.
 
@@ -105,6 +105,18 @@ def chunks_of(raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     return joined, numbers[of[ok]], starts[ok], stops[ok]
 
 
+def cut_marks(starts: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """A number for where the chunks heads..tails of a run are cut, told by the sums of the distances from its start and
+    of their squares and cubes, modulo 2**64: equal bytes that are cut elsewhere are another run."""
+    c = starts.astype(np.uint64)
+    s = c[heads]
+    n, one, two, three = (np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)] for x in (np.ones_like(c), c, c * c, c * c * c))
+    n, one, two, three = (x[tails + 1] - x[heads] for x in (n, one, two, three))
+    first, second = one - n * s, two - np.uint64(2) * s * one + n * s * s
+    third = three - np.uint64(3) * s * two + np.uint64(3) * s * s * one - n * s * s * s
+    return first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xBF58476D1CE4E5B9) + third * np.uint64(0x94D049BB133111EB) + n
+
+
 def runs_of(raw: list[bytes], min_span: int = MIN_SPAN):
     """Blocks of (text number, start, stop, first byte, bytes, digest) of all runs; start and stop in code points of the text.
 
@@ -123,10 +135,11 @@ def runs_of(raw: list[bytes], min_span: int = MIN_SPAN):
     origin, base = begins[heads][text], starts[heads][text]
     final = np.searchsorted(stops, starts + min_span)
     whole = np.flatnonzero((final < len(of)) & (of[np.minimum(final, len(of) - 1)] == of))
+    shape = cut_marks(starts, whole, final[whole])
     for low in range(0, len(whole), SLICE_RUNS):
         at = whole[low : low + SLICE_RUNS]
         to = final[at]
-        digests = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts[at].tolist(), stops[to].tolist(), strict=True)]
+        digests = [xxhash.xxh3_64_intdigest(joined[a:b], k) for a, b, k in zip(starts[at].tolist(), stops[to].tolist(), shape[low : low + SLICE_RUNS].tolist(), strict=True)]
         yield of[at], begins[at] - origin[at], ends[to] - origin[at], starts[at] - base[at], stops[to] - starts[at], np.array(digests, np.uint64).view(np.int64)
 
 
