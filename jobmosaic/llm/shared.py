@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table of the shared folder, read back: it cuts lineage and outlives executors."""
+    """df as a Parquet table of the shared folder, read back: it cuts lineage and outlives executors. It is removed by
+    discard, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _STORED:
+        atexit.register(_remove_all)
+    _STORED[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+_STORED: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _STORED.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def _remove_all() -> None:
+    if SparkContext._gateway is None or SparkContext._gateway.proc is None or SparkContext._gateway.proc.poll() is None:
+        for path in list(_STORED):
+            _remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored made and that nothing needs any more."""
+    for table in tables:
+        _remove(table.stored_path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -70,27 +99,28 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     return joined.select(*rows.columns, *[F.coalesce(f"__hot_{v}", f"__val_{v}").alias(v) for v in values])
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) of an undirected graph with long columns a and b; root is the least node of the component.
+def _stars(edges: DataFrame) -> bool:
+    """Whether each v has one u, and no u is a v."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.lit(1).alias("below")), F.struct(F.col("u").alias("node"), F.lit(0).alias("below")))).alias("e")).select("e.*")
+    roles = ends.groupBy("node").agg(F.sum("below").alias("n"), F.min("below").alias("root"))
+    return roles.filter((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("root") == 0))).isEmpty()
 
-    Alternating large-star and small-star rounds of joins and aggregates, each checkpointed in the shared
-    folder, until the edges stay the same. Nothing but two numbers a round comes to the driver."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct())
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40)))).first())
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, root) of an undirected graph with long columns a and b; root is the least node of the component.
 
-    last = mark(edges)
-    while last[0]:
+    Alternating large-star and small-star rounds of joins and aggregates, each stored in the shared folder, until
+    only stars are left. A node with a great share of all edges is looked up by broadcast. Nothing but counts comes
+    to the driver."""
+    edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct(), "component-edges")
+    while not _stars(edges):
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("at"), F.least("m", "v").alias("m"))
-        large = both.join(least, F.col("v") == F.col("at")).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        large = checkpointed(large)
-        down = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "at")
-        small = large.join(down, F.col("v") == F.col("at"))
-        edges = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(down.select(F.col("at").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct()
-        edges = checkpointed(edges)
-        if (now := mark(edges)) == last:
-            break
-        last = now
-    return edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
+        least = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")), "component-least")
+        met = join_classes(both, least, ["v"], "n", both.count(), F.col("u")).filter("u > v")
+        large = stored(met.select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct(), "component-large")
+        down = stored(large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), "component-down")
+        met = join_classes(large, down, ["v"], "n", large.count(), F.col("u"))
+        small = met.select(F.col("u").alias("v"), F.col("m").alias("u")).union(down.select("v", F.col("m").alias("u"))).filter("v <> u").distinct()
+        before, edges = edges, stored(small, "component-edges")
+        discard(before, least, large, down)
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))

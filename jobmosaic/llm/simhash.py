@@ -1,4 +1,4 @@
-"""SimHash near-dedup: 64-bit fingerprints, linked within a Hamming radius by BK-trees over shards.
+"""SimHash near-dedup: fingerprints, linked within a Hamming radius by BK-trees over shards.
 
 A shard holds the distinct fingerprints that agree on some blocks of bits: with radius r and r + 2 blocks, any
 two fingerprints within r bits agree on two blocks at least, so each link lies in a shard. A shard that is
@@ -7,18 +7,20 @@ that owns it and answers its own members; it is sent there by the shuffle, as tr
 with the data. A tree tells which of its fingerprints hang together with one link less than there are members,
 so the links never number more than the fingerprints in the shards.
 
-Texts that share four fifths of their shingles differ in about 10 of 64 bits, where no blocks of so few bits are
-both exact and selective. For a similarity, fingerprints are therefore 512 bits of the distinct shingles, the
-radius is what that similarity leads to, and a shard holds those that agree on one of BANDS bands of 16 bits. An
-overfull one is cut into blocks. Each block is linked alone first, with one member that all blocks share; then
-those outside the shard's largest component meet each other and that component, block by block, so that no pair
-of the shard is left out.
+For a similarity of texts, fingerprints are 512 bits of the distinct shingles, and the radius is what that similarity
+leads to and three standard deviations. Texts that share four fifths of their shingles differ in about 77 of these
+bits, so that no block of them is both equal and rare enough for a shard; shards hold the texts with the same least
+shingle hashes in a band instead. What a tree finds within the radius is a candidate: it becomes a link only if the
+shingle sets themselves are that similar. In each round every member names its nearest candidates of other components;
+links that pass join components, and members with more candidates left name eight times as many in the next round, until
+none has any left. So a group of many similar texts costs about one comparison a text, and no pair is given up.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -27,21 +29,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.shared import connected_components, join_classes, stored
+from jobmosaic.llm.shared import connected_components, discard, join_classes, stored, text_or_empty
 
 SEED = 42
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 15
 #: A shard with more members is dealt out again, or cut into blocks.
-SHARD = 4096
+SHARD = 2048
 #: 64-bit words of a wide fingerprint.
 LANES = 8
-#: Bands of a wide fingerprint.
-BANDS = 40
-#: Shards of so many members or fewer are looked through together for any link before they get trees.
-SIDE_BY_SIDE = 256
+#: Bands of least hashes of a text, and how many are in each: at a similarity of 0.8, 6 in 10,000 pairs share no band.
+BANDS, BAND_ROWS = 14, 4
 #: Rows of bits that are summed in single bytes.
 BYTE_SUMS = 255
+#: Candidates that each member names in the next round, times those of the last.
+MORE = 8
+#: Candidates of a shard that are held before only the nearest are kept.
+HELD = 1 << 20
+#: A text that more candidates name is compared in several tasks.
+HOT_PARTNER = 512
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingle_hashes(text: str | None, words: int) -> tuple[Iterator[int], int]:
@@ -65,25 +72,42 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def wide_fingerprint(text: str | None, words: int, lanes: int = LANES) -> bytes:
-    """64 bits a lane, of the distinct shingles; each lane mixes the shingles' hashes in its own way."""
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the shingles, each once, sorted."""
     hashed, total = shingle_hashes(text, words)
-    distinct = np.unique(np.fromiter(hashed, np.uint64, total))
+    return np.unique(np.fromiter(hashed, np.uint64, total))
+
+
+def wide_fingerprint(distinct: np.ndarray, lanes: int = LANES) -> bytes:
+    """64 bits a lane; each lane mixes the shingles' hashes in its own way."""
     ones = np.zeros(64 * lanes, np.int64)
-    own = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.arange(1, lanes + 1, dtype=np.uint64) * _MIX[0]
     for low in range(0, len(distinct), BYTE_SUMS):
         mixed = distinct[low : low + BYTE_SUMS, None] + own
-        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * _MIX[1]
+        mixed = (mixed ^ mixed >> np.uint64(27)) * _MIX[2]
         mixed ^= mixed >> np.uint64(31)
         ones += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
     return np.packbits(2 * ones > len(distinct)).tobytes()
 
 
+def band_keys(distinct: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A number for each band: a hash of the least values of the shingles' hashes under some mixing functions."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    own = np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX[0]
+    for low in range(0, len(distinct), SLICE // 32):
+        mixed = (distinct[low : low + SLICE // 32, None] + own) * _MIX[1]
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * _MIX[2]).min(0))
+    raw = least.astype("<u8").tobytes()
+    size = 8 * rows
+    return np.array([xxhash.xxh3_64_intdigest(raw[size * i : size * (i + 1)], i) for i in range(bands)], np.uint64).view(np.int64)
+
+
 def wide_radius(similarity: float, bits: int = 64 * LANES) -> int:
-    """Bits in which texts whose shingles have that Jaccard similarity differ, and one standard deviation."""
+    """Bits in which texts whose shingles have that Jaccard similarity differ, and three standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def fingerprints(docs: DataFrame, mark: Callable, kind: pa.DataType, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,97 +128,148 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def tree_links(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of rows of marks (distinct fingerprints, unsigned words) that span the components of "within radius",
-    by one BK-tree.
+@dataclass
+class Tree:
+    """A BK-tree over rows of marks (distinct fingerprints, unsigned words): order holds the rows node by node, each
+    followed by all below it; last is where that ends, edges are (distance, place in order) of the children."""
 
-    The tree is built from the root down: children are keyed by their distance to the node. All members are
-    asked at once; those at distance d from a node follow only the edges from d - radius to d + radius. Below a
-    node whose members hang together already, those of the same component needn't ask any more."""
-    links = []
-    component = np.arange(len(marks))
-    stack = [(component.copy(), component.copy())]
+    marks: np.ndarray
+    order: np.ndarray
+    last: list[int]
+    edges: list[list[tuple[int, int]]]
+
+
+def build_tree(marks: np.ndarray) -> Tree:
+    """From the root down: the members of a node but its first are its children's, dealt by their distance to the first."""
+    order = np.arange(len(marks))
+    last, edges = [0] * len(marks), [[] for _ in range(len(marks))]
+    stack = [(0, len(marks))] if len(marks) else []
     while stack:
-        members, asking = stack.pop()
-        own = component[members]
+        low, high = stack.pop()
+        last[low] = high
+        if high - low == 1:
+            continue
+        below = order[low + 1 : high]
+        far = distance(marks[below], marks[order[low]])
+        rank = np.argsort(far, kind="stable")
+        order[low + 1 : high] = below[rank]
+        cuts = [0, *(np.flatnonzero(np.diff(far[rank])) + 1).tolist(), high - low - 1]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            edges[low].append((int(far[rank[a]]), low + 1 + a))
+            stack.append((low + 1 + a, low + 1 + b))
+    return Tree(marks, order, last, edges)
+
+
+def ask(tree: Tree, component: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows, distances): for each node, the members of other components within the radius of it.
+
+    All members ask at once; those at distance d from a node follow only the edges from d - radius to d + radius.
+    Where all below a node are of one component, those of that component don't ask any more. component may change
+    in between."""
+    stack = [(0, np.arange(len(tree.order)))] if len(tree.order) else []
+    while stack:
+        at, asking = stack.pop()
+        own = component[tree.order[at : tree.last[at]]]
         if (own == own[0]).all():
             asking = asking[component[asking] != own[0]]
             if not len(asking):
                 continue
-        node = members[0]
-        far = distance(marks[asking], marks[node])
-        near = asking[far <= radius]
-        found, first = np.unique(component[near], return_index=True)
-        other = found != component[node]
-        if other.any():
-            links += [(int(node), int(x)) for x in near[first[other]]]
-            merged = np.append(found, component[node])
-            component[np.isin(component, merged)] = merged.min()
-        below = members[1:]
-        if not len(below):
-            continue
-        edges = distance(marks[below], marks[node])
-        order = np.argsort(edges, kind="stable")
-        cuts = np.flatnonzero(np.diff(edges[order])) + 1
-        for bucket in np.split(order, cuts):
-            edge = edges[bucket[0]]
+        node = int(tree.order[at])
+        far = distance(tree.marks[asking], tree.marks[node])
+        near = (far <= radius) & (component[asking] != component[node])
+        if near.any():
+            yield node, asking[near], far[near]
+        for edge, child in tree.edges[at]:
             follow = asking[(far >= edge - radius) & (far <= edge + radius)]
             if len(follow):
-                stack.append((below[bucket], follow))
-    return links
-
+                stack.append((child, follow))
 
-def shards_with_links(marks: np.ndarray, cuts: list[int], radius: int) -> list[tuple[int, int]]:
-    """The shards (ranges of rows between cuts) that need a tree: those with two rows within the radius, and those
-    of more than SIDE_BY_SIDE rows. Rows 1, 2, ... places apart are compared for all small shards at once."""
-    sizes = np.diff(cuts)
-    shard = np.repeat(np.arange(len(sizes)), sizes)
-    wanted = sizes > SIDE_BY_SIDE
-    at, apart = np.flatnonzero(~wanted[shard]), 1
-    while len(at):
-        at = at[at + apart < len(shard)]
-        at = at[(shard[at] == shard[at + apart]) & ~wanted[shard[at]]]
-        wanted[shard[at[distance(marks[at], marks[at + apart]) <= radius]]] = True
-        apart += 1
-    return [(cuts[i], cuts[i + 1]) for i in np.flatnonzero(wanted).tolist()]
 
+def tree_links(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of rows of marks that span the components of "within radius"."""
+    links = []
+    component = np.arange(len(marks))
+    for node, near, _ in ask(build_tree(marks), component, radius):
+        found, first = np.unique(component[near], return_index=True)
+        links += [(node, int(x)) for x in near[first]]
+        merged = np.append(found, component[node])
+        component[np.isin(component, merged)] = merged.min()
+    return links
 
-def solve_shards(owned: DataFrame, radius: int, words_of: Callable) -> DataFrame:
-    """(a, b): links of each shard; owned (key, part, node, fp) lies and is sorted by key and part."""
-    names = ["key", "part", "node"]
 
-    def links(node: np.ndarray, marks: np.ndarray, cuts: list[int]) -> list[tuple[int, int]]:
-        return [(int(node[low + a]), int(node[low + b])) for low, high in shards_with_links(marks, cuts, radius) for a, b in tree_links(marks[low:high], radius)]
+def nearest(marks: np.ndarray, sizes: np.ndarray, component: np.ndarray, radius: int, share: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(asking row, row, whether any row has more): the most nearest rows of other components within the radius, for each row.
+
+    Sets whose sizes differ by more than the share can't be that similar; they are left out."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count, more = 0, False
+
+    def keep() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal more
+        who, to, far = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+        rank = np.lexsort((to, far, who))
+        who, to, far = who[rank], to[rank], far[rank]
+        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+        place = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+        more = more or bool((place >= most).any())
+        return tuple(x[place < most] for x in (who, to, far))
+
+    for node, near, far in ask(build_tree(marks), component, radius):
+        low, high = np.minimum(sizes[near], sizes[node]), np.maximum(sizes[near], sizes[node])
+        fits = low >= share * high
+        held.append((near[fits], np.full(int(fits.sum()), node), far[fits]))
+        count += int(fits.sum())
+        if count > HELD:
+            held = [keep()]
+            count = len(held[0][0])
+    who, to, _ = keep()
+    return who, to, more
+
+
+def by_shard(owned: DataFrame, names: list[str], solve: Callable, out: str) -> DataFrame:
+    """solve's columns for each shard; owned lies and is sorted by key and part. solve: arrays of names (fp: words) to a list of columns."""
+    kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split(" ") for f in out.split(", ")]
+
+    def found(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    def read(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        column = batch.column(name)
+        if pa.types.is_binary(column.type):
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        values = column.to_numpy(zero_copy_only=False)
+        return values.view(np.uint64)[:, None] if name == "fp" else values
 
     def run(batches):
-        kept, parts = None, []
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
             if not len(batch):
                 continue
-            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in names] + [words_of(batch.column("fp"))]
-            parts.append(now)
-            if kept is not None and now[0][-1] == kept[0] and now[1][-1] == kept[1]:
+            parts.append([read(batch, n) for n in ("key", "part", *names)])
+            last, first = parts[-1], parts[0]
+            if len(parts) > 1 and last[0][-1] == first[0][-1] and last[1][-1] == first[1][-1]:
                 continue  # all of it belongs to the shard that is being read
-            key, part, node, marks = (np.concatenate(x) for x in zip(*parts, strict=True))
-            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
-            if found := links(node, marks, starts):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-            last = starts[-1]  # the last shard may go on in the next batch
-            parts, kept = [[x[last:] for x in (key, part, node, marks)]], (key[last], part[last])
-        if parts:
-            node, marks = (np.concatenate(x) for x in list(zip(*parts, strict=True))[2:])
-            if found := links(node, marks, [0, len(node)]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            starts = [0, *(np.flatnonzero((whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])) + 1).tolist()]
+            done = [solve(*[x[low:high] for x in whole[2:]]) for low, high in zip(starts, starts[1:], strict=False) if high - low > 1]
+            if done:
+                yield found([np.concatenate(x) for x in zip(*done, strict=True)])
+            parts = [[x[starts[-1] :] for x in whole]]  # the last shard may go on in the next batch
+        if parts and sum(len(x[0]) for x in parts) > 1:
+            yield found(solve(*[np.concatenate(x) for x in list(zip(*parts, strict=True))[2:]]))
 
-    return owned.mapInArrow(run, "a long, b long")
+    return owned.mapInArrow(run, out)
 
 
-def _narrow_words(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+def solve_shards(owned: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of each shard; owned (key, part, node, fp) lies and is sorted by key and part."""
 
+    def solve(node: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
+        at = np.array(tree_links(marks, radius), np.int64).reshape(-1, 2)
+        return [node[at[:, 0]], node[at[:, 1]]]
 
-def _wide_words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    return by_shard(owned, ["node", "fp"], solve, "a long, b long")
 
 
 def _bits(name: str, low: int, width: int):
@@ -235,12 +310,7 @@ def links_within(distinct: DataFrame, radius: int, shard: int = SHARD) -> DataFr
         finer = F.when(F.shiftrightunsigned("key", 48) == number, F.array(*keys)).otherwise(finer)
     dealt = members.select("fp", "key", F.explode(F.when(F.col("n") <= shard, F.array(F.lit(0).cast("long"))).otherwise(finer)).alias("part"))
     owned = dealt.select("key", "part", F.col("fp").alias("node"), "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return solve_shards(owned, radius, _narrow_words)
-
-
-def _bands(low: int, high: int, size: int = 8 * LANES) -> list[tuple[int, int]]:
-    """Pairs of bytes: neighbours first, then, round by round, those 3, 5, 7, ... apart."""
-    return [(2 * i % size, (2 * i + 1 + 2 * (2 * i // size)) % size) for i in range(low, high)]
+    return solve_shards(owned, radius)
 
 
 def _blocks(rows, shard: int):
@@ -252,41 +322,114 @@ def _part(i, j):
     return F.shiftleft(i, 31).bitwiseOR(j)
 
 
-def wide_links(classes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """(a, b): links that span what hangs together of the nodes of classes (node, fp binary, distinct) by pairs that
-    agree on a band and lie within the radius, whatever the size of a shard.
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(node, hashes): the distinct shingles of the texts of wanted (node, id, mark, kind), as bytes of sorted numbers."""
+    texts = docs.select(F.col(doc_id).alias("own"), F.xxhash64(text_or_empty(text)).alias("own_mark"), F.col(text).cast("string").alias("text"))
+    found = wanted.join(texts, (F.col("mark") == F.col("own_mark")) & F.col("id").eqNullSafe(F.col("own"))).select("node", "kind", "text")
 
-    Pairs that no band brings together are missed: 1 in 20 at a similarity of 0.8, fewer above."""
-    key = F.array(*[F.xxhash64(F.lit(i), *[F.substring("fp", b + 1, 1) for b in band]) for i, band in enumerate(_bands(0, BANDS))])
-    rows = classes.select("node", "fp", F.explode(key).alias("key"))
-    solved = lambda owned: solve_shards(owned.select("key", "part", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "node"), radius, _wide_words)
-    block = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
-    full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
-    full = stored(full.select(F.col("key").alias("of"), _blocks(F.col("n"), shard).alias("blocks")), "simhash-full")
-    if full.isEmpty():
-        return solved(rows.withColumn("part", F.lit(0).cast("long")))
+    def run(batches):
+        for batch in batches:
+            sets = [distinct_shingles(t.as_py(), words) for t in batch.column("text")]
+            right = [_kind(s) == k.as_py() for s, k in zip(sets, batch.column("kind"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(right, pa.bool_())), pa.array([s.astype("<u8").tobytes() for s, r in zip(sets, right, strict=True) if r], pa.binary())], names=["node", "hashes"])
+
+    return found.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def _kind(distinct: np.ndarray) -> bytes:
+    """What tells a set of shingles from all others."""
+    return xxhash.xxh3_128_digest(distinct.astype("<u8").tobytes())
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets have that Jaccard similarity. A set that many pairs ask for goes to several tasks."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    asked = stored(asked.select("of", F.ceil(F.col("n") / HOT_PARTNER).alias("copies")), "simhash-asked")
+    hot = asked.filter("copies > 1")
+    total = asked.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    dealt = sets.join(asked, F.col("node") == F.col("of")).select("node", "hashes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    for name in ("a", "b"):
+        counted = join_classes(pairs, hot.withColumnRenamed("of", name).withColumnRenamed("copies", "of_copies"), [name], "of_copies", total, F.struct("a", "b"))
+        salted = counted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("of_copies")), F.lit(0).cast("long"))).drop("of_copies")
+        own = dealt.select(F.col("node").alias(f"at_{name}"), F.col("hashes").alias(f"set_{name}"), F.col("copy").alias(f"copy_{name}"))
+        pairs = salted.join(own, (F.col(name) == F.col(f"at_{name}")) & (F.col("salt") == F.col(f"copy_{name}"))).drop("salt", f"at_{name}", f"copy_{name}")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
-    # each block of an overfull shard alone, with a member of the shard that all its blocks have
+
+def _parts_across(members: DataFrame, shard: int) -> DataFrame:
+    """Overfull shards whose members don't all hang together: those outside the largest component meet each other and that
+    component, block by block."""
     zero = F.lit(0).cast("long")
-    alone = rows.join(full, F.col("key") == F.col("of"), "left").withColumn("part", F.coalesce(block(F.col("blocks")), zero))
-    hubs = rows.join(full, F.col("key") == F.col("of")).groupBy("key", "blocks").agg(F.min(F.struct(F.xxhash64("node", "key").alias("at"), "node", "fp")).alias("hub"))
-    hubs = hubs.select("key", "blocks", "hub.node", "hub.fp", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("part")).filter(F.col("part") != block(F.col("blocks")))
-    first = stored(solved(alone.select("key", "part", "node", "fp").union(hubs.select("key", "part", "node", "fp"))), "simhash-first")
-
-    # what hangs together needn't be compared again: only those outside the largest component of the shard, with each other and with it
-    roots = stored(connected_components(first), "simhash-first-roots").withColumnRenamed("node", "rooted")
-    members = rows.join(full.select("of"), F.col("key") == F.col("of")).drop("of").join(roots, F.col("node") == F.col("rooted"), "left")
-    members = stored(members.select("node", "fp", "key", F.coalesce("root", "node").alias("root")), "simhash-members")
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).filter(F.col("n") > F.col("most.n"))
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.filter(F.col("n") > F.col("most.n"))
     sizes = stored(sizes.select(F.col("key").alias("of"), F.col("most.root").alias("largest"), _blocks(F.col("most.n"), shard).alias("inner"), _blocks(F.col("n") - F.col("most.n"), shard).alias("outer")), "simhash-sizes")
     open_ = members.join(sizes, F.col("key") == F.col("of"))
+    block = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
     upto = lambda blocks, part: F.transform(F.sequence(zero, F.col(blocks) - 1), part)
     own = block(F.col("outer"))
     outside = F.concat(upto("outer", lambda j: _part(F.least(own, j), F.greatest(own, j))), upto("inner", lambda j: _part(own, F.col("outer") + j)))
     inside = upto("outer", lambda i: _part(i, F.col("outer") + block(F.col("inner"))))
-    again = open_.select("node", "fp", "key", F.explode(F.when(F.col("root") == F.col("largest"), inside).otherwise(outside)).alias("part"))
-    return first.union(solved(again))
+    return open_.select("key", F.explode(F.when(F.col("root") == F.col("largest"), inside).otherwise(outside)).alias("part"), "node", "fp", "size", "root")
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame | None:
+    """(node, root) of what hangs together by pairs that share a band and have the similarity; None if there is nothing.
+
+    classes: node, fp, keys, size, kind, and id and mark of a document; one row for each set of shingles."""
+    radius = wide_radius(similarity)
+    rows = classes.select("node", F.explode("keys").alias("key")).distinct()
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "of")
+    members = rows.join(shared, F.col("key") == F.col("of")).select("node", "key", "n")
+    slim = classes.select(F.col("node").alias("at"), "fp", "size", "id", "mark", "kind")
+    members = stored(members.join(slim, F.col("node") == F.col("at")).drop("at"), "simhash-members")
+    sets = stored(shingle_sets(docs, members.select("node", "id", "mark", "kind").distinct(), words, doc_id, text), "simhash-sets")
+
+    def solve(node: np.ndarray, marks: np.ndarray, sizes: np.ndarray, root: np.ndarray, most: int) -> list[np.ndarray]:
+        who, to, more = nearest(marks, sizes, root, radius, similarity, most)
+        return [node[who], node[to], np.full(len(who), more)]
+
+    links, roots = None, None
+    for across in (False, True):
+        most = 1
+        while True:
+            rooted = members.select("node", "key", "n", "fp", "size")
+            if across:
+                rooted = rooted.filter(F.col("n") > shard)
+            if roots is not None:
+                rooted = rooted.join(roots.withColumnRenamed("node", "rooted"), F.col("node") == F.col("rooted"), "left").withColumn("root", F.coalesce("root", "node")).drop("rooted")
+            else:
+                rooted = rooted.withColumn("root", F.col("node"))
+            if across:
+                open_ = _parts_across(rooted, shard)
+            else:
+                apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("of"))
+                part = F.when(F.col("n") > shard, F.pmod(F.xxhash64("node"), _blocks(F.col("n"), shard))).otherwise(F.lit(0).cast("long"))
+                open_ = rooted.join(apart, F.col("key") == F.col("of")).withColumn("part", part)
+            owned = open_.select("key", "part", "node", "fp", "size", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+            found = stored(by_shard(owned, ["node", "fp", "size", "root"], lambda *x, most=most: solve(*x, most), "a long, b long, more boolean"), "simhash-candidates")
+            left = found.agg(F.count(F.lit(1)), F.max("more")).first()
+            if not left[0]:
+                break
+            good = stored(similar_pairs(found.select("a", "b"), sets, similarity), "simhash-links")
+            links = good if links is None else links.union(good)
+            roots = connected_components(links)
+            discard(found)
+            if not left[1]:
+                break
+            most *= MORE
+    return roots
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
@@ -303,21 +446,42 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id:
     return found.select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
+def wide_marks(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, mark, kind, fp, size, keys) for each row: hash of the text, what tells its set of shingles, the wide fingerprint, how many shingles, bands."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("mark"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            sets = [distinct_shingles(t.as_py(), words) for t in batch.column("text")]
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            columns = [pa.array([_kind(s) for s in sets], pa.binary()), pa.array([wide_fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], names=["id", "mark", "kind", "fp", "size", "keys"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark long, kind binary, fp binary, size long, keys array<long>")
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of docs, by wide fingerprints of the distinct shingles.
+    """(doc_id, fp, component_id), one row for each row of docs: what hangs together by links of that Jaccard similarity of the distinct shingles.
 
-    Links join texts of at least that Jaccard similarity, as far as 512 bits tell it. Nulls, empty texts,
-    repeated rows and other columns: as in simhash_components."""
-    marks = stored(fingerprints(docs, lambda x: wide_fingerprint(x, words), pa.binary(), doc_id, text), "simhash-marks")
-    classes = marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")
-    roots = connected_components(stored(wide_links(classes.select("node", "fp"), wide_radius(similarity), shard), "simhash-links"))
-    return _components(marks, classes, roots).select(F.col("id").alias(doc_id), "fp", "component_id")
+    Each link was checked on the sets of shingles; a pair that shares no band of least hashes, or is beyond the
+    radius, is no link of its own. Texts with the same set of shingles are one class; texts without any are too.
+    Nulls, repeated rows and other columns: as in simhash_components."""
+    marks = stored(wide_marks(docs, words, doc_id, text), "simhash-marks")
+    classes = marks.groupBy("kind").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "mark")).alias("one"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    classes = stored(classes.select("*", "one.id", "one.mark", F.monotonically_increasing_id().alias("node")).drop("one"), "simhash-classes")
+    roots = similar_links(classes, docs, words, similarity, doc_id, text, shard)
+    named = _components(marks.select("id", F.col("kind").alias("fp")), classes.select(F.col("kind").alias("fp"), "least", F.col("members").alias("size"), "node"), roots)
+    return named.select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
-def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """marks (id, fp) with component_id; classes: fp, least, size, node; roots: (node, root) of the nodes with links."""
-    rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+    if roots is None:
+        rooted = classes.withColumn("root", F.col("node"))
+    else:
+        rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     linked = stored(rooted.select("fp", "least", "size", "root"), "simhash-roots")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     named = linked.join(least, F.col("root") == F.col("of")).select("fp", "size", "component_id")

@@ -8,8 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from jobmosaic.llm.co_training import score_quality
-from jobmosaic.llm.simhash import wide_radius
-from test_simhash import components, slow_wide, wide_linked
+from test_simhash import alike
 from test_source_mix import brute_targets
 
 
@@ -33,9 +32,7 @@ def test_stages_against_brute_force(spark):
         least[key] = min(least.get(key, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in rows[1]) == sorted(least.values())
 
-    ids = [r.doc_id for r in rows[1]]
-    named = components(ids, [slow_wide(r.text) for r in rows[1]], wide_radius(0.8), wide_linked)
-    assert sorted(r.doc_id for r in rows[2]) == sorted(set(named.values()))
+    assert sorted(r.doc_id for r in rows[2]) == sorted(set(alike({r.doc_id: r.text for r in rows[1]}).values()))
 
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows[2]}
     source = {r.doc_id: r.source for r in rows[2]}

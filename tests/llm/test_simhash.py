@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.simhash import drop_near_copies, fingerprint, links_within, shards_with_links, similar_components, simhash_components, tree_links, wide_fingerprint, wide_links, wide_radius
+from jobmosaic.llm.simhash import BANDS, ask, band_keys, build_tree, distinct_shingles, drop_near_copies, fingerprint, links_within, nearest, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
 
 
 def slow_shingles(text, words):
@@ -31,14 +31,6 @@ def slow_wide(text, words=5):
     return value
 
 
-def wide_linked(a, b, radius):
-    """Within the radius, and equal in one of 32 pairs of neighbouring bytes or of 8 pairs of bytes three apart."""
-    if bin(a ^ b).count("1") > radius:
-        return False
-    x = (a ^ b).to_bytes(64, "big")
-    return any(not x[2 * i] and not x[2 * i + 1] for i in range(32)) or any(not x[2 * i] and not x[2 * i + 3] for i in range(8))
-
-
 def slow_fingerprint(text, words=3):
     shingles = slow_shingles(text, words)
     if not shingles:
@@ -89,19 +81,29 @@ def test_tree_spans_components():
     assert dict(enumerate(got)) == want
 
 
-def test_shards_with_links():
+def test_tree_is_keyed_by_distance_and_finds_all(spark):
     rng = random.Random(8)
-    cuts, values, want = [0], [], []
-    for k in range(60):
-        own = [rng.getrandbits(64) for _ in range(rng.choice([1, 2, 3, 9, 300]))]
-        if k % 3 == 0 and len(own) > 1:
-            own[-1] = own[0] ^ 5
-        values += own
-        cuts.append(len(values))
-        if len(own) > 256 or (k % 3 == 0 and len(own) > 1):
-            want.append((cuts[-2], cuts[-1]))
-    assert shards_with_links(np.array(values, np.uint64)[:, None], cuts, 2) == want
-    assert shards_with_links(np.zeros((0, 1), np.uint64), [0], 2) == []
+    base = [rng.getrandbits(512) for _ in range(4)]
+    values = list({rng.choice(base) ^ sum(1 << rng.randrange(512) for _ in range(rng.randrange(90))) for _ in range(300)})
+    marks = np.frombuffer(b"".join(v.to_bytes(64, "little") for v in values), np.uint64).reshape(len(values), 8)
+    far = lambda a, b: bin(values[a] ^ values[b]).count("1")
+    tree = build_tree(marks)
+    assert sorted(tree.order.tolist()) == list(range(len(values)))
+    for at, edges in enumerate(tree.edges):
+        assert len({e for e, _ in edges}) == len(edges) and sum(tree.last[c] - c for _, c in edges) == tree.last[at] - at - 1
+        assert all(far(tree.order[at], x) == e for e, c in edges for x in tree.order[c : tree.last[c]])
+    radius = 60
+    own = np.array([i % 7 for i in range(len(values))])
+    got = {(int(q), n): int(d) for n, near, ds in ask(tree, own, radius) for q, d in zip(near, ds, strict=True)}
+    assert got == {(a, b): far(a, b) for a in range(len(values)) for b in range(len(values)) if own[a] != own[b] and far(a, b) <= radius}
+    for most in (1, 3, 1000):
+        who, to, more = nearest(marks, np.full(len(values), 10), own, radius, 0.8, most)
+        want = []
+        for a in range(len(values)):
+            found = sorted((d, b) for (q, b), d in got.items() if q == a)
+            want += [(a, b) for _, b in found[:most]]
+        assert list(zip(who.tolist(), to.tolist(), strict=True)) == want and more == (most < 1000)
+    assert len(nearest(marks, np.array([10 ** (i % 2) for i in range(len(values))]), np.arange(len(values)) % 2, radius, 0.8, 5)[0]) == 0
 
 
 def edited(rng, words, share):
@@ -120,47 +122,67 @@ def similarity(a, b):
 def test_wide_fingerprint():
     rng = random.Random(2)
     for text in [None, "", " \n", "One", "a b", "A b\tC d", "Größe   a b c d e f g h", "a b c " * 50, " ".join(str(rng.random()) for _ in range(600))]:
-        assert int.from_bytes(wide_fingerprint(text, 5), "big") == slow_wide(text)
+        assert int.from_bytes(wide_fingerprint(distinct_shingles(text, 5)), "big") == slow_wide(text)
+
+
+def alike(texts, least=0.8):
+    """Component of each text by all pairs of that similarity of the shingle sets; texts without words are all one."""
+    sets = [set(slow_shingles(t, 5)) for t in texts.values()]
+    linked = lambda a, b, _: len(a & b) >= least * len(a | b)
+    return components(list(texts), sets, None, linked)
+
+
+def named(spark, texts, **more):
+    return {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **more).collect()}
+
+
+def test_bands_find_pairs(spark):
+    rng = random.Random(12)
+    for least, share in ((0.8, 0.99), (0.9, 1.0)):
+        hits = total = 0
+        while total < 300:
+            words = [str(rng.randrange(5000)) for _ in range(rng.randrange(150, 400))]
+            a, b = " ".join(words), " ".join(edited(rng, words, rng.uniform(0.05, 0.12) if least == 0.8 else 0.05))
+            if least <= similarity(a, b) < least + 0.02:
+                x, y = (band_keys(distinct_shingles(t, 5)) for t in (a, b))
+                total += 1
+                hits += bool((x == y).any())
+        assert len(x) == BANDS and hits >= share * total
 
 
 def test_similar_texts_against_all_pairs(spark):
+    """Precision and recall by similarity: pairs made at 0.7 to 1, groups whose ends are less similar, copies and odd ones."""
     rng = random.Random(4)
-    rows, pairs = [(9000, None), (9001, ""), (9002, "word"), (9003, "word")], []
-    for k in range(150):
+    texts, at = {9000: None, 9001: "", 9002: "word", 9003: "word", 9004: "Word", 9005: "two words", 9006: "word " * 30}, 0
+    for k in range(120):
         words = [str(rng.randrange(5000)) for _ in range(rng.randrange(150, 400))]
-        texts = " ".join(words), " ".join(edited(rng, words, rng.uniform(0.01, 0.2)))
-        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
-        pairs.append((2 * k, similarity(*texts)))
-    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == components([r[0] for r in rows], [slow_wide(t) for _, t in rows], wide_radius(0.8), wide_linked)
-    close = [a for a, alike in pairs if alike >= 0.8]
-    assert len(close) > 50 and sum(got[a + 1] == a for a in close) >= 0.9 * len(close)
-    assert got[9001] == 9000 and got[9003] == 9002 and all(got[a] == a for a, _ in pairs)
+        for n in range(2 + 6 * (k % 20 == 0)):
+            texts[at] = " ".join(edited(rng, words, rng.uniform(0.01, 0.14)) if n else words)
+            at += 1
+    want, got = alike(texts), named(spark, texts)
+    assert got == want and want[9001] == 9000 and want[9004] == want[9003] == 9002 and 50 < len(set(want.values())) < 0.8 * len(texts)
 
 
-def test_overfull_shards_of_similar_texts(spark):
-    rng = random.Random(6)
-    words = [str(rng.randrange(5000)) for _ in range(300)]
-    rows = [(k, " ".join(edited(rng, words, 0.05))) for k in range(80)] + [(100 + k, " ".join(str(rng.random()) for _ in range(50))) for k in range(40)]
-    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shard=8).collect()}
-    assert all(got[d] == (0 if d < 80 else d) for d, _ in rows)
+def test_given_texts_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, got = alike(dict(docs.select("doc_id", "text").collect())), {r.doc_id: r.component_id for r in similar_components(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want) - 50
 
 
-def test_overfull_wide_shards_lose_no_link(spark):
+def test_overfull_shards_lose_no_link(spark):
+    """Families of variants of one text: near it, but under 0.8 to each other, or in chains; shards are cut into blocks of four."""
     rng = random.Random(7)
-    marks = []
-    for family, flips, size in ((1, 20, 150), (2, 52, 150), (3, 42, 60)):
-        base = random.Random(family).getrandbits(512)
-        marks += [base ^ sum(1 << b for b in rng.sample(range(512), flips + rng.randrange(6))) for _ in range(size)]
-    ids = list(range(len(marks)))
-    classes = spark.createDataFrame([(i, m.to_bytes(64, "big")) for i, m in enumerate(marks)], "node long, fp binary")
-    want = components(ids, marks, wide_radius(0.8), wide_linked)
-    got = list(ids)
-    links = [(r.a, r.b) for r in wide_links(classes, wide_radius(0.8), shard=8).collect()]
-    for _ in ids:
-        for a, b in links:
-            got[a] = got[b] = min(got[a], got[b])
-    assert dict(enumerate(got)) == want and 10 < len(set(want.values())) < 300
+    texts = {}
+    for family, (share, size) in enumerate([(0.05, 30), (0.09, 30), (0.12, 20)]):
+        words = [str(rng.randrange(5000)) for _ in range(300)]
+        for n in range(size):
+            texts[1000 * family + n] = " ".join(edited(rng, words, share if n else 0))
+    for n in range(12):
+        texts[5000 + n] = " ".join(edited(rng, texts[4999 + n].split() if n else [str(rng.randrange(5000)) for _ in range(300)], 0.1))
+    texts |= {9000 + k: " ".join(str(rng.random()) for _ in range(50)) for k in range(40)}
+    want = alike(texts)
+    assert 43 < len(set(want.values())) < 75 and want[5011] == 5000
+    assert named(spark, texts, shard=8) == want
 
 
 def test_large_shards_lose_no_link(spark):
