@@ -11,9 +11,10 @@ For a similarity of texts, fingerprints are 512 bits of the distinct shingles, a
 leads to and three standard deviations. Texts that share four fifths of their shingles differ in about 77 of these
 bits, so that no block of them is both equal and rare enough for a shard; shards hold the texts with the same least
 shingle hashes in a band instead. What a tree finds within the radius is a candidate: it becomes a link only if the
-shingle sets themselves are that similar. In each round every member names its nearest candidates of other components;
-links that pass join components, and members with more candidates left name eight times as many in the next round, until
-none has any left. So a group of many similar texts costs about one comparison a text, and no pair is given up.
+shingle sets themselves are that similar. First every member is compared with its nearest candidate, which joins most
+of what belongs together. Then the shards that still hold several components get the shingle sets of their members, and
+the task that owns the tree compares all candidates of different components, each pair in the first shard it shares, and
+joins components as it goes. So no pair is given up, and links never number more than members.
 """
 
 from __future__ import annotations
@@ -42,10 +43,6 @@ LANES = 8
 BANDS, BAND_ROWS = 14, 4
 #: Rows of bits that are summed in single bytes.
 BYTE_SUMS = 255
-#: Candidates that each member names in the next round, times those of the last.
-MORE = 8
-#: Candidates of a shard that are held before only the nearest are kept.
-HELD = 1 << 20
 #: A text that more candidates name is compared in several tasks.
 HOT_PARTNER = 512
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -197,33 +194,41 @@ def tree_links(marks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def nearest(marks: np.ndarray, sizes: np.ndarray, component: np.ndarray, radius: int, share: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(asking row, row, whether any row has more): the most nearest rows of other components within the radius, for each row.
+def nearest(marks: np.ndarray, sizes: np.ndarray, component: np.ndarray, radius: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(asking row, row): the nearest row of another component within the radius, for each row that has one.
 
     Sets whose sizes differ by more than the share can't be that similar; they are left out."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    count, more = 0, False
-
-    def keep() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal more
-        who, to, far = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-        rank = np.lexsort((to, far, who))
-        who, to, far = who[rank], to[rank], far[rank]
-        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
-        place = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
-        more = more or bool((place >= most).any())
-        return tuple(x[place < most] for x in (who, to, far))
+    best, to = np.full(len(marks), np.iinfo(np.int64).max), np.full(len(marks), -1)
+    for node, near, far in ask(build_tree(marks), component, radius):
+        closer = _sizes_fit(sizes[near], sizes[node], share) & (far < best[near])
+        best[near[closer]], to[near[closer]] = far[closer], node
+    who = np.flatnonzero(to >= 0)
+    return who, to[who]
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    return np.minimum(a, b) >= share * np.maximum(a, b)
+
 
+def as_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets (sorted numbers of 64 bits) have that Jaccard similarity."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def checked_links(marks: np.ndarray, sizes: np.ndarray, root: np.ndarray, keys: np.ndarray, band: int, sets: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows that span what hangs together, over the given components, by candidates whose sets are similar; a
+    pair that shares an earlier band is left to that band's shard."""
+    links = []
+    component = np.unique(root, return_inverse=True)[1]
     for node, near, far in ask(build_tree(marks), component, radius):
-        low, high = np.minimum(sizes[near], sizes[node]), np.maximum(sizes[near], sizes[node])
-        fits = low >= share * high
-        held.append((near[fits], np.full(int(fits.sum()), node), far[fits]))
-        count += int(fits.sum())
-        if count > HELD:
-            held = [keep()]
-            count = len(held[0][0])
-    who, to, _ = keep()
-    return who, to, more
+        mine = _sizes_fit(sizes[near], sizes[node], similarity) & ~(keys[near, :band] == keys[node, :band]).any(1)
+        for x in near[mine][np.argsort(far[mine], kind="stable")].tolist():
+            if component[x] != component[node] and as_similar(sets[x], sets[node], similarity):
+                links.append((node, x))
+                component[component == component[x]] = component[node]
+    return links
 
 
 def by_shard(owned: DataFrame, names: list[str], solve: Callable, out: str) -> DataFrame:
@@ -236,6 +241,10 @@ def by_shard(owned: DataFrame, names: list[str], solve: Callable, out: str) -> D
 
     def read(batch: pa.RecordBatch, name: str) -> np.ndarray:
         column = batch.column(name)
+        if name == "hashes":
+            return np.array([*column.to_pylist(), None], object)[:-1]
+        if name == "keys":
+            return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
         if pa.types.is_binary(column.type):
             return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
         values = column.to_numpy(zero_copy_only=False)
@@ -357,12 +366,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([as_similar(a.as_py(), b.as_py(), similarity) for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -381,55 +385,52 @@ def _parts_across(members: DataFrame, shard: int) -> DataFrame:
     own = block(F.col("outer"))
     outside = F.concat(upto("outer", lambda j: _part(F.least(own, j), F.greatest(own, j))), upto("inner", lambda j: _part(own, F.col("outer") + j)))
     inside = upto("outer", lambda i: _part(i, F.col("outer") + block(F.col("inner"))))
-    return open_.select("key", F.explode(F.when(F.col("root") == F.col("largest"), inside).otherwise(outside)).alias("part"), "node", "fp", "size", "root")
+    return open_.select("key", F.explode(F.when(F.col("root") == F.col("largest"), inside).otherwise(outside)).alias("part"), *[c for c in members.columns if c not in ("key", "n")])
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame | None:
-    """(node, root) of what hangs together by pairs that share a band and have the similarity; None if there is nothing.
+def similar_links(classes: DataFrame, docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    """(node, root) of what hangs together by pairs that share a band and have the similarity.
 
     classes: node, fp, keys, size, kind, and id and mark of a document; one row for each set of shingles."""
     radius = wide_radius(similarity)
-    rows = classes.select("node", F.explode("keys").alias("key")).distinct()
+    rows = classes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("key", "of")
-    members = rows.join(shared, F.col("key") == F.col("of")).select("node", "key", "n")
-    slim = classes.select(F.col("node").alias("at"), "fp", "size", "id", "mark", "kind")
+    members = rows.join(shared, F.col("key") == F.col("of")).select("node", "band", "key", "n")
+    slim = classes.select(F.col("node").alias("at"), "fp", "size", "keys", "id", "mark", "kind")
     members = stored(members.join(slim, F.col("node") == F.col("at")).drop("at"), "simhash-members")
     sets = stored(shingle_sets(docs, members.select("node", "id", "mark", "kind").distinct(), words, doc_id, text), "simhash-sets")
+    members = members.drop("id", "mark", "kind")
+    block = F.when(F.col("n") > shard, F.pmod(F.xxhash64("node"), _blocks(F.col("n"), shard))).otherwise(F.lit(0).cast("long"))
+
+    def owned(open_: DataFrame, *names: str) -> DataFrame:
+        return open_.select("key", "part", *names).repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+    def close(node: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        who, to = nearest(marks, sizes, np.arange(len(node)), radius, similarity)
+        return [node[who], node[to]]
 
-    def solve(node: np.ndarray, marks: np.ndarray, sizes: np.ndarray, root: np.ndarray, most: int) -> list[np.ndarray]:
-        who, to, more = nearest(marks, sizes, root, radius, similarity, most)
-        return [node[who], node[to], np.full(len(who), more)]
-
-    links, roots = None, None
-    for across in (False, True):
-        most = 1
-        while True:
-            rooted = members.select("node", "key", "n", "fp", "size")
-            if across:
-                rooted = rooted.filter(F.col("n") > shard)
-            if roots is not None:
-                rooted = rooted.join(roots.withColumnRenamed("node", "rooted"), F.col("node") == F.col("rooted"), "left").withColumn("root", F.coalesce("root", "node")).drop("rooted")
-            else:
-                rooted = rooted.withColumn("root", F.col("node"))
-            if across:
-                open_ = _parts_across(rooted, shard)
-            else:
-                apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("of"))
-                part = F.when(F.col("n") > shard, F.pmod(F.xxhash64("node"), _blocks(F.col("n"), shard))).otherwise(F.lit(0).cast("long"))
-                open_ = rooted.join(apart, F.col("key") == F.col("of")).withColumn("part", part)
-            owned = open_.select("key", "part", "node", "fp", "size", "root").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-            found = stored(by_shard(owned, ["node", "fp", "size", "root"], lambda *x, most=most: solve(*x, most), "a long, b long, more boolean"), "simhash-candidates")
-            left = found.agg(F.count(F.lit(1)), F.max("more")).first()
-            if not left[0]:
-                break
-            good = stored(similar_pairs(found.select("a", "b"), sets, similarity), "simhash-links")
-            links = good if links is None else links.union(good)
-            roots = connected_components(links)
-            discard(found)
-            if not left[1]:
-                break
-            most *= MORE
-    return roots
+    def check(node: np.ndarray, band: np.ndarray, marks: np.ndarray, sizes: np.ndarray, keys: np.ndarray, root: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        at = np.array(checked_links(marks, sizes, root, keys, int(band[0]), hashes, radius, similarity), np.int64).reshape(-1, 2)
+        return [node[at[:, 0]], node[at[:, 1]]]
+
+    names = ["node", "fp", "size"]
+    pairs = stored(by_shard(owned(members.withColumn("part", block), *names), names, close, "a long, b long"), "simhash-candidates")
+    links = stored(similar_pairs(pairs, sets, similarity), "simhash-links")
+    discard(pairs)
+    for across in (False, True):  # the blocks of overfull shards alone, then what they still hold with each other
+        roots = connected_components(links).withColumnRenamed("node", "rooted")
+        rooted = members.filter(F.col("n") > shard) if across else members
+        rooted = rooted.join(roots, F.col("node") == F.col("rooted"), "left").withColumn("root", F.coalesce("root", "node")).drop("rooted")
+        if across:
+            open_ = _parts_across(stored(rooted, "simhash-rooted"), shard)
+        else:
+            apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("of"))
+            open_ = rooted.join(apart, F.col("key") == F.col("of")).withColumn("part", block)
+        names = ["node", "band", "fp", "size", "keys", "root", "hashes"]
+        with_sets = open_.join(sets.withColumnRenamed("node", "at"), F.col("node") == F.col("at"))
+        more = stored(by_shard(owned(with_sets, *names), names, check, "a long, b long"), "simhash-links")
+        links = links.union(more)
+    return connected_components(links)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
@@ -476,12 +477,9 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return named.select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
-def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """marks (id, fp) with component_id; classes: fp, least, size, node; roots: (node, root) of the nodes with links."""
-    if roots is None:
-        rooted = classes.withColumn("root", F.col("node"))
-    else:
-        rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     linked = stored(rooted.select("fp", "least", "size", "root"), "simhash-roots")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     named = linked.join(least, F.col("root") == F.col("of")).select("fp", "size", "component_id")

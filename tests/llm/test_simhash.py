@@ -96,14 +96,10 @@ def test_tree_is_keyed_by_distance_and_finds_all(spark):
     own = np.array([i % 7 for i in range(len(values))])
     got = {(int(q), n): int(d) for n, near, ds in ask(tree, own, radius) for q, d in zip(near, ds, strict=True)}
     assert got == {(a, b): far(a, b) for a in range(len(values)) for b in range(len(values)) if own[a] != own[b] and far(a, b) <= radius}
-    for most in (1, 3, 1000):
-        who, to, more = nearest(marks, np.full(len(values), 10), own, radius, 0.8, most)
-        want = []
-        for a in range(len(values)):
-            found = sorted((d, b) for (q, b), d in got.items() if q == a)
-            want += [(a, b) for _, b in found[:most]]
-        assert list(zip(who.tolist(), to.tolist(), strict=True)) == want and more == (most < 1000)
-    assert len(nearest(marks, np.array([10 ** (i % 2) for i in range(len(values))]), np.arange(len(values)) % 2, radius, 0.8, 5)[0]) == 0
+    who, to = nearest(marks, np.full(len(values), 10), own, radius, 0.8)
+    least = {a: min(d for (q, _), d in got.items() if q == a) for a in {q for q, _ in got}}
+    assert set(who.tolist()) == set(least) and all(own[a] != own[b] and far(a, b) == least[a] for a, b in zip(who.tolist(), to.tolist(), strict=True))
+    assert len(nearest(marks, np.array([10 ** (i % 2) for i in range(len(values))]), np.arange(len(values)) % 2, radius, 0.8)[0]) == 0
 
 
 def edited(rng, words, share):
