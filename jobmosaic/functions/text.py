@@ -23,6 +23,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip_ws(c: Column | str) -> Column:
+    """No white space (Unicode) at the ends; null stays."""
+    return F.regexp_replace(_col(c), f"^{SPACES}|{SPACES}$", "")
+
+
 def squash_ws(c: Column | str) -> Column:
     """Each run of white space (Unicode) becomes one space, none at the ends; null becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACES, " "))

@@ -1,13 +1,17 @@
-"""Duplicates of postings: by source key, by fingerprint, by company names of one title."""
+"""Duplicates of postings: by source key, by fingerprint, by company names of one title.
+
+All steps compare keys, order and lengths alone (slim rows, made by keys_of); the postings themselves move once, when
+the survivors are taken from them at the end."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A title with more postings is first split by words that its company names share.
-LARGE_TITLE = 50_000
+from jobmosaic.functions.joins import join_spread, kept, parts_of
 
 
 def first_of_term(jobs: DataFrame) -> DataFrame:
@@ -16,108 +20,160 @@ def first_of_term(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
-def dedupe_source_key(jobs: DataFrame) -> DataFrame:
-    """Of rows with one source and external id, the one with the longest description (the first of those), with first_ord.
+def text_size(jobs: DataFrame) -> Column:
+    """Length of the description; slim rows have it as a column."""
+    return F.col("text_size") if "text_size" in jobs.columns else F.length(F.coalesce("description", F.lit(""))).alias("text_size")
 
-    Its search term is the first that isn't empty among rows longer than all before them."""
+
+def keys_of(jobs: DataFrame) -> DataFrame:
+    """Slim rows: what the three steps read of cleaned postings."""
+    return jobs.select("ord", "source", "external_id", "search_term", "norm_title", "fingerprint", "identity", text_size(jobs))
+
+
+def _taken(jobs: DataFrame, survivors: DataFrame, *columns: str) -> DataFrame:
+    """The postings that survive, with these columns of the survivors."""
+    return jobs.drop(*columns).join(survivors.select("ord", *columns), "ord")
+
+
+def by_source_key(slim: DataFrame) -> DataFrame:
     key = Window.partitionBy("source", "external_id")
-    arrival = key.orderBy("ord")
-    size = F.length(F.coalesce("description", F.lit("")))
-    before = F.max("__size").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
-    longest = key.orderBy(F.col("__size").desc(), F.col("ord"))
-    record = (F.col("__before").isNull() | (F.col("__size") > F.col("__before"))) & (F.coalesce("search_term", F.lit("")) != "")
-    marked = jobs.withColumn("__size", size).withColumn("__before", before)
-    marked = marked.withColumns({
+    before = F.max("text_size").over(key.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    longest = key.orderBy(F.col("text_size").desc(), F.col("ord"))
+    record = (F.col("__before").isNull() | (F.col("text_size") > F.col("__before"))) & (F.coalesce("search_term", F.lit("")) != "")
+    marked = slim.withColumn("__before", before).withColumns({
         "__term": F.min(F.when(record, F.struct("ord", "search_term"))).over(key),
         "__n": F.row_number().over(longest),
         "first_ord": F.min("ord").over(key),
     })
-    return marked.filter("__n = 1").withColumn("search_term", F.coalesce("__term.search_term", F.lit(""))).drop("__size", "__before", "__term", "__n")
+    return marked.filter("__n = 1").withColumn("search_term", F.coalesce("__term.search_term", F.lit(""))).drop("__before", "__term", "__n")
 
 
-def dedupe_fingerprint(jobs: DataFrame) -> DataFrame:
-    """Of rows with one fingerprint and a company that can be told, the one with the longest description (the first of those).
+def dedupe_source_key(jobs: DataFrame) -> DataFrame:
+    """Of rows with one source and external id, the one with the longest description (the first of those), with first_ord.
 
-    Rows whose company can't be told never merge: each gets a key of its own, so they stay spread out."""
+    Its search term is the first that isn't empty among rows longer than all before them."""
+    slim = jobs.select("ord", "source", "external_id", "search_term", text_size(jobs))
+    return _taken(jobs, by_source_key(slim), "first_ord", "search_term")
+
+
+def by_fingerprint(slim: DataFrame) -> DataFrame:
     key = F.when(F.size("identity") > 0, F.col("fingerprint")).otherwise(F.concat(F.lit("ord "), F.col("ord").cast("string")))
     group = Window.partitionBy("__key")
-    longest = group.orderBy(F.length("description").desc(), F.col("first_ord"))
-    marked = jobs.withColumn("__key", key).withColumns({"__n": F.row_number().over(longest), "__first": F.min("first_ord").over(group)})
+    longest = group.orderBy(F.col("text_size").desc(), F.col("first_ord"))
+    marked = slim.withColumn("__key", key).withColumns({"__n": F.row_number().over(longest), "__first": F.min("first_ord").over(group)})
     return marked.filter("__n = 1").withColumn("first_ord", F.col("__first")).drop("__key", "__n", "__first")
 
 
-def same_company(a: Column, b: Column) -> Column:
-    """Both identities have words, and one has all words of the other."""
-    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
+def dedupe_fingerprint(jobs: DataFrame) -> DataFrame:
+    """Of rows with one fingerprint and a company that can be told, the one with the longest description (the first of those).
 
+    Rows whose company can't be told never merge: each gets a key of its own, so they stay spread out."""
+    slim = jobs.select("ord", "first_ord", "fingerprint", "identity", text_size(jobs))
+    return _taken(jobs, by_fingerprint(slim), "first_ord")
 
-def same_company_pairs(jobs: DataFrame) -> DataFrame:
-    """(ord_a, ord_b, norm_title): earlier and later row with one title and compatible companies. A shared word is part of the join key."""
-    side = lambda n: jobs.filter(F.size("identity") > 0).select(F.col("ord").alias(f"ord_{n}"), F.col("norm_title"), F.col("identity").alias(f"id_{n}"), F.explode("identity").alias("word"))
-    pairs = side("a").join(side("b"), ["norm_title", "word"]).filter((F.col("ord_a") < F.col("ord_b")) & same_company(F.col("id_a"), F.col("id_b")))
-    return pairs.select("ord_a", "ord_b", "norm_title").distinct()
+
+def containments(names: DataFrame) -> DataFrame:
+    """(a, b): nodes of names (node, norm_title, identity; distinct) of one title where b's identity has all words of a's.
+
+    Whatever has all words of a has a's rarest one, so a meets only the names with that word."""
+    words = names.select("node", "norm_title", "identity", F.explode("identity").alias("word"))
+    often = words.groupBy("norm_title", "word").agg(F.count(F.lit(1)).alias("often"))
+    counted = words.join(often, ["norm_title", "word"])
+    rarest = counted.groupBy("node").agg(F.min(F.struct("often", "word")).alias("rarest"), F.first("norm_title").alias("title"), F.first("identity").alias("inner"))
+    rarest = rarest.filter("rarest.often > 1").select(F.col("node").alias("a"), "title", "inner", F.col("rarest.word").alias("rare"))
+    met = counted.filter("often > 1").join(rarest, (F.col("norm_title") == F.col("title")) & (F.col("word") == F.col("rare")) & (F.col("node") != F.col("a")))
+    return met.filter(F.size(F.array_except("inner", "identity")) == 0).select("a", F.col("node").alias("b"))
 
 
-def merge_in_order(group: pd.DataFrame) -> pd.DataFrame:
-    """The walk over one title in order of arrival: a posting joins the first representative with a compatible company,
-    and takes its place if its description is longer; else it is a new representative. Representatives are found by word."""
-    group = group.sort_values("first_ord", kind="stable")
+def distinct_names(jobs: DataFrame) -> DataFrame:
+    """(norm_title, identity, node): companies that can be told, each once a title; node is the least ord."""
+    return jobs.filter(F.size("identity") > 0).groupBy("norm_title", "identity").agg(F.min("ord").alias("node"))
+
+
+def same_company_pairs(jobs: DataFrame) -> DataFrame:
+    """(ord_a, ord_b, norm_title): earlier and later row with one title and compatible companies.
+
+    Compatible: both identities have words, and one has all words of the other. All such pairs are the result, so
+    it grows with the square of the postings of a company under one title; no other step needs it."""
+    names = kept(distinct_names(jobs), "company-names")
+    linked = containments(names).union(names.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    rows = jobs.select("ord", F.col("norm_title").alias("title"), F.col("identity").alias("own")).join(names, (F.col("title") == F.col("norm_title")) & (F.col("own") == F.col("identity"))).select("ord", "norm_title", "node")
+    first, second = rows.select(F.col("ord").alias("x"), F.col("node").alias("a"), "norm_title"), rows.select(F.col("ord").alias("y"), F.col("node").alias("b"))
+    pairs = first.join(linked, "a").join(second, "b").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"), "norm_title").distinct()
+
+
+def merge_in_order(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(ord, rep_ord) of the survivors of (ord, first_ord, identity, size) in order of arrival: a posting joins the first
+    representative with a compatible company, and takes its place if its description is longer; else it is a new
+    representative. Representatives are found by word."""
     names: list[frozenset] = []
     sizes: list[int] = []
     winner: list[int] = []
     created: list[int] = []
     by_word: dict[str, set[int]] = {}
-    for row in group.itertuples(index=False):
-        name = frozenset(row.identity)
+    for ord_, first_ord, identity, size in rows:
+        name = frozenset(identity)
         near = sorted(set().union(*(by_word.get(w, ()) for w in name)))
         at = next((i for i in near if name <= names[i] or names[i] <= name), None)
         if at is None:
             at = len(names)
             names.append(name)
-            sizes.append(row.size)
-            winner.append(row.ord)
-            created.append(row.first_ord)
-        elif row.size > sizes[at]:
+            sizes.append(size)
+            winner.append(ord_)
+            created.append(first_ord)
+        elif size > sizes[at]:
             for w in names[at] - name:
                 by_word[w].discard(at)
-            names[at], sizes[at], winner[at] = name, row.size, row.ord
+            names[at], sizes[at], winner[at] = name, size, ord_
         else:
             continue
         for w in name:
             by_word.setdefault(w, set()).add(at)
-    return pd.DataFrame({"ord": winner, "rep_ord": created})
-
-
-def _split_large(rows: DataFrame, limit: int) -> DataFrame:
-    """part: rows of a large title that hang together by shared words, as the least ord; 0 elsewhere. No merge crosses parts."""
-    large = rows.groupBy("norm_title").count().filter(F.col("count") > limit).select("norm_title")
-    if large.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long"))
-    words = rows.join(large, "norm_title", "left_semi").select("ord", "norm_title", F.explode("identity").alias("word")).checkpoint()
-    label = words.select("ord", F.col("ord").alias("part")).distinct()
-    last = None
-    while True:
-        by_word = words.join(label, "ord").groupBy("norm_title", "word").agg(F.min("part").alias("part"))
-        label = words.join(by_word, ["norm_title", "word"]).groupBy("ord").agg(F.min("part").alias("part")).checkpoint()
-        now = label.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            return rows.join(label, "ord", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-        last = now
-
-
-def dedupe_titles(jobs: DataFrame, limit: int = LARGE_TITLE) -> DataFrame:
-    """Greedy merge of compatible companies under one title, in order of first_ord; rep_ord orders the survivors of a title.
-
-    Only keys, identities and lengths are grouped, and only for titles with two rows or more that can be told."""
-    slim = jobs.filter(F.size("identity") > 0).select("ord", "first_ord", "norm_title", "identity", F.length("description").alias("size"))
-    counted = slim.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("norm_title"))).filter("__n > 1").drop("__n")
-    merged = _split_large(counted, limit).groupBy("norm_title", "part").applyInPandas(merge_in_order, "ord long, rep_ord long")
-    merged = merged.withColumnRenamed("ord", "__ord")
-    alone = jobs.join(counted.select(F.col("ord").alias("__ord")), F.col("ord") == F.col("__ord"), "left_anti").withColumn("rep_ord", F.col("first_ord"))
-    return alone.unionByName(jobs.join(merged, F.col("ord") == F.col("__ord")).drop("__ord"))
-
-
-def dedupe_full(jobs: DataFrame, limit: int = LARGE_TITLE) -> DataFrame:
+    return list(zip(winner, created, strict=True))
+
+
+def _merge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows lie part by part, in order of arrival; the part that is being read may go on in the next batch."""
+    part, rows = None, []
+    for batch in batches:
+        done: list[tuple[int, int]] = []
+        for now, *row in zip(*(batch[c].tolist() for c in ("part", "ord", "first_ord", "identity", "text_size")), strict=True):
+            if now != part:
+                done += merge_in_order(rows)
+                part, rows = now, []
+            rows.append(tuple(row))
+        yield pd.DataFrame(done, columns=["ord", "rep_ord"], dtype="int64")
+    yield pd.DataFrame(merge_in_order(rows), columns=["ord", "rep_ord"], dtype="int64")
+
+
+def by_company(slim: DataFrame) -> DataFrame:
+    """Only names that contain each other, straight or by way of others, can merge: each such part is walked on its own,
+    however many postings its title has. A name of one posting that no other contains stays as it is."""
+    parts = parts_of(containments(kept(distinct_names(slim), "company-names")))
+    same = Window.partitionBy("norm_title", "identity")
+    told = slim.filter(F.size("identity") > 0).withColumns({"__node": F.min("ord").over(same), "__same": F.count(F.lit(1)).over(same)})
+    told = told.join(parts.withColumnRenamed("node", "__at"), F.col("__node") == F.col("__at"), "left")
+    walked = told.filter(F.col("part").isNotNull() | (F.col("__same") > 1)).select(F.coalesce("part", "__node").alias("part"), "ord", "first_ord", "identity", "text_size")
+    merged = walked.repartition("part").sortWithinPartitions("part", "first_ord").mapInPandas(_merge_parts, "ord long, rep_ord long")
+    alone = told.filter(F.col("part").isNull() & (F.col("__same") == 1)).select("ord", F.col("first_ord").alias("rep_ord"))
+    untold = slim.filter(F.size("identity") == 0).select("ord", F.col("first_ord").alias("rep_ord"))
+    return slim.join(merged.union(alone).union(untold), "ord")
+
+
+def dedupe_titles(jobs: DataFrame) -> DataFrame:
+    """Greedy merge of compatible companies under one title, in order of first_ord; rep_ord orders the survivors of a title."""
+    slim = jobs.select("ord", "first_ord", "norm_title", "identity", text_size(jobs))
+    return _taken(jobs, by_company(kept(slim, "dedupe-keys")), "rep_ord")
+
+
+def survivors_of(slim: DataFrame) -> DataFrame:
+    """The slim rows that survive all three steps, with first_ord, rep_ord and title_ord, as a table of the shared folder."""
+    left = kept(by_company(kept(by_fingerprint(by_source_key(slim)), "dedupe-keys")), "dedupe-merged")
+    titles = left.groupBy("norm_title").agg(F.min("rep_ord").alias("title_ord"), F.count(F.lit(1)).alias("n"))
+    return kept(join_spread(left, titles, "norm_title", "n", F.col("ord")), "dedupe-survivors")
+
+
+def dedupe_full(jobs: DataFrame) -> DataFrame:
     """All three steps. title_ord, then rep_ord, is the order of the survivors."""
-    kept = dedupe_titles(dedupe_fingerprint(dedupe_source_key(jobs)), limit)
-    return kept.withColumn("title_ord", F.min("rep_ord").over(Window.partitionBy("norm_title")))
+    return _taken(jobs, survivors_of(keys_of(jobs)), "first_ord", "rep_ord", "title_ord", "search_term")

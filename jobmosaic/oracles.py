@@ -16,6 +16,10 @@ def squash(x: str) -> str:
     return rf"trim(regexp_replace(coalesce({x}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
 def listed(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -130,12 +134,15 @@ def funnel_of(raw: str, tail: str) -> list[tuple[str, str]]:
     ]
 
 
+_KNOWN = " AND ".join(f"{strip(c)} <> ''" for c in ("source", "external_id", "title"))
+
+
 def _rows_of(part: int) -> str:
     day = f"DATE '{SNAPSHOT_FILES[part][6:10]}-{SNAPSHOT_FILES[part][10:12]}-{SNAPSHOT_FILES[part][12:14]}'"
-    null = lambda c: f"nullif(trim({c}), '') AS {c}"
+    null = lambda c: f"nullif({strip(c)}, '') AS {c}"
     known = f"(SELECT list_sort(list_distinct(list(k.nome))) FROM (SELECT unnest(string_split(skills, ',')) AS x) u JOIN tec k ON lower(trim(u.x)) = lower(k.nome))"
-    return f"""SELECT ord, source, external_id, trim(title) AS title, coalesce(nullif(trim(area), ''), '{RULES.fallback}') AS area, {', '.join(null(c) for c in ('company', 'seniority', 'location', 'url', 'description', 'area_matches', 'search_term', 'workplace_type'))},
-      {date_of('published_date', day)} AS published_date, TRY_CAST(nullif(trim(area_score), '') AS DOUBLE) AS area_score, coalesce({known}, []) AS skills FROM snap{part} WHERE trim(source) <> '' AND trim(external_id) <> '' AND trim(title) <> ''"""
+    return f"""SELECT ord, source, external_id, {strip('title')} AS title, coalesce(nullif(trim(area), ''), '{RULES.fallback}') AS area, {', '.join(null(c) for c in ('company', 'seniority', 'location', 'url', 'description', 'area_matches', 'search_term', 'workplace_type'))},
+      {date_of('published_date', day)} AS published_date, TRY_CAST(nullif(trim(area_score), '') AS DOUBLE) AS area_score, coalesce({known}, []) AS skills FROM snap{part} WHERE {_KNOWN}"""
 
 
 _COMPARED = ["title", "company", "area", "seniority", "location", "workplace_type", "published_date", "url", "description", "area_score", "area_matches", "search_term"]
@@ -179,7 +186,6 @@ _BY_AREA = f"SELECT area, row_number() OVER (PARTITION BY area ORDER BY vagas DE
 _BASE = "SELECT area, count(*) FILTER (len(skills) > 0) AS base, count(*) AS vagas FROM jobs GROUP BY area HAVING base > 0"
 _SLIM = "SELECT id, source, external_id, title, CAST(published_date AS VARCHAR) AS published_date FROM vagas"
 _BOTH = f"(SELECT *, '{SNAPSHOT_FILES[0]}' AS file_name FROM snap0 UNION ALL SELECT *, '{SNAPSHOT_FILES[1]}' FROM snap1)"
-_KNOWN = "trim(source) <> '' AND trim(external_id) <> '' AND trim(title) <> ''"
 _TIDY = {c: f"coalesce({c}, '') AS {c}" for c in ("source", "external_id", "area", "seniority", "title", "company", "skills", "area_matches", "search_term")}
 
 _raw = lambda f: sql(_MAIN[:1], f)
@@ -239,7 +245,7 @@ ORACLE_SQL = {
     "sorted_export": _jobs("SELECT area, row_number() OVER (PARTITION BY area ORDER BY title, ord) AS posicao, title FROM jobs"),
     "export_ranking": _jobs(_RANK),
     "export_skills": _jobs(f"SELECT * FROM ({_BY_AREA}) WHERE posicao <= 15"),
-    "read_snapshot": _imp(f"SELECT source, external_id, title, area, skills, area_score, published_date, url, md5(description) AS description FROM snap0 WHERE {_KNOWN}"),
+    "read_snapshot": _imp(f"SELECT source, external_id, title, area, skills, area_score, published_date, url, md5(description) AS description FROM {_BOTH} WHERE {_KNOWN}"),
     "latest_snapshot": _imp(f"SELECT ord, file_name FROM {_BOTH} WHERE {_KNOWN} AND file_name = '{SNAPSHOT_FILES[1]}'"),
     "reference_date": _imp(f"SELECT ord, file_name, CASE WHEN file_name = '{SNAPSHOT_FILES[0]}' THEN '2026-07-31' ELSE '2026-08-15' END AS value, '{REFERENCE}' AS given FROM {_BOTH}"),
     "float_or_null": _imp(f"SELECT ord, file_name, TRY_CAST(nullif(trim(area_score), '') AS DOUBLE) AS value FROM {_BOTH}"),
@@ -252,8 +258,10 @@ ORACLE_SQL = {
     "link_tecnologias": _imp("SELECT vaga_id, tecnologia_id FROM links"),
     "vagas_with_tech": _imp("SELECT id, external_id FROM vagas WHERE list_contains(skills, 'SQL')"),
     "list_vagas": _imp(f"{_SLIM} WHERE area = 'Data' AND source = 'gupy' AND title ILIKE '%jr%'"),
-    "check_vocab": _imp(f"{_SLIM} WHERE list_contains(skills, 'Python') AND title ILIKE '%dev_lop%%'"),
+    "check_vocab": _imp(f"{_SLIM} WHERE list_contains(skills, 'Python') AND title ILIKE '%des_nv%%'"),
     "page_vagas": _imp(f"{_SLIM} ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 50 OFFSET 10"),
+    "list_page": _imp(f"SELECT *, (SELECT count(*) FROM vagas WHERE title ILIKE '%jr%') AS total FROM ({_SLIM} WHERE title ILIKE '%jr%' ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 20 OFFSET 5)"),
+    "stream_import": _imp("SELECT source, external_id, title, company, area, location, CAST(published_date AS VARCHAR) AS published_date, area_score, coalesce(array_to_string(skills, ', '), '') AS skills, md5(description) AS description FROM vagas"),
     "filtered_total": _imp("SELECT count(*) AS total FROM vagas WHERE area = 'Backend'"),
     "table_health": _imp("SELECT count(*) AS total FROM vagas"),
     "get_vaga": _imp(f"{_SLIM} WHERE id = 7"),
@@ -276,19 +284,19 @@ def _landed(source: str, when: str, **fields: str) -> str:
     return f"SELECT '{source}' AS source, " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM (SELECT page_id AS i FROM pages) WHERE {when}"
 
 
-_PLACE = "CASE WHEN i % 4 = 0 THEN '' ELSE 'Cidade ' || (i % 7) END"
+_PLACE = "CASE WHEN i % 4 = 0 THEN '' ELSE 'Cidade  ' || (i % 7) END"
 _PORTAL_SQL = {
-    "gupy_json": _landed("gupy", "i % 11 <> 5 AND i % 13 <> 7", external_id="i::VARCHAR", title="'Vaga ' || i", company="'Empresa ' || (i % 5)", url="CASE WHEN i % 2 = 0 THEN 'https://j.example/' || i ELSE 'https://c.example' END", description="'<p>Texto</p>'",
+    "gupy_json": _landed("gupy", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title="'Vaga ' || i", company="'Empresa ' || (i % 5)", url="CASE WHEN i % 2 = 0 THEN 'https://j.example/' || i ELSE 'https://c.example' END", description="'<p>Texto</p>'",
         location=f"CASE WHEN i % 4 = 0 THEN 'Brasil' WHEN i % 4 = 1 THEN {_PLACE} ELSE {_PLACE} || ', SP' END", workplace_type="CASE WHEN i % 5 = 0 THEN 'Híbrido' WHEN i % 3 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'2026-07-20'"),
-    "trampos_json": _landed("trampos", "i % 11 <> 5 AND i % 13 <> 7", external_id="i::VARCHAR", title="'Vaga ' || i", company="CASE WHEN i % 6 = 0 THEN 'Própria' ELSE 'Casa ' || (i % 9) END",
+    "trampos_json": _landed("trampos", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title="'Vaga ' || i", company="CASE WHEN i % 6 = 0 THEN 'Própria' ELSE 'Casa ' || (i % 9) END",
         url="CASE i % 7 WHEN 0 THEN 'https://t.example/o/' || i WHEN 1 THEN 'https://w.example/o/' || i ELSE 'https://trampos.co/oportunidades/' || i END", description="'Categoria: TI.' || CASE WHEN i % 3 = 0 THEN '' ELSE ' Tipo: Tipo A.' END || CASE WHEN i % 4 >= 2 THEN ' Salário: R$ 2.000.' ELSE '' END",
         workplace_type="CASE WHEN i % 5 = 0 THEN 'Remoto' WHEN i % 3 = 1 THEN 'Híbrido' ELSE 'Presencial' END", published_date="'2026-07-21'", seniority="CASE WHEN i % 2 = 0 THEN 'Estágio' ELSE '' END"),
-    "vagas_cards": _landed("vagas", "i % 11 <> 5", external_id="i::VARCHAR", title="CASE WHEN i % 3 = 0 THEN 'Vaga & ' || i ELSE 'Dev de Software' END", company="'Casa ' || (i % 9)", url="CASE WHEN i % 2 = 0 THEN 'https://www.vagas.com.br' ELSE 'https://x.example' END || '/vagas/v' || i", description="'Texto: a b'",
+    "vagas_cards": _landed("vagas", "i % 11 <> 5 AND i % 23 <> 6", external_id="i::VARCHAR", title="CASE WHEN i % 3 = 0 THEN 'Vaga & ' || i ELSE 'Dev de Software' END", company="'Casa ' || (i % 9)", url="CASE WHEN i % 2 = 0 THEN 'https://www.vagas.com.br' ELSE 'https://x.example' END || '/vagas/v' || i", description="'Texto: a b'",
         location="CASE WHEN i % 4 = 0 THEN '100% Home Office' ELSE 'Rio / RJ' END", workplace_type="CASE WHEN i % 4 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'09/07/2026'"),
-    "programathor_cards": _landed("programathor", "i % 5 <> 2", external_id="i::VARCHAR", title="'Programador ' || i", company="'Casa ' || (i % 9)", url="'https://programathor.com.br/jobs/' || i || '-dev'",
+    "programathor_cards": _landed("programathor", "i % 5 <> 2 AND i % 23 <> 6", external_id="i::VARCHAR", title="'Programador ' || i", company="'Casa ' || (i % 9)", url="'https://programathor.com.br/jobs/' || i || '-dev'",
         description="'Tecnologias: PHP, SQL. Contrato: ' || CASE WHEN i % 6 = 0 THEN 'Estágio' ELSE 'PJ' END || '.' || CASE WHEN i % 3 = 0 THEN ' Faixa salarial: Até R$4.000.' ELSE '' END",
         location="(['São Paulo', '', 'Recife', ''])[i % 4 + 1]", workplace_type="(['Híbrido', 'Remoto', '', ''])[i % 4 + 1]", seniority="CASE WHEN i % 6 = 0 THEN 'Estágio' ELSE 'Júnior' END"),
-    "linkedin_cards": _landed("linkedin", "i % 11 <> 5 AND i % 13 <> 7", external_id="i::VARCHAR", title="'Dev <' || i || '>'", company="'Casa ' || (i % 9)", url="'https://l.example/view/' || i", description="''",
+    "linkedin_cards": _landed("linkedin", "i % 11 <> 5 AND i % 13 <> 7 AND i % 23 <> 6", external_id="i::VARCHAR", title="'Dev <' || i || '>'", company="'Casa ' || (i % 9)", url="'https://l.example/view/' || i", description="''",
         location="CASE WHEN i % 4 = 0 THEN 'Brasil (Remote)' ELSE 'São Paulo' END", workplace_type="CASE WHEN i % 4 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'2026-08-01'"),
 }
 ORACLE_SQL |= _PORTAL_SQL

@@ -63,13 +63,14 @@ SNAPSHOT_FILES = ["vagas_20260731_174407.csv", "vagas_20260815_090000.csv"]
 
 
 def snapshot_sql(dialect: str, part: int, table: str = "documents") -> str:
-    """SELECT of a snapshot's rows as strings: part 0 leaves out every third posting, part 1 others, with some places changed."""
+    """SELECT of a snapshot's rows as strings: part 0 leaves out every third posting, part 1 others, with
+    some places changed. A snapshot has 500 characters of a description, as exports have; some titles are blank or padded."""
     raw = f"({adapter_sql(dialect, table)}) AS r"
     pick = (lambda values, i: "element_at(array(" + ", ".join(f"'{v}'" for v in values) + f"), CAST({i} AS INT))") if dialect == "spark" else (lambda values, i: "([" + ", ".join(f"'{v}'" for v in values) + f"])[{i}]")
     moved = "location || CASE WHEN ord % 4 = 0 THEN ' nova' ELSE '' END" if part else "location"
     return f"""
-SELECT ord, {pick(SNAPSHOT_AREAS, "ord % 7 + 1")} AS area, seniority, CASE WHEN ord % 41 = 40 THEN ' ' ELSE title END AS title, company, source, {moved} AS location, raw_workplace AS workplace_type,
-  published_date, url, {pick(SNAPSHOT_SKILLS, "ord % 6 + 1")} AS skills, {pick(SNAPSHOT_SCORES, "ord % 5 + 1")} AS area_score, '' AS area_matches, search_term, external_id, substr(description, 1, 60) AS description
+SELECT ord, {pick(SNAPSHOT_AREAS, "ord % 7 + 1")} AS area, seniority, CASE WHEN ord % 41 = 40 THEN ' ' WHEN ord % 43 = 42 THEN chr(9) || chr(160) WHEN ord % 13 = 5 THEN chr(160) || title || chr(9) ELSE title END AS title, company, source, {moved} AS location, raw_workplace AS workplace_type,
+  published_date, url, {pick(SNAPSHOT_SKILLS, "ord % 6 + 1")} AS skills, {pick(SNAPSHOT_SCORES, "ord % 5 + 1")} AS area_score, '' AS area_matches, search_term, external_id, substr(description, 1, 500) AS description
 FROM {raw} WHERE ord % 3 <> {2 if part == 0 else 0}"""
 
 

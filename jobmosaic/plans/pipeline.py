@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobmosaic.functions.rules import Rules
 from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html
 from jobmosaic.operators.areas import classify, extract_skills, is_tech, with_hits, with_scores
-from jobmosaic.operators.dedupe import dedupe_full, first_of_term
+from jobmosaic.operators.dedupe import first_of_term, survivors_of, text_size
 from jobmosaic.operators.levels import all_levels, entry_level
 
 
@@ -38,32 +38,42 @@ def enrich(jobs: DataFrame, rules: Rules) -> DataFrame:
 
 @dataclass
 class Stages:
-    """The rows after each stage, lazily."""
+    """The rows after each stage: raw and levelled are slim (keys, folded title, lengths), flagged has all columns and tech."""
 
     raw: DataFrame
     levelled: DataFrame
-    unique: DataFrame
-    tech: DataFrame
-    other: DataFrame
+    flagged: DataFrame
     jobs: DataFrame
 
+    @property
+    def tech(self) -> DataFrame:
+        return self.flagged.filter("tech")
+
+    @property
+    def other(self) -> DataFrame:
+        return self.flagged.filter(~F.col("tech"))
+
 
 def run(raw: DataFrame, rules: Rules | None = None, strict: bool = False, every_level: bool = False, keep_non_tech: bool = False) -> Stages:
-    """first of its term -> clean -> level -> dedupe -> tech gate -> area and skills."""
+    """first of its term -> level -> dedupe -> tech gate -> area and skills.
+
+    Up to the dedupe only slim rows go through shuffles; who survives is worked out at once, as a slim table. Then the
+    raw postings meet that table, and only survivors are cleaned, gated and scored, lazily."""
     rules = rules or Rules()
-    first = first_of_term(raw.repartition("source", "external_id"))
-    levelled = with_levels(clean(first), rules, strict, every_level)
-    unique = dedupe_full(levelled)
+    slim = clean(raw).select("ord", "source", "external_id", "search_term", "seniority", "norm_title", "fingerprint", "identity", text_size(raw))
+    first = first_of_term(slim)
+    levelled = with_levels(first, rules, strict, every_level)
+    told = ["first_ord", "rep_ord", "title_ord", "search_term", "seniority"]
+    unique = clean(raw.drop("search_term", "seniority").join(survivors_of(levelled).select("ord", *told), "ord"))
     flagged = with_hits(unique, rules).withColumn("tech", is_tech(rules))
-    tech, other = flagged.filter("tech"), flagged.filter(~F.col("tech"))
-    return Stages(first, levelled, unique, tech, other, enrich(flagged if keep_non_tech else tech, rules).drop("title_hits", "body_hits"))
+    return Stages(first, levelled, flagged, enrich(flagged if keep_non_tech else flagged.filter("tech"), rules).drop("title_hits", "body_hits"))
 
 
 def funnel(raw: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """(etapa, vagas): raw rows after S7, dropped by level, duplicates, not tech, kept. Stages are counted over slim rows."""
+    """(etapa, vagas): raw rows after S7, dropped by level, duplicates, not tech, kept. The first two counts read keys and titles alone."""
     s = run(raw, rules)
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-    flags = s.tech.select(F.lit(True).alias("tech")).unionByName(s.other.select(F.lit(False).alias("tech"))).agg(F.count_if("tech").alias("tech"), F.count_if(~F.col("tech")).alias("other"))
+    flags = s.flagged.agg(F.count_if("tech").alias("tech"), F.count_if(~F.col("tech")).alias("other"))
     one = count(s.raw).withColumnRenamed("n", "raw").crossJoin(count(s.levelled).withColumnRenamed("n", "levelled")).crossJoin(flags)  # single rows
     rows = {"brutas": F.col("raw"), "senioridade": F.col("raw") - F.col("levelled"), "duplicadas": F.col("levelled") - F.col("tech") - F.col("other"), "nao_tech": F.col("other"), "mantidas": F.col("tech")}
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("etapa"), v.cast("long").alias("vagas")) for k, v in rows.items()])))

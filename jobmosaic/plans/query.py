@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,14 @@ def vagas_with_tech(vagas: DataFrame, links: DataFrame, tecnologias: DataFrame,
 
 
 def list_vagas(vagas: DataFrame, rules: Rules, area: str | None = None, workplace_type: str | None = None, source: str | None = None, tecnologia: str | None = None, q: str | None = None) -> DataFrame:
-    """All filters together; q is looked for in the title in any case, with % and _ as wildcards."""
+    """All filters together; q is looked for in the title in any case, with % and _ as wildcards; a backslash is itself."""
     check_vocab(rules, area, workplace_type, source, tecnologia, q)
     for name, value in (("area", area), ("workplace_type", workplace_type), ("source", source)):
         if value is not None:
             vagas = vagas.filter(F.col(name) == value)
     if q is not None:
-        vagas = vagas.filter(F.col("title").ilike(f"%{q}%"))
+        literal = q.replace("\\", "\\\\")
+        vagas = vagas.filter(F.col("title").ilike(f"%{literal}%"))
     if tecnologia is not None:
         vagas = vagas.filter(F.exists("skills", lambda s: F.lower(s) == tecnologia.lower()))
     return vagas
@@ -44,9 +47,25 @@ def list_vagas(vagas: DataFrame, rules: Rules, area: str | None = None, workplac
 
 def page_vagas(vagas: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """The newest first, those without a date last, then by id."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit is 1 to 200 and offset 0 or more")
     return vagas.orderBy(F.col("published_date").desc_nulls_last(), "id").offset(offset).limit(limit)
 
 
+@dataclass
+class Page:
+    """total: one row, how many postings the filters let through; vagas: the page of them that was asked for."""
+
+    total: DataFrame
+    vagas: DataFrame
+
+
+def list_page(vagas: DataFrame, rules: Rules, limit: int = 50, offset: int = 0, **filters: str | None) -> Page:
+    """What the listing answers: filters as in list_vagas. The filters go down to the scan of the table for both parts."""
+    found = list_vagas(vagas, rules, **filters)
+    return Page(filtered_total(found), page_vagas(found, limit, offset))
+
+
 def vaga_resumo(vagas: DataFrame) -> DataFrame:
     return vagas.drop("description").withColumn("skills", F.array_sort("skills"))
 

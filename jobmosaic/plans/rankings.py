@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import NOT_TOLD, WORKPLACE_ORDER, Rules
+from jobmosaic.functions.text import strip_ws
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -36,7 +38,7 @@ def area_ranking(jobs: DataFrame) -> DataFrame:
 
 def workplace_ranking(jobs: DataFrame) -> DataFrame:
     """In the order of the known labels, then unknown ones by name; blank counts as not told; labels without rows are left out."""
-    label = F.coalesce(F.nullif(F.trim("workplace_type"), F.lit("")), F.lit(NOT_TOLD))
+    label = F.coalesce(F.nullif(strip_ws("workplace_type"), F.lit("")), F.lit(NOT_TOLD))
     counts = counted(jobs.select(label.alias("modalidade")), "modalidade")
     place = F.array_position(F.array(*[F.lit(w) for w in WORKPLACE_ORDER]), F.col("modalidade"))
     order = Window.orderBy(F.when(place == 0, F.lit(99)).otherwise(place), "modalidade")
@@ -45,9 +47,9 @@ def workplace_ranking(jobs: DataFrame) -> DataFrame:
 
 def workplace_by_area(jobs: DataFrame) -> DataFrame:
     """One column a known label; a blank label counts nowhere. Rows in the order of the ranking."""
-    table = jobs.groupBy("area").pivot("workplace_type", WORKPLACE_ORDER).agg(F.count(F.lit(1)))
-    named = [F.coalesce(F.col(f"`{w}`"), F.lit(0)).cast("long").alias(n) for w, n in zip(WORKPLACE_ORDER, ("remoto", "hibrido", "presencial", "nao_informado"), strict=True)]
-    return table.select("area", *named).join(area_ranking(jobs).select("area", "posicao"), "area")
+    names = ("remoto", "hibrido", "presencial", "nao_informado")
+    sums = jobs.groupBy("area").agg(F.count(F.lit(1)).alias("vagas"), *[F.count_if(F.col("workplace_type") == w).alias(n) for w, n in zip(WORKPLACE_ORDER, names, strict=True)])
+    return ranked(sums, "area").select("area", *names, "posicao")
 
 
 def mentions(jobs: DataFrame) -> DataFrame:
@@ -75,20 +77,28 @@ def skill_base_by_area(jobs: DataFrame) -> DataFrame:
 
 
 def skill_share_by_area(jobs: DataFrame, least: int = 6, areas: int = 8, top: int = 8) -> DataFrame:
-    """Percent of an area's postings with skills that name a skill; areas of least postings or more, the largest ones."""
-    bases = skill_base_by_area(jobs).filter(F.col("base") >= least).orderBy(F.desc("base"), "area").limit(areas)
-    joined = skills_by_area(jobs, top).join(F.broadcast(bases.withColumnRenamed("vagas", "vagas_area")), "area")
-    return joined.select("area", "posicao", "tecnologia", "vagas", "base", "vagas_area", percent(F.col("vagas"), F.col("base")).alias("percentual"))
+    """Percent of an area's postings with skills that name a skill; areas of least postings or more, the largest ones.
+
+    One pass: each posting also counts once under no skill, which gives its area's sums."""
+    each = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("skills", F.array().cast("array<string>")))
+    rows = jobs.select("area", F.explode(each).alias("tecnologia"), (F.size("skills") > 0).alias("told"))
+    counts = rows.groupBy("area", "tecnologia").agg(F.count(F.lit(1)).alias("vagas"), F.count_if("told").alias("told"))
+    of_area, whole = Window.partitionBy("area"), F.col("tecnologia").isNull()  # counts: areas times skills
+    sums = counts.withColumns({"base": F.max(F.when(whole, F.col("told"))).over(of_area), "vagas_area": F.max(F.when(whole, F.col("vagas"))).over(of_area)})
+    named = sums.filter(~whole & (F.col("base") >= least)).withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("base"), "area"))).filter(F.col("place") <= areas)
+    best = topn_per_group(named, "area", "tecnologia", top)
+    return best.select("area", "posicao", "tecnologia", "vagas", "base", "vagas_area", percent(F.col("vagas"), F.col("base")).alias("percentual"))
 
 
 def top_companies(jobs: DataFrame, top: int = 15) -> DataFrame:
-    named = jobs.filter(F.trim(F.coalesce("company", F.lit(""))) != "")
+    named = jobs.filter(strip_ws(F.coalesce("company", F.lit(""))) != "")
     return ranked(counted(named, "company").orderBy(F.desc("vagas"), "company").limit(top), "company")
 
 
 def sample_per_area(jobs: DataFrame, each: int = 5) -> DataFrame:
     """The first postings of each area, areas in the order of the ranking."""
-    order = Window.partitionBy("area").orderBy("title_ord", "rep_ord")
+    jobs = kept(jobs.select("area", "ord", "title", "title_ord", "rep_ord"), "sample")
+    order = Window.partitionBy("area").orderBy("title_ord", "rep_ord")  # each task passes on its first ones only
     firsts = jobs.withColumn("n", F.row_number().over(order).cast("long")).filter(F.col("n") <= each)
     return firsts.join(F.broadcast(area_ranking(jobs).select("area", "posicao")), "area").select("posicao", "area", "n", "ord", "title")
 

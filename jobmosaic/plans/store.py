@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmosaic.functions.dates import parse_published_date, reference_date
+from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import FALLBACK_AREA, Rules
+from jobmosaic.functions.text import strip_ws
 
 SNAPSHOT_COLUMNS = ["area", "seniority", "title", "company", "source", "location", "workplace_type", "published_date", "url", "skills", "area_score", "area_matches", "search_term", "external_id", "description"]
 #: Columns of the table that a change of which counts as an update.
 COMPARED = ["title", "company", "area", "seniority", "location", "workplace_type", "published_date", "url", "description", "area_score", "area_matches", "search_term"]
-#: Rows that are numbered in one task.
-NUMBERED_ROWS = 1 << 16
 
 
 def to_row(jobs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def known_rows(rows: DataFrame) -> DataFrame:
     """Rows with a source, an external id and a title."""
-    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    filled = lambda c: strip_ws(F.coalesce(F.col(c), F.lit(""))) != ""
     return rows.filter(filled("source") & filled("external_id") & filled("title"))
 
 
@@ -56,7 +56,7 @@ def latest_snapshot(rows: DataFrame) -> DataFrame:
 
 
 def blank_to_null(c: str) -> Column:
-    return F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    return F.nullif(strip_ws(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
 
 
 def float_or_null(c: str) -> Column:
@@ -67,7 +67,7 @@ def parse_skills_list(c: Column | str, rules: Rules) -> Column:
     """Names of a comma list that are known (in any case), spelled as known, each once, sorted."""
     c = F.col(c) if isinstance(c, str) else c
     known = F.create_map(*[x for name, _, _ in rules.skills for x in (F.lit(name.lower()), F.lit(name))])
-    names = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda s: F.try_element_at(known, F.lower(F.trim(s))))
+    names = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda s: F.try_element_at(known, F.lower(strip_ws(s))))
     return F.array_sort(F.array_distinct(F.filter(names, lambda s: s.isNotNull())))
 
 
@@ -76,20 +76,21 @@ def incoming(snapshot: DataFrame, rules: Rules, reference: dt.date | None = None
     day = reference_date(F.col("file_name"), F.col("file_time"), reference)
     text = ["company", "seniority", "location", "url", "description", "area_matches", "search_term"]
     return known_rows(snapshot).select(
-        "ord", F.trim("source").alias("source"), F.trim("external_id").alias("external_id"), F.trim("title").alias("title"),
+        "ord", strip_ws("source").alias("source"), strip_ws("external_id").alias("external_id"), strip_ws("title").alias("title"),
         F.coalesce(blank_to_null("area"), F.lit(FALLBACK_AREA)).alias("area"), *[blank_to_null(c).alias(c) for c in text],
         blank_to_null("workplace_type").alias("workplace_type"), parse_published_date("published_date", day).alias("published_date"),
         float_or_null("area_score").alias("area_score"), parse_skills_list("skills", rules).alias("skills"),
     )
 
 
-def numbered(rows: DataFrame, order: str, start: Column) -> DataFrame:
-    """id = start + 1, start + 2 ... in the order of a whole-number column, ranges of it side by side."""
-    marked = rows.withColumn("__range", F.floor(F.col(order) / NUMBERED_ROWS))
-    sizes = marked.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))  # one row a range
+def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
+    """id = start + 1, start + 2 ... in the order of a column. Sampled ranges of it are numbered side by side: they are
+    written with the number of their range, and only the ranges' sizes, one row each, are summed in one task."""
+    ranged = kept(rows.repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
     offsets = sizes.select(F.col("__range").alias("__of"), (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__offset"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(order))
-    return marked.join(offsets, F.col("__range") == F.col("__of")).withColumn("id", start + F.col("__offset") + inside).drop("__range", "__of", "__offset")
+    return ranged.join(offsets, F.col("__range") == F.col("__of")).withColumn("id", F.lit(start) + F.col("__offset") + inside).drop("__range", "__of", "__offset")
 
 
 @dataclass
@@ -105,34 +106,33 @@ def upsert_vagas(table: DataFrame | None, rows: DataFrame, now: dt.datetime) ->
     keeps id and created_at, and updated_at moves only if one of the compared columns changes. Counters: criadas,
     atualizadas (rows less criadas), sem_data (rows without a date), total."""
     key = ["source", "external_id"]
-    group = Window.partitionBy(*key)
-    last = rows.withColumns({"__n": F.row_number().over(group.orderBy(F.col("ord").desc())), "__first": F.min("ord").over(group)}).filter("__n = 1").drop("__n", "ord")
+    last = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("ord").desc()))).filter("__n = 1").drop("__n", "ord")
+    firsts = rows.groupBy(*key).agg(F.min("ord").alias("__first"))
     moment = F.lit(now).cast("timestamp")
     fields = [*COMPARED, "skills"]
+    columns = ["id", *key, *fields, "created_at", "updated_at"]
+    top = 0 if table is None else table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    new = firsts if table is None else firsts.join(table.select(*key), key, "left_anti")
+    ids = kept(numbered(new, "__first", top).select(*key, "id"), "new-ids")  # keys alone
     if table is None:
-        merged = numbered(last, "__first", F.lit(0).cast("long")).withColumns({"created_at": moment, "updated_at": moment})
-        created = last.agg(F.count(F.lit(1)).alias("criadas"))
+        vagas = last.join(ids, key).withColumns({"created_at": moment, "updated_at": moment}).select(*columns)
     else:
-        top = table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("__top"))
-        old = table.select(*[F.col(c).alias(f"__old_{c}") for c in table.columns])
-        both = old.join(last, [F.col(f"__old_{k}") == F.col(k) for k in key], "full")
-        fresh = numbered(both.filter("__old_id IS NULL").join(F.broadcast(top)), "__first", F.col("__top"))  # top: one row
+        known = table.select(F.lit(False).alias("__new"), *[F.col(c).alias(f"__old_{c}") for c in table.columns])
+        fresh = ids.select(F.lit(True).alias("__new"), *[(F.col(c) if c in (*key, "id") else F.lit(None).cast(table.schema[c].dataType)).alias(f"__old_{c}") for c in table.columns])
+        both = known.unionByName(fresh).join(last.withColumn("__comes", F.lit(True)), [F.col(f"__old_{k}") == F.col(k) for k in key], "left")
         changed = F.lit(False)
         for c in COMPARED:
             changed = changed | ~F.col(c).eqNullSafe(F.col(f"__old_{c}"))
-        comes = F.col("__first").isNotNull()
-        kept = both.filter("__old_id IS NOT NULL").select(
-            *[F.when(comes, F.col(c)).otherwise(F.col(f"__old_{c}")).alias(c) for c in [*key, *fields]],
-            F.col("__old_id").alias("id"), F.col("__old_created_at").alias("created_at"), F.when(comes & changed, moment).otherwise(F.col("__old_updated_at")).alias("updated_at"),
+        comes = F.coalesce("__comes", F.lit(False))
+        vagas = both.select(
+            F.col("__old_id").alias("id"), *[F.col(f"__old_{c}").alias(c) for c in key], *[F.when(comes, F.col(c)).otherwise(F.col(f"__old_{c}")).alias(c) for c in fields],
+            F.when(F.col("__new"), moment).otherwise(F.col("__old_created_at")).alias("created_at"),
+            F.when(F.col("__new") | (comes & changed), moment).otherwise(F.col("__old_updated_at")).alias("updated_at"),
         )
-        columns = ["id", *key, *fields, "created_at", "updated_at"]
-        merged = fresh.withColumns({"created_at": moment, "updated_at": moment}).select(*columns).unionByName(kept.select(*columns))
-        created = both.filter("__old_id IS NULL").agg(F.count(F.lit(1)).alias("criadas"))
-    vagas = merged.select("id", *key, *fields, "created_at", "updated_at")
     seen = rows.agg(F.count(F.lit(1)).alias("__rows"), F.count_if(F.col("published_date").isNull()).alias("sem_data"))
-    total = vagas.agg(F.count(F.lit(1)).alias("total"))
-    counters = created.crossJoin(seen).crossJoin(total)  # single rows
-    return Imported(vagas, counters.select("criadas", (F.col("__rows") - F.col("criadas")).alias("atualizadas"), "sem_data", "total"))
+    was = F.lit(0).cast("long") if table is None else F.lit(table.count())
+    counters = ids.agg(F.count(F.lit(1)).alias("criadas")).crossJoin(seen)  # single rows
+    return Imported(vagas, counters.select("criadas", (F.col("__rows") - F.col("criadas")).alias("atualizadas"), "sem_data", (was + F.col("criadas")).alias("total")))
 
 
 def seed_tecnologias(old: DataFrame | None, rules: Rules, spark: SparkSession) -> DataFrame:
@@ -156,5 +156,3 @@ def link_tecnologias(vagas: DataFrame, tecnologias: DataFrame) -> DataFrame:
 def save_table(df: DataFrame, path: str) -> None:
     """Writes a new version beside the old ones; nothing that is being read is overwritten."""
     df.write.mode("errorifexists").parquet(path)
-
-

@@ -19,8 +19,9 @@ from jobmosaic.plans import pipeline as P
 from jobmosaic.plans import query as Q
 from jobmosaic.plans import rankings as R
 from jobmosaic.plans import store as S
-from jobmosaic.plans.adapter import REFERENCE, jobs_raw, snapshot
+from jobmosaic.plans.adapter import REFERENCE, SNAPSHOT_FILES, jobs_raw, snapshot
 from jobmosaic.sources import portals as W
+from jobmosaic.streaming.imports import stream_import as start_import
 
 RULES = Rules()
 DAY = dt.date.fromisoformat(REFERENCE)
@@ -189,8 +190,9 @@ def export_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "snapshot")
-    S.write_csv(snapshot(spark, sf_dir, 0).select(*S.SNAPSHOT_COLUMNS), path)
-    back = S.read_snapshot(spark, path)
+    for part, name in enumerate(SNAPSHOT_FILES):
+        S.write_csv(snapshot(spark, sf_dir, part).select(*S.SNAPSHOT_COLUMNS), f"{path}/{name}")
+    back = S.read_snapshot(spark, f"{path}/*")
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "external_id", "title", "area", "skills", "area_score", "published_date", "url")], F.md5(F.coalesce("description", F.lit(""))).alias("description"))
 
 
@@ -213,6 +215,16 @@ def imported(spark: SparkSession, sf_dir: str) -> S.Imported:
     return S.upsert_vagas(first.vagas, S.incoming(snapshot(spark, sf_dir, 1), RULES), MOMENTS[1])
 
 
+@query
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both snapshots as files in one folder, imported by the stream; what the last version holds, but for its moments."""
+    path = scratch(spark, "stream")
+    for part, name in enumerate(SNAPSHOT_FILES):
+        S.write_csv(snapshot(spark, sf_dir, part).repartitionByRange("ord").sortWithinPartitions("ord").select(*S.SNAPSHOT_COLUMNS), f"{path}/in/{name}")
+    start_import(spark, f"{path}/in", f"{path}/versions", f"{path}/marks", RULES).awaitTermination()
+    return spark.read.parquet(f"{path}/versions/batch=0").select("source", "external_id", "title", "company", "area", "location", F.col("published_date").cast("string").alias("published_date"), "area_score", joined("skills"), F.md5("description").alias("description"))
+
+
 def vagas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(spark, sf_dir).vagas
 
@@ -255,8 +267,9 @@ on(
     vagas,
     upsert_vagas=lambda d: d.select("id", "source", "external_id", "title", "company", "area", "seniority", "location", "workplace_type", F.col("published_date").cast("string").alias("published_date"), "url", "area_score", "search_term", joined("skills"), F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at")),
     list_vagas=lambda d: _slim(Q.list_vagas(d, RULES, area="Data", source="gupy", q="jr")),
-    check_vocab=lambda d: _slim(Q.list_vagas(d, RULES, tecnologia="PYTHON", q="dev_lop%")),
+    check_vocab=lambda d: _slim(Q.list_vagas(d, RULES, tecnologia="PYTHON", q="des_nv%")),
     page_vagas=lambda d: _slim(Q.page_vagas(d, 50, 10)),
+    list_page=lambda d: (lambda p: _slim(p.vagas).crossJoin(p.total))(Q.list_page(d, RULES, 20, 5, q="jr")),  # total: one row
     filtered_total=lambda d: Q.filtered_total(Q.list_vagas(d, RULES, area="Backend")),
     table_health=lambda d: Q.filtered_total(d),
     get_vaga=lambda d: _slim(Q.get_vaga(d, 7)),
@@ -281,36 +294,47 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.filter("i IS NOT NULL").selectExpr("i", "CASE i % 2 WHEN 0 THEN 'estagio ti' ELSE 'qa junior' END AS term", "i div 20 AS page", "i % 20 AS pos")
 
 
+def _some(record: str) -> str:
+    """Ids as numbers and as strings, and some records that are cut off."""
+    either = f"if(i % 7 = 3, {record.replace('{id}', 'CAST(i AS STRING)')}, {record.replace('{id}', 'i')})"
+    return f"if(i % 17 = 9, substr({either}, 1, 40), {either})"
+
+
+def _deep(html: str) -> str:
+    """Some pages are nested thousands deep, some are empty, and some close what they never opened."""
+    return f"CASE WHEN i % 23 = 6 THEN '' WHEN i % 19 = 4 THEN concat(repeat('<div>', 3000), {html}) WHEN i % 19 = 5 THEN concat('</ul></div>', {html}, '<p') ELSE {html} END"
+
+
 def gupy_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = """to_json(named_struct('id', if(i % 11 = 5, null, i), 'name', if(i % 13 = 7, '', concat('Vaga ', i)), 'careerPageName', concat('Empresa ', i % 5), 'careerPageUrl', 'https://c.example', 'jobUrl', if(i % 2 = 0, concat('https://j.example/', i), null),
-      'description', '<p>Texto</p>', 'publishedDate', '2026-07-20T10:00:00Z', 'isRemoteWork', i % 3 = 0, 'city', if(i % 4 = 0, ' ', concat('Cidade ', i % 7)), 'state', if(i % 4 < 2, '', 'SP'), 'country', ' Brasil ', 'workplaceType', if(i % 5 = 0, 'hybrid', null)))"""
-    return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{record} AS json")
+    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '', concat('Vaga ', i)), 'careerPageName', concat('Empresa ', i % 5), 'careerPageUrl', 'https://c.example', 'jobUrl', if(i % 2 = 0, concat('https://j.example/', i), null),
+      'description', '<p>Texto</p>', 'publishedDate', '2026-07-20T10:00:00Z', 'isRemoteWork', i % 3 = 0, 'city', if(i % 4 = 0, ' ', concat(' Cidade  ', i % 7)), 'state', if(i % 4 < 2, '', 'SP'), 'country', ' Brasil ', 'workplaceType', if(i % 5 = 0, 'hybrid', null)))"""
+    return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{_some(record)} AS json")
 
 
 def trampos_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = """to_json(named_struct('id', if(i % 11 = 5, null, i), 'name', if(i % 13 = 7, '  ', concat(' Vaga ', i)), 'type_name', if(i % 3 = 0, null, 'Tipo A'), 'type_slug', if(i % 2 = 0, 'estagio', 'clt'), 'category_name', 'TI', 'home_office', if(i % 5 = 0, true, null), 'hybrid', i % 3 = 1,
+    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '  ', concat(' Vaga ', i)), 'type_name', if(i % 3 = 0, null, 'Tipo A'), 'type_slug', if(i % 2 = 0, 'estagio', 'clt'), 'category_name', 'TI', 'home_office', if(i % 5 = 0, true, null), 'hybrid', i % 3 = 1,
       'salary', if(i % 4 = 0, 'Não divulgada', if(i % 4 = 1, '', 'R$ 2.000')), 'published_at', '2026-07-21T09:00:00-03:00', 'custom_company_name', if(i % 6 = 0, 'Própria', null), 'company', named_struct('name', concat('Casa ', i % 9, ' ')),
       'email_share_url', if(i % 7 = 0, concat('https://t.example/o/', i, '/share/email'), null), 'whatsapp_share_url', if(i % 7 = 1, concat('https://w.example/o/', i, '/share/w'), null)))"""
-    return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{record} AS json")
+    return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{_some(record)} AS json")
 
 
 def vagas_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = """concat('<ul><li class="vaga odd "><h2><a class="link-detalhes-vaga" ', if(i % 11 = 5, '', concat('data-id-vaga="', i, '"')), if(i % 3 = 0, concat(' title="Vaga &amp; ', i, '"'), ''), ' href="', if(i % 2 = 0, '', 'https://x.example'), '/vagas/v', i, '"><mark>Dev</mark> de  Software</a></h2>
       <span class="emprVaga"> Casa ', i % 9, ' </span><span class="nivelVaga">Pleno</span><div class="detalhes"><p>Texto: <b>a</b>b</p></div><div class="vaga-local"><i></i> ', if(i % 4 = 0, '100% Home Office', 'Rio / RJ'), ' </div><span class="data-publicacao"><i></i>09/07/2026</span></li><li class="outra">x</li></ul>')"""
-    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{html} AS html")
+    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
 
 def programathor_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = """concat('<div class="wrapper-jobs-list"><a href="/jobs/', i, '-dev"><h3 class="x">', if(i % 5 = 2, '<span class="y color-red">Vencida</span> ', if(i % 5 = 3, '<span class="color-red">Nova</span>', '')), 'Programador ', i, '</h3><div class="cell-list-content-icon"><span><i class="fa fa-briefcase"></i>Casa ', i % 9, '</span>
       <span><i class="fas fa-map-marker-alt"></i>', element_at(array('São Paulo  (Híbrido)', 'Remoto', 'Recife', ''), cast(i % 4 + 1 as int)), '</span>', if(i % 3 = 0, '<span><i class="far fa-money-bill-alt"></i>Até R$4.000</span>', ''), '<span><i class="far fa-chart-bar"></i>Júnior</span><span><i class="far fa-file-alt"></i>', if(i % 6 = 0, 'Estágio', 'PJ'), '</span></div>
       <span class="tag-list z">PHP</span><span class="tag-list z">SQL</span></a><a href="/outro">y</a></div>')"""
-    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{html} AS html")
+    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
 
 def linkedin_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = """concat('<ul><li><div class="base-card job" data-entity-urn="', if(i % 11 = 5, 'urn:x', concat('urn:li:jobPosting:', i)), '"><a class="base-card__full-link" href="https://l.example/view/', i, '?position=1&amp;pageNum=0"><span>s</span></a><h3 class="base-search-card__title">', if(i % 13 = 7, '', concat('Dev &lt;', i, '&gt;')), '</h3>
       <h4 class="base-search-card__subtitle">Casa ', i % 9, '</h4><span class="job-search-card__location">', if(i % 4 = 0, 'Brasil (Remote)', 'São Paulo'), '</span><time datetime="2026-08-01T00">x</time></div></li></ul>')"""
-    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{html} AS html")
+    return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
 
 _LANDED = {"gupy": gupy_landed, "trampos": trampos_landed, "vagas": vagas_landed, "programathor": programathor_landed, "linkedin": linkedin_landed}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 from html.parser import HTMLParser
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmosaic.functions.rules import HYBRID, ON_SITE, PORTALS, REMOTE, SEARCH_TERMS
-from jobmosaic.functions.text import normalize_workplace, remote_if, squash_ws
+from jobmosaic.functions.text import normalize_workplace, remote_if, squash_ws, strip_ws
 
-GUPY = "id long, name string, description string, careerPageName string, careerPageUrl string, publishedDate string, isRemoteWork boolean, city string, state string, country string, jobUrl string, workplaceType string"
-TRAMPOS = "id long, name string, type_name string, type_slug string, category_name string, home_office boolean, hybrid boolean, salary string, published_at string, custom_company_name string, company struct<name: string>, email_share_url string, whatsapp_share_url string"
+GUPY = "id string, name string, description string, careerPageName string, careerPageUrl string, publishedDate string, isRemoteWork boolean, city string, state string, country string, jobUrl string, workplaceType string"
+TRAMPOS = "id string, name string, type_name string, type_slug string, category_name string, home_office boolean, hybrid boolean, salary string, published_at string, custom_company_name string, company struct<name: string>, email_share_url string, whatsapp_share_url string"
 
 #: Columns of a raw posting.
 RAW = ["source", "external_id", "title", "company", "url", "description", "location", "workplace_type", "published_date", "search_term", "seniority"]
@@ -39,25 +40,26 @@ def _placed(df: DataFrame, source: str, **fields: Column) -> DataFrame:
 
 
 def gupy_json(records: DataFrame) -> DataFrame:
-    """records: term, page, pos, json. Those without id or name are dropped."""
+    """records: term, page, pos, json. Those without id or name are dropped, and those that aren't JSON; an id may be of any type."""
     r = records.withColumn("r", F.from_json("json", GUPY)).filter("r.id IS NOT NULL AND coalesce(r.name, '') <> ''")
-    place = F.concat_ws(", ", *[F.nullif(squash_ws(f"r.{c}"), F.lit("")) for c in ("city", "state")])
+    place = F.concat_ws(", ", *[F.nullif(strip_ws(f"r.{c}"), F.lit("")) for c in ("city", "state")])
     return _placed(
-        r, "gupy", external_id=F.col("r.id").cast("string"), title=F.col("r.name"), company=_text("r.careerPageName"), url=_or("r.jobUrl", "r.careerPageUrl"),
-        description=_text("r.description"), location=_or(place, squash_ws("r.country")),
+        r, "gupy", external_id=F.col("r.id"), title=F.col("r.name"), company=_text("r.careerPageName"), url=_or("r.jobUrl", "r.careerPageUrl"),
+        description=_text("r.description"), location=_or(place, strip_ws("r.country")),
         workplace_type=normalize_workplace(_or("r.workplaceType", F.when(F.col("r.isRemoteWork"), F.lit("remote")))), published_date=F.substring(_text("r.publishedDate"), 1, 10),
     )
 
 
 def trampos_json(records: DataFrame, site: str = "https://trampos.co") -> DataFrame:
     """records: term, page, pos, json. The company's own description isn't used."""
-    r = records.withColumn("r", F.from_json("json", TRAMPOS)).withColumn("title", squash_ws("r.name")).filter("r.id IS NOT NULL AND title <> ''")
+    r = records.withColumn("r", F.from_json("json", TRAMPOS)).withColumn("title", strip_ws(F.coalesce("r.name", F.lit("")))).filter("r.id IS NOT NULL AND title <> ''")
     shared = lambda c: F.when(F.contains(_text(c), F.lit("/share/")), F.substring_index(c, "/share/", 1))
     said = lambda label, c: F.when(_text(c) != "", F.concat(F.lit(f"{label}: "), c if isinstance(c, Column) else F.col(c), F.lit(".")))
-    salary = F.when(F.upper(squash_ws("r.salary")) != "NÃO DIVULGADA", squash_ws("r.salary"))
+    pay = strip_ws(F.coalesce("r.salary", F.lit("")))
+    salary = F.when(F.upper(pay) != "NÃO DIVULGADA", pay)
     return _placed(
-        r, "trampos", external_id=F.col("r.id").cast("string"), title=F.col("title"), company=_or("r.custom_company_name", squash_ws("r.company.name")),
-        url=F.coalesce(shared("r.email_share_url"), shared("r.whatsapp_share_url"), F.concat(F.lit(f"{site}/oportunidades/"), F.col("r.id").cast("string"))),
+        r, "trampos", external_id=F.col("r.id"), title=F.col("title"), company=_or("r.custom_company_name", strip_ws("r.company.name")),
+        url=F.coalesce(shared("r.email_share_url"), shared("r.whatsapp_share_url"), F.concat(F.lit(f"{site}/oportunidades/"), F.col("r.id"))),
         description=F.concat_ws(" ", said("Categoria", "r.category_name"), said("Tipo", "r.type_name"), said("Salário", salary)),
         workplace_type=F.when(F.col("r.home_office"), F.lit(REMOTE)).when(F.col("r.hybrid"), F.lit(HYBRID)).otherwise(F.lit(ON_SITE)),
         published_date=F.substring(_text("r.published_at"), 1, 10), seniority=F.when(F.col("r.type_slug") == "estagio", F.lit("Estágio")).otherwise(F.lit("")),
@@ -65,17 +67,22 @@ def trampos_json(records: DataFrame, site: str = "https://trampos.co") -> DataFr
 
 
 class Node:
-    """An element: tag, attributes, and children that are nodes or strings."""
+    """An element: tag, attributes, and children that are nodes or strings. Pages may be nested to any depth."""
 
     def __init__(self, tag: str, attributes: dict[str, str | None], above: Node | None):
         self.tag, self.attributes, self.above = tag, attributes, above
         self.children: list[Node | str] = []
 
     def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
+        """All elements below, in the order in which they begin."""
+        open_ = [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, Node):
                 yield child
-                yield from child.walk()
+                open_.append(iter(child.children))
 
     def classes(self) -> list[str]:
         return (self.attributes.get("class") or "").split()
@@ -88,15 +95,15 @@ class Node:
 
     def text(self, without: Node | None = None) -> str:
         parts: list[str] = []
-
-        def gather(node: Node) -> None:
-            for child in node.children:
-                if isinstance(child, str):
-                    parts.append(child.strip())
-                elif child is not without:
-                    gather(child)
-
-        gather(self)
+        open_ = [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, str):
+                parts.append(child.strip())
+            elif child is not without:
+                open_.append(iter(child.children))
         return " ".join(" ".join(p for p in parts if p).split())
 
 
@@ -106,22 +113,26 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in self.EMPTY:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.above
-        if node is not None and node.above is not None:
-            self.at = node.above
+        if not self.open[tag]:
+            return  # nothing to close
+        while True:
+            node, self.at = self.at, self.at.above
+            self.open[node.tag] -= 1
+            if node.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)

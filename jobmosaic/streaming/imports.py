@@ -4,30 +4,42 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobmosaic.functions.rules import Rules
 from jobmosaic.plans.store import SNAPSHOT_COLUMNS, incoming, upsert_vagas
 
+#: Bits for the row of a file in ord; the place of the file among those of the batch is above.
+ROW_BITS = 33
 
-def stream_import(spark: SparkSession, folder: str, versions: str, checkpoint: str, rules: Rules | None = None, reference: dt.date | None = None) -> StreamingQuery:
+
+def in_order(batch: DataFrame) -> DataFrame:
+    """ord: files by their paths, rows as they stand in the file (a multi-line file is read by one task)."""
+    paths = batch.select(F.col("file_path").alias("of")).distinct()
+    places = paths.withColumn("place", F.row_number().over(Window.orderBy("of")).cast("long"))  # one row a file
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    placed = batch.withColumn("row", row).join(F.broadcast(places), F.col("file_path") == F.col("of"))
+    return placed.withColumn("ord", F.shiftleft("place", ROW_BITS).bitwiseOR(F.col("row"))).drop("of", "place", "row")
+
+
+def stream_import(spark: SparkSession, folder: str, versions: str, checkpoint: str, rules: Rules | None = None, reference: dt.date | None = None, files_a_batch: int | None = None) -> StreamingQuery:
     """Each batch of snapshot files makes the next version of the table, versions/batch=<n>, from the one before it.
 
-    A batch that is run again after a failure writes the same version again, so an import is exactly once. The
-    stream ends when the files that are there have been read. Inside a batch, files come in the order of their
-    names and rows in the order of their columns ord (or of their ids, if the files have none)."""
+    A batch that is run again after a failure writes the same version again: its moment (created_at, updated_at) is
+    the last change of its files, and its order is theirs by path and row. The stream ends when the files that are
+    there have been read. A version is the whole table; batches may be bounded by files_a_batch, which takes files
+    by their last change. Folders below the folder are read too."""
     rules = rules or Rules()
     schema = ", ".join(f"`{c}` string" for c in SNAPSHOT_COLUMNS)
-    files = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", 1).csv(folder)
-    rows = files.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_time"))
+    source = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
+    files = (source.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else source).csv(folder)
+    rows = files.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_time"))
 
     def merge(batch: DataFrame, number: int) -> None:
         table = spark.read.parquet(f"{versions}/batch={number - 1}") if number else None
-        # one file a batch; a multi-line file is read by one task in file order
-        placed = batch.withColumn("ord", F.monotonically_increasing_id())
-        moment = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        upsert_vagas(table, incoming(placed, rules, reference), moment).vagas.write.mode("overwrite").parquet(f"{versions}/batch={number}")
+        moment = batch.agg(F.max("file_time")).first()[0] or dt.datetime(1970, 1, 1)
+        upsert_vagas(table, incoming(in_order(batch), rules, reference), moment).vagas.write.mode("overwrite").parquet(f"{versions}/batch={number}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -67,15 +67,16 @@ def test_upsert(spark):
     assert tuple(again.counters.first()) == (0, 3, 1, 2)
     assert sorted(map(str, again.vagas.collect())) == sorted(map(str, table.select(again.vagas.columns).collect()))
     second = incoming(spark, [("h", "9", "N", "", "", "", ""), ("g", "2", "B", "", "", "sql", ""), ("g", "1", "A3", "Data", "", "", "")])
+    blank = incoming(spark, [("\t", "1", "x", "", "", "", ""), ("g", "\u00a0", "x", "", "", "", ""), ("g", "7", "\u2003\n", "", "", "", ""), ("g\t", " 8", "\u00a0T\t", "\t", "", " sql\u00a0,\tJava", "\u00a0")]).collect()
+    assert [(r.source, r.external_id, r.title, r.area, r.skills, r.company) for r in blank] == [("g", "8", "T", "Outros/TI Geral", ["Java", "SQL"], None)]
     two = {r.external_id: r for r in S.upsert_vagas(table, second, dt.datetime(2026, 9, 1)).vagas.collect()}
     assert two["9"].id == 3 and two["9"].created_at == dt.datetime(2026, 9, 1)
     assert two["2"].skills == ["SQL"] and two["2"].updated_at == dt.datetime(2026, 8, 1)  # links alone don't count
     assert two["1"].updated_at == dt.datetime(2026, 9, 1) and two["1"].created_at == dt.datetime(2026, 8, 1) and two["1"].published_date is None
 
 
-def test_numbers_follow_order_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(S, "NUMBERED_ROWS", 7)
-    rows = S.numbered(spark.range(5, 60).repartition(4).withColumnRenamed("id", "k"), "k", F.lit(100).cast("long")).collect()
+def test_numbers_follow_order_over_ranges(spark):
+    rows = S.numbered(spark.range(5, 60).repartition(4).withColumnRenamed("id", "k"), "k", 100).collect()
     assert sorted((r.k, r.id) for r in rows) == [(k, 96 + k) for k in range(5, 60)]
 
 
@@ -86,6 +87,13 @@ def test_queries(spark):
     page = lambda df, *a: [r.external_id for r in Q.page_vagas(df, *a).collect()]
     assert page(v) == ["2001", "1001", "1002", "2002"] and page(v, 2, 1) == ["1001", "1002"]
     assert page(Q.list_vagas(v, RULES, area="Data", tecnologia="python")) == ["1001"] and page(Q.list_vagas(v, RULES, q="DADOS", workplace_type="Híbrido")) == ["1002"]
+    one = Q.list_page(v, RULES, 1, 1, workplace_type="Remoto")
+    assert one.total.first()[0] == 2 and [r.external_id for r in one.vagas.collect()] == ["1001"]
+    odd = spark.createDataFrame([(1, "a\\x b"), (2, "ax b"), (3, "50% a\\")], "id long, title string")
+    assert [[r.id for r in Q.list_vagas(odd, RULES, q=q).collect()] for q in ("a\\x", "a_b", "%b", "a\\", "A\\X")] == [[1], [], [1, 2], [1, 3], [1]]
+    for wrong in ((0, 0), (201, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            Q.page_vagas(v, *wrong)
     counts = {r.nome: r.vagas for r in Q.area_counts(v, RULES).collect()}
     assert counts["Data"] == 2 and counts["Mobile"] == 0 and len(counts) == 10
     tec = S.seed_tecnologias(None, RULES, spark)
@@ -106,9 +114,18 @@ def test_streamed_import_equals_batches(spark, tmp_path):
     (folder / "vagas_20260731_000000.csv").write_text("\n".join([head, line("A", 1, "SQL"), line("B", 2)]) + "\n")
     run = lambda: stream_import(spark, str(folder), str(tmp_path / "versions"), str(tmp_path / "marks"), RULES).awaitTermination()
     run()
+    # two files of one batch: the later name wins, though it was written first
+    (folder / "vagas_20260802_000000.csv").write_text("\n".join([head, line("C2", 3)]) + "\n")
     (folder / "vagas_20260801_000000.csv").write_text("\n".join([head, line("A2", 1, "SQL"), line("C", 3)]) + "\n")
     run()
     last = spark.read.parquet(str(tmp_path / "versions" / "batch=1"))
     got = sorted((r.id, r.external_id, r.title, r.published_date, r.description) for r in last.collect())
     text = 'two\nlines, "quoted"'
-    assert got == [(1, "1", "A2", dt.date(2026, 7, 31), text), (2, "2", "B", dt.date(2026, 7, 30), text), (3, "3", "C", dt.date(2026, 7, 31), text)]
+    assert got == [(1, "1", "A2", dt.date(2026, 7, 31), text), (2, "2", "B", dt.date(2026, 7, 30), text), (3, "3", "C2", dt.date(2026, 8, 1), text)]
+    # the last batch runs again, as after a failure before it was marked as done
+    (tmp_path / "marks" / "commits" / "1").unlink()
+    for crc in (tmp_path / "marks" / "commits").glob(".1.crc"):
+        crc.unlink()
+    before = sorted(map(str, last.collect()))
+    run()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "versions" / "batch=1")).collect())) == before

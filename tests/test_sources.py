@@ -83,3 +83,18 @@ def test_union_order_of_large_pages(spark):
     for wrong in (-1, 1 << 31):
         with pytest.raises(Exception, match="beyond"):
             W.collect_union({"vagas": cards([wrong])}, ["vagas"], ["x", "termo"]).collect()
+
+
+def test_ids_of_any_type_and_records_that_are_no_json(spark):
+    rows = [("termo", 1, 0, '{"id": "0012", "name": "a", "city": " Rio  Claro ", "state": "SP"}'), ("termo", 1, 1, '{"id": 12345678901234567890, "name": "b"}'), ("termo", 1, 2, '{"id": 5, "na'), ("termo", 1, 3, ""), ("termo", 1, 4, None), ("termo", 1, 5, "[]")]
+    df = spark.createDataFrame(rows, "term string, page long, pos long, json string")
+    assert fields(W.gupy_json(df), "external_id", "location") == [("0012", "Rio  Claro, SP"), ("12345678901234567890", "")]
+    assert fields(W.trampos_json(df), "external_id", "url") == [("0012", "https://trampos.co/oportunidades/0012"), ("12345678901234567890", "https://trampos.co/oportunidades/12345678901234567890")]
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 10_000 + VAGAS
+    rows = [("termo", 1, deep), ("termo", 2, "</p></div>" * 5_000 + VAGAS), ("termo", 3, '<li class="vaga"><a class="link-detalhes-vaga" data-id-vaga="9" title="x"' ), ("termo", 4, "<![CDATA[ <!-- <li class='vaga'>"), ("termo", 5, "<li class='vaga'><b>" + "<i>" * 9_000 + "fim")]
+    df = spark.createDataFrame(rows, "term string, page long, html string")
+    assert fields(W.vagas_cards(df), "external_id", "title") == [("77", "Dev de Software Jr"), ("78", "Só texto")] * 2
+    assert W.parse(deep).text() == W.parse(VAGAS).text()
