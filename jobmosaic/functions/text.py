@@ -23,6 +23,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strings(values: list[str]) -> Column:
+    """A constant array. Given as one text, as a call for each value makes plans slow to build; Spark folds it to a literal."""
+    return F.split(F.lit("\x01".join(values)), "\x01") if values else F.array().cast("array<string>")
+
+
+def mapping(pairs: dict[str, str]) -> Column:
+    """A constant map, given in the same way."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def strip_ws(c: Column | str) -> Column:
     """No white space (Unicode) at the ends; null stays."""
     return F.regexp_replace(_col(c), f"^{SPACES}|{SPACES}$", "")
@@ -72,7 +82,7 @@ def _fold(c: Column | str, keep: str) -> Column:
     text = F.coalesce(_col(c), F.lit(""))
     source, target, several = folding()
     rare = F.length(F.translate(text, "".join(several), "")) < F.length(text)
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = mapping(several)
     spelled = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     whole = F.when(rare, spelled).otherwise(text)
     return F.trim(F.regexp_replace(F.translate(whole, source, target), f"[^a-z0-9{keep}]+", " "))
@@ -141,15 +151,15 @@ def phrase_hits(text: Column | str, phrases: list[str]) -> Column:
     by_first: dict[str, list[str]] = {}
     for phrase in dict.fromkeys(phrases):
         by_first.setdefault(phrase.split(" ")[0], []).append(phrase)
-    table = F.create_map(*[x for first, own in by_first.items() for x in (F.lit(first), F.array(*[F.lit(p) for p in own]))])
-    firsts = F.array(*[F.lit(f) for f in by_first])
+    table = mapping({first: "\x03".join(own) for first, own in by_first.items()})
+    firsts = strings(list(by_first))
 
     def within(padded: Column) -> Column:
-        candidates = F.flatten(F.transform(F.array_intersect(F.split(padded, " "), firsts), lambda w: F.try_element_at(table, w)))
+        candidates = F.flatten(F.transform(F.array_intersect(F.split(padded, " "), firsts), lambda w: F.split(F.try_element_at(table, w), "\x03")))
         return F.filter(candidates, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
 
     return bound(F.concat(F.lit(" "), _col(text), F.lit(" ")), within)
 
 
 def has_phrase(hits: Column, phrases: list[str]) -> Column:
-    return F.arrays_overlap(hits, F.array(*[F.lit(p) for p in phrases]))
+    return F.arrays_overlap(hits, strings(phrases))

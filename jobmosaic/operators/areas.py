@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from jobmosaic.functions.rules import Keyword, Rules
-from jobmosaic.functions.text import has_phrase, phrase_hits
+from jobmosaic.functions.text import has_phrase, mapping, phrase_hits, strings
 
 SCORES = ArrayType(StructType([StructField("area", StringType()), StructField("score", DoubleType()), StructField("title_score", DoubleType()), StructField("matches", ArrayType(StringType()))]))
 
@@ -80,7 +80,7 @@ def score_areas(rules: Rules) -> Column:
             for t, b, found in zip(titles, bodies, hits, strict=True)
         ])
 
-    every = F.array_intersect(F.array_union("title_hits", "body_hits"), F.array(*[F.lit(p) for p in by_phrase]))
+    every = F.array_intersect(F.array_union("title_hits", "body_hits"), strings(list(by_phrase)))
     return scores(F.col("norm_title"), F.col("norm_body"), every)
 
 
@@ -113,5 +113,5 @@ def keyword_hits(jobs: DataFrame, rules: Rules) -> DataFrame:
 def extract_skills(norm_tech: Column | str, rules: Rules) -> Column:
     """Sorted distinct skills of which an alias stands in the text (folded with # and + kept) as whole words."""
     aliases = rules.aliases
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    table = mapping(aliases)
     return F.array_sort(F.array_distinct(F.transform(phrase_hits(norm_tech, list(aliases)), lambda p: F.try_element_at(table, p))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobmosaic.functions.dates import parse_published_date, reference_date
 from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import FALLBACK_AREA, Rules
-from jobmosaic.functions.text import strip_ws
+from jobmosaic.functions.text import mapping, strip_ws
 
 SNAPSHOT_COLUMNS = ["area", "seniority", "title", "company", "source", "location", "workplace_type", "published_date", "url", "skills", "area_score", "area_matches", "search_term", "external_id", "description"]
 #: Columns of the table that a change of which counts as an update.
@@ -66,7 +66,7 @@ def float_or_null(c: str) -> Column:
 def parse_skills_list(c: Column | str, rules: Rules) -> Column:
     """Names of a comma list that are known (in any case), spelled as known, each once, sorted."""
     c = F.col(c) if isinstance(c, str) else c
-    known = F.create_map(*[x for name, _, _ in rules.skills for x in (F.lit(name.lower()), F.lit(name))])
+    known = mapping({name.lower(): name for name, _, _ in rules.skills})
     names = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda s: F.try_element_at(known, F.lower(strip_ws(s))))
     return F.array_sort(F.array_distinct(F.filter(names, lambda s: s.isNotNull())))
 
