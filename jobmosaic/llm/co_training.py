@@ -123,18 +123,20 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, back: np.nd
     for _ in range(rounds):
         if not open_.any():
             break
-        taken = np.zeros(len(open_), bool)
+        given = np.full((2, len(open_)), np.nan)
         for own in (0, 1):
             p = 1 / (1 + np.exp(-np.clip(views[own].logit(pool[own]), -30, 30)))
             for sure, label in ((p, 1.0), (1 - p, 0.0)):
                 order = np.argsort(-sure, kind="stable")
-                order = order[open_[order] & (sure[order] >= SURE)][:PER_ROUND]
-                rows[1 - own].append(pool[1 - own][order])
-                marks[1 - own].append(np.full(len(order), label))
-                taken[order] = True
-        if not taken.any():
+                given[own, order[open_[order] & (sure[order] >= SURE)][:PER_ROUND]] = label
+        open_ &= np.isnan(given).all(0)
+        given[:, (given[0] != given[1]) & ~np.isnan(given).any(0)] = np.nan  # the views contradict each other: it teaches neither
+        if np.isnan(given).all():
             break
-        open_ &= ~taken
+        for own in (0, 1):
+            order = np.flatnonzero(~np.isnan(given[own]))
+            rows[1 - own].append(pool[1 - own][order])
+            marks[1 - own].append(given[own, order])
         views = [View.fit(np.concatenate(r), np.concatenate(m)) for r, m in zip(rows, marks, strict=True)]
     check = back if back.any() and y[back].min() < y[back].max() else ~back
     ones = np.ones(int(check.sum()))
