@@ -1,8 +1,10 @@
+import math
 import random
 
 import numpy as np
 
 from jobmosaic.llm.co_training import co_train, fit_logistic, keep_good, meta_features, score_quality, text_features, train_model
+from jobmosaic.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, score string, quality int"
 LABELS = "doc_id long, quality int, text string"
@@ -66,3 +68,50 @@ def test_edges(spark):
     assert score_quality(none, labels).count() == 0 and keep_good(none, labels).count() == 0
     assert score_quality(df, spark.createDataFrame([], LABELS)).filter("kept and score is null").count() == len(rows)
     assert train_model(df, labels.filter("quality = 1")) is None
+
+
+def slow_scores(model, views):
+    """The combined score of one document by plain sums."""
+    calibrated = []
+    for view, x, (slope, shift) in zip(model.views, views, model.calibration, strict=True):
+        logit = sum(min(20.0, max(-20.0, (a - m) / s)) * w for a, m, s, w in zip(x, view.middle, view.spread, view.weights, strict=True))
+        calibrated.append(slope * logit + shift)
+    z = model.mix[0] * calibrated[0] + model.mix[1] * calibrated[1] + model.mix[2]
+    return [1 / (1 + math.exp(-min(30.0, max(-30.0, v)))) for v in (*calibrated, z)]
+
+
+def slow_text_features(text):
+    raw = text.encode()
+    words, size = raw.split(), max(1, len(raw))
+    many = max(1, len(words))
+    share = lambda test: sum(1 for b in raw if test(b)) / size
+    upper, lower = sum(1 for b in raw if 65 <= b <= 90), sum(1 for b in raw if 97 <= b <= 122)
+    dense = [upper / size, lower / size, share(lambda b: 48 <= b <= 57), share(lambda b: b > 127), share(lambda b: b == 32), share(lambda b: b == 10), share(lambda b: b < 32)]
+    dense += [upper / max(1, upper + lower), len(set(words)) / many, sum(a == b for a, b in zip(words, words[1:])) / many, min(1.0, size / many / 20), sum(1 for b in raw if b in b"!.?") / many]
+    dense += [math.log1p(size) / 12, math.log1p(many) / 10, float(many < 5), float(many < 20), max((raw.count(bytes([b])) for b in set(raw)), default=0) / size]
+    marks = [raw.count(m) / size for m in (bytes([b]) for b in b"|%$#&*!.,;:?<>{}[]()/\\=_~^@\"'-")]
+    return [*dense, *marks, *map(math.sqrt, marks), 1.0]
+
+
+def test_query_against_a_plain_twin(spark):
+    """Every row of the query, from the trained model, by a second way of taking features and adding up."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = train_model(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op6_quality_classifier"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = slow_scores(model, (slow_text_features(r.text), meta_features(r.asDict())))
+        assert np.allclose([got[r.doc_id].text_score, got[r.doc_id].meta_score, got[r.doc_id].score], want, atol=1e-9)
+        assert got[r.doc_id].kept == (got[r.doc_id].score >= 0.5)
+
+
+def test_contradicted_documents_teach_neither(monkeypatch):
+    """The views are each sure of the opposite: nothing is passed on, so the views stay as the labels made them."""
+    x = np.c_[np.r_[np.full(40, -5.0), np.full(40, 5.0)], np.ones(80)]
+    y, back = np.r_[np.zeros(40), np.ones(40)], np.arange(80) % 4 == 0
+    pool = np.c_[np.full(30, 5.0), np.ones(30)]
+    alone = co_train((x, x), y, back, (pool, pool * [-1, 1]), rounds=0)
+    taught = co_train((x, x), y, back, (pool, pool * [-1, 1]), rounds=3)
+    assert all(np.array_equal(a.weights, b.weights) for a, b in zip(alone.views, taught.views, strict=True))

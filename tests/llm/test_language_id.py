@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -72,3 +74,54 @@ def test_edges(spark):
     assert [got[i].lang_pred for i in (1, 2, 3, None, 4, 5)] == ["und", "und", "und", "a", "x", "x"]
     single = identify_languages(df, df.filter("lang = 'a'")).collect()
     assert {r.lang_pred for r in single} == {"und", "a"}
+
+
+def slow_cells(text):
+    """Hash cells of all byte pairs and triples, by plain arithmetic."""
+    data = b" " + text.lower().encode() + b" "
+    found = Counter()
+    for i in range(len(data) - 1):
+        two = data[i] * 0x9E3779B1 + data[i + 1] * 0x85EBCA77 & 0xFFFFFFFF
+        found[two >> 18] += 1
+        if i + 2 < len(data):
+            found[(two * 0xC2B2AE3D + data[i + 2] * 0x27D4EB2F & 0xFFFFFFFF) >> 18] += 1
+    return found
+
+
+def test_query_against_a_plain_twin(spark):
+    """Every row of the query by a second way of training and decoding: sums, log odds for each bit, losses, nearest codeword."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    sums = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and any(c.isalpha() for c in r.text or ""):
+            cells = slow_cells(r.text)
+            size = sum(cells.values())
+            own = sums.setdefault(r.lang, Counter())
+            for c, n in cells.items():
+                own[c] += n if size <= language_id.DOC_WEIGHT else round(n * (language_id.DOC_WEIGHT / size))
+    names = sorted(sums)
+    code = codewords(len(names)).tolist()
+    total = {n: sum(sums[n].values()) for n in names}
+    share = lambda n, c: (sums[n][c] + 0.5) / (total[n] + 0.5 * language_id.CELLS)
+    bits = range(len(code[0]))
+    weight = {}
+
+    def weights(c):
+        if c not in weight:
+            mean = lambda b, sign: (lambda v: sum(v) / len(v))([share(n, c) for n, w in zip(names, code, strict=True) if w[b] == sign])
+            weight[c] = [math.log(mean(b, 1)) - math.log(mean(b, -1)) for b in bits]
+        return weight[c]
+
+    got = {r.doc_id: r for r in QUERIES["op9_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        cells = slow_cells(r.text)
+        size = math.sqrt(sum(cells.values()))
+        margins = [sum(n * weights(c)[b] for c, n in cells.items()) / size for b in bits]
+        loss = [sum(math.log1p(math.exp(-m * w)) if m * w > -30 else -m * w for m, w in zip(margins, word, strict=True)) for word in code]
+        best = min(range(len(names)), key=loss.__getitem__)
+        score = 1 / sum(math.exp(min(700, loss[best] - x)) for x in loss)
+        assert abs(got[r.doc_id].score - score) < 1e-3 and (got[r.doc_id].lang_pred == names[best] or score < 0.51)
