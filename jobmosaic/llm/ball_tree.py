@@ -1,13 +1,15 @@
 """Exact top-k by inner product: ball trees over shards, branch and bound.
 
-Vectors are dealt to shards of bounded size and queries to blocks of bounded size; a task gets one shard and
-one block. It builds a ball tree over the shard and, for each query, visits the leaves in the order of their
-upper bound (query times centre plus length of the query times radius), until that bound is below the query's
-current kth score. The kth score from a first shard is shared with the tasks of all other shards.
+Vectors are dealt by position: each goes to the cell of the nearest of some centres, chosen far apart in a bounded
+sample, and cells are cut into pieces of bounded size. Each piece's ball tree is built and written once. A query is asked first in the cell that
+promises most; the kth score from there is shared with all other cells, and the query goes only to those whose
+ball's upper bound (query times centre plus length of the query times radius) reaches it. In a piece, leaves are
+visited in the order of that bound until it falls below the kth score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +19,13 @@ from pyspark.sql import functions as F
 
 from jobmosaic.llm.shared import stored
 
-#: Vectors in a shard and queries in a block, about.
+#: Vectors in a shard and queries that share one copy of its tree, about.
 SHARD_ROWS = 2048
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1 << 16
 LEAF_ROWS = 64
+#: Cells of the space and rows of the sample that their centres come from, at most. Cells only direct the search; every row is indexed.
+CELLS = 1024
+SAMPLE_ROWS = 8 * CELLS
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -34,6 +39,12 @@ class Ball:
     radius: float
     children: tuple[Ball, Ball] | None = None
 
+    def nodes(self) -> Iterator[Ball]:
+        """The nodes, each before its children."""
+        yield self
+        for child in self.children or ():
+            yield from child.nodes()
+
 
 def build(points: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, Ball]:
     """The order of the rows and the root. A node is cut at the median along the line between two far points."""
@@ -56,6 +67,17 @@ def build(points: np.ndarray, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, Ball]:
     return order, grow(0, len(points))
 
 
+def upper_bound(queries: np.ndarray, length: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    """No point of the ball has a greater inner product with the queries; room for rounding is left."""
+    upper = queries @ centre + length * radius
+    return upper + 1 + 1e-9 * (np.abs(upper) + length * (np.sqrt((centre**2).sum()) + radius))
+
+
+def as_bound(score: np.ndarray) -> np.ndarray:
+    """Scores to hold bounds against; the least score is none (products may lie beyond it)."""
+    return np.where(score == _LEAST, -np.inf, score.astype(float))
+
+
 def exact_products(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Integer inner products, (queries, vectors); beyond 64 bits they stop at the ends of the range."""
     if not vectors.size or not queries.size:
@@ -69,20 +91,18 @@ def exact_products(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in whole], np.int64)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, leaf: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best of this shard for each query, those below its floor left out."""
-    order, root = build(vectors.astype(float), leaf)
-    ids, vectors = ids[order], vectors[order]
+def search(ids: np.ndarray, vectors: np.ndarray, root: Ball, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best of a tree for each query, those below its floor left out. ids and vectors are in the tree's order."""
     real = queries.astype(float)
     length = np.sqrt((real**2).sum(1))
+    least = as_bound(floor)
     leaves: list[Ball] = []
     bounds: list[np.ndarray] = []
     stack = [(root, np.arange(len(queries)))]
     while stack:
         ball, asking = stack.pop()
-        upper = real[asking] @ ball.centre + length[asking] * ball.radius
-        upper = upper + 1 + 1e-9 * (np.abs(upper) + length[asking] * (np.sqrt((ball.centre**2).sum()) + ball.radius))  # for rounding
-        asking, upper = asking[upper >= floor[asking]], upper[upper >= floor[asking]]
+        upper = upper_bound(real[asking], length[asking], ball.centre, ball.radius)
+        asking, upper = asking[upper >= least[asking]], upper[upper >= least[asking]]
         if not len(asking):
             continue
         if ball.children:
@@ -102,7 +122,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             here = visit[:, step]
             bound = upper[np.arange(len(queries)), here]
             kth = np.where(filled[:, -1], np.maximum(best_score[:, -1], floor), floor)
-            going = np.flatnonzero((bound >= kth) & (bound > -np.inf))
+            going = np.flatnonzero((bound >= as_bound(kth)) & (bound > -np.inf))
             if not len(going):
                 break
             for number in np.unique(here[going]).tolist():
@@ -128,6 +148,62 @@ def valid_vectors(table: DataFrame, vec_id: str, embedding: str, scale: int) ->
     return table.filter(F.col(vec_id).isNotNull() & x.isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), ints.alias("v"))
 
 
+def far_centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Points of the sample, so many at most: each next one is the farthest from those before."""
+    chosen, gaps = [0], np.full(len(sample), np.inf)
+    while len(chosen) < cells:
+        gaps = np.minimum(gaps, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+        if not gaps.max() > 0:
+            break
+        chosen.append(int(gaps.argmax()))
+    return sample[chosen]
+
+
+def cells_of(points: np.ndarray, centres: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's nearest centre and its distance from it."""
+    cell = np.zeros(len(points), np.int32)
+    for low in range(0, len(points), rows):
+        cell[low : low + rows] = ((centres**2).sum(1) - 2 * (points[low : low + rows] @ centres.T)).argmin(1)
+    return cell, np.sqrt(((points - centres[cell]) ** 2).sum(1))
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64)
+
+
+#: Nodes come first in a tree's rows, then its points, then what is asked.
+_NODE, _POINT, _QUERY = 0, 1, 2
+_TREE = "dim int, cell int, piece int, kind int, at int, id long, v array<long>, centre array<double>, radius double, low int, high int, split boolean"
+
+
+def tree_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """A piece's tree: one row a node, from the root on, and one a point, in the tree's order."""
+    vectors = _stack(rows["v"])
+    order, root = build(vectors.astype(float))
+    balls = list(root.nodes())
+    nodes = [(_NODE, at, 0, None, b.centre, b.radius, b.low, b.high, b.children is not None) for at, b in enumerate(balls)]
+    points = [(_POINT, at, i, v, None, None, None, None, None) for at, (i, v) in enumerate(zip(rows["id"].to_numpy()[order].tolist(), vectors[order], strict=True))]
+    both = pd.DataFrame(nodes + points, columns=["kind", "at", "id", "v", "centre", "radius", "low", "high", "split"], dtype=object)
+    for place, column in enumerate(("dim", "cell", "piece")):
+        both.insert(place, column, rows[column].iloc[0])
+    return both
+
+
+def read_tree(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Ball]:
+    """(ids, vectors, root) of rows that tree_rows has made."""
+    nodes, points = rows[rows["kind"] == _NODE], rows[rows["kind"] == _POINT]
+    each = zip(nodes["low"], nodes["high"], nodes["centre"], nodes["radius"], nodes["split"], strict=True)
+
+    def grow() -> Ball:
+        low, high, centre, radius, split = next(each)
+        ball = Ball(int(low), int(high), np.asarray(centre, float), float(radius))
+        if split:
+            ball.children = grow(), grow()
+        return ball
+
+    return points["id"].to_numpy(), _stack(points["v"]), grow()
+
+
 def top_k(table: DataFrame, query_every: int, k: int, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row whose id is divisible by query_every.
 
@@ -136,34 +212,99 @@ def top_k(table: DataFrame, query_every: int, k: int, scale: int = 256, vec_id:
     columns aren't looked at. An empty table gives no rows."""
     rows = stored(valid_vectors(table, vec_id, embedding, scale), "vectors")
     total = rows.count()
-    shards = max(1, -(-total // shard_rows))
-    vectors = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    sample: dict[int, list] = {}
+    for row in rows.select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS).collect():
+        sample.setdefault(len(row.v), []).append(row.v)
+    wanted = min(CELLS, max(1, -(-total // shard_rows)))
+    centres = {dim: far_centres(np.array(found, float).reshape(len(found), dim), wanted) for dim, found in sample.items()}
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                cell, gap = cells_of(_stack(own["v"]).astype(float), centres[dim]) if dim in centres else (0, None)
+                yield own.assign(cell=cell, gap=gap)[["id", "v", "dim", "salt", "cell", "gap"]]
+
+    salted = rows.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id", F.monotonically_increasing_id()).alias("salt"))
+    dealt = stored(salted.mapInPandas(deal, "id long, v array<long>, dim int, salt long, cell int, gap double"), "dealt-vectors")
+    sizes = stored(dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")), "cell-sizes")
+    sizes = sizes.withColumn("pieces", F.ceil(F.col("n") / shard_rows))
+    # a cell's ball: the centre in the sample, the radius over all rows; no more balls than rows of the sample
+    balls: dict[int, list[tuple[int, int, np.ndarray, float]]] = {}
+    for row in sizes.filter("radius IS NOT NULL").orderBy("dim", "cell").collect():
+        balls.setdefault(row.dim, []).append((row.cell, row.n, centres[row.dim][row.cell], row.radius))
+
+    piece = F.pmod("salt", "pieces").cast("int")
+    trees = dealt.join(sizes.drop("n", "radius"), ["dim", "cell"]).select("dim", "cell", piece.alias("piece"), "id", "v")
+    trees = stored(trees.groupBy("dim", "cell", "piece").applyInPandas(tree_rows, _TREE), "ball-trees")
     queries = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id", "v"])
-    blocks = max(1, -(-total // (query_every * block_rows)))
-    queries = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.xxhash64("v").alias("mark"), F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).alias("block"))
-    queries = stored(queries, "queries")
-
-    def run(key, right, left):
-        if not len(right) or not len(left):
-            return pd.DataFrame({"q": [], "mark": [], "id": [], "score": []}).astype("int64")
-        stack = lambda c: np.stack(c.to_numpy()).astype(np.int64)
-        at, ids, scores = search(right["id"].to_numpy(), stack(right["v"]), left["q"].to_numpy(), stack(left["qv"]), left["floor"].to_numpy(), k)
-        return pd.DataFrame({"q": left["q"].to_numpy()[at], "mark": left["mark"].to_numpy()[at], "id": ids, "score": scores})
-
-    def answers(asked: DataFrame, shard_of_block: bool) -> DataFrame:
-        """asked: queries with floor. Either each block's first shard alone, or all its other shards."""
-        first = F.pmod(F.col("block"), F.lit(shards))
-        every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-        left = asked.withColumn("shard", F.explode(F.array(first) if shard_of_block else F.filter(every, lambda s: s != first)))
-        of_blocks = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-        right = vectors.withColumn("block", F.explode(F.filter(of_blocks, lambda b: (F.pmod(b, F.lit(shards)) == F.col("shard")) == F.lit(shard_of_block))))
-        keys = ["dim", "shard", "block"]
-        return right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(run, "q long, mark long, id long, score long")
-
-    first = stored(answers(queries.withColumn("floor", F.lit(_LEAST)), True), "first-answers")
-    kth = first.groupBy("q", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select(F.col("q").alias("of"), F.col("mark").alias("of_mark"), "kth")
-    asked = queries.join(kth, (F.col("q") == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").withColumn("floor", F.coalesce("kth", F.lit(_LEAST))).drop("of", "of_mark", "kth")
-    both = first.unionByName(answers(asked, False)) if shards > 1 else first
+    queries = stored(queries.select(F.col("id").alias("q"), "v", F.xxhash64("v").alias("mark"), F.size("v").alias("dim")), "queries")
+    ASKED = "q long, mark long, v array<long>, dim int, floor long, first_cell int, cell int"  # noqa: N806
+
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cell to ask first: the greatest product with the centre, of those with more than k rows if there are any."""
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                cell = 0
+                if dim in balls:
+                    number, n, centre, _ = (np.array(x) for x in zip(*balls[dim], strict=True))
+                    hope = _stack(own["v"]).astype(float) @ centre.T
+                    cell = number[np.where((n > k) | (n.max() <= k), hope, -np.inf).argmax(1)]
+                yield own.assign(floor=_LEAST, first_cell=cell, cell=cell)[["q", "mark", "v", "dim", "floor", "first_cell", "cell"]]
+
+    def within_bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query with each cell whose bound reaches its floor."""
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                real = _stack(own["v"]).astype(float)
+                length, floor = np.sqrt((real**2).sum(1)), as_bound(own["floor"].to_numpy())
+                for cell, _, centre, radius in balls.get(dim, [(0, 0, np.zeros(dim), np.inf)]):
+                    reached = upper_bound(real, length, centre, radius) >= floor if dim in balls else np.ones(len(own), bool)
+                    if reached.any():
+                        yield own[reached].assign(cell=cell)[["q", "mark", "v", "dim", "floor", "first_cell", "cell"]]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by tree, its nodes first, then its points, then what it is asked."""
+        here, held, tree = None, [], None
+        for batch in batches:
+            for key, own in batch.groupby(["dim", "cell", "piece", "block"], sort=False):
+                if key != here:
+                    here, held, tree = key, [], None
+                asking = own[own["kind"] == _QUERY]
+                if tree is None:
+                    held.append(own[own["kind"] != _QUERY])
+                if len(asking):
+                    tree = tree or read_tree(pd.concat(held))
+                    held = []
+                    at, ids, scores = search(*tree, asking["id"].to_numpy(), _stack(asking["v"]), asking["floor"].to_numpy(), k)
+                    yield pd.DataFrame({"q": asking["id"].to_numpy()[at], "mark": asking["mark"].to_numpy()[at], "id": ids, "score": scores})
+
+    def answers(asked: DataFrame) -> DataFrame:
+        """asked: queries with cell, piece and floor. Those of one piece share a copy of its tree, up to block_rows of them."""
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("q", "mark"), "blocks").cast("int"))
+        copies = asked.select("dim", "cell", "piece", "block").distinct()
+        # no null in a long column: pandas would make doubles of it
+        copied = trees.join(copies, ["dim", "cell", "piece"]).withColumns({"mark": F.lit(0).cast("long"), "floor": F.lit(0).cast("long")})
+        asked = asked.select("dim", "cell", "piece", "block", F.lit(_QUERY).alias("kind"), F.col("q").alias("id"), "mark", "v", "floor")
+        rows = copied.unionByName(asked, allowMissingColumns=True)
+        keys = ["dim", "cell", "piece", "block"]
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "at").mapInPandas(ask, "q long, mark long, id long, score long")
+
+    def with_blocks(asked: DataFrame, name: str) -> DataFrame:
+        """asked with pieces and blocks of its cells."""
+        asked = stored(asked, name)
+        blocks = asked.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+        return asked.join(sizes.drop("n", "radius").join(blocks, ["dim", "cell"]), ["dim", "cell"])
+
+    one = F.pmod(F.xxhash64("q", "mark", F.lit("piece")), "pieces").cast("int")
+    asked = with_blocks(queries.mapInPandas(promising, ASKED), "asked-first")
+    first = stored(answers(asked.withColumn("piece", one)), "first-answers")
+    kth = first.groupBy("q", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).drop("n")
     rank = F.row_number().over(Window.partitionBy("q", "mark").orderBy(F.col("score").desc(), "id"))
-    best = both.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best.select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    result = [F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score"]
+    if sizes.groupBy("dim").agg(F.sum("pieces").alias("trees")).filter("trees > 1").isEmpty():
+        return first.withColumn("rank", rank).select(*result)
+    known = asked.select("q", "mark", "v", "dim", "first_cell").join(kth, ["q", "mark"], "left").withColumn("floor", F.coalesce("kth", F.lit(_LEAST))).drop("kth")
+    others = with_blocks(known.mapInPandas(within_bounds, ASKED), "asked-others")
+    rest = F.filter(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1), lambda p: (F.col("cell") != F.col("first_cell")) | (p != one))
+    both = first.unionByName(answers(others.withColumn("piece", F.explode(rest))))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select(*result)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from jobmosaic.llm import ball_tree
 from jobmosaic.llm.ball_tree import build, exact_products, search, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, id string, v int, shard string"
@@ -34,6 +35,29 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, top_k(df, 50, 5, shard_rows=shard, block_rows=block).collect())) == want
 
 
+def test_clustered_vectors_and_dimensions_out_of_the_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(2000):
+        at = [0.0] * 8
+        at[i % 8] = 3.0
+        rows.append((i + 50 * 2**55 * (i % 3), [x + rng.gauss(0, 0.05) for x in at], "x", 1, None))
+    rows += [(5000 + i, [rng.gauss(0, 1) for _ in range(3 + i % 4)], "x", 1, None) for i in range(0, 400, 5)]
+    asked = {}
+
+    def counted(df, name, *by):
+        table = real(df, name, *by)
+        asked[name] = table.count()
+        return table
+
+    real = ball_tree.stored
+    monkeypatch.setattr(ball_tree, "stored", counted)
+    monkeypatch.setattr(ball_tree, "SAMPLE_ROWS", 60)
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA), 50, 5, shard_rows=50).collect()))
+    assert got == brute(rows, 50, 5)
+    assert asked["asked-others"] < asked["queries"] * asked["cell-sizes"] / 3
+
+
 def test_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [tuple(r) for r in df.select("vec_id", "embedding").collect()]
@@ -63,7 +87,8 @@ def test_tree_and_bounds():
     assert exact_products(middle, middle).tolist() == [[2**56 + 1, 5 * 2**28 + 3], [5 * 2**28 + 3, 34]]
     vectors = rng.integers(-50, 50, (300, 4))
     ids = np.arange(300)
-    at, found, score = search(ids, vectors, np.array([-1]), vectors[:1], np.array([0]), 7)
+    order, root = build(vectors.astype(float), 16)
+    at, found, score = search(ids[order], vectors[order], root, np.array([-1]), vectors[:1], np.array([0]), 7)
     all_scores = vectors @ vectors[0]
     want = sorted((-s, i) for i, s in enumerate(all_scores.tolist()))[:7]
     assert sorted(zip((-score).tolist(), found.tolist(), strict=True)) == [w for w in want if -w[0] >= 0]
