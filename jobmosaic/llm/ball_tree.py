@@ -212,8 +212,10 @@ def top_k(table: DataFrame, query_every: int, k: int, scale: int = 256, vec_id:
     columns aren't looked at. An empty table gives no rows."""
     rows = stored(valid_vectors(table, vec_id, embedding, scale), "vectors")
     total = rows.count()
+    salted = rows.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id", F.monotonically_increasing_id()).alias("salt"))
     sample: dict[int, list] = {}
-    for row in rows.select("v").orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS).collect():
+    few = salted.filter(F.pmod("salt", F.lit(max(1, total))) < 2 * SAMPLE_ROWS)  # about twice what is needed, so that not each partition sends a whole sample
+    for row in few.orderBy("salt").limit(SAMPLE_ROWS).select("v").collect():
         sample.setdefault(len(row.v), []).append(row.v)
     wanted = min(CELLS, max(1, -(-total // shard_rows)))
     centres = {dim: far_centres(np.array(found, float).reshape(len(found), dim), wanted) for dim, found in sample.items()}
@@ -224,7 +226,6 @@ def top_k(table: DataFrame, query_every: int, k: int, scale: int = 256, vec_id:
                 cell, gap = cells_of(_stack(own["v"]).astype(float), centres[dim]) if dim in centres else (0, None)
                 yield own.assign(cell=cell, gap=gap)[["id", "v", "dim", "salt", "cell", "gap"]]
 
-    salted = rows.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id", F.monotonically_increasing_id()).alias("salt"))
     dealt = stored(salted.mapInPandas(deal, "id long, v array<long>, dim int, salt long, cell int, gap double"), "dealt-vectors")
     sizes = stored(dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")), "cell-sizes")
     sizes = sizes.withColumn("pieces", F.ceil(F.col("n") / shard_rows))
