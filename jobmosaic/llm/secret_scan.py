@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -98,8 +100,13 @@ def _neighbour(values: np.ndarray, line: np.ndarray, step: int, none: int) -> np
     return out
 
 
-def tokenise(texts: list[str], files: list[tuple[str | None, str | None]]) -> Tokens:
-    """files: source and language of each text."""
+def digit_share(text: str) -> float:
+    """The share of ASCII digits, a feature of the whole file."""
+    return sum(map(text.count, "0123456789")) / max(1, len(text))
+
+
+def tokenise(texts: list[str], files: list[tuple[str | None, str | None]], shares: list[float] | None = None) -> Tokens:
+    """files: source and language of each text; shares: digit shares of the files, where texts are parts of them."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     plain = points < 128
@@ -138,7 +145,7 @@ def tokenise(texts: list[str], files: list[tuple[str | None, str | None]]) -> To
     shape[is_mark] = SHAPES - 1 - points[start[is_mark]].astype(np.int32) % 100
     line = np.cumsum(points == 10)[start]
     of = np.searchsorted(first, start, side="right") - 1
-    share = np.add.reduceat(((kind & 1) > 0).astype(np.int64), first) / np.maximum(1, sizes) if len(texts) else none
+    share = np.array(shares) if shares else np.add.reduceat(((kind & 1) > 0).astype(np.int64), first) / np.maximum(1, sizes)
     cell = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % (FILE_CELLS - 16)
     named = np.array([(cell(f"source={s}"), cell(f"lang={g}")) for s, g in files], np.int32).reshape(-1, 2)
     told = np.c_[named, FILE_CELLS - 16 + np.minimum(15, (share * 64).astype(np.int32))][of]
@@ -333,9 +340,33 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     return fit(features, tags, lengths)
 
 
-def added_spans(field: Field, texts: list[str], files: list[tuple[str | None, str | None]]) -> list[list[tuple[int, int]]]:
+def line_parts(text: str, most: int) -> list[tuple[int, int]]:
+    """Ranges of whole lines of up to most characters; a longer line is one range."""
+    parts, low = [], 0
+    while len(text) - low > most:
+        high = text.rfind("\n", low, low + most) + 1 or text.find("\n", low + most) + 1 or len(text)
+        parts.append((low, high))
+        low = high
+    return [*parts, (low, len(text))] if low < len(text) else parts
+
+
+def added_in_parts(field: Field, text: str, file: tuple[str | None, str | None], most: int) -> list[tuple[int, int]]:
+    """added_spans of one text, some lines at a time: a chain is one line, and what is told of the file is told to all parts."""
+    share = [digit_share(text)]
+    return [(low + a, low + b) for low, high in line_parts(text, most) for a, b in added_spans(field, [text[low:high]], [file], share)[0]]
+
+
+def free_of(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of those taken."""
+    taken = sorted(taken)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    before = [(a, b, bisect_left(starts, b)) for a, b in spans]
+    return [(a, b) for a, b, n in before if not n or reach[n - 1] <= a]
+
+
+def added_spans(field: Field, texts: list[str], files: list[tuple[str | None, str | None]], shares: list[float] | None = None) -> list[list[tuple[int, int]]]:
     """(start, end) of what the field tags in each text."""
-    tokens = tokenise(texts, files)
+    tokens = tokenise(texts, files, shares)
     tags = viterbi(field.emissions(tokens.features), tokens.line, field.moves)
     begin = np.flatnonzero(tags == B)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -376,11 +407,15 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tr
             texts = batch.column("text").to_pylist()
             files = list(zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True))
             for low, high in _slices(texts):
-                out = []
-                for t, more in zip(texts[low:high], added_spans(field.value, texts[low:high], files[low:high]), strict=True):
+                out, some = [], texts[low:high]
+                if max(map(len, some)) > SLICE_CHARS:
+                    added = [added_in_parts(field.value, t, f, SLICE_CHARS) for t, f in zip(some, files[low:high], strict=True)]
+                else:
+                    added = added_spans(field.value, some, files[low:high])
+                for t, more in zip(some, added, strict=True):
                     base = base_spans(t)
                     spans = [(a, k, b) for a, k, b, _ in base]
-                    spans += [(a, 3, b) for a, b in more if not any(a < y and x < b for x, _, y, _ in base)]
+                    spans += [(a, 3, b) for a, b in free_of(more, [(x, y) for x, _, y, _ in base])]
                     out.append([{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in sorted(spans)])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(out, shape)], names=["id", "spans"])
 

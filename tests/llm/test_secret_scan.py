@@ -33,6 +33,28 @@ def test_rules():
         assert [f"{S.KINDS[k]}:{a}:{b}" for a, k, b, _ in S.base_spans(text)] == plain_spans(text), text
 
 
+def test_long_text_in_parts_of_lines():
+    rng = np.random.default_rng(3)
+    field = S.Field(rng.normal(size=(S.SIZE, 3)).astype(np.float32), rng.normal(size=(3, 3)))
+    words = ["key", "=", "Zx81kQ2", "the", "é", "\n", "\n\n", "0042", "deadbeef", ".", " "]
+    for length in (0, 1, 30, 3000):
+        text = " ".join(rng.choice(words, length).tolist())
+        whole = S.added_spans(field, [text], [("web", None)])[0]
+        assert length < 3000 or len(whole) > 100
+        for most in (1, 40, 500, 10**6):
+            parts = S.line_parts(text, most)
+            assert "".join(text[a:b] for a, b in parts) == text
+            assert all(b - a <= most or "\n" not in text[a : b - 1] for a, b in parts)
+            assert S.added_in_parts(field, text, ("web", None), most) == whole
+
+
+def test_spans_free_of_others():
+    rng = random.Random(4)
+    for _ in range(500):
+        spans, taken = ([(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))] for _ in range(2))
+        assert S.free_of(spans, taken) == [(a, b) for a, b in spans if not any(a < y and x < b for x, y in taken)]
+
+
 def plain_tokens(text):
     out = []
     for n, line in enumerate(text.split("\n")):
