@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 #: A step's rows are encoded in slices of about so many characters.
 SLICE_CHARS = 1 << 20
-#: Pieces that a worker keeps.
+#: Pieces that a worker keeps, and their characters together; one slice's pieces may go beyond that.
 KEPT_PIECES = 200_000
+KEPT_CHARS = 1 << 23
 #: Longer pieces (bytes) get a tree of their own.
 SIDE_BY_SIDE = 64
 #: So many pieces are merged side by side.
@@ -176,14 +177,15 @@ def merge_columns(pieces: list[bytes], width: int, vocab: Vocabulary) -> tuple[n
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of up to KEPT_PIECES pieces between calls."""
+    """Encodes texts; keeps the ids of up to KEPT_PIECES pieces of KEPT_CHARS characters between calls."""
 
-    def __init__(self, vocab: Vocabulary, kept: int = KEPT_PIECES):
-        self.vocab, self.kept = vocab, kept
+    def __init__(self, vocab: Vocabulary, kept: int = KEPT_PIECES, kept_chars: int = KEPT_CHARS):
+        self.vocab, self.kept, self.kept_chars = vocab, kept, kept_chars
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -199,6 +201,7 @@ class Encoder:
         self.start[at], self.count[at] = self.used + np.cumsum(counts) - counts, counts
         self.place.update(zip(pieces, range(number, number + len(pieces)), strict=True))
         self.used = need
+        self.chars += sum(map(len, pieces))
 
     def _learn(self, pieces: list[str]) -> None:
         vocab, raws = self.vocab, [p.encode("utf-8", "surrogatepass") for p in pieces]
@@ -221,7 +224,7 @@ class Encoder:
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts in a row, and how many each text has."""
-        if len(self.place) > self.kept:
+        if len(self.place) > self.kept or self.chars > self.kept_chars:
             self.clear()
         pieces = [self.vocab.split.findall(t) for t in texts]
         fresh: set[str] = set().union(*pieces).difference(self.place)

@@ -48,6 +48,7 @@ def test_random_and_long_texts(vocab, peer):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(300))) for _ in range(1500)]
     texts += ["a" * n for n in (1, 2, 3, 31, 32, 33, 63, 64, 65, 66, 127, 129, 1000, 20001)] + [" " * 500, "\n" * 300 + "x", "abc" * 50000, ""]
     same(Encoder(vocab, kept=100), peer, texts)
+    same(Encoder(vocab, kept_chars=100), peer, texts)
 
 
 def test_columns_and_long_tree_agree(vocab):
