@@ -34,6 +34,10 @@ TRAIN_DOCS = 2000
 WINDOWS_A_DOC = 4
 #: Tokens in a window.
 WIDTH = 24
+#: Windows of one training step, passes over all windows, and steps that a few windows get at least.
+BATCH = 512
+PASSES = 5
+LEAST_STEPS = 60
 #: Characters whose features are worked out at once.
 SLICE_CHARS = 1 << 21
 O, B, I = 0, 1, 2  # noqa: E741
@@ -239,20 +243,23 @@ def log_likelihood(weights: np.ndarray, moves: np.ndarray, features: np.ndarray,
     return (gained - float(total.sum())) / count, slope / count, pairs / count
 
 
-def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, steps: int = 60, ridge: float = 1e-4, rate: float = 0.5) -> Field:
-    """Adaptive gradient ascent on the penalised likelihood, from zero."""
+def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, passes: int = PASSES, ridge: float = 1e-4, rate: float = 0.5) -> Field:
+    """Adaptive gradient ascent on the penalised likelihood, from zero, by BATCH windows at a time in a fixed random order."""
     weights, moves = np.zeros((SIZE, 3)), np.zeros((3, 3))
     if not len(features):
         moves[:, B] = moves[:, I] = _NEVER  # nothing learned: everything is outside
         return Field(weights.astype(np.float32), moves)
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
-    for _ in range(steps):
-        _, slope, pairs = log_likelihood(weights, moves, features, tags, lengths)
-        slope, pairs = slope - ridge * weights, pairs - ridge * moves
-        seen_w += slope**2
-        seen_m += pairs**2
-        weights += rate * slope / np.sqrt(seen_w)
-        moves += rate * pairs / np.sqrt(seen_m)
+    draw = np.random.default_rng(0)
+    parts = -(-len(features) // BATCH)
+    for _ in range(passes * max(1, LEAST_STEPS // (passes * parts))):
+        for at in np.array_split(draw.permutation(len(features)), parts):
+            _, slope, pairs = log_likelihood(weights, moves, features[at], tags[at], lengths[at])
+            slope, pairs = slope - ridge * weights, pairs - ridge * moves
+            seen_w += slope**2
+            seen_m += pairs**2
+            weights += rate * slope / np.sqrt(seen_w)
+            moves += rate * pairs / np.sqrt(seen_m)
     return Field(weights.astype(np.float32), moves)
 
 

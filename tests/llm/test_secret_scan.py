@@ -166,3 +166,32 @@ def test_field_learns_from_rare_finds_and_all_windows(spark, monkeypatch):
     secret_scan.train_field(docs, train_docs=20)
     secret_scan.train_field(docs)
     assert seen[0][1] >= 3 and seen[1][0] > 4000
+
+
+def test_planted_secrets_that_no_rule_finds(spark):
+    """Recall and precision on secrets of kinds that training never sees; decoys look like settings without a secret."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeilmnorst") for _ in range(rng.randrange(2, 9)))
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789"
+    taught = [lambda: f'password = "{draw(mixed, 20)}"', lambda: f"api_key: {draw(hexes, 32)}", lambda: f'secret="{draw(mixed, 24)}"', lambda: f"AKIA{draw('ABCDEFGHKLMNPQ234567', 16)}"]
+    planted = {"other key": lambda c: f'credential = "{c}"', "short hex": lambda c: f"key: {c}", "split": lambda c: f'secret = "{c[:10]}#{c[10:]}"'}
+    decoys = ['version = "1.20.3"', 'name: "readable"', "width = 1024", 'token = "none"', 'path = "some/where"']
+    rows, hidden = [], {}
+    for i in range(1200):
+        lines = [" ".join(word() for _ in range(8)) for _ in range(6)]
+        lines.insert(2, rng.choice(decoys))
+        if i % 4 == 1:
+            lines.insert(3, rng.choice(taught)())
+        if i % 4 == 2:
+            kind = list(planted)[i // 4 % 3]
+            code = draw(hexes, 15) if kind == "short hex" else draw(mixed, 20)
+            lines.insert(3, planted[kind](code))
+            low = "\n".join(lines).index(lines[3]) + lines[3].index(code[:10])
+            hidden[i] = kind, low, low + len(code) + (kind == "split")
+        rows.append((i, "\n".join(lines), "s", "en", "x", 1))
+    spans = [(r.doc_id, s.start, s.stop) for r in S.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect() for s in r.spans if s.kind == "crf"]
+    right = [(i, hidden[i][0]) for i, a, b in spans if i in hidden and a < hidden[i][2] and b > hidden[i][1]]
+    recall = {k: len({i for i, kind in right if kind == k}) / sum(v[0] == k for v in hidden.values()) for k in planted}
+    print("recall", recall, "precision", len(right) / max(1, len(spans)))
+    assert recall["other key"] >= 0.85 and len(right) >= 0.95 * len(spans)
