@@ -28,11 +28,22 @@ SURE = 0.95
 #: A document with a lower probability of being good is rejected.
 THRESHOLD = 0.5
 META_CELLS = 64
+#: Hash cells of words and pairs of neighbouring words in the text view.
+WORD_CELLS = 256
 _MARKS = b"|%$#&*!.,;:?<>{}[]()/\\=_~^@\"'-"
 
 
+def word_cells(words: list[bytes]) -> np.ndarray:
+    """Square roots of the shares of words and pairs of neighbouring words by hash cell."""
+    marks = {w: zlib.crc32(w) for w in set(words)}
+    one = np.fromiter(map(marks.__getitem__, words), np.uint32, len(words)) * np.uint32(0x9E3779B1)
+    pairs = one[:-1] * np.uint32(0x85EBCA77) + (one[1:] ^ one[1:] >> np.uint32(15)) * np.uint32(0xC2B2AE3D)
+    cells = np.concatenate([one, pairs]) >> np.uint32(32 - WORD_CELLS.bit_length() + 1)
+    return np.sqrt(np.bincount(cells, minlength=WORD_CELLS) / max(1, len(cells)))
+
+
 def text_features(text: str | None) -> np.ndarray:
-    """Shares of kinds of characters, words and lines of the whole text; null counts as empty."""
+    """Shares of kinds of characters, words and lines of the whole text, and its words and word pairs by hash cell; null counts as empty."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     size = max(1, len(raw))
@@ -48,7 +59,7 @@ def text_features(text: str | None) -> np.ndarray:
         float(many < 5), float(many < 20), counts.max() / size,
     ]
     marks = counts[np.frombuffer(_MARKS, np.uint8)] / size
-    return np.concatenate([dense, marks, np.sqrt(marks), [1.0]])
+    return np.concatenate([dense, marks, np.sqrt(marks), word_cells(words), [1.0]])
 
 
 def meta_features(row: dict) -> np.ndarray:

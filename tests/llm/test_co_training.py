@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -50,6 +51,16 @@ def test_whole_text_counts():
     assert np.isfinite(meta_features({"source": None, "lang": None, "n_chars": None})).all()
 
 
+def test_words_alone_tell(spark):
+    """Good and bad texts of the same letters, lengths and metadata; only words and their order differ."""
+    rng = random.Random(6)
+    good, bad = ["stone", "river", "light", "steam"], ["notes", "ervir", "thigl", "meats"]
+    rows = [(i, " ".join(rng.choice(bad if i % 3 == 0 else good) for _ in range(40)), "s", "en", 100, "x", 9) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "t") for i in range(0, 600, 2)], LABELS)
+    got = score_quality(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert np.mean([r.kept == (r.doc_id % 3 > 0) for r in got if r.doc_id % 2]) > 0.95
+
+
 def test_edges(spark):
     rng = random.Random(3)
     clean = lambda: " ".join(rng.choice(["the", "of", "river", "stone", "walk", "light"]) for _ in range(40)) + "."
@@ -80,6 +91,15 @@ def slow_scores(model, views):
     return [1 / (1 + math.exp(-min(30.0, max(-30.0, v)))) for v in (*calibrated, z)]
 
 
+def slow_word_cells(words):
+    """Shares of 256 cells, a word and a pair of words at a time, in whole numbers modulo 2**32."""
+    cells, m = [0] * 256, 1 << 32
+    one = [zlib.crc32(w) * 0x9E3779B1 % m for w in words]
+    for h in one + [(a * 0x85EBCA77 + (b ^ b >> 15) * 0xC2B2AE3D) % m for a, b in zip(one, one[1:])]:
+        cells[h >> 24] += 1
+    return [math.sqrt(n / max(1, sum(cells))) for n in cells]
+
+
 def slow_text_features(text):
     raw = text.encode()
     words, size = raw.split(), max(1, len(raw))
@@ -90,7 +110,7 @@ def slow_text_features(text):
     dense += [upper / max(1, upper + lower), len(set(words)) / many, sum(a == b for a, b in zip(words, words[1:])) / many, min(1.0, size / many / 20), sum(1 for b in raw if b in b"!.?") / many]
     dense += [math.log1p(size) / 12, math.log1p(many) / 10, float(many < 5), float(many < 20), max((raw.count(bytes([b])) for b in set(raw)), default=0) / size]
     marks = [raw.count(m) / size for m in (bytes([b]) for b in b"|%$#&*!.,;:?<>{}[]()/\\=_~^@\"'-")]
-    return [*dense, *marks, *map(math.sqrt, marks), 1.0]
+    return [*dense, *marks, *map(math.sqrt, marks), *slow_word_cells(words), 1.0]
 
 
 def test_query_against_a_plain_twin(spark):
