@@ -15,6 +15,7 @@ from jobmosaic.llm.language_id import held_out, identify_languages
 from jobmosaic.llm.secret_scan import scan_secrets
 from jobmosaic.llm.simhash import simhash_components
 from jobmosaic.llm.source_mix import mix_documents
+from jobmosaic.llm.suffix_array import cut_repeated_bytes
 from jobmosaic.llm.token_counts import length_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,7 +75,13 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_repeated_bytes(_documents(spark, sf_dir), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search, op11_suffix_array_dedup)}
 
 _OP2 = r"""
 WITH n AS (
