@@ -11,6 +11,7 @@ from jobmosaic.llm.byte_bpe import encode_and_decode
 from jobmosaic.llm.chunking import repeated_spans
 from jobmosaic.llm.co_training import score_quality
 from jobmosaic.llm.exact_dedup import exact_dedup
+from jobmosaic.llm.importance import resample
 from jobmosaic.llm.language_id import held_out, identify_languages
 from jobmosaic.llm.secret_scan import scan_secrets
 from jobmosaic.llm.simhash import simhash_components
@@ -81,7 +82,11 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search, op11_suffix_array_dedup)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, most=1, seed=2024, buckets=10_000)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_exact_dedup, op3_simhash_near_dedup, op4_token_counts, op5_substring_dedup, op6_quality_classifier, op7_byte_bpe, op8_source_mix, op9_language_id, op10_topk_search, op11_suffix_array_dedup, op12_importance_resampling)}
 
 _OP2 = r"""
 WITH n AS (
@@ -126,4 +131,38 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLE_SQL = {"op2_exact_dedup": _OP2, "op8_source_mix": _OP8}
+#: crc32 of each different word, byte by byte over a table made by its rule.
+_OP12 = r"""
+WITH table_of AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))
+), docs AS (
+  SELECT doc_id, row_number() OVER () AS row_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), marks AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), d AS (SELECT row_, unnest(words) AS word FROM docs
+), m AS (SELECT unnest(words) AS word FROM marks
+), distinct_words AS (SELECT DISTINCT word FROM (SELECT word FROM d UNION ALL SELECT word FROM m)
+), bytes AS (
+  SELECT word, list_transform(range(length(hex(word)) // 2), lambda i: CAST('0x' || substr(hex(word), 2 * i + 1, 2) AS BIGINT)) AS b FROM distinct_words
+), buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, table_of
+), s AS (SELECT bucket, count(*) AS n FROM d JOIN buckets USING (word) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS n FROM m JOIN buckets USING (word) GROUP BY bucket
+), totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all
+), gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+), weights AS (
+  SELECT row_, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY row_
+), scores AS (
+  SELECT docs.row_, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (row_)
+), places AS (
+  SELECT row_, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS eligible FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * eligible // 100 THEN place END AS rank FROM scores LEFT JOIN places USING (row_)
+"""
+
+ORACLE_SQL = {"op12_importance_resampling": _OP12, "op2_exact_dedup": _OP2, "op8_source_mix": _OP8}
