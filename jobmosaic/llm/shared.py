@@ -34,11 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read back: it cuts lineage and outlives executors. It is removed by
-    discard, or when the driver's Python ends."""
+    discard, or when the driver's Python ends. The shuffle files that the write needed go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _STORED:
         atexit.register(_remove_all)
     _STORED[path] = spark
@@ -48,6 +53,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 _STORED: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _remove(path: str) -> None:

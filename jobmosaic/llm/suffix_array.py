@@ -32,7 +32,7 @@ from jobmosaic.llm.shared import discard, join_classes, stored
 #: Bytes of a repeat.
 LENGTH = 200
 #: Windows of one run, at most.
-RUN = 128
+RUN = 256
 #: Period of the difference cover: bytes by which suffixes are sorted before ranks are asked.
 COVER = 32
 #: Different regions that one bucket hands to one owner at once, at most.
@@ -47,8 +47,8 @@ _MIX = 0xBF58476D1CE4E5B9
 
 
 def gram_of(length: int) -> int:
-    """Bytes of the strings whose least hash names a bucket: the power of two that is at most a third of the window."""
-    return 1 << max(0, (length // 3).bit_length() - 1)
+    """Bytes of the strings whose least hash names a bucket: the power of two that is at most a sixth of the window."""
+    return 1 << max(0, (length // 6).bit_length() - 1)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -290,39 +290,41 @@ def bucket_sizes(rows: DataFrame, length: int) -> DataFrame:
 
 
 def text_run_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(id, row, start, windows, bucket, digest, inner) of all runs; digest is of the region."""
-    names = ["id", "row", "start", "windows", "bucket", "digest", "inner"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    """(id, row, start, windows, bucket, high, low, inner) of all runs; high and low are the region's digest of 128 bits."""
+    names = ["id", "row", "start", "windows", "bucket", "high", "low", "inner"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.bool_()]
 
     def run(batches):
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for of, start, many, mark, inner, joined, at in text_runs(batch.column(2), length):
-                digest = [xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(at.tolist(), (at + many + length - 1).tolist(), strict=True)]
-                yield _batch(names, kinds, ids[of], marks[of], start, many, mark.view(np.int64), np.array(digest, np.uint64).view(np.int64), inner)
+                digest = b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(at.tolist(), (at + many + length - 1).tolist(), strict=True)])
+                digest = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                yield _batch(names, kinds, ids[of], marks[of], start, many, mark.view(np.int64), digest[:, 0], digest[:, 1], inner)
 
-    return rows.select("id", "row", "raw").mapInArrow(run, "id long, row long, start long, windows int, bucket long, digest long, inner boolean")
+    return rows.select("id", "row", "raw").mapInArrow(run, "id long, row long, start long, windows int, bucket long, high long, low long, inner boolean")
 
 
 def region_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(id, row, start, windows, bucket, regions, times, high, low, region) from (id, row, raw, runs): the bytes of the
-    regions of the runs, with a digest of 128 bits."""
-    names = ["id", "row", "start", "windows", "bucket", "regions", "times", "high", "low", "region"]
-    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 5 + [pa.binary()]
+    """(bucket, high, low, regions, region) from (id, row, raw, runs): the bytes of the regions that runs asks for, once for each task."""
+    names = ["bucket", "high", "low", "regions", "region"]
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
     def run(batches):
+        seen = set()  # a pair of numbers for each text of the task
         for batch in batches:
-            for one in range(batch.num_rows):
+            for one, text in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if text in seen:
+                    continue
+                seen.add(text)
                 raw, runs = memoryview(batch.column(2)[one].as_buffer()), batch.column(3)[one].values
-                start, windows, *rest = (runs.field(k).to_numpy() for k in range(5))
+                start, windows, *rest = (runs.field(k).to_numpy() for k in range(6))
                 for low in range(0, len(start), 1 << 12):
                     own = slice(low, low + (1 << 12))
                     regions = [bytes(raw[a : a + n + length - 1]) for a, n in zip(start[own].tolist(), windows[own].tolist(), strict=True)]
-                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r) for r in regions]), np.int64).reshape(-1, 2)
-                    same = [np.full(len(regions), batch.column(k)[one].as_py(), np.int64) for k in (0, 1)]
-                    yield _batch(names, kinds, *same, start[own], windows[own], *(r[own] for r in rest), digest[:, 0], digest[:, 1], regions)
+                    yield _batch(names, kinds, *(r[own] for r in rest), regions)
 
-    return texts.mapInArrow(run, "id long, row long, start long, windows int, bucket long, regions long, times long, high long, low long, region binary")
+    return texts.mapInArrow(run, "bucket long, high long, low long, regions long, region binary")
 
 
 def sorted_regions(regions: DataFrame, length: int, limit: int) -> DataFrame:
@@ -362,30 +364,29 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, limit: int = REGIONS
     total = lambda df, n: df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     spread = F.struct("id", "row", "start")
     sizes = stored(bucket_sizes(rows, length).filter("n > 1"), "repeated-buckets")
-    runs = join_classes(text_run_rows(rows, length), sizes, ["bucket"], "n", total(sizes, "n"), spread).filter("n is not null")
-    runs = stored(runs.groupBy("id", "row", "start", "windows", "bucket", "digest").agg(F.count(F.lit(1)).alias("times"), F.max("inner").alias("inner")), "repeated-bucket-runs")
-    kinds = runs.groupBy("bucket", "digest").agg(F.sum("times").alias("n"), F.max("inner").alias("inner"))
-    kinds = stored(kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("regions"), F.max("inner").alias("within")), "bucket-regions")
-    known = join_classes(runs, kinds, ["bucket"], "n", total(kinds, "n"), spread)
-    mixed = F.col("within") | (F.col("regions") > 1)
-    plain = known.filter(~mixed & (F.col("n") > 1))
-    asked = known.filter(mixed).groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows", "bucket", "regions", "times")).alias("runs"))
-    found = stored(region_rows(rows.join(asked, ["id", "row"]).select("id", "row", "raw", "runs"), length), "region-bytes")
-    different = found.groupBy("bucket", "high", "low").agg(F.max("regions").alias("regions"), F.first("region").alias("region"), F.sum("times").alias("n"))
-    different = stored(different, "different-regions")
-    answers = stored(sorted_regions(different.drop("n"), length, limit), "sorted-regions")
-    asks = answers.filter(F.size("asks") > 0).select("bucket", "high", "low", F.inline("asks"))
+    keys, spread = ["bucket", "high", "low"], F.struct("id", "row", "start")
+    runs = join_classes(text_run_rows(rows, length), sizes, ["bucket"], "n", total(sizes, "n"), spread).filter("n is not null").drop("n")
+    runs = stored(runs, "repeated-bucket-runs")
+    discard(sizes)
+    # one place of each different region tells its bytes; rows of one id and text are one place, but count each
+    place = F.min(F.struct("id", "row", "start", "windows")).alias("at")
+    different = stored(runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), place), "different-regions")
+    kinds = stored(different.groupBy("bucket").agg(F.count(F.lit(1)).alias("regions"), F.max("inner").alias("within")).filter("within or regions > 1"), "mixed-buckets")
+    asked = join_classes(different, kinds, ["bucket"], "regions", total(kinds, "regions"), F.col("high")).filter("regions is not null")
+    asked = asked.select("at.*", *keys, "regions").groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows", *keys, "regions")).alias("runs"))
+    texts = rows.join(asked, ["id", "row"]).select("id", "row", "raw", "runs")
+    answers = stored(sorted_regions(region_rows(texts, length), length, limit), "sorted-regions")
+    discard(kinds)
+    asks = answers.filter(F.size("asks") > 0).select(*keys, F.inline("asks"))
     again = asks.groupBy("digest").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("digest")
-    more = asks.join(again, "digest").groupBy("bucket", "high", "low").agg(F.collect_list("window").alias("more"))
-    keys = ["bucket", "high", "low"]
+    more = asks.join(again, "digest").groupBy(*keys).agg(F.collect_list("window").alias("more"))
     single = lambda c: F.when(F.col("n") == 1, F.col(c)).alias(c)  # noqa: E731  a region that stands in several places is a repeat as a whole
-    table = answers.select(*keys, "bits").join(different.select(*keys, "n"), keys).join(more, keys, "left").select(*keys, "n", single("bits"), single("more"))
-    table = stored(table, "region-answers")
-    told = join_classes(found.select("id", "row", "start", "windows", *keys), table, keys, "n", total(table, "n"), spread)
-    all_of = [F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("more")]
-    every = told.select("id", "row", "start", "windows", "bits", "more").union(plain.select("id", "row", "start", "windows", *all_of))
-    result = stored(every.groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows", "bits", "more")).alias("runs")), "repeated-windows")
-    discard(sizes, runs, kinds, found, different, answers, table)
+    table = different.select(*keys, "n").join(answers.select(*keys, "bits"), keys, "left").join(more, keys, "left").filter("n > 1 or bits is not null")
+    table = stored(table.select(*keys, "n", single("bits"), single("more")), "region-answers")
+    discard(different, answers)
+    told = join_classes(runs, table, keys, "n", total(table, "n"), spread).filter("n is not null")
+    result = stored(told.groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows", "bits", "more")).alias("runs")), "repeated-windows")
+    discard(runs, table)
     return result
 
 
