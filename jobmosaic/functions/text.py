@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import html
+import json
 import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from jobmosaic.functions.rules import COMPANY_NOISE, NOT_TOLD, REMOTE, WORKPLACE_EXACT, WORKPLACE_PARTS
 
@@ -43,17 +42,51 @@ def squash_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACES, " "))
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def character(code: Column) -> Column:
+    """The character of a code point (a long)."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numbered(code: Column) -> Column:
+    """What a numeric reference stands for: 0x80 to 0x9F are read as Windows letters, what is no character becomes U+FFFD, and
+    control characters and noncharacters vanish."""
+    letters = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    gone = code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    letter = F.try_element_at(mapping(letters), code.cast("string"))
+    return F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(letter.isNotNull(), letter).when(gone, "").otherwise(character(code))
+
+
+def _entity(piece: Column) -> Column:
+    """What follows an ampersand, with the entity it starts with (if it does) decoded."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        by_letter.setdefault(name[0], {})[name] = value
+    table = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+    old = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)  # names that need no semicolon
+    name = F.regexp_extract(piece, "^[^\\t\\n\\f <&#;]{1,32};?", 0)
+    known = F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), name)
+    part = F.regexp_extract(name, f"^(?:{'|'.join(old)})", 0)
+    short = F.try_element_at(F.try_element_at(table, F.substring(part, 1, 1)), part)
+    rest = lambda used: F.substring(piece, F.length(used) + 1, F.length(piece))
+    named = F.when(known.isNotNull(), F.concat(known, rest(name))).when(part != "", F.concat(short, rest(part))).otherwise(F.concat(F.lit("&"), piece))
+    decimal, hexadecimal = F.regexp_extract(piece, "^#[0-9]+;?", 0), F.regexp_extract(piece, "^#[xX][0-9a-fA-F]+;?", 0)
+    digits = lambda c: F.regexp_replace(c, "^#[xX]?0*|;$", "")
+    code = lambda c, base, most: F.when(F.length(digits(c)) > most, None).otherwise(F.conv(F.concat(F.lit("0"), digits(c)), base, 10).cast("long"))  # noqa: E731  longer ones are beyond all characters
+    spelled = lambda c, base, most: F.concat(F.transform(F.array(code(c, base, most)), _numbered)[0], rest(c))
+    return F.when(decimal != "", spelled(decimal, 10, 7)).when(hexadecimal != "", spelled(hexadecimal, 16, 6)).otherwise(named)
+
+
+def unescape(c: Column | str) -> Column:
+    """Entities decoded once, as HTML says: names with and without semicolon, decimal and hexadecimal numbers."""
+    text = _col(c)
+    pieces = F.split(text, "&")
+    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _entity), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def strip_html(c: Column | str) -> Column:
-    """Tags become spaces, then entities are decoded, then white space is squashed. Only rows with an ampersand visit Python."""
-    raw = F.coalesce(_col(c), F.lit(""))
-    bare = F.regexp_replace(raw, "<[^>]+>", " ")
-    some = F.contains(raw, F.lit("&"))
-    return squash_ws(F.when(some, _unescape(F.when(some, bare))).otherwise(bare))
+    """Tags become spaces, then entities are decoded, then white space is squashed."""
+    return squash_ws(unescape(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "<[^>]+>", " ")))
 
 
 @lru_cache(maxsize=1)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
-
-from jobmosaic.functions.rules import Keyword, Rules
-from jobmosaic.functions.text import has_phrase, mapping, phrase_hits, strings
 
-SCORES = ArrayType(StructType([StructField("area", StringType()), StructField("score", DoubleType()), StructField("title_score", DoubleType()), StructField("matches", ArrayType(StringType()))]))
+from jobmosaic.functions.rules import Rules
+from jobmosaic.functions.text import bound, has_phrase, mapping, phrase_hits
 
 
 def with_hits(jobs: DataFrame, rules: Rules) -> DataFrame:
@@ -28,65 +26,70 @@ def is_tech(rules: Rules) -> Column:
     return ~has_phrase(title, rules.gate_exclude) & (has_phrase(title, rules.gate_title + rules.strong) | has_phrase(body, rules.gate_body + rules.strong))
 
 
-def _first_free(text: str, phrase: str, used: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The first place of a phrase, as whole words of a padded text, that isn't inside a used span."""
-    at = text.find(f" {phrase} ")
-    while at >= 0:
-        span = (at + 1, at + 1 + len(phrase))
-        if not any(a <= span[0] and span[1] <= b for a, b in used):
-            return span
-        at = text.find(f" {phrase} ", at + 1)
-    return None
-
-
-def score_row(title: str, body: str, found: list[Keyword], boost: float) -> list[tuple[str, float, float, list[str]]]:
-    """Scores of one posting from the keywords known to occur in it. A keyword counts once: in the title (boosted) if
-    it has a free place there, else in the body; a place inside a longer keyword's place of the same area isn't free."""
-    by_area: dict[str, list[Keyword]] = {}
-    for k in sorted(found, key=lambda k: k.rank):
-        by_area.setdefault(k.area, []).append(k)
-    title, body = f" {title} ", f" {body} "
-    out = []
-    for area, keywords in by_area.items():
-        in_title: list[tuple[int, int]] = []
-        in_body: list[tuple[int, int]] = []
-        score = from_title = 0.0
-        matches = []
-        for k in keywords:
-            if span := _first_free(title, k.phrase, in_title):
-                in_title.append(span)
-                score, from_title = score + k.weight * boost, from_title + k.weight * boost
-                matches.append(f"{k.keyword}(t)")
-            elif span := _first_free(body, k.phrase, in_body):
-                in_body.append(span)
-                score += k.weight
-                matches.append(k.keyword)
-        if score > 0:
-            out.append((area, score, from_title, matches))
-    return sorted(out, key=lambda x: (x[2] <= 0, -x[1], x[0]))
+def _places(text: Column, phrase: Column) -> Column:
+    """Offsets of a phrase that stands as whole words in a text with a space at either end; those that share a space too."""
+    mark = F.concat(F.lit(" "), phrase, F.lit(" "))
+    pieces = F.split(text, F.concat(F.lit("(?="), mark, F.lit(")")))  # phrases are plain words: nothing in them to quote
+    upto = F.aggregate(pieces, F.array(F.lit(0)), lambda ends, p: F.array_append(ends, F.element_at(ends, -1) + F.length(p)))
+    inner = F.slice(upto, 2, F.size(pieces) - 1)
+    return F.when(F.startswith(text, mark), F.array_prepend(inner, F.lit(0))).otherwise(inner)
 
 
-def score_areas(rules: Rules) -> Column:
-    """Array of (area, score, title_score, matches) in the order of score_row; columns norm_title, norm_body and the hits are read."""
-    by_phrase: dict[str, list[Keyword]] = {}
-    for k in rules.keywords:
-        by_phrase.setdefault(k.phrase, []).append(k)
-    boost = rules.title_boost
+def _free(places: Column, size: Column, used: Column) -> Column:
+    """The first place of which the span isn't inside a used one; null if there is none."""
+    blocked = lambda p: F.exists(used, lambda s: (s["a"] <= p) & (p + size <= s["b"]))
+    return F.try_element_at(F.filter(places, lambda p: ~blocked(p)), F.lit(1))
+
+
+def _scored(area: Column, keywords: Column, boost: float) -> Column:
+    """(area, score, title_score, matches) of an area's keywords, in their order. A keyword counts once: in the title (boosted) if
+    it has a free place there, else in the body; a place inside the place of a keyword before it isn't free."""
+    spans = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(spans.alias("t"), spans.alias("b"), F.lit(0.0).alias("score"), F.lit(0.0).alias("title"), F.array().cast("array<string>").alias("matches"))
 
-    @F.pandas_udf(SCORES)
-    def scores(titles: pd.Series, bodies: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([
-            score_row(t, b, [k for p in found for k in by_phrase[p]], boost) if len(found) else []
-            for t, b, found in zip(titles, bodies, hits, strict=True)
-        ])
+    def put(used: Column, at: Column, k: Column) -> Column:
+        return F.array_append(used, F.struct(at.alias("a"), (at + k["size"]).alias("b")))
 
-    every = F.array_intersect(F.array_union("title_hits", "body_hits"), strings(list(by_phrase)))
-    return scores(F.col("norm_title"), F.col("norm_body"), every)
+    def step(acc: Column, k: Column) -> Column:
+        gain = k["weight"] * boost
+        in_title = lambda at: F.struct(put(acc["t"], at, k).alias("t"), acc["b"].alias("b"), (acc["score"] + gain).alias("score"), (acc["title"] + gain).alias("title"), F.array_append(acc["matches"], F.concat(k["keyword"], F.lit("(t)"))).alias("matches"))
+        in_body = lambda at: F.struct(acc["t"].alias("t"), put(acc["b"], at, k).alias("b"), (acc["score"] + k["weight"]).alias("score"), acc["title"].alias("title"), F.array_append(acc["matches"], k["keyword"]).alias("matches"))
+        body = lambda: bound(_free(k["body"], k["size"], acc["b"]), lambda at: F.when(at.isNotNull(), in_body(at)).otherwise(acc))
+        return bound(_free(k["title"], k["size"], acc["t"]), lambda at: F.when(at.isNotNull(), in_title(at)).otherwise(body()))
+
+    return F.aggregate(keywords, start, step, lambda acc: F.struct(area.alias("area"), acc["score"].alias("score"), acc["title"].alias("title_score"), acc["matches"].alias("matches")))
+
+
+def score_areas(rules: Rules) -> Column:
+    """Array of (area, score, title_score, matches): areas named in the title first, then by falling score, then by name.
+
+    norm_title, norm_body and the hits are read. Only keywords that occur are looked at: their places are found, then a
+    fold over them, longest first, carries the places used in each area."""
+    ordered = sorted(rules.keywords, key=lambda k: k.rank)
+    told = json.dumps([{"area": k.area, "phrase": k.phrase, "keyword": k.keyword, "weight": float(k.weight)} for k in ordered])
+    table = F.from_json(F.lit(told), "array<struct<area:string,phrase:string,keyword:string,weight:double>>")
+    hits = F.array_union("title_hits", "body_hits")
+    title, body = (F.concat(F.lit(" "), F.col(c), F.lit(" ")) for c in ("norm_title", "norm_body"))
+    none = F.array().cast("array<int>")
+    there = lambda hit, text, k: F.when(F.array_contains(hit, k["phrase"]), _places(text, k["phrase"])).otherwise(none)
+    placed = lambda k: F.struct(
+        k["area"].alias("area"), k["keyword"].alias("keyword"), k["weight"].alias("weight"), F.length(k["phrase"]).alias("size"),
+        there(F.col("title_hits"), title, k).alias("title"), there(F.col("body_hits"), body, k).alias("body"),
+    )
+
+    def areas(found: Column) -> Column:
+        own = F.array_distinct(F.transform(found, lambda k: k["area"]))
+        return F.transform(own, lambda a: _scored(a, F.filter(found, lambda k: k["area"] == a), rules.title_boost))
+
+    scores = bound(F.transform(F.filter(table, lambda k: F.array_contains(hits, k["phrase"])), placed), areas)
+    named = lambda x: F.when(x["title_score"] > 0, 0).otherwise(1)
+    before = lambda x, y: F.when(named(x) != named(y), named(x) - named(y)).when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["area"] < y["area"], -1).when(x["area"] > y["area"], 1).otherwise(0)
+    return F.array_sort(F.filter(scores, lambda x: x["score"] > 0), before)
 
 
 def with_scores(jobs: DataFrame, rules: Rules) -> DataFrame:
-    """jobs with the column scores. The one-element explode keeps the optimiser from moving the function into the
-    expressions that read the scores, where it would run several times."""
+    """jobs with the column scores. The one-element explode keeps the optimiser from copying the fold into each
+    expression that reads the scores, where it would run several times."""
     return jobs.select("*", F.explode(F.array(score_areas(rules))).alias("scores"))
 
 

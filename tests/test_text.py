@@ -1,4 +1,5 @@
 import html
+import html.entities
 import random
 import re
 
@@ -36,6 +37,15 @@ def test_goldens(spark):
     assert got == [("desenvolvedor junior back end",) * 2, ("ci cd",) * 2, ("", ""), ("c e c", "c# e c++"), ("node js",) * 2, ("fi 1 2",) * 2]
 
 
+def test_entities_as_python_decodes_them(spark):
+    names = sorted(html.entities.html5)
+    numbers = [0, 1, 8, 9, 10, 11, 12, 13, 14, 31, 32, 65, 126, 127, 128, 129, 141, 150, 159, 160, 255, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x2FFFF, 0x10FFFD, 0x10FFFE, 0x10FFFF, 0x110000, 10**9, 10**30]
+    rows = [f"&{n}" for n in names] + [f"a&{n.rstrip(';')}x y" for n in names] + [f"{w}{n:{k}}{e}z" for n in numbers for w, k in (("&#", "d"), ("&#x", "x"), ("&#X", "X"), ("&#000", "d")) for e in ("", ";")]
+    rows += ["&", "&&", "&;", "&#;", "&#x;", "&#xg;", "&amp;lt;", "&ampamp;", "& amp;", "&notit;", "&notin;", "&no", "a&b&c;d", "&#65&#66;&lt", "&\U0001f600;", "&" + "a" * 40 + ";", "&amp" + "b" * 40, None, "", "none", "&am\np;", "&#1114112;", "&g", "&gt", "&lt=3&gt;"]
+    got = [r[0] for r in values(spark, rows, T.unescape("t"))]
+    assert [(r, g) for r, g in zip(rows, got, strict=True) if g != (None if r is None else html.unescape(r))] == []
+
+
 def test_strip_html(spark):
     rows = ["<p>Vaga  J&uacute;nior</p>", "&lt;b&gt; a", None, "", "x &amp y &notit; &#65;", "a<br>b"]
     want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", r or "")).split()) for r in rows]
