@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobmosaic.functions.folders import scratch
+from jobmosaic.functions.folders import remove, scratch
 
 #: A key with more than 1/HOT_SHARE of all rows is looked up by broadcast; there are fewer than HOT_SHARE of those.
 HOT_SHARE = 4096
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting by which the shuffle files of a write go when it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table of the shared folder, read back: made once, however often it is read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that kept made and that nothing reads any more."""
+    for table in tables:
+        remove(table.kept_path)
 
 
 def join_spread(rows: DataFrame, keys: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
@@ -36,14 +54,20 @@ def join_spread(rows: DataFrame, keys: DataFrame, key: str, size: str, spread: C
 def parts_of(links: DataFrame) -> DataFrame:
     """(node, part) of the nodes of links (a, b): part is the least node that hangs together with the node.
 
-    Each round takes the least part of all neighbours, then the part of that part; it ends when nothing changes."""
+    Each round takes the least part of all neighbours, then the part of that part; it ends when nothing changes. A node
+    with a great share of all links is looked up by broadcast, so that its links don't meet in one task."""
     both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "part-links")
-    parts = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("part")).withColumnRenamed("a", "node"), "parts")
+    parts = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("part"), F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "node")
+    before = None
     while True:
-        near = both.join(parts.withColumnRenamed("node", "at"), F.col("b") == F.col("at")).groupBy("a").agg(F.min("part").alias("near"))
-        least = parts.join(near, F.col("node") == F.col("a")).select("node", F.col("part").alias("before"), F.least("part", "near").alias("low"))
-        jumped = least.join(parts.select(F.col("node").alias("at"), F.col("part").alias("lower")), F.col("low") == F.col("at"))
-        now = kept(jumped.select("node", "before", F.least("low", "lower").alias("part")), "parts")
+        near = join_spread(both, parts.withColumnRenamed("node", "b"), "b", "links", F.col("a")).groupBy("a").agg(F.min("part").alias("near"))
+        least = parts.join(near, F.col("node") == F.col("a")).select("node", "links", F.col("part").alias("before"), F.least("part", "near").alias("low"))
+        of_part = parts.select(F.col("node").alias("low"), F.col("part").alias("lower"))
+        sizes = least.groupBy("low").agg(F.count(F.lit(1)).alias("size")).join(of_part, "low")
+        now = kept(join_spread(least, sizes, "low", "size", F.col("node")).select("node", "links", "before", F.least("low", "lower").alias("part")), "parts")
+        if before is not None:
+            discard(before)
+        before, parts = now, now.select("node", "links", "part")
         if now.filter("part <> before").isEmpty():
+            discard(both)
             return now.select("node", "part")
-        parts = now.select("node", "part")

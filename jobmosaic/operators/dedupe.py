@@ -15,9 +15,10 @@ from jobmosaic.functions.joins import join_spread, kept, parts_of
 
 
 def first_of_term(jobs: DataFrame) -> DataFrame:
-    """Of rows with one source, search term and external id, the first."""
+    """Of rows with one source, search term and external id, the first. Dealt by source and id alone, so that the step
+    after it, by source key, needs no shuffle of its own."""
     order = Window.partitionBy("source", "external_id", "search_term").orderBy("ord")
-    return jobs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return jobs.repartition("source", "external_id").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
 def text_size(jobs: DataFrame) -> Column:
@@ -150,7 +151,7 @@ def _merge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def by_company(slim: DataFrame) -> DataFrame:
     """Only names that contain each other, straight or by way of others, can merge: each such part is walked on its own,
     however many postings its title has. A name of one posting that no other contains stays as it is."""
-    parts = parts_of(containments(kept(distinct_names(slim), "company-names")))
+    parts = parts_of(containments(distinct_names(slim)))
     same = Window.partitionBy("norm_title", "identity")
     told = slim.filter(F.size("identity") > 0).withColumns({"__node": F.min("ord").over(same), "__same": F.count(F.lit(1)).over(same)})
     told = told.join(parts.withColumnRenamed("node", "__at"), F.col("__node") == F.col("__at"), "left")
@@ -168,10 +169,10 @@ def dedupe_titles(jobs: DataFrame) -> DataFrame:
 
 
 def survivors_of(slim: DataFrame) -> DataFrame:
-    """The slim rows that survive all three steps, with first_ord, rep_ord and title_ord, as a table of the shared folder."""
+    """The slim rows that survive all three steps, with first_ord, rep_ord and title_ord; all but the last is a table of the shared folder."""
     left = kept(by_company(kept(by_fingerprint(by_source_key(slim)), "dedupe-keys")), "dedupe-merged")
     titles = left.groupBy("norm_title").agg(F.min("rep_ord").alias("title_ord"), F.count(F.lit(1)).alias("n"))
-    return kept(join_spread(left, titles, "norm_title", "n", F.col("ord")), "dedupe-survivors")
+    return join_spread(left, titles, "norm_title", "n", F.col("ord"))
 
 
 def dedupe_full(jobs: DataFrame) -> DataFrame:

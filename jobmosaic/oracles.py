@@ -277,6 +277,21 @@ ORACLE_SQL = {
 }
 
 
+#: Of each ranking, the columns that all_rankings has as posicao, grupo, nome, vagas and valor.
+_TOLD = {
+    "area_ranking": "posicao, NULL, area, vagas, percentual", "workplace_ranking": "posicao, NULL, modalidade, vagas, percentual", "workplace_informed_share": "NULL, NULL, modalidade, vagas, percentual_informado",
+    "workplace_by_area": "posicao, NULL, area, remoto, hibrido", "seniority_counts": "NULL, NULL, seniority, vagas, NULL", "source_counts": "NULL, NULL, source, vagas, NULL", "fallback_share_by_source": "NULL, NULL, source, outros, percentual",
+    "top_companies": "posicao, NULL, company, vagas, NULL", "overall_skills": "posicao, NULL, tecnologia, vagas, NULL", "skills_by_area": "posicao, area, tecnologia, vagas, NULL", "skill_base_by_area": "NULL, NULL, area, vagas, base",
+    "skill_share_by_area": "posicao, area, tecnologia, vagas, percentual",
+}
+_HEAD = len(_jobs(""))
+ORACLE_SQL["all_rankings"] = _jobs(
+    "SELECT ranking, posicao::BIGINT AS posicao, grupo::VARCHAR AS grupo, nome::VARCHAR AS nome, vagas::BIGINT AS vagas, valor::DOUBLE AS valor FROM ("
+    + " UNION ALL ".join(f"SELECT '{k}', {v} FROM ({ORACLE_SQL[k][_HEAD:]})" for k, v in _TOLD.items())
+    + ") t(ranking, posicao, grupo, nome, vagas, valor)"
+)
+
+
 def _landed(source: str, when: str, **fields: str) -> str:
     """The fields of the records that were landed for each page id; when: which of them stay."""
     term = "CASE i % 2 WHEN 0 THEN 'estagio ti' ELSE 'qa junior' END"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import Rules
 from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html
 from jobmosaic.operators.areas import classify, extract_skills, is_tech, with_hits, with_scores
@@ -54,14 +55,15 @@ class Stages:
         return self.flagged.filter(~F.col("tech"))
 
 
-def run(raw: DataFrame, rules: Rules | None = None, strict: bool = False, every_level: bool = False, keep_non_tech: bool = False) -> Stages:
+def run(raw: DataFrame, rules: Rules | None = None, strict: bool = False, every_level: bool = False, keep_non_tech: bool = False, counted: bool = False) -> Stages:
     """first of its term -> level -> dedupe -> tech gate -> area and skills.
 
     Up to the dedupe only slim rows go through shuffles; who survives is worked out at once, as a slim table. Then the
-    raw postings meet that table, and only survivors are cleaned, gated and scored, lazily."""
+    raw postings meet that table, and only survivors are cleaned, gated and scored, lazily. counted: the slim rows before the
+    level filter are written too, so that what counts them doesn't read the raw postings again."""
     rules = rules or Rules()
     slim = clean(raw).select("ord", "source", "external_id", "search_term", "seniority", "norm_title", "fingerprint", "identity", text_size(raw))
-    first = first_of_term(slim)
+    first = kept(first_of_term(slim), "first-of-term") if counted else first_of_term(slim)
     levelled = with_levels(first, rules, strict, every_level)
     told = ["first_ord", "rep_ord", "title_ord", "search_term", "seniority"]
     unique = clean(raw.drop("search_term", "seniority").join(survivors_of(levelled).select("ord", *told), "ord"))
@@ -70,8 +72,11 @@ def run(raw: DataFrame, rules: Rules | None = None, strict: bool = False, every_
 
 
 def funnel(raw: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """(etapa, vagas): raw rows after S7, dropped by level, duplicates, not tech, kept. The first two counts read keys and titles alone."""
-    s = run(raw, rules)
+    """(etapa, vagas): raw rows after S7, dropped by level, duplicates, not tech, kept. The first counts are of the slim table that
+    the dedupe starts from; the raw postings are read for it and for the gate, no more often than the pipeline does.
+
+    Counts come from written tables, not from metrics observed on the way: a task that runs again would count twice there."""
+    s = run(raw, rules, counted=True)
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     flags = s.flagged.agg(F.count_if("tech").alias("tech"), F.count_if(~F.col("tech")).alias("other"))
     one = count(s.raw).withColumnRenamed("n", "raw").crossJoin(count(s.levelled).withColumnRenamed("n", "levelled")).crossJoin(flags)  # single rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,29 @@ on(
 )
 
 
+@query
+def all_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ranking of one run of the pipeline, read from one table of sums: (ranking, posicao, grupo, nome, vagas, valor)."""
+    r = R.rankings(jobs(spark, sf_dir), RULES)
+    none, told = F.lit(None), {}
+    told["area_ranking"] = (r.area_ranking(), "posicao", none, "area", "vagas", "percentual")
+    told["workplace_ranking"] = (r.workplace_ranking(), "posicao", none, "modalidade", "vagas", "percentual")
+    told["workplace_informed_share"] = (r.workplace_informed_share(), none, none, "modalidade", "vagas", "percentual_informado")
+    told["workplace_by_area"] = (r.workplace_by_area(), "posicao", none, "area", "remoto", "hibrido")
+    told["seniority_counts"] = (r.seniority_counts(), none, none, "seniority", "vagas", none)
+    told["source_counts"] = (r.source_counts(), none, none, "source", "vagas", none)
+    told["fallback_share_by_source"] = (r.fallback_share_by_source(), none, none, "source", "outros", "percentual")
+    told["top_companies"] = (r.top_companies(), "posicao", none, "company", "vagas", none)
+    told["overall_skills"] = (r.overall_skills(), "posicao", none, "tecnologia", "vagas", none)
+    told["skills_by_area"] = (r.skills_by_area(), "posicao", "area", "tecnologia", "vagas", none)
+    told["skill_base_by_area"] = (r.skill_base_by_area(), none, none, "area", "vagas", "base")
+    told["skill_share_by_area"] = (r.skill_share_by_area(), "posicao", "area", "tecnologia", "vagas", "percentual")
+    kinds = (("posicao", "long"), ("grupo", "string"), ("nome", "string"), ("vagas", "long"), ("valor", "double"))
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    parts = [df.select(F.lit(name).alias("ranking"), *[column(c).cast(kind).alias(n) for c, (n, kind) in zip(columns, kinds, strict=True)]) for name, (df, *columns) in told.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.funnel(jobs_raw(spark, sf_dir), RULES)
