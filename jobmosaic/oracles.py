@@ -186,6 +186,8 @@ _BY_AREA = f"SELECT area, row_number() OVER (PARTITION BY area ORDER BY vagas DE
 _BASE = "SELECT area, count(*) FILTER (len(skills) > 0) AS base, count(*) AS vagas FROM jobs GROUP BY area HAVING base > 0"
 _SLIM = "SELECT id, source, external_id, title, CAST(published_date AS VARCHAR) AS published_date FROM vagas"
 _BOTH = f"(SELECT *, '{SNAPSHOT_FILES[0]}' AS file_name FROM snap0 UNION ALL SELECT *, '{SNAPSHOT_FILES[1]}' FROM snap1)"
+_LONG = """CASE WHEN ord % 19 = 3 THEN '"a' || chr(10) || description || chr(10) || chr(10) || '"b, c' ELSE description END"""
+_HELD = "SELECT id, source, external_id, title, company, area, location, CAST(published_date AS VARCHAR) AS published_date, area_score, coalesce(array_to_string(skills, ', '), '') AS skills"
 _TIDY = {c: f"coalesce({c}, '') AS {c}" for c in ("source", "external_id", "area", "seniority", "title", "company", "skills", "area_matches", "search_term")}
 
 _raw = lambda f: sql(_MAIN[:1], f)
@@ -245,8 +247,8 @@ ORACLE_SQL = {
     "sorted_export": _jobs("SELECT area, row_number() OVER (PARTITION BY area ORDER BY title, ord) AS posicao, title FROM jobs"),
     "export_ranking": _jobs(_RANK),
     "export_skills": _jobs(f"SELECT * FROM ({_BY_AREA}) WHERE posicao <= 15"),
-    "read_snapshot": _imp(f"SELECT source, external_id, title, area, skills, area_score, published_date, url, md5(description) AS description FROM {_BOTH} WHERE {_KNOWN}"),
-    "latest_snapshot": _imp(f"SELECT ord, file_name FROM {_BOTH} WHERE {_KNOWN} AND file_name = '{SNAPSHOT_FILES[1]}'"),
+    "read_snapshot": _imp(f"SELECT source, external_id, title, area, skills, area_score, published_date, url, md5({_LONG}) AS description, file_name FROM {_BOTH} WHERE {_KNOWN}"),
+    "latest_snapshot": _imp(f"SELECT source, external_id, title, area, skills, area_score, published_date, url, md5({_LONG}) AS description, file_name FROM {_BOTH} WHERE {_KNOWN} AND file_name = '{SNAPSHOT_FILES[1]}'"),
     "reference_date": _imp(f"SELECT ord, file_name, CASE WHEN file_name = '{SNAPSHOT_FILES[0]}' THEN '2026-07-31' ELSE '2026-08-15' END AS value, '{REFERENCE}' AS given FROM {_BOTH}"),
     "float_or_null": _imp(f"SELECT ord, file_name, TRY_CAST(nullif(trim(area_score), '') AS DOUBLE) AS value FROM {_BOTH}"),
     "blank_to_null": _imp(f"SELECT ord, file_name, nullif(trim(area), '') AS area, nullif(trim(company), '') AS company, nullif(trim(seniority), '') AS seniority FROM {_BOTH}"),
@@ -261,7 +263,8 @@ ORACLE_SQL = {
     "check_vocab": _imp(f"{_SLIM} WHERE list_contains(skills, 'Python') AND title ILIKE '%des_nv%%'"),
     "page_vagas": _imp(f"{_SLIM} ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 50 OFFSET 10"),
     "list_page": _imp(f"SELECT *, (SELECT count(*) FROM vagas WHERE title ILIKE '%jr%') AS total FROM ({_SLIM} WHERE title ILIKE '%jr%' ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 20 OFFSET 5)"),
-    "stream_import": _imp("SELECT source, external_id, title, company, area, location, CAST(published_date AS VARCHAR) AS published_date, area_score, coalesce(array_to_string(skills, ', '), '') AS skills, md5(description) AS description FROM vagas"),
+    "stream_import": _imp(f"{_HELD}, md5(description) AS description FROM vagas"),
+    "import_files": sql([(n, q.replace("substr(description, 1, 500) AS description", f"{_LONG.replace('description', 'substr(description, 1, 500)')} AS description") if n in ("snap0", "snap1") else q) for n, q in _IMPORT], f"{_HELD}, md5(description) AS description FROM vagas"),
     "filtered_total": _imp("SELECT count(*) AS total FROM vagas WHERE area = 'Backend'"),
     "table_health": _imp("SELECT count(*) AS total FROM vagas"),
     "get_vaga": _imp(f"{_SLIM} WHERE id = 7"),

@@ -12,8 +12,8 @@ from jobmosaic.functions.dates import parse_published_date, reference_date
 from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import FALLBACK_AREA, Rules
 from jobmosaic.functions.text import mapping, strip_ws
+from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS, latest_file, read_csv_rows
 
-SNAPSHOT_COLUMNS = ["area", "seniority", "title", "company", "source", "location", "workplace_type", "published_date", "url", "skills", "area_score", "area_matches", "search_term", "external_id", "description"]
 #: Columns of the table that a change of which counts as an update.
 COMPARED = ["title", "company", "area", "seniority", "location", "workplace_type", "published_date", "url", "description", "area_score", "area_matches", "search_term"]
 
@@ -43,10 +43,18 @@ def known_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(filled("source") & filled("external_id") & filled("title"))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot's rows as strings, in file order (ord), with the name and last change of their file."""
-    rows = read_csv(spark, path, SNAPSHOT_COLUMNS).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("file_time"))
-    return known_rows(rows)
+def read_snapshot(spark: SparkSession, *paths: str) -> DataFrame:
+    """A snapshot's rows as strings, in file order (ord), with the name and last change of their file. Large files are read in
+    blocks side by side; a folder of parts named like a snapshot is one."""
+    return known_rows(read_csv_rows(spark, SNAPSHOT_COLUMNS, *paths))
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the snapshot whose name comes last; the others aren't opened."""
+    path = latest_file(spark, folder)
+    if path is None:
+        raise FileNotFoundError(f"{folder} has no vagas_*.csv")
+    return read_snapshot(spark, path)
 
 
 def latest_snapshot(rows: DataFrame) -> DataFrame:
@@ -99,19 +107,23 @@ class Imported:
     counters: DataFrame
 
 
-def upsert_vagas(table: DataFrame | None, rows: DataFrame, now: dt.datetime) -> Imported:
+def upsert_vagas(table: DataFrame | None, rows: DataFrame, now: dt.datetime, top: int | None = None, was: int | None = None) -> Imported:
     """Merges incoming rows into the table by (source, external_id); table is None to start anew.
 
     Of rows with one key the last wins with all its fields; keys that don't come in stay as they are. A known key
     keeps id and created_at, and updated_at moves only if one of the compared columns changes. Counters: criadas,
-    atualizadas (rows less criadas), sem_data (rows without a date), total."""
+    atualizadas (rows less criadas), sem_data (rows without a date), total. Where table is a part of a larger one that has every
+    key of the rows, top is the highest id of that one and was its number of rows."""
     key = ["source", "external_id"]
     last = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("ord").desc()))).filter("__n = 1").drop("__n", "ord")
     firsts = rows.groupBy(*key).agg(F.min("ord").alias("__first"))
     moment = F.lit(now).cast("timestamp")
     fields = [*COMPARED, "skills"]
     columns = ["id", *key, *fields, "created_at", "updated_at"]
-    top = 0 if table is None else table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    if top is None:
+        top = 0 if table is None else table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    if was is None:
+        was = 0 if table is None else table.count()
     new = firsts if table is None else firsts.join(table.select(*key), key, "left_anti")
     ids = kept(numbered(new, "__first", top).select(*key, "id"), "new-ids")  # keys alone
     if table is None:
@@ -130,9 +142,8 @@ def upsert_vagas(table: DataFrame | None, rows: DataFrame, now: dt.datetime) ->
             F.when(F.col("__new") | (comes & changed), moment).otherwise(F.col("__old_updated_at")).alias("updated_at"),
         )
     seen = rows.agg(F.count(F.lit(1)).alias("__rows"), F.count_if(F.col("published_date").isNull()).alias("sem_data"))
-    was = F.lit(0).cast("long") if table is None else F.lit(table.count())
     counters = ids.agg(F.count(F.lit(1)).alias("criadas")).crossJoin(seen)  # single rows
-    return Imported(vagas, counters.select("criadas", (F.col("__rows") - F.col("criadas")).alias("atualizadas"), "sem_data", (was + F.col("criadas")).alias("total")))
+    return Imported(vagas, counters.select("criadas", (F.col("__rows") - F.col("criadas")).alias("atualizadas"), "sem_data", (F.lit(was).cast("long") + F.col("criadas")).alias("total")))
 
 
 def seed_tecnologias(old: DataFrame | None, rules: Rules, spark: SparkSession) -> DataFrame:
@@ -151,8 +162,3 @@ def link_tecnologias(vagas: DataFrame, tecnologias: DataFrame) -> DataFrame:
     """(vaga_id, tecnologia_id) for each skill of a posting that is known, in any case."""
     names = vagas.select(F.col("id").alias("vaga_id"), F.explode("skills").alias("skill"))
     return names.join(F.broadcast(tecnologias.select(F.col("id").alias("tecnologia_id"), "nome")), F.lower("skill") == F.lower("nome")).select("vaga_id", "tecnologia_id").distinct()
-
-
-def save_table(df: DataFrame, path: str) -> None:
-    """Writes a new version beside the old ones; nothing that is being read is overwritten."""
-    df.write.mode("errorifexists").parquet(path)

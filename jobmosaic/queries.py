@@ -21,7 +21,9 @@ from jobmosaic.plans import query as Q
 from jobmosaic.plans import rankings as R
 from jobmosaic.plans import store as S
 from jobmosaic.plans.adapter import REFERENCE, SNAPSHOT_FILES, jobs_raw, snapshot
+from jobmosaic.plans.versions import VersionedTable
 from jobmosaic.sources import portals as W
+from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS
 from jobmosaic.streaming.imports import stream_import as start_import
 
 RULES = Rules()
@@ -184,7 +186,7 @@ def _exported(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
 
 @query
 def export_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = _exported(S.to_row(jobs(spark, sf_dir)), "export-jobs", S.SNAPSHOT_COLUMNS)
+    back = _exported(S.to_row(jobs(spark, sf_dir)), "export-jobs", SNAPSHOT_COLUMNS)
     empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "external_id", "area", "seniority", "title", "company", "skills", "area_matches", "search_term")]
     return back.select(*empty, F.col("area_score").cast("double").alias("area_score"), F.md5("description").alias("description"))
 
@@ -211,13 +213,44 @@ def export_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # snapshots, import and the imported table
+def landed_snapshots(spark: SparkSession, sf_dir: str, *parts: int) -> str:
+    """A folder with these snapshots as CSV, each a folder of parts in order of arrival. Some titles hold line ends and quotes."""
+    path = scratch(spark, "snapshots")
+    for part in parts or range(len(SNAPSHOT_FILES)):
+        rows = snapshot(spark, sf_dir, part).repartitionByRange("ord").sortWithinPartitions("ord").withColumn("description", F.when(F.col("ord") % 19 == 3, F.concat(F.lit('"a\n'), "description", F.lit('\n\n"b, c'))).otherwise(F.col("description")))
+        S.write_csv(rows.select(*SNAPSHOT_COLUMNS), f"{path}/{SNAPSHOT_FILES[part]}")
+    return path
+
+
+_told = ("source", "external_id", "title", "area", "skills", "area_score", "published_date", "url")
+
+
+def _as_read(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _told], F.md5(F.coalesce("description", F.lit(""))).alias("description"), "file_name")
+
+
 @query
 def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "snapshot")
-    for part, name in enumerate(SNAPSHOT_FILES):
-        S.write_csv(snapshot(spark, sf_dir, part).select(*S.SNAPSHOT_COLUMNS), f"{path}/{name}")
-    back = S.read_snapshot(spark, f"{path}/*")
-    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "external_id", "title", "area", "skills", "area_score", "published_date", "url")], F.md5(F.coalesce("description", F.lit(""))).alias("description"))
+    return _as_read(S.read_snapshot(spark, landed_snapshots(spark, sf_dir)))
+
+
+@query
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_read(S.read_latest(spark, landed_snapshots(spark, sf_dir)))
+
+
+@query
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both snapshots as CSV files, merged one after the other into a table of buckets; what its last version holds."""
+    path = landed_snapshots(spark, sf_dir)
+    table = VersionedTable(spark, scratch(spark, "table"))
+    for name, moment in zip(SNAPSHOT_FILES, MOMENTS, strict=True):
+        table.merge(S.incoming(S.read_snapshot(spark, f"{path}/{name}"), RULES), moment)
+    return _imported(table.read())
+
+
+def _imported(d: DataFrame) -> DataFrame:
+    return d.select("id", "source", "external_id", "title", "company", "area", "location", F.col("published_date").cast("string").alias("published_date"), "area_score", joined("skills"), F.md5("description").alias("description"))
 
 
 def both_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +259,6 @@ def both_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on(
     both_snapshots,
-    latest_snapshot=lambda d: S.latest_snapshot(S.known_rows(d)).select("ord", "file_name"),
     reference_date=lambda d: d.select("ord", "file_name", reference_date(F.col("file_name"), F.col("file_time")).cast("string").alias("value"), reference_date(F.col("file_name"), F.col("file_time"), DAY).cast("string").alias("given")),
     float_or_null=lambda d: d.select("ord", "file_name", S.float_or_null("area_score").alias("value")),
     blank_to_null=lambda d: d.select("ord", "file_name", S.blank_to_null("area").alias("area"), S.blank_to_null("company").alias("company"), S.blank_to_null("seniority").alias("seniority")),
@@ -241,12 +273,13 @@ def imported(spark: SparkSession, sf_dir: str) -> S.Imported:
 
 @query
 def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both snapshots as files in one folder, imported by the stream; what the last version holds, but for its moments."""
+    """Three batches, as files come: each snapshot, then the second one again. What the last version holds."""
     path = scratch(spark, "stream")
-    for part, name in enumerate(SNAPSHOT_FILES):
-        S.write_csv(snapshot(spark, sf_dir, part).repartitionByRange("ord").sortWithinPartitions("ord").select(*S.SNAPSHOT_COLUMNS), f"{path}/in/{name}")
-    start_import(spark, f"{path}/in", f"{path}/versions", f"{path}/marks", RULES).awaitTermination()
-    return spark.read.parquet(f"{path}/versions/batch=0").select("source", "external_id", "title", "company", "area", "location", F.col("published_date").cast("string").alias("published_date"), "area_score", joined("skills"), F.md5("description").alias("description"))
+    for batch, part in enumerate((0, 1, 1)):
+        rows = snapshot(spark, sf_dir, part).repartitionByRange("ord").sortWithinPartitions("ord")
+        S.write_csv(rows.select(*SNAPSHOT_COLUMNS), f"{path}/in/{batch}/{SNAPSHOT_FILES[part]}")
+        start_import(spark, f"{path}/in", f"{path}/table", f"{path}/marks", RULES).awaitTermination()
+    return _imported(VersionedTable(spark, f"{path}/table").read(2))
 
 
 def vagas(spark: SparkSession, sf_dir: str) -> DataFrame:

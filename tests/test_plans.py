@@ -8,6 +8,8 @@ from jobmosaic.functions.rules import Rules
 from jobmosaic.plans import query as Q
 from jobmosaic.plans import rankings as R
 from jobmosaic.plans import store as S
+from jobmosaic.plans.versions import VersionedTable
+from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS
 from jobmosaic.streaming.imports import stream_import
 
 RULES = Rules()
@@ -53,7 +55,7 @@ def test_rankings(spark):
 def incoming(spark, rows, name="vagas_20260731_000000.csv"):
     full = [(i, *r) for i, r in enumerate(rows)]
     df = spark.createDataFrame(full, "ord long, source string, external_id string, title string, area string, published_date string, skills string, company string")
-    blank = {c: F.lit("") for c in S.SNAPSHOT_COLUMNS if c not in df.columns}
+    blank = {c: F.lit("") for c in SNAPSHOT_COLUMNS if c not in df.columns}
     return S.incoming(df.withColumns(blank | {"file_name": F.lit(name), "file_time": F.lit(dt.datetime(2026, 1, 1))}), RULES)
 
 
@@ -109,7 +111,7 @@ def test_queries(spark):
 def test_streamed_import_equals_batches(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    head = ",".join(S.SNAPSHOT_COLUMNS)
+    head = ",".join(SNAPSHOT_COLUMNS)
     line = lambda title, key, skills="": f'Data,,{title},c,gupy,,,Ontem,,"{skills}",1.5,,t,{key},"two\nlines, ""quoted"""'
     (folder / "vagas_20260731_000000.csv").write_text("\n".join([head, line("A", 1, "SQL"), line("B", 2)]) + "\n")
     run = lambda: stream_import(spark, str(folder), str(tmp_path / "versions"), str(tmp_path / "marks"), RULES).awaitTermination()
@@ -118,7 +120,8 @@ def test_streamed_import_equals_batches(spark, tmp_path):
     (folder / "vagas_20260802_000000.csv").write_text("\n".join([head, line("C2", 3)]) + "\n")
     (folder / "vagas_20260801_000000.csv").write_text("\n".join([head, line("A2", 1, "SQL"), line("C", 3)]) + "\n")
     run()
-    last = spark.read.parquet(str(tmp_path / "versions" / "batch=1"))
+    table = VersionedTable(spark, str(tmp_path / "versions"))
+    last = table.read(1)
     got = sorted((r.id, r.external_id, r.title, r.published_date, r.description) for r in last.collect())
     text = 'two\nlines, "quoted"'
     assert got == [(1, "1", "A2", dt.date(2026, 7, 31), text), (2, "2", "B", dt.date(2026, 7, 30), text), (3, "3", "C2", dt.date(2026, 8, 1), text)]
@@ -128,4 +131,5 @@ def test_streamed_import_equals_batches(spark, tmp_path):
         crc.unlink()
     before = sorted(map(str, last.collect()))
     run()
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "versions" / "batch=1")).collect())) == before
+    assert table.latest() == 1
+    assert sorted(map(str, VersionedTable(spark, table.root).read().collect())) == before
