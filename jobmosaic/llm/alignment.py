@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +122,7 @@ class Aligned:
     def __init__(self, tools: Tokenizers, texts: list[str]):
         ids_a = [e.ids for e in tools.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = tools.b.encode(texts, num_threads=1) if texts else []
-        flat_a, flat_b = (np.fromiter((i for own in ids for i in own), np.int64, sum(map(len, ids))) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))) for ids in (ids_a, ids_b))
         joined_a, joined_b = memoryview(tools.bytes_a.join(flat_a)), memoryview(tools.bytes_b.join(flat_b))
         many_a, many_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
         upto_a, upto_b = (np.r_[0, np.cumsum(b.length[f])] for b, f in ((tools.bytes_a, flat_a), (tools.bytes_b, flat_b)))
@@ -135,12 +137,17 @@ class Aligned:
         self.n_a, self.n_b = np.where(self.ok, many_a, 0), np.where(self.ok, many_b, 0)
         text_end = np.cumsum(np.where(self.ok, sizes, 0))
         end_a, end_b = np.cumsum(tools.bytes_a.length[flat_a]), np.cumsum(tools.bytes_b.length[flat_b])
-        common, either = np.intersect1d(end_a, end_b, assume_unique=True), np.union1d(end_a, end_b)
-        of = lambda ends: np.searchsorted(text_end, ends)
-        self.n_groups = np.bincount(of(common), minlength=len(texts))
-        a, b = flat_a[np.searchsorted(end_a, either)], flat_b[np.searchsorted(end_b, either)]
-        self.n_links = np.bincount(of(either), minlength=len(texts))
-        self.keys, self.times = np.unique((of(either) * tools.size_a + a) * tools.size_b + b, return_counts=True)
+        ends_a, ends_b, ends_text = (_marks(ends, int(text_end[-1]) if len(texts) else 0) for ends in (end_a, end_b, text_end[self.ok]))
+        common, either = np.flatnonzero(ends_a & ends_b), np.flatnonzero(ends_a | ends_b)
+        # how many tokens (texts) end before a place is the number of the one that covers the bytes up to it
+        before = lambda marks: np.cumsum(marks, dtype=np.int64) - marks
+        text_of = np.flatnonzero(self.ok)[before(ends_text)[either]]
+        self.n_groups = np.bincount(text_of[ends_b[either] & ends_a[either]], minlength=len(texts))
+        self.n_links = np.bincount(text_of, minlength=len(texts))
+        keys = (text_of * tools.size_a + flat_a[before(ends_a)[either]]) * tools.size_b + flat_b[before(ends_b)[either]]
+        keys.sort()
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.times = keys[heads], np.diff(np.r_[heads, len(keys)])
         self.groups = self._told(tools, flat_a, flat_b, end_a, end_b, common)
 
     def _told(self, tools, flat_a, flat_b, end_a, end_b, common) -> list[memoryview]:
@@ -159,6 +166,13 @@ class Aligned:
         return [view[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _marks(ends: np.ndarray, size: int) -> np.ndarray:
+    """True at each end, of size + 1 places."""
+    marks = np.zeros(size + 1, bool)
+    marks[ends] = True
+    return marks
+
+
 @lru_cache(maxsize=1)
 def _tools(file_a: bytes, file_b: bytes) -> Tokenizers:
     return Tokenizers(file_a, file_b)
@@ -230,6 +244,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     sent = rows.sparkSession.sparkContext.broadcast((read_model(path_a), read_model(path_b)))
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tools = _tools(*sent.value)
         for batch in batches:
             yield from aligned_batches(tools, batch.column(0), batch.column(1).to_pylist())
