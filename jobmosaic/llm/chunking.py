@@ -118,7 +118,7 @@ def cut_marks(starts: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.nd
 
 
 def runs_of(raw: list[bytes], min_span: int = MIN_SPAN):
-    """Blocks of (text number, start, stop, first byte, bytes, digest) of all runs; start and stop in code points of the text.
+    """Blocks of (text number, start, stop, first byte, bytes, and a digest of 128 bits as two numbers) of all runs; start and stop in code points of the text.
 
     There is a run for each chunk behind which, the chunk included, its text has min_span bytes."""
     joined, of, starts, stops = chunks_of(raw)
@@ -139,8 +139,8 @@ def runs_of(raw: list[bytes], min_span: int = MIN_SPAN):
     for low in range(0, len(whole), SLICE_RUNS):
         at = whole[low : low + SLICE_RUNS]
         to = final[at]
-        digests = [xxhash.xxh3_64_intdigest(joined[a:b], k) for a, b, k in zip(starts[at].tolist(), stops[to].tolist(), shape[low : low + SLICE_RUNS].tolist(), strict=True)]
-        yield of[at], begins[at] - origin[at], ends[to] - origin[at], starts[at] - base[at], stops[to] - starts[at], np.array(digests, np.uint64).view(np.int64)
+        digests = [xxhash.xxh3_128_digest(joined[a:b], k) for a, b, k in zip(starts[at].tolist(), stops[to].tolist(), shape[low : low + SLICE_RUNS].tolist(), strict=True)]
+        yield of[at], begins[at] - origin[at], ends[to] - origin[at], starts[at] - base[at], stops[to] - starts[at], *np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
 
 
 def slices(sizes: list[int]) -> list[tuple[int, int]]:
@@ -155,24 +155,24 @@ def slices(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def document_runs(docs: DataFrame, min_span: int = MIN_SPAN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, start, stop, low, bytes, digest): one row for each run of each text; row is a hash of the text."""
+    """(id, row, start, stop, low, bytes, digest, digest_low): one row for each run of each text; row is a hash of the text."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
-    names = ["id", "row", "start", "stop", "low", "bytes", "digest"]
+    names = ["id", "row", "start", "stop", "low", "bytes", "digest", "digest_low"]
 
     def run(batches):
         for batch in batches:
             ids, marks, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for low, high in slices([len(t.as_buffer()) for t in texts]):
                 own, mark = ids[low:high], marks[low:high]
-                for of, start, stop, first, size, digest in runs_of(texts.slice(low, high - low).to_pylist(), min_span):
-                    columns = [pa.array(x, kind) for x, kind in zip((own[of], mark[of], start, stop, first, size, digest), _KINDS, strict=True)]
+                for of, start, stop, first, size, *digest in runs_of(texts.slice(low, high - low).to_pylist(), min_span):
+                    columns = [pa.array(x, kind) for x, kind in zip((own[of], mark[of], start, stop, first, size, *digest), _KINDS, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "id long, row long, start int, stop int, low int, bytes int, digest long")
+    return rows.mapInArrow(run, "id long, row long, start int, stop int, low int, bytes int, digest long, digest_low long")
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def _joined(runs: DataFrame, *keys: str) -> DataFrame:
@@ -187,10 +187,10 @@ def _joined(runs: DataFrame, *keys: str) -> DataFrame:
 def _spans(docs: DataFrame, min_span: int, doc_id: str, text: str) -> DataFrame:
     """(id, row, least, start, stop, low, high) of the repeated passages."""
     runs = document_runs(docs, min_span, doc_id, text)
-    seen = runs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
-    repeated = stored(seen.filter("least < most").select("digest", "least", "n"), "repeated-runs")
+    seen = runs.groupBy("digest", "digest_low").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    repeated = stored(seen.filter("least < most").select("digest", "digest_low", "least", "n"), "repeated-runs")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = join_classes(runs, repeated, ["digest"], "n", total, F.struct("id", "start")).filter(F.col("n").isNotNull())
+    found = join_classes(runs, repeated, ["digest", "digest_low"], "n", total, F.struct("id", "start")).filter(F.col("n").isNotNull())
     found = found.select("id", "row", "least", "start", "stop", "low", (F.col("low") + F.col("bytes")).alias("high")).distinct()
     return _joined(found, "id", "row", "least")
 

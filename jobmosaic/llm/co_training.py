@@ -182,18 +182,19 @@ def train_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", labe
     pool = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).orderBy(spread, "id").limit(pool_rows)
     chosen = known.unionByName(pool.withColumn("quality", F.lit(None).cast("double"))).groupBy("id").agg(F.max("quality").alias("quality"))
     chosen = chosen.withColumnRenamed("id", "of")
-    sample = _rows(docs, doc_id).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "text", "source", "lang", "n_chars", "quality")
+    sample = _rows(docs, doc_id).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "text", "source", "lang", "n_chars", "quality", F.xxhash64("id", "text").alias("spread"))
 
     def run(batches):
         for batch in batches:
             if len(batch):
                 texts, meta = _features(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(batch.column("id").cast(pa.string())), pa.array(list(texts), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], names=["quality", "id", "texts", "meta"])
+                yield pa.RecordBatch.from_arrays([batch.column("spread"), batch.column("quality"), pa.array(batch.column("id").cast(pa.string())), pa.array(list(texts), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], names=["spread", "quality", "id", "texts", "meta"])
 
-    found = sample.mapInArrow(run, "quality double, id string, texts array<double>, meta array<double>").limit(2 * (labelled_rows + pool_rows)).toPandas()
+    # where ids repeat, rows beyond twice as many are left out, by a hash of id and text
+    found = sample.mapInArrow(run, "spread long, quality double, id string, texts array<double>, meta array<double>").orderBy("spread", "id").limit(2 * (labelled_rows + pool_rows)).toPandas()
     if not len(found):
         return None
-    found = found.sort_values("id", kind="stable")
+    found = found.sort_values(["id", "spread"], kind="stable")
     views = np.stack(found["texts"].to_numpy()), np.stack(found["meta"].to_numpy())
     y = found["quality"].to_numpy(float)
     have = ~np.isnan(y)

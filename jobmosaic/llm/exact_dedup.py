@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.shared import WHITE, join_classes, stored, text_or_empty
+from jobmosaic.llm.shared import WHITE, fresh, join_classes, stored, text_or_empty
 
 #: Rows of a bucket, at most, and bits of the hash by which the directory starts, at least.
 CAPACITY = 100_000
@@ -133,5 +133,6 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     What goes is taken from the index, as ids and hashes, and written; here texts move only if that list is too
     large for Spark to broadcast. Ids that are null go if their class has another."""
     found = exact_classes(docs, doc_id, text)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(stored(gone, "exact-gone"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(text_or_empty(text)) == F.col("__mark")), "left_anti")
+    own, mark = fresh("id"), fresh("mark")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias(own), F.col("mark").alias(mark)).distinct()
+    return docs.join(stored(gone, "exact-gone"), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty(text)) == F.col(mark)), "left_anti")

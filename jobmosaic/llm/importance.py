@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.shared import stored
+from jobmosaic.llm.shared import fresh, stored
 
 #: Buckets of features.
 BUCKETS = 10_000
@@ -246,4 +246,5 @@ def draw(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
     """The drawn rows of docs with rank, all columns kept. Ids are unique here; rows of one id would each meet all its ranks."""
     drawn = resample(docs, target, **how).filter("rank is not null")
     own = how.get("doc_id", "doc_id")
-    return docs.join(drawn.select(F.col(f"`{own}`").alias("__id"), F.col("rank")), F.col(f"`{own}`") == F.col("__id")).drop("__id")
+    id_ = fresh("id")
+    return docs.join(drawn.select(F.col(f"`{own}`").alias(id_), F.col("rank")), F.col(f"`{own}`") == F.col(id_)).drop(id_)

@@ -9,7 +9,6 @@ languages and of hash cells.
 
 from __future__ import annotations
 
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ def codewords(n: int) -> np.ndarray:
     for seed in range(20):
         code = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (n, length))
         split = np.abs(code.sum(0, dtype=int)) < n
-        near = min((code[a] != code[b]).sum() for a, b in combinations(range(min(n, 60)), 2))
+        near = least_distance(code)
         if near > far and split.all() and len(np.unique(code, axis=0)) == n:
             best, far = code, near
     if best is None:
@@ -52,6 +51,14 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+def least_distance(code: np.ndarray) -> int:
+    """Places in which any two codewords differ, at least."""
+    wide = code.astype(np.int32)
+    apart = (code.shape[1] - wide @ wide.T) // 2
+    np.fill_diagonal(apart, code.shape[1])
+    return int(apart.min())
+
+
 def cells(text: bytes) -> np.ndarray:
     """Hash cells of the two- and three-byte n-grams of a lower-case text between two spaces."""
     data = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)

@@ -79,6 +79,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

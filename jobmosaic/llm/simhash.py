@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.shared import connected_components, discard, join_classes, stored, text_or_empty
+from jobmosaic.llm.shared import connected_components, discard, fresh, join_classes, stored, text_or_empty
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -217,17 +217,33 @@ def as_similar(a: bytes, b: bytes, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def checked_links(marks: np.ndarray, sizes: np.ndarray, root: np.ndarray, keys: np.ndarray, band: int, sets: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+def as_similar_to(one: bytes, others: list[bytes], similarity: float) -> np.ndarray:
+    """Whether each of the others (sorted numbers of 64 bits, one at least) has that Jaccard similarity with one: all are met at once."""
+    own, flat = np.frombuffer(one, "<u8"), np.frombuffer(b"".join(others), "<u8")
+    sizes = np.fromiter(map(len, others), np.int64, len(others)) // 8
+    hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(hits, np.cumsum(sizes) - sizes)
+    return both >= similarity * (len(own) + sizes - both) - 1e-9
+
+
+def checked_links(marks: np.ndarray, sizes: np.ndarray, root: np.ndarray, keys: np.ndarray, band: int, both: np.ndarray, sets: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
     """Pairs of rows that span what hangs together, over the given components, by candidates whose sets are similar; a
-    pair that shares an earlier band is left to that band's shard."""
+    pair that shares an earlier band is left to that band's shard. both: how many members of a set stand in other components; no two
+    sets of different ones share more than the lesser of those numbers, so most pairs of one template needn't be met."""
     links = []
     component = np.unique(root, return_inverse=True)[1]
     for node, near, far in ask(build_tree(marks), component, radius):
-        mine = _sizes_fit(sizes[near], sizes[node], similarity) & ~(keys[near, :band] == keys[node, :band]).any(1)
-        for x in near[mine][np.argsort(far[mine], kind="stable")].tolist():
-            if component[x] != component[node] and as_similar(sets[x], sets[node], similarity):
-                links.append((node, x))
-                component[component == component[x]] = component[node]
+        most = np.minimum(both[near], both[node])
+        mine = (most >= similarity * (sizes[near] + sizes[node] - most) - 1e-9) & ~(keys[near, :band] == keys[node, :band]).any(1)
+        open_ = near[mine][np.argsort(far[mine], kind="stable")]
+        step = 1
+        while len(open_):  # few at first: a link often settles many others
+            for x in open_[:step][as_similar_to(sets[node], sets[open_[:step]].tolist(), similarity)].tolist():
+                if component[x] != component[node]:
+                    links.append((node, x))
+                    component[component == component[x]] = component[node]
+            open_ = open_[step:]
+            open_, step = open_[component[open_] != component[node]], min(64, 2 * step)
     return links
 
 
@@ -372,6 +388,28 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def able_nodes(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(able, both): nodes of open_ (node, root, size; once each), and how many shingles of each stand in other components too.
+
+    What two sets of different components share is among those, so a node with less than the similarity's share of them is like no
+    other and is left out."""
+    rows = open_.join(sets.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("node", "root", "size", "hashes")
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                many = np.array([len(h) // 8 for h in batch.column("hashes").to_pylist()])
+                flat = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("node", "root", "size")] + [pa.array(flat)], names=["node", "root", "size", "hash"])
+
+    each = rows.mapInArrow(run, "node long, root long, size long, hash long")
+    across = each.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("hash", "n")
+    across = stored(across, "simhash-across")
+    total = across.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = join_classes(each, across, ["hash"], "n", total, F.col("node")).filter("n is not null")
+    return shared.groupBy("node", "size").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= F.lit(similarity) * F.col("size") - 1e-9).select(F.col("node").alias("able"), "both")
+
+
 def _parts_across(members: DataFrame, shard: int) -> DataFrame:
     """Overfull shards whose members don't all hang together: those outside the largest component meet each other and that
     component, block by block."""
@@ -409,8 +447,8 @@ def similar_links(classes: DataFrame, docs: DataFrame, words: int, similarity: f
         who, to = nearest(marks, sizes, np.arange(len(node)), radius, similarity)
         return [node[who], node[to]]
 
-    def check(node: np.ndarray, band: np.ndarray, marks: np.ndarray, sizes: np.ndarray, keys: np.ndarray, root: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-        at = np.array(checked_links(marks, sizes, root, keys, int(band[0]), hashes, radius, similarity), np.int64).reshape(-1, 2)
+    def check(node: np.ndarray, band: np.ndarray, marks: np.ndarray, sizes: np.ndarray, keys: np.ndarray, root: np.ndarray, both: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        at = np.array(checked_links(marks, sizes, root, keys, int(band[0]), both, hashes, radius, similarity), np.int64).reshape(-1, 2)
         return [node[at[:, 0]], node[at[:, 1]]]
 
     names = ["node", "fp", "size"]
@@ -421,12 +459,16 @@ def similar_links(classes: DataFrame, docs: DataFrame, words: int, similarity: f
         roots = connected_components(links).withColumnRenamed("node", "rooted")
         rooted = members.filter(F.col("n") > shard) if across else members
         rooted = rooted.join(roots, F.col("node") == F.col("rooted"), "left").withColumn("root", F.coalesce("root", "node")).drop("rooted")
-        if across:
-            open_ = _parts_across(stored(rooted, "simhash-rooted"), shard)
-        else:
-            apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("of"))
-            open_ = rooted.join(apart, F.col("key") == F.col("of")).withColumn("part", block)
-        names = ["node", "band", "fp", "size", "keys", "root", "hashes"]
+        rooted = stored(rooted, "simhash-rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(F.col("key").alias("of"))
+        open_ = rooted.join(apart, F.col("key") == F.col("of")).drop("of")
+        able = stored(able_nodes(open_.select("node", "root", "size").distinct(), sets, similarity), "simhash-able")
+        open_ = open_.join(able, F.col("node") == F.col("able")).drop("able")
+        # a partner brings the shingles that only its component has into the union of the two: as many as the least of the key, at least
+        own = open_.groupBy("key").agg(F.min(F.col("size") - F.col("both")).alias("own")).withColumnRenamed("key", "of")
+        open_ = open_.join(own, F.col("key") == F.col("of")).filter(F.col("both") >= F.lit(similarity) * (F.col("size") + F.col("own")) - 1e-9).drop("of", "own")
+        open_ = _parts_across(stored(open_, "simhash-open"), shard) if across else open_.withColumn("part", block)
+        names = ["node", "band", "fp", "size", "keys", "root", "both", "hashes"]
         with_sets = open_.join(sets.withColumnRenamed("node", "at"), F.col("node") == F.col("at"))
         more = stored(by_shard(owned(with_sets, *names), names, check, "a long, b long"), "simhash-links")
         links = links.union(more)
@@ -463,34 +505,56 @@ def wide_marks(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark long, kind binary, fp binary, size long, keys array<long>")
 
 
+def similar_roots(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, fp) for each row of docs, fp telling its set of shingles, and (fp, least, size, root) for each such set: its least id,
+    its rows, and a number that all sets of a component have."""
+    marks = stored(wide_marks(docs, words, doc_id, text), "simhash-marks")
+    classes = marks.groupBy("kind").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "mark")).alias("one"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    classes = stored(classes.select("*", "one.id", "one.mark", F.monotonically_increasing_id().alias("node")).drop("one"), "simhash-classes")
+    roots = similar_links(classes, docs, words, similarity, doc_id, text, shard)
+    return marks.select("id", "mark", F.col("kind").alias("fp")), _rooted(classes.select(F.col("kind").alias("fp"), "least", F.col("members").alias("size"), "node"), roots)
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs: what hangs together by links of that Jaccard similarity of the distinct shingles.
 
     Each link was checked on the sets of shingles; a pair that shares no band of least hashes, or is beyond the
     radius, is no link of its own. Texts with the same set of shingles are one class; texts without any are too.
     Nulls, repeated rows and other columns: as in simhash_components."""
-    marks = stored(wide_marks(docs, words, doc_id, text), "simhash-marks")
-    classes = marks.groupBy("kind").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "mark")).alias("one"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    classes = stored(classes.select("*", "one.id", "one.mark", F.monotonically_increasing_id().alias("node")).drop("one"), "simhash-classes")
-    roots = similar_links(classes, docs, words, similarity, doc_id, text, shard)
-    named = _components(marks.select("id", F.col("kind").alias("fp")), classes.select(F.col("kind").alias("fp"), "least", F.col("members").alias("size"), "node"), roots)
-    return named.select(F.col("id").alias(doc_id), "fp", "component_id")
+    marks, linked = similar_roots(docs, words, similarity, doc_id, text, shard)
+    return _named(marks, linked).select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
-def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """marks (id, fp) with component_id; classes: fp, least, size, node; roots: (node, root) of the nodes with links."""
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, least, size, root) of classes (fp, least, size, node); roots: (node, root) of the nodes with links."""
     rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
-    linked = stored(rooted.select("fp", "least", "size", "root"), "simhash-roots")
+    return stored(rooted.select("fp", "least", "size", "root"), "simhash-roots")
+
+
+def _named(marks: DataFrame, linked: DataFrame) -> DataFrame:
+    """marks (id, fp) with component_id."""
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     named = linked.join(least, F.col("root") == F.col("of")).select("fp", "size", "component_id")
-    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total = linked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return join_classes(marks, stored(named, "simhash-named"), ["fp"], "size", total, F.col("id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least id of each component of similar texts, with all its columns (several rows of one id all stay).
+    """One document of each component of similar texts, with all its columns: the one with the least id, null ids last, and of one
+    id the text with the least hash. Rows that have both in common are one document and all stay. All else stays.
+
+    What goes is written first, as ids and hashes of texts; texts move only if those are too many for Spark to broadcast."""
+    marks, linked = similar_roots(docs, words, similarity, doc_id, text)
+    total = linked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = stored(join_classes(marks, linked.select("fp", "size", "root"), ["fp"], "size", total, F.col("id")).select("id", "mark", "root"), "near-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("untold"), F.col("id"), F.col("mark"))).alias("first")
+    keepers = rows.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "n", F.col("first.id").alias("keep"), F.col("first.mark").alias("keep_mark"))
+    met = join_classes(rows, stored(keepers, "near-keepers"), ["root"], "n", total, F.col("mark")).filter("n is not null")
+    own, mark = fresh("id"), fresh("mark")
+    gone = met.filter(~(F.col("id").eqNullSafe(F.col("keep")) & (F.col("mark") == F.col("keep_mark")))).select(F.col("id").alias(own), F.col("mark").alias(mark)).distinct()
+    return docs.join(stored(gone, "near-gone"), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty(text)) == F.col(mark)), "left_anti")
 
-    The ids that go are written first; texts move only if they are too many for Spark to broadcast."""
-    groups = similar_components(docs, words, similarity, doc_id, text)
-    gone = groups.filter(~F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(stored(gone, "near-gone"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+
+def _components(marks: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """marks (id, fp) with component_id; classes: fp, least, size, node; roots: (node, root) of the nodes with links."""
+    return _named(marks, _rooted(classes, roots))

@@ -107,7 +107,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     floor = state.select("source", (F.shiftleft("head", HASH_BITS - used) - 1).alias("floor"))
     parts = floor.join(found.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", F.coalesce("found", "floor").alias("threshold"))
     merged = plan.join(parts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
-    return checkpointed(merged.select("source", "source_size", "target", "whole", F.coalesce("threshold", F.lit(-1).cast("long")).alias("threshold")))
+    return checkpointed(merged.select("source", "source_size", "target", "whole", F.coalesce(F.when(F.col("target") > F.col("whole") * F.col("source_size"), F.col("threshold")), F.lit(-1).cast("long")).alias("threshold")))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -131,7 +131,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """The documents of the mix with all their columns; one that the mix takes twice is two rows."""
+    """The documents of the mix with all their columns; one that the mix takes twice is two rows, and none is more. Documents
+    without words are taken as those are that have their place in the order of hashes."""
     rows = stored(sized(docs), "mix-sizes")
     plan = plan_mix(rows, weights, share, cap)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), place("doc_id").alias("place"))

@@ -35,6 +35,16 @@ def test_views_teach_each_other():
     assert co_train(tuple(v[few] for v in views), np.ones(120), back, views) is None
 
 
+def test_rows_of_repeated_ids_teach_alike_in_any_order(spark):
+    rng = random.Random(5)
+    rows = [(i % 40, " ".join(rng.choice(["good", "text", "bad", "junk"]) for _ in range(20 + i % 7)), "s", "en", 9, None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(30)], LABELS)
+    models = []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        models.append(train_model(spark.createDataFrame(order, SCHEMA).repartition(5), labels, "doc_id", 30, 10))
+    assert all(str(m) == str(models[0]) for m in models)
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -6,12 +6,19 @@ from collections import Counter
 import numpy as np
 
 from jobmosaic.llm import language_id
-from jobmosaic.llm.language_id import codewords, decode, held_out, identify_languages, profile, train_codes
+from jobmosaic.llm.language_id import codewords, decode, held_out, identify_languages, least_distance, profile, train_codes
 from jobmosaic.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, id string, score int"
 
 
+def test_codewords_of_many_languages_by_the_least_distance_of_all():
+    code = codewords(200)
+    near = min(int((code[a] != code[b]).sum()) for a in range(200) for b in range(a))
+    tries = [np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), code.shape) for seed in range(20)]
+    assert near == least_distance(code) == max(least_distance(t) for t in tries)
+
+
 def test_codewords():
     assert codewords(0).shape == (0, 1) and codewords(1).tolist() == [[1]]
     for n in range(2, 12):

@@ -5,7 +5,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmosaic.llm.simhash import BANDS, ask, band_keys, build_tree, distinct_shingles, drop_near_copies, fingerprint, links_within, nearest, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
+from jobmosaic.llm import simhash
+from jobmosaic.llm.simhash import BANDS, able_nodes, as_similar, as_similar_to, ask, band_keys, build_tree, checked_links, distinct_shingles, drop_near_copies, fingerprint, links_within, nearest, similar_components, simhash_components, tree_links, wide_fingerprint, wide_radius
 
 
 def slow_shingles(text, words):
@@ -159,6 +160,59 @@ def test_similar_texts_against_all_pairs(spark):
     assert got == want and want[9001] == 9000 and want[9004] == want[9003] == 9002 and 50 < len(set(want.values())) < 0.8 * len(texts)
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """A row goes by its id and text, not by its id; of rows without an id one stays, if no other does."""
+    rng = random.Random(8)
+    base, lone, other = (" ".join(str(rng.randrange(5000)) for _ in range(200)) for _ in range(3))
+    rows = [(1, base), (5, base + " word"), (5, lone), (None, base + " more"), (None, other), (None, other + " x"), (7, None), (8, ""), (None, ""), (9, "short"), (9, "short")]
+    kept = drop_near_copies(spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, __gone string"))
+    assert kept.columns == ["doc_id", "text", "__gone"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [x for x in got if x[0] is None]
+    assert len(one) == 1 and one[0][1] in (other, other + " x")
+    assert [x for x in got if x[0] is not None] == [(1, base), (5, lone), (7, None), (9, "short"), (9, "short")]
+
+
+def test_sets_met_at_once():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 300, n).astype("<u8")).tobytes() for n in (1, 5, 200, 210, 220, 250)]
+    for a in sets:
+        for share in (0.1, 0.5, 1.0):
+            assert as_similar_to(a, sets, share).tolist() == [as_similar(a, b, share) for b in sets]
+
+
+def test_texts_of_one_template_are_told_apart_without_pairs(spark, monkeypatch):
+    """300 words of a template and 45 own ones (0.75 to each other), some with a near copy: no pair of two originals is compared twice over."""
+    rng = random.Random(10)
+    template = [str(rng.randrange(10**6)) for _ in range(300)]
+    texts = {}
+    for i in range(150):
+        own = [f"w{i}x{k}" for k in range(45)]
+        texts[2 * i] = " ".join(template + own)
+        if i % 10 == 0:
+            texts[2 * i + 1] = " ".join(template + own[:-1] + ["last"])
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_components(rows, shard=32).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+    sets = spark.createDataFrame([(i, bytearray(distinct_shingles(t, 5).astype("<u8").tobytes())) for i, t in texts.items()], "node long, hashes binary")
+    nodes = spark.createDataFrame([(i, i - i % 2, len(distinct_shingles(t, 5))) for i, t in texts.items()], "node long, root long, size long")
+    assert {r.able: r.both for r in able_nodes(nodes, sets, 0.8).collect()} == {i: 296 for i in texts}
+    apart = nodes.selectExpr("node", "node AS root", "size")
+    assert {r.able: r.both for r in able_nodes(apart, sets, 0.8).collect()} == {i: 340 if i % 20 < 2 else 296 for i in texts}
+    assert able_nodes(apart, sets, 0.9).count() == 2 * 15
+
+
+def test_pairs_of_one_template_are_not_met(monkeypatch):
+    met = []
+    monkeypatch.setattr(simhash, "as_similar_to", lambda one, others, share: met.extend(others) or as_similar_to(one, others, share))
+    sets = [np.sort(np.r_[np.arange(300), 1000 * i + 500 + np.arange(45)]).astype("<u8") for i in range(1, 40)] + [np.sort(np.r_[np.arange(300), 1500 + np.arange(44)]).astype("<u8")]
+    marks = np.array([np.frombuffer(wide_fingerprint(s), np.uint64) for s in sets])
+    sizes, root, both = np.array([len(s) for s in sets]), np.arange(40), np.array([344] + [300] * 38 + [344])
+    raw = np.array([*[s.tobytes() for s in sets], None], object)[:-1]
+    links = checked_links(marks, sizes, root, np.zeros((40, 14), np.int64), 0, both, raw, wide_radius(0.8), 0.8)
+    assert sorted(map(sorted, links)) == [[0, 39]] and len(met) == 1
+
+
 def test_given_texts_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want, got = alike(dict(docs.select("doc_id", "text").collect())), {r.doc_id: r.component_id for r in similar_components(docs).collect()}

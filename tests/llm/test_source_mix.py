@@ -54,6 +54,14 @@ def test_targets_and_thresholds(spark, monkeypatch, bits, fine, few):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
 
 
+def test_no_document_more_than_twice(spark):
+    """A source at its cap is taken twice as a whole; documents without words have no place of their own in that."""
+    rows = [(i, "", "full", "x", 1, None) for i in range(200)] + [(1000 + i, "w w w", "full", "x", 1, None) for i in range(3)] + [(2000 + i, "w " * 90, "rich", "x", 1, None) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = {r.doc_id: r["count"] for r in apply_mix(df).groupBy("doc_id").count().collect()}
+    assert max(taken.values()) == 2 and all(taken[1000 + i] == 2 for i in range(3))
+
+
 def test_edges(spark):
     assert mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, None, None, None, None, None), (None, "a b", None, "x", 1, "y"), (3, "a\x0bb c", "s", "x", 1, "y"), (3, "a b c", "s", "x", 1, "y")]
