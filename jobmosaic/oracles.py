@@ -320,5 +320,5 @@ _PORTAL_SQL = {
 ORACLE_SQL |= _PORTAL_SQL
 
 _IN_ORDER = ["gupy_json", "vagas_cards", "programathor_cards", "trampos_json", "linkedin_cards"]
-_PACKED = f"((((list_position({listed(PORTALS)}, source)::BIGINT << 12) | list_position({listed(SEARCH_TERMS)}, search_term)) << 16 | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT // 20 ELSE external_id::BIGINT END) << 16) | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT % 20 ELSE 0 END"
+_PACKED = f"((((list_position({listed(PORTALS)}, source)::BIGINT << 12) | list_position({listed(SEARCH_TERMS)}, search_term)) << 31 | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT // 20 ELSE external_id::BIGINT END) << 16) | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT % 20 ELSE 0 END"
 ORACLE_SQL["collect_union"] = f"SELECT {_PACKED} AS ord, source, external_id, search_term FROM (" + " UNION ALL ".join(f"SELECT source, external_id, search_term FROM ({_PORTAL_SQL[k]})" for k in _IN_ORDER) + ")"

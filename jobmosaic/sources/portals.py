@@ -20,9 +20,7 @@ TRAMPOS = "id string, name string, type_name string, type_slug string, category_
 #: Columns of a raw posting.
 RAW = ["source", "external_id", "title", "company", "url", "description", "location", "workplace_type", "published_date", "search_term", "seniority"]
 #: Bits of the packed arrival number for term, page and place on the page; the portal has what is above.
-TERM_BITS, PAGE_BITS, PLACE_BITS = 12, 16, 16
-#: Bits for the page where one doesn't fit into PAGE_BITS; the portal then has what is left of 63.
-WIDE_PAGE_BITS = 31
+TERM_BITS, PAGE_BITS, PLACE_BITS = 12, 31, 16
 
 
 def _text(c: Column | str) -> Column:
@@ -256,15 +254,12 @@ def _fitting(c: str, bits: int) -> Column:
 
 def collect_union(landed: dict[str, DataFrame], portals: list[str] = PORTALS, terms: list[str] = SEARCH_TERMS) -> DataFrame:
     """All portals in one table; portals without a reader are skipped. ord packs portal, term, page and place: a total order
-    that needs no sort. Pages have PAGE_BITS, or WIDE_PAGE_BITS in all rows if the largest landed page needs more, so ords of
-    two calls compare only if both fit. A page or place beyond its bits fails."""
+    that needs no sort, and the same in every call. A page or place beyond its bits fails."""
     known = [p for p in portals if p in landed and p in READERS]
-    most = reduce(DataFrame.union, [landed[p].select(F.max(F.col("page").cast("long")).alias("most")) for p in known]).agg(F.max("most")).first()[0]
-    page_bits = PAGE_BITS if (most or 0) < 1 << PAGE_BITS else WIDE_PAGE_BITS
-    if len(terms) + 1 >= 1 << TERM_BITS or len(portals) + 1 >= 1 << (63 - TERM_BITS - page_bits - PLACE_BITS):
+    if len(terms) + 1 >= 1 << TERM_BITS or len(portals) + 1 >= 1 << (63 - TERM_BITS - PAGE_BITS - PLACE_BITS):
         raise ValueError("too many portals or search terms for ord")
     rows = reduce(DataFrame.unionByName, [READERS[p](landed[p]) for p in known])
     packed = _rank("source", portals)
-    for value, bits in ((_rank("search_term", terms), TERM_BITS), (_fitting("page", page_bits), page_bits), (_fitting("pos", PLACE_BITS), PLACE_BITS)):
+    for value, bits in ((_rank("search_term", terms), TERM_BITS), (_fitting("page", PAGE_BITS), PAGE_BITS), (_fitting("pos", PLACE_BITS), PLACE_BITS)):
         packed = F.shiftleft(packed, bits).bitwiseOR(value)
     return rows.select(packed.alias("ord"), *RAW)

@@ -78,7 +78,7 @@ def test_union_order_of_large_pages(spark):
     rows = W.collect_union({"vagas": cards(at)}, ["vagas"], ["x", "termo"]).select("ord", "search_term", "external_id").orderBy("ord").collect()
     assert len({r.ord for r in rows}) == len(rows) == 4 * len(at) and min(r.ord for r in rows) > 0
     assert [r.search_term for r in rows] == ["x"] * 10 + ["termo"] * 10 and [r.external_id for r in rows] == ["77", "78"] * 10
-    places = [(r.ord >> 16) & (1 << W.WIDE_PAGE_BITS) - 1 for r in rows]
+    places = [(r.ord >> 16) & (1 << W.PAGE_BITS) - 1 for r in rows]
     assert places == [p for p in at for _ in range(2)] * 2
     for wrong in (-1, 1 << 31):
         with pytest.raises(Exception, match="beyond"):
