@@ -5,7 +5,9 @@ the survivors are taken from them at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,48 +106,105 @@ def same_company_pairs(jobs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"), "norm_title").distinct()
 
 
-def merge_in_order(rows: list[tuple]) -> list[tuple[int, int]]:
-    """(ord, rep_ord) of the survivors of (ord, first_ord, identity, size) in order of arrival: a posting joins the first
-    representative with a compatible company, and takes its place if its description is longer; else it is a new
-    representative. Representatives are found by word."""
-    names: list[frozenset] = []
-    sizes: list[int] = []
-    winner: list[int] = []
-    created: list[int] = []
-    by_word: dict[str, set[int]] = {}
-    for ord_, first_ord, identity, size in rows:
+#: Names of more words are found by their words, not by the sets that they contain.
+SUBSET_WORDS = 7
+
+
+class Merge:
+    """The representatives of one part, as postings come in order of arrival: a posting joins the first representative with a
+    compatible company, and takes its place if its description is longer; else it is a new representative.
+
+    Whether a posting takes a place changes what the next one meets, so the walk has its order; what it keeps is a
+    representative for each name that stays, and no postings. Each representative is listed under every set of words that its
+    name contains, so that those that contain a name, and those that a name contains, are looked up and not searched,
+    however many share a word."""
+
+    def __init__(self) -> None:
+        self.names: list[frozenset] = []
+        self.sizes: list[int] = []
+        self.winner: list[int] = []
+        self.created: list[int] = []
+        self.inside: dict[frozenset, list[int]] = {}  # heaps: representatives whose name has all these words
+        self.exactly: dict[frozenset, list[int]] = {}
+        self.long: dict[str, set[int]] = {}  # representatives with long names, by word
+        self.all_long: set[int] = set()
+
+    @staticmethod
+    def _subsets(name: frozenset) -> Iterator[frozenset]:
+        words = sorted(name)
+        return (frozenset(c) for n in range(1, len(words) + 1) for c in combinations(words, n))
+
+    def _least(self, heap: list[int] | None, fits: Callable[[int], bool]) -> int | None:
+        while heap and not fits(heap[0]):  # a representative that has changed its name since
+            heappop(heap)
+        return heap[0] if heap else None
+
+    def _first(self, name: frozenset) -> int | None:
+        found = [self._least(self.inside.get(name), lambda i: name <= self.names[i] and i not in self.all_long)]
+        if len(name) <= SUBSET_WORDS:
+            found += [self._least(self.exactly.get(s), lambda i, s=s: self.names[i] == s) for s in self._subsets(name)]
+        else:
+            short = {i for heap in (self.inside.get(frozenset([w]), ()) for w in name) for i in heap}
+            found += [i for i in short if self.names[i] <= name]
+        near = set().union(*(self.long.get(w, ()) for w in name))
+        found += [i for i in near if name <= self.names[i] or self.names[i] <= name]
+        return min((i for i in found if i is not None), default=None)
+
+    def _list(self, at: int, name: frozenset) -> None:
+        self.all_long.discard(at)
+        if len(name) > SUBSET_WORDS:
+            self.all_long.add(at)
+            for w in name:
+                self.long.setdefault(w, set()).add(at)
+            return
+        for s in self._subsets(name):
+            heappush(self.inside.setdefault(s, []), at)
+        heappush(self.exactly.setdefault(name, []), at)
+
+    def add(self, ord_: int, first_ord: int, identity: list[str], size: int) -> None:
         name = frozenset(identity)
-        near = sorted(set().union(*(by_word.get(w, ()) for w in name)))
-        at = next((i for i in near if name <= names[i] or names[i] <= name), None)
+        at = self._first(name)
         if at is None:
-            at = len(names)
-            names.append(name)
-            sizes.append(size)
-            winner.append(ord_)
-            created.append(first_ord)
-        elif size > sizes[at]:
-            for w in names[at] - name:
-                by_word[w].discard(at)
-            names[at], sizes[at], winner[at] = name, size, ord_
-        else:
-            continue
-        for w in name:
-            by_word.setdefault(w, set()).add(at)
-    return list(zip(winner, created, strict=True))
+            at = len(self.names)
+            self.names.append(name)
+            self.sizes.append(size)
+            self.winner.append(ord_)
+            self.created.append(first_ord)
+            self._list(at, name)
+        elif size > self.sizes[at]:
+            old = self.names[at]
+            self.sizes[at], self.winner[at] = size, ord_
+            if name != old:
+                if len(old) > SUBSET_WORDS:
+                    for w in old:
+                        self.long[w].discard(at)
+                self.names[at] = name
+                self._list(at, name)
+
+    def survivors(self) -> list[tuple[int, int]]:
+        return list(zip(self.winner, self.created, strict=True))
+
+
+def merge_in_order(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(ord, rep_ord) of the survivors of (ord, first_ord, identity, size) in order of arrival."""
+    merge = Merge()
+    for row in rows:
+        merge.add(*row)
+    return merge.survivors()
 
 
 def _merge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows lie part by part, in order of arrival; the part that is being read may go on in the next batch."""
-    part, rows = None, []
+    """Rows lie part by part, in order of arrival, and are walked as they come; a part may go on in the next batch."""
+    part, merge = None, Merge()
     for batch in batches:
         done: list[tuple[int, int]] = []
         for now, *row in zip(*(batch[c].tolist() for c in ("part", "ord", "first_ord", "identity", "text_size")), strict=True):
             if now != part:
-                done += merge_in_order(rows)
-                part, rows = now, []
-            rows.append(tuple(row))
+                done += merge.survivors()
+                part, merge = now, Merge()
+            merge.add(*row)
         yield pd.DataFrame(done, columns=["ord", "rep_ord"], dtype="int64")
-    yield pd.DataFrame(merge_in_order(rows), columns=["ord", "rep_ord"], dtype="int64")
+    yield pd.DataFrame(merge.survivors(), columns=["ord", "rep_ord"], dtype="int64")
 
 
 def by_company(slim: DataFrame) -> DataFrame:

@@ -20,10 +20,14 @@ def seniority_label(norm_title: Column, rules: Rules, strict: bool = False) -> C
     return F.when(~_any(norm_title, rules.senior), label) if strict else label
 
 
+def level_of(rules: Rules, strict: bool = False) -> Column:
+    """The declared level (the title isn't asked then) or the label from norm_title; null if there is neither."""
+    return F.coalesce(F.nullif(F.coalesce("seniority", F.lit("")), F.lit("")), seniority_label(F.col("norm_title"), rules, strict))
+
+
 def entry_level(jobs: DataFrame, rules: Rules, strict: bool = False) -> DataFrame:
-    """Rows with a declared level (the title isn't asked then) or with a label from norm_title; seniority holds it."""
-    level = F.coalesce(F.nullif(F.coalesce("seniority", F.lit("")), F.lit("")), seniority_label(F.col("norm_title"), rules, strict))
-    return jobs.withColumn("seniority", level).filter(F.col("seniority").isNotNull())
+    """Rows with a level; seniority holds it."""
+    return jobs.withColumn("seniority", level_of(rules, strict)).filter(F.col("seniority").isNotNull())
 
 
 def all_levels(jobs: DataFrame) -> DataFrame:

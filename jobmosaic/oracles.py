@@ -219,6 +219,7 @@ ORACLE_SQL = {
     "score_areas": _clean("SELECT ord, r.area AS area, r.score AS score, r.title_score AS title_score, array_to_string(r.matches, ', ') AS matches FROM scores_clean"),
     "classify": _clean("SELECT ord, area, area_score, area_matches FROM class_clean"),
     "dedupe_source_key": _jobs("SELECT ord, first_ord, source, external_id, search_term FROM w1"),
+    "stream_source_keys": _jobs("SELECT ord, first_ord, source, external_id, search_term FROM w1"),
     "dedupe_fingerprint": _jobs("SELECT ord, first_ord, search_term FROM w2"),
     "dedupe_full": _jobs("SELECT ord, first_ord, rep_ord, title_ord FROM w3"),
     "same_company_pairs": _jobs("SELECT a.ord AS ord_a, b.ord AS ord_b FROM level a JOIN level b ON a.nt = b.nt AND a.ord < b.ord WHERE len(a.idn) > 0 AND len(b.idn) > 0 AND (list_has_all(a.idn, b.idn) OR list_has_all(b.idn, a.idn))"),

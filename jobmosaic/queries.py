@@ -25,6 +25,7 @@ from jobmosaic.plans.versions import VersionedTable
 from jobmosaic.sources import portals as W
 from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS
 from jobmosaic.streaming.imports import stream_import as start_import
+from jobmosaic.streaming.keys import keep_source_keys, source_keys
 
 RULES = Rules()
 DAY = dt.date.fromisoformat(REFERENCE)
@@ -282,6 +283,17 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(VersionedTable(spark, f"{path}/table").read(2))
 
 
+@query
+def stream_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings in three batches that don't follow their order; the row that stays of each key after the last one."""
+    path = scratch(spark, "stream-keys")
+    for batch in (2, 0, 1):
+        jobs_raw(spark, sf_dir).filter(F.col("ord") % 3 == batch).write.parquet(f"{path}/in/{batch}")
+        raw = spark.readStream.schema(jobs_raw(spark, sf_dir).schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        keep_source_keys(raw, f"{path}/changes", f"{path}/marks", RULES).awaitTermination()
+    return source_keys(spark, f"{path}/changes").select("ord", "first_ord", "source", "external_id", "search_term")
+
+
 def vagas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(spark, sf_dir).vagas
 

@@ -1,11 +1,12 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from jobmosaic.functions.rules import COMPANY_NOISE, plain
 from jobmosaic.functions.text import company_identity, fingerprint, normalize
 from jobmosaic.functions.joins import parts_of
-from jobmosaic.operators.dedupe import containments, dedupe_full, distinct_names, first_of_term, same_company_pairs
+from jobmosaic.operators.dedupe import containments, dedupe_full, distinct_names, first_of_term, merge_in_order, same_company_pairs
 
 SCHEMA = "ord long, source string, external_id string, title string, company string, description string, search_term string"
 
@@ -65,6 +66,38 @@ def test_against_model(spark):
         assert [(r.ord, r.search_term) for r in got] == model(rows)
 
 
+def walk(rows):
+    """The greedy merge as a walk over a list of all representatives."""
+    kept = []
+    for ord_, first, identity, size in rows:
+        name = frozenset(identity)
+        for r in kept:
+            if name <= r[2] or r[2] <= name:
+                if size > r[3]:
+                    r[0], r[2], r[3] = ord_, name, size
+                break
+        else:
+            kept.append([ord_, first, name, size])
+    return [(r[0], r[1]) for r in kept]
+
+
+def test_merge_of_names_against_a_walk_over_all():
+    rng = random.Random(11)
+    for words, most in ((4, 4), (6, 3), (14, 12), (30, 2), (9, 9)):
+        for _ in range(120):
+            pool = [f"w{i}" for i in range(words)]
+            rows = [(i, i, rng.sample(pool, rng.randint(1, most)), rng.randrange(6)) for i in range(rng.randrange(60))]
+            assert merge_in_order(rows) == walk(rows)
+
+
+def test_one_word_in_half_of_all_names():
+    """30,000 names with one word in common, the bare word among them: each is looked up, not searched for."""
+    rows = [(i, i, ["acme", f"x{i}", f"y{i % 7}"] if i % 3 else [f"z{i}", f"y{i % 7}"], 1) for i in range(60_000)] + [(60_000, 60_000, ["acme"], 1), (60_001, 60_001, ["acme", "q"], 1)]
+    began = time.time()
+    got = merge_in_order(rows)
+    assert len(got) == 60_001 and got[-1] == (60_001, 60_001) and time.time() - began < 20
+
+
 def merged(spark, *companies, title="Dev Jr", sizes=None):
     rows = [(i, "p", str(i), title, c, "x" * (sizes[i] if sizes else 1), "t") for i, c in enumerate(companies)]
     return [r.company for r in dedupe_full(prepared(spark, rows)).orderBy("rep_ord").collect()]
