@@ -261,6 +261,7 @@ ORACLE_SQL = {
     "link_tecnologias": _imp("SELECT vaga_id, tecnologia_id FROM links"),
     "vagas_with_tech": _imp("SELECT id, external_id FROM vagas WHERE list_contains(skills, 'SQL')"),
     "list_vagas": _imp(f"{_SLIM} WHERE area = 'Data' AND source = 'gupy' AND title ILIKE '%jr%'"),
+    "search_vagas": _imp(f"{_SLIM} WHERE source = 'gupy' AND title ILIKE '%mobile%j_nior%'"),
     "check_vocab": _imp(f"{_SLIM} WHERE list_contains(skills, 'Python') AND title ILIKE '%des_nv%%'"),
     "page_vagas": _imp(f"{_SLIM} ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 50 OFFSET 10"),
     "list_page": _imp(f"SELECT *, (SELECT count(*) FROM vagas WHERE title ILIKE '%jr%') AS total FROM ({_SLIM} WHERE title ILIKE '%jr%' ORDER BY vagas.published_date DESC NULLS LAST, id LIMIT 20 OFFSET 5)"),

@@ -250,6 +250,15 @@ def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(table.read())
 
 
+@query
+def search_vagas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with wildcards in the table of buckets, by its index."""
+    table = VersionedTable(spark, scratch(spark, "table"), buckets=16)
+    for part, moment in enumerate(MOMENTS):
+        table.merge(S.incoming(snapshot(spark, sf_dir, part), RULES), moment)
+    return _slim(table.search(RULES, "mobile%j_nior", source="gupy"))
+
+
 def _imported(d: DataFrame) -> DataFrame:
     return d.select("id", "source", "external_id", "title", "company", "area", "location", F.col("published_date").cast("string").alias("published_date"), "area_score", joined("skills"), F.md5("description").alias("description"))
 

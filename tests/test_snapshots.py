@@ -6,8 +6,9 @@ import random
 import pytest
 
 from jobmosaic.functions.rules import Rules
+from jobmosaic.plans import query as Q
 from jobmosaic.plans import store as S
-from jobmosaic.plans.versions import VersionedTable
+from jobmosaic.plans.versions import VersionedTable, grams_of
 from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS, csv_records, latest_file, read_csv_rows
 
 RULES = Rules()
@@ -105,3 +106,21 @@ def test_files_to_table_of_buckets(spark, tmp_path):
     assert table.latest() == 1 and told(table.read()) == before
     assert tuple(table.merge(read(NAMES[1]).limit(0), moment[2]).first()) == (0, 0, 0, 901)
     assert table.latest() == 2 and told(table.read()) == before and told(table.read(0)) == told(whole.vagas)
+
+
+def test_search_reads_the_buckets_that_have_its_characters(spark, tmp_path):
+    assert grams_of("Ab%c_defg") == {"def", "efg"} and grams_of("a%b_") == set() and grams_of("DÉJÀ") == {"déj", "éjà"}
+    rows = [(str(i), f"Analista {i:04d}", "C") for i in range(300)] + [("a", "Dev 100% Flutter Jr", "C"), ("b", "FLUTTER jr", "C"), ("c", "ab", "C"), ("d", "x\\y flutx", "C")]
+    snapshot_file(tmp_path / NAMES[0], rows)
+    snapshot_file(tmp_path / NAMES[1], [("a", "Dev React Jr", "C"), ("e", "Dev Flutter", "C")])
+    table = VersionedTable(spark, str(tmp_path / "table"), buckets=32)
+    for n, name in enumerate(NAMES):
+        table.merge(S.incoming(S.read_snapshot(spark, str(tmp_path / name)), RULES), dt.datetime(2026, 1 + n, 1))
+    files = lambda df: len({f.rsplit("/", 2)[1] for f in df.inputFiles()})
+    for version in (0, 1):
+        whole = table.read(version)
+        for q in ("flutter", "Flut%jr", "flu__er", "analista 01_7", "x\\y", "%%", "ab", "100% F", "nothing here", "DEV"):
+            found = table.search(RULES, q, version)
+            assert sorted(r.id for r in found.collect()) == sorted(r.id for r in Q.list_vagas(whole, RULES, q=q).collect()), q
+        assert files(table.search(RULES, "flutter", version)) <= 3 < 28 <= files(table.search(RULES, "%%", version))
+    assert [r.external_id for r in table.search(RULES, "flutter", area="Data").orderBy("id").collect()] == ["b", "e"]
