@@ -110,6 +110,22 @@ def same_company_pairs(jobs: DataFrame) -> DataFrame:
 SUBSET_WORDS = 7
 
 
+def same_company_classes(jobs: DataFrame) -> DataFrame:
+    """(ord, node, same, partners), one row for each posting whose company can be told: node is the least ord of its title and
+    company's words, same how many postings have both, partners how many others of the title have a compatible company.
+
+    What same_company_pairs tells, as a result that grows with the rows: pairs are between names, and postings belong to names."""
+    names = kept(jobs.filter(F.size("identity") > 0).groupBy("norm_title", "identity").agg(F.min("ord").alias("node"), F.count(F.lit(1)).alias("same")), "company-names")
+    links = containments(names).select("a", "b")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    others = both.join(names.select(F.col("node").alias("b"), F.col("same").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    told = names.join(others, F.col("node") == F.col("a"), "left").select(
+        F.to_json(F.struct("norm_title", "identity")).alias("name"), "node", "same", F.col("same").alias("size"), (F.col("same") - 1 + F.coalesce("others", F.lit(0))).alias("partners"),
+    )
+    rows = jobs.filter(F.size("identity") > 0).select("ord", F.to_json(F.struct("norm_title", "identity")).alias("name"))
+    return join_spread(rows, told, "name", "size", F.col("ord")).select("ord", "node", "same", "partners")
+
+
 class Merge:
     """The representatives of one part, as postings come in order of arrival: a posting joins the first representative with a
     compatible company, and takes its place if its description is longer; else it is a new representative.

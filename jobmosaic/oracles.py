@@ -223,6 +223,7 @@ ORACLE_SQL = {
     "dedupe_fingerprint": _jobs("SELECT ord, first_ord, search_term FROM w2"),
     "dedupe_full": _jobs("SELECT ord, first_ord, rep_ord, title_ord FROM w3"),
     "same_company_pairs": _jobs("SELECT a.ord AS ord_a, b.ord AS ord_b FROM level a JOIN level b ON a.nt = b.nt AND a.ord < b.ord WHERE len(a.idn) > 0 AND len(b.idn) > 0 AND (list_has_all(a.idn, b.idn) OR list_has_all(b.idn, a.idn))"),
+    "same_company_classes": _jobs("SELECT ord, min(ord) OVER w AS node, count(*) OVER w AS same, partners FROM (SELECT a.ord, any_value(a.nt) AS nt, any_value(a.idn) AS idn, count(b.ord) AS partners FROM level a LEFT JOIN level b ON a.nt = b.nt AND a.ord <> b.ord AND len(b.idn) > 0 AND (list_has_all(a.idn, b.idn) OR list_has_all(b.idn, a.idn)) WHERE len(a.idn) > 0 GROUP BY a.ord) WINDOW w AS (PARTITION BY nt, idn)"),
     "tech_split": _jobs("SELECT ord, CASE WHEN tech THEN 'tech' ELSE 'nao_tech' END AS lado FROM gate"),
     "pipeline_jobs": _jobs("SELECT ord, source, external_id, seniority, search_term, area, area_score, area_matches, array_to_string(skills, ', ') AS skills, rep_ord, title_ord FROM jobs"),
     "area_ranking": _jobs(_RANK),

@@ -106,6 +106,7 @@ on(
     dedupe_fingerprint=lambda d: D.dedupe_fingerprint(D.dedupe_source_key(d)).select("ord", "first_ord", "search_term"),
     dedupe_full=lambda d: D.dedupe_full(d).select("ord", "first_ord", "rep_ord", "title_ord"),
     same_company_pairs=lambda d: D.same_company_pairs(d).select("ord_a", "ord_b"),
+    same_company_classes=D.same_company_classes,
 )
 
 

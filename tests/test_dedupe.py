@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from jobmosaic.functions.rules import COMPANY_NOISE, plain
 from jobmosaic.functions.text import company_identity, fingerprint, normalize
 from jobmosaic.functions.joins import parts_of
-from jobmosaic.operators.dedupe import containments, dedupe_full, distinct_names, first_of_term, merge_in_order, same_company_pairs
+from jobmosaic.operators.dedupe import containments, dedupe_full, distinct_names, first_of_term, merge_in_order, same_company_classes, same_company_pairs
 
 SCHEMA = "ord long, source string, external_id string, title string, company string, description string, search_term string"
 
@@ -141,3 +141,6 @@ def test_pairs_are_all_pairs(spark):
     names = [(r[0], r[3], name_of(r[4])) for r in rows]
     want = sorted((a[0], b[0]) for a in names for b in names if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and (a[2] <= b[2] or b[2] <= a[2]))
     assert sorted((r.ord_a, r.ord_b) for r in same_company_pairs(prepared(spark, rows)).collect()) == want
+    classes = {r.ord: (r.node, r.same, r.partners) for r in same_company_classes(prepared(spark, rows)).collect()}
+    mine = lambda n: sorted(m[0] for m in names if m[1:] == n[1:])
+    assert classes == {n[0]: (mine(n)[0], len(mine(n)), sum(n[0] in p for p in want)) for n in names if n[2]}
