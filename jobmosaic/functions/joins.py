@@ -63,8 +63,7 @@ def parts_of(links: DataFrame) -> DataFrame:
         near = join_spread(both, parts.withColumnRenamed("node", "b"), "b", "links", F.col("a")).groupBy("a").agg(F.min("part").alias("near"))
         least = parts.join(near, F.col("node") == F.col("a")).select("node", "links", F.col("part").alias("before"), F.least("part", "near").alias("low"))
         of_part = parts.select(F.col("node").alias("low"), F.col("part").alias("lower"))
-        sizes = least.groupBy("low").agg(F.count(F.lit(1)).alias("size")).join(of_part, "low")
-        now = kept(join_spread(least, sizes, "low", "size", F.col("node")).select("node", "links", "before", F.least("low", "lower").alias("part")), "parts")
+        now = kept(least.join(of_part, "low").select("node", "links", "before", F.least("low", "lower").alias("part")), "parts")
         if before is not None:
             discard(before)
         before, parts = now, now.select("node", "links", "part")

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from jobmosaic.functions.rules import COMPANY_NOISE, NOT_TOLD, REMOTE, WORKPLACE_EXACT, WORKPLACE_PARTS
 
 #: What Python calls white space in a text, as a Java character class.
-SPACES = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+_WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
+SPACES = rf"[{_WHITE}]+"
+#: Runs of it that aren't one plain space already: most are, and needn't be written again.
+OTHER_SPACES = rf"[{_WHITE}&&[^ ]][{_WHITE}]*| [{_WHITE}]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -39,7 +42,7 @@ def strip_ws(c: Column | str) -> Column:
 
 def squash_ws(c: Column | str) -> Column:
     """Each run of white space (Unicode) becomes one space, none at the ends; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACES, " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), OTHER_SPACES, " "))
 
 
 def character(code: Column) -> Column:
@@ -118,7 +121,8 @@ def _fold(c: Column | str, keep: str) -> Column:
     table = mapping(several)
     spelled = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     whole = F.when(rare, spelled).otherwise(text)
-    return F.trim(F.regexp_replace(F.translate(whole, source, target), f"[^a-z0-9{keep}]+", " "))
+    # runs of other characters become a space, but for those that are one
+    return F.trim(F.regexp_replace(F.translate(whole, source, target), f"[^a-z0-9{keep} ][^a-z0-9{keep}]*| [^a-z0-9{keep}]+", " "))
 
 
 def normalize(c: Column | str) -> Column:
