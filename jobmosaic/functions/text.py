@@ -117,12 +117,14 @@ def folding() -> tuple[str, str, dict[str, str]]:
 def _fold(c: Column | str, keep: str) -> Column:
     text = F.coalesce(_col(c), F.lit(""))
     source, target, several = folding()
-    rare = F.length(F.translate(text, "".join(several), "")) < F.length(text)
+    rare = F.rlike(text, F.lit(f"[{''.join(several)}]"))
     table = mapping(several)
     spelled = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     whole = F.when(rare, spelled).otherwise(text)
+    # a text of ASCII alone only loses its capitals; there are many, and a table takes long for each character
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(whole, source, target))
     # runs of other characters become a space, but for those that are one
-    return F.trim(F.regexp_replace(F.translate(whole, source, target), f"[^a-z0-9{keep} ][^a-z0-9{keep}]*| [^a-z0-9{keep}]+", " "))
+    return F.trim(F.regexp_replace(folded, f"[^a-z0-9{keep} ][^a-z0-9{keep}]*| [^a-z0-9{keep}]+", " "))
 
 
 def normalize(c: Column | str) -> Column:
@@ -135,6 +137,11 @@ def normalize_tech(c: Column | str) -> Column:
     return _fold(c, "#+")
 
 
+def without_marks(norm_tech: Column | str) -> Column:
+    """normalize of a text, from its normalize_tech."""
+    return F.trim(F.regexp_replace(_col(norm_tech), "[#+][#+ ]*| [#+ ]+", " "))
+
+
 def normalize_workplace(c: Column | str, folded: bool = False) -> Column:
     """The label of a work mode: exact names first, then parts of names; anything else is not told."""
     key = _col(c) if folded else normalize(c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import Rules
-from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html
+from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html, without_marks
 from jobmosaic.operators.areas import classify, extract_skills, is_tech, with_hits, with_scores
 from jobmosaic.operators.dedupe import first_of_term, survivors_of, text_size
 from jobmosaic.operators.levels import all_levels, entry_level
@@ -20,7 +20,8 @@ def clean(jobs: DataFrame) -> DataFrame:
     tidy = jobs.withColumns({"title": squash_ws("title"), "company": squash_ws("company"), "description": strip_html("description")})
     if "raw_workplace" in jobs.columns:
         tidy = tidy.withColumn("workplace_type", normalize_workplace("raw_workplace")).drop("raw_workplace")
-    folded = tidy.withColumns({"norm_title": normalize("title"), "norm_company": normalize("company"), "norm_body": normalize("description")})
+    marked = tidy.withColumns({"tech_title": normalize_tech("title"), "tech_body": normalize_tech("description")})
+    folded = marked.withColumns({"norm_title": without_marks("tech_title"), "norm_company": normalize("company"), "norm_body": without_marks("tech_body")})
     return folded.withColumns({
         "fingerprint": F.sha1(F.concat_ws("|", "norm_title", "norm_company").cast("binary")),
         "identity": company_identity("norm_company", folded=True),
@@ -34,7 +35,7 @@ def with_levels(jobs: DataFrame, rules: Rules, strict: bool = False, every: bool
 def enrich(jobs: DataFrame, rules: Rules) -> DataFrame:
     """area, area_score, area_matches and skills for postings that have their hits."""
     scored = classify(with_scores(jobs, rules), rules)
-    return scored.withColumn("skills", extract_skills(normalize_tech(F.concat_ws(" ", "title", "description")), rules)).drop("scores")
+    return scored.withColumn("skills", extract_skills(F.trim(F.concat_ws(" ", "tech_title", "tech_body")), rules)).drop("scores")
 
 
 @dataclass

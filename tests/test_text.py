@@ -26,9 +26,9 @@ def test_folding_of_every_code_point(spark):
     code = F.decode(F.unhex(F.when(F.col("id") < 0x10000, F.lpad(F.hex("id"), 4, "0")).otherwise(pair)), "UTF-16BE")
     df = spark.range(0, 0x110000, 1, 8).filter("id < 55296 or id >= 57344").select(F.concat(F.lit("x"), code, F.lit("Y")).alias("t"))
     seen = 0
-    for r in df.select("t", T.normalize("t").alias("a"), T.normalize_tech("t").alias("b"), T.squash_ws("t").alias("c")).toLocalIterator():
+    for r in df.select("t", T.normalize("t").alias("a"), T.normalize_tech("t").alias("b"), T.without_marks(T.normalize_tech("t")).alias("d"), T.squash_ws("t").alias("c")).toLocalIterator():
         seen += 1
-        assert (r.a, r.b, r.c) == (plain(r.t), plain(r.t, "#+"), re.sub(r"\s+", " ", r.t).strip()), repr(r.t)
+        assert (r.a, r.b, r.d, r.c) == (plain(r.t), plain(r.t, "#+"), plain(r.t), re.sub(r"\s+", " ", r.t).strip()), repr(r.t)
     assert seen == len(points)
 
 
@@ -37,6 +37,13 @@ def test_goldens(spark):
     assert got == [("desenvolvedor junior back end",) * 2, ("ci cd",) * 2, ("", ""), ("c e c", "c# e c++"), ("node js",) * 2, ("fi 1 2",) * 2]
 
 
+def test_words_and_marks_in_any_mix(spark):
+    rng = random.Random(2)
+    rows = ["".join(rng.choice("aB1é#+ \t-ﬁ") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    got = values(spark, rows, T.normalize("t"), T.normalize_tech("t"), T.without_marks(T.normalize_tech("t")), T.squash_ws("t"))
+    assert got == [(plain(r), plain(r, "#+"), plain(r), re.sub(r"\s+", " ", r).strip()) for r in rows]
+
+
 def test_entities_as_python_decodes_them(spark):
     names = sorted(html.entities.html5)
     numbers = [0, 1, 8, 9, 10, 11, 12, 13, 14, 31, 32, 65, 126, 127, 128, 129, 141, 150, 159, 160, 255, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x2FFFF, 0x10FFFD, 0x10FFFE, 0x10FFFF, 0x110000, 10**9, 10**30]
