@@ -12,12 +12,13 @@ from jobmosaic.functions.text import bound, has_phrase, mapping, phrase_hits
 
 
 def with_hits(jobs: DataFrame, rules: Rules) -> DataFrame:
-    """title_hits and body_hits: the gate's phrases and area keywords that stand in norm_title and norm_body, found once for gate and scores."""
+    """title_hits and body_hits: the gate's phrases and area keywords that stand in norm_title and norm_body, found once for gate and scores.
+
+    They are columns of a one-row inline: a filter that reads them isn't moved below it, where it would fold and search each text again."""
     keywords = [k.phrase for k in rules.keywords]
-    return jobs.withColumns({
-        "title_hits": phrase_hits("norm_title", rules.gate_title + rules.gate_exclude + keywords),
-        "body_hits": phrase_hits("norm_body", rules.gate_body + keywords),
-    })
+    title = phrase_hits("norm_title", rules.gate_title + rules.gate_exclude + keywords)
+    body = phrase_hits("norm_body", rules.gate_body + keywords)
+    return jobs.select("*", F.inline(F.array(F.struct(title.alias("title_hits"), body.alias("body_hits")))))
 
 
 def is_tech(rules: Rules) -> Column:
