@@ -19,22 +19,22 @@ from jobmosaic.operators.levels import level_of
 from jobmosaic.plans.pipeline import clean
 
 STATE = "terms array<string>, ords array<long>, sizes array<long>, levels array<string>"
-KEPT = "source string, external_id string, ord long, first_ord long, search_term string, seniority string"
+KEPT = "source string, external_id string, stays boolean, ord long, first_ord long, search_term string, seniority string"
 
 
-def survivor(rows: list[tuple[str, int, int, str | None]]) -> tuple[int | None, int | None, str | None, str | None]:
-    """(ord, first_ord, search_term, seniority) of the row that stays of (term, ord, size, level), the first of each term: of those with a
+def survivor(rows: list[tuple[str, int, int, str | None]]) -> tuple[bool, int, int, str, str]:
+    """(stays, ord, first_ord, search_term, seniority) of the row that stays of (term, ord, size, level), the first of each term: of those with a
     level the longest, the first of those; its term is the first that isn't empty among rows longer than all before them.
-    Nothing, if none has a level."""
+    Nothing stays if none has a level."""
     told = sorted((r for r in rows if r[3] is not None), key=lambda r: r[1])
     if not told:
-        return None, None, None, None
+        return False, 0, 0, "", ""
     term, longest, best = "", -1, told[0]
     for r in told:
         if r[2] > longest:
             longest, best = r[2], r
             term = term or r[0] or ""
-    return best[1], told[0][1], term, best[3]
+    return True, best[1], told[0][1], term, best[3]
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,12 +44,12 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             if term not in first or ord_ < first[term][0]:
                 first[term] = (ord_, size, level)
     state.update((list(first), [x[0] for x in first.values()], [x[1] for x in first.values()], [x[2] for x in first.values()]))
-    yield pd.DataFrame([(*key, *survivor([(t, *x) for t, x in first.items()]))], columns=["source", "external_id", "ord", "first_ord", "search_term", "seniority"]).astype({"ord": "Int64", "first_ord": "Int64"})
+    yield pd.DataFrame([(*key, *survivor([(t, *x) for t, x in first.items()]))], columns=[c.split(" ")[0] for c in KEPT.split(", ")])
 
 
 def by_source_key_stream(raw: DataFrame, rules: Rules | None = None, strict: bool = False) -> DataFrame:
-    """Changes (KEPT) of a stream of raw postings, a row for each key of each batch: the row that stays of all rows so far; ord is
-    null if none of them has a level."""
+    """Changes (KEPT) of a stream of raw postings, a row for each key of each batch: the row that stays of all rows so far, or
+    that none does as none has a level."""
     slim = clean(raw).select("source", "external_id", F.coalesce("search_term", F.lit("")).alias("search_term"), "ord", text_size(raw).cast("long").alias("text_size"), level_of(rules or Rules(), strict).alias("level"))
     return slim.groupBy("source", "external_id").applyInPandasWithState(_update, KEPT, STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -67,5 +67,5 @@ def keep_source_keys(raw: DataFrame, changes: str, checkpoint: str, rules: Rules
 def source_keys(spark: SparkSession, changes: str) -> DataFrame:
     """The row that stays of each key by its last change."""
     rows = spark.read.schema(f"{KEPT}, batch long").parquet(changes)
-    last = rows.groupBy("source", "external_id").agg(F.max_by(F.struct("ord", "first_ord", "search_term", "seniority"), "batch").alias("last"))
-    return last.select("source", "external_id", "last.*").filter("ord is not null")
+    last = rows.groupBy("source", "external_id").agg(F.max_by(F.struct("stays", "ord", "first_ord", "search_term", "seniority"), "batch").alias("last"))
+    return last.select("source", "external_id", "last.*").filter("stays").drop("stays")

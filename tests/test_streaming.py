@@ -12,9 +12,9 @@ SCHEMA = "ord long, source string, external_id string, title string, company str
 
 
 def test_survivor():
-    assert survivor([]) == (None, None, None, None) and survivor([("t", 1, 5, None)]) == (None, None, None, None)
-    assert survivor([("b", 4, 9, "J"), ("", 2, 5, "E"), ("a", 3, 7, "J"), ("c", 1, 99, None)]) == (4, 2, "a", "J")
-    assert survivor([("a", 1, 5, "J"), ("b", 2, 5, "E")]) == (1, 1, "a", "J")
+    assert survivor([]) == survivor([("t", 1, 5, None)]) == (False, 0, 0, "", "")
+    assert survivor([("b", 4, 9, "J"), ("", 2, 5, "E"), ("a", 3, 7, "J"), ("c", 1, 99, None)]) == (True, 4, 2, "a", "J")
+    assert survivor([("a", 1, 5, "J"), ("b", 2, 5, "E")]) == (True, 1, 1, "a", "J")
 
 
 def test_any_split_into_batches_gives_the_batch_result(spark, tmp_path):
