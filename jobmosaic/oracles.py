@@ -302,26 +302,28 @@ def _landed(source: str, when: str, **fields: str) -> str:
     """The fields of the records that were landed for each page id; when: which of them stay."""
     term = "CASE i % 2 WHEN 0 THEN 'estagio ti' ELSE 'qa junior' END"
     columns = {"location": "''", "published_date": "''", "seniority": "''", "search_term": term} | fields
-    return f"SELECT '{source}' AS source, " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM (SELECT page_id AS i FROM pages) WHERE {when}"
+    return f"SELECT '{source}' AS source, " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM (SELECT page_id AS i, coalesce(url, '') AS own_url, coalesce(html, '') AS own_html, regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) AS own_title FROM pages) WHERE {when}"
 
 
 _PLACE = "CASE WHEN i % 4 = 0 THEN '' ELSE 'Cidade  ' || (i % 7) END"
+_NAMES = r"""regexp_extract_all(own_html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
+_TAGS = f"CASE WHEN list_aggregate({_NAMES}, 'string_agg', '') <> '' OR len({_NAMES}) > 1 THEN 'Tecnologias: ' || array_to_string(list_transform({_NAMES}, lambda x: {squash('x')}), ', ') || '. ' ELSE '' END"
 _PORTAL_SQL = {
-    "gupy_json": _landed("gupy", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title="'Vaga ' || i", company="'Empresa ' || (i % 5)", url="CASE WHEN i % 2 = 0 THEN 'https://j.example/' || i ELSE 'https://c.example' END", description="'<p>Texto</p>'",
+    "gupy_json": _landed("gupy", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title="'Vaga ' || i || ' ' || own_title", company="'Empresa ' || (i % 5)", url="CASE WHEN i % 2 = 0 AND own_url <> '' THEN own_url ELSE 'https://c.example' END", description="own_html",
         location=f"CASE WHEN i % 4 = 0 THEN 'Brasil' WHEN i % 4 = 1 THEN {_PLACE} ELSE {_PLACE} || ', SP' END", workplace_type="CASE WHEN i % 5 = 0 THEN 'Híbrido' WHEN i % 3 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'2026-07-20'"),
-    "trampos_json": _landed("trampos", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title="'Vaga ' || i", company="CASE WHEN i % 6 = 0 THEN 'Própria' ELSE 'Casa ' || (i % 9) END",
-        url="CASE i % 7 WHEN 0 THEN 'https://t.example/o/' || i WHEN 1 THEN 'https://w.example/o/' || i ELSE 'https://trampos.co/oportunidades/' || i END", description="'Categoria: TI.' || CASE WHEN i % 3 = 0 THEN '' ELSE ' Tipo: Tipo A.' END || CASE WHEN i % 4 >= 2 THEN ' Salário: R$ 2.000.' ELSE '' END",
+    "trampos_json": _landed("trampos", "i % 11 <> 5 AND i % 13 <> 7 AND i % 17 <> 9", external_id="i::VARCHAR", title=strip("'Vaga ' || i || ' ' || own_title"), company="CASE WHEN i % 6 = 0 THEN 'Própria' ELSE 'Casa ' || (i % 9) END",
+        url="CASE i % 7 WHEN 0 THEN 'https://t.example/o/' || i WHEN 1 THEN 'https://w.example/o/' || i ELSE 'https://trampos.co/oportunidades/' || i END", description="CASE WHEN own_url = '' THEN '' ELSE 'Categoria: ' || own_url || '.' END || CASE WHEN i % 3 = 0 THEN '' ELSE ' Tipo: Tipo A.' END || CASE WHEN i % 4 >= 2 THEN ' Salário: R$ 2.000.' ELSE '' END",
         workplace_type="CASE WHEN i % 5 = 0 THEN 'Remoto' WHEN i % 3 = 1 THEN 'Híbrido' ELSE 'Presencial' END", published_date="'2026-07-21'", seniority="CASE WHEN i % 2 = 0 THEN 'Estágio' ELSE '' END"),
-    "vagas_cards": _landed("vagas", "i % 11 <> 5 AND i % 23 <> 6", external_id="i::VARCHAR", title="CASE WHEN i % 3 = 0 THEN 'Vaga & ' || i ELSE 'Dev de Software' END", company="'Casa ' || (i % 9)", url="CASE WHEN i % 2 = 0 THEN 'https://www.vagas.com.br' ELSE 'https://x.example' END || '/vagas/v' || i", description="'Texto: a b'",
+    "vagas_cards": _landed("vagas", "i % 11 <> 5 AND i % 23 <> 6", external_id="i::VARCHAR", title="CASE WHEN i % 3 = 0 THEN 'Vaga & ' || i || ' ' || own_title ELSE " + squash("'Dev de Software ' || own_title") + " END", company="'Casa ' || (i % 9)", url="CASE WHEN i % 2 = 0 THEN 'https://www.vagas.com.br' ELSE 'https://x.example' END || '/vagas/v' || i", description=squash("'Texto: a ' || own_html"),
         location="CASE WHEN i % 4 = 0 THEN '100% Home Office' ELSE 'Rio / RJ' END", workplace_type="CASE WHEN i % 4 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'09/07/2026'"),
-    "programathor_cards": _landed("programathor", "i % 5 <> 2 AND i % 23 <> 6", external_id="i::VARCHAR", title="'Programador ' || i", company="'Casa ' || (i % 9)", url="'https://programathor.com.br/jobs/' || i || '-dev'",
-        description="'Tecnologias: PHP, SQL. Contrato: ' || CASE WHEN i % 6 = 0 THEN 'Estágio' ELSE 'PJ' END || '.' || CASE WHEN i % 3 = 0 THEN ' Faixa salarial: Até R$4.000.' ELSE '' END",
+    "programathor_cards": _landed("programathor", "i % 5 <> 2 AND i % 23 <> 6", external_id="i::VARCHAR", title=squash("'Programador ' || i || ' ' || own_title"), company="'Casa ' || (i % 9)", url="'https://programathor.com.br/jobs/' || i || '-dev'",
+        description=_TAGS + " || 'Contrato: ' || CASE WHEN i % 6 = 0 THEN 'Estágio' ELSE 'PJ' END || '.' || CASE WHEN i % 3 = 0 THEN ' Faixa salarial: Até R$4.000.' ELSE '' END",
         location="(['São Paulo', '', 'Recife', ''])[i % 4 + 1]", workplace_type="(['Híbrido', 'Remoto', '', ''])[i % 4 + 1]", seniority="CASE WHEN i % 6 = 0 THEN 'Estágio' ELSE 'Júnior' END"),
-    "linkedin_cards": _landed("linkedin", "i % 11 <> 5 AND i % 13 <> 7 AND i % 23 <> 6", external_id="i::VARCHAR", title="'Dev <' || i || '>'", company="'Casa ' || (i % 9)", url="'https://l.example/view/' || i", description="''",
+    "linkedin_cards": _landed("linkedin", "i % 11 <> 5 AND i % 13 <> 7 AND i % 23 <> 6", external_id="i::VARCHAR", title=squash("'Dev <' || i || '> ' || own_title"), company="'Casa ' || (i % 9)", url="split_part(own_url || '?', '?', 1)", description="''",
         location="CASE WHEN i % 4 = 0 THEN 'Brasil (Remote)' ELSE 'São Paulo' END", workplace_type="CASE WHEN i % 4 = 0 THEN 'Remoto' ELSE 'Não informado' END", published_date="'2026-08-01'"),
 }
 ORACLE_SQL |= _PORTAL_SQL
 
 _IN_ORDER = ["gupy_json", "vagas_cards", "programathor_cards", "trampos_json", "linkedin_cards"]
 _PACKED = f"((((list_position({listed(PORTALS)}, source)::BIGINT << 12) | list_position({listed(SEARCH_TERMS)}, search_term)) << 31 | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT // 20 ELSE external_id::BIGINT END) << 16) | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT % 20 ELSE 0 END"
-ORACLE_SQL["collect_union"] = f"SELECT {_PACKED} AS ord, source, external_id, search_term FROM (" + " UNION ALL ".join(f"SELECT source, external_id, search_term FROM ({_PORTAL_SQL[k]})" for k in _IN_ORDER) + ")"
+ORACLE_SQL["collect_union"] = f"SELECT {_PACKED} AS ord, * FROM (" + " UNION ALL BY NAME ".join(f"({_PORTAL_SQL[k]})" for k in _IN_ORDER) + ")"

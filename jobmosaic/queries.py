@@ -367,10 +367,16 @@ on(
 )
 
 
-# landed records and pages, made from the ids of the pages table
+# landed records and pages: each page of the pages table is a posting, with its own title, links, text and address
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("i"))
-    return pages.filter("i IS NOT NULL").selectExpr("i", "CASE i % 2 WHEN 0 THEN 'estagio ti' ELSE 'qa junior' END AS term", "i div 20 AS page", "i % 20 AS pos")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id IS NOT NULL")
+    own = pages.selectExpr("page_id AS i", "coalesce(url, '') AS own_url", "coalesce(html, '') AS own_html", "CASE page_id % 2 WHEN 0 THEN 'estagio ti' ELSE 'qa junior' END AS term", "page_id div 20 AS page", "page_id % 20 AS pos")
+    return own.withColumn("own_title", F.regexp_extract("own_html", "<title>([^<]*)", 1))
+
+
+def _marked(text: str) -> str:
+    """A text as it stands in a page, between tags or quotes."""
+    return f"""replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
 
 
 def _some(record: str) -> str:
@@ -385,33 +391,33 @@ def _deep(html: str) -> str:
 
 
 def gupy_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '', concat('Vaga ', i)), 'careerPageName', concat('Empresa ', i % 5), 'careerPageUrl', 'https://c.example', 'jobUrl', if(i % 2 = 0, concat('https://j.example/', i), null),
-      'description', '<p>Texto</p>', 'publishedDate', '2026-07-20T10:00:00Z', 'isRemoteWork', i % 3 = 0, 'city', if(i % 4 = 0, ' ', concat(' Cidade  ', i % 7)), 'state', if(i % 4 < 2, '', 'SP'), 'country', ' Brasil ', 'workplaceType', if(i % 5 = 0, 'hybrid', null)))"""
+    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '', concat('Vaga ', i, ' ', own_title)), 'careerPageName', concat('Empresa ', i % 5), 'careerPageUrl', 'https://c.example', 'jobUrl', if(i % 2 = 0, own_url, null),
+      'description', own_html, 'publishedDate', '2026-07-20T10:00:00Z', 'isRemoteWork', i % 3 = 0, 'city', if(i % 4 = 0, ' ', concat(' Cidade  ', i % 7)), 'state', if(i % 4 < 2, '', 'SP'), 'country', ' Brasil ', 'workplaceType', if(i % 5 = 0, 'hybrid', null)))"""
     return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{_some(record)} AS json")
 
 
 def trampos_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '  ', concat(' Vaga ', i)), 'type_name', if(i % 3 = 0, null, 'Tipo A'), 'type_slug', if(i % 2 = 0, 'estagio', 'clt'), 'category_name', 'TI', 'home_office', if(i % 5 = 0, true, null), 'hybrid', i % 3 = 1,
-      'salary', if(i % 4 = 0, 'Não divulgada', if(i % 4 = 1, '', 'R$ 2.000')), 'published_at', '2026-07-21T09:00:00-03:00', 'custom_company_name', if(i % 6 = 0, 'Própria', null), 'company', named_struct('name', concat('Casa ', i % 9, ' ')),
+    record = """to_json(named_struct('id', if(i % 11 = 5, null, {id}), 'name', if(i % 13 = 7, '  ', concat(' Vaga ', i, ' ', own_title)), 'type_name', if(i % 3 = 0, null, 'Tipo A'), 'type_slug', if(i % 2 = 0, 'estagio', 'clt'), 'category_name', own_url, 'home_office', if(i % 5 = 0, true, null), 'hybrid', i % 3 = 1,
+      'salary', if(i % 4 = 0, 'Não divulgada', if(i % 4 = 1, '', 'R$ 2.000')), 'published_at', '2026-07-21T09:00:00-03:00', 'custom_company_name', if(i % 6 = 0, 'Própria', null), 'company', named_struct('name', concat('Casa ', i % 9, ' '), 'description', own_html),
       'email_share_url', if(i % 7 = 0, concat('https://t.example/o/', i, '/share/email'), null), 'whatsapp_share_url', if(i % 7 = 1, concat('https://w.example/o/', i, '/share/w'), null)))"""
     return _landed(spark, sf_dir).selectExpr("term", "page", "pos", f"{_some(record)} AS json")
 
 
 def vagas_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = """concat('<ul><li class="vaga odd "><h2><a class="link-detalhes-vaga" ', if(i % 11 = 5, '', concat('data-id-vaga="', i, '"')), if(i % 3 = 0, concat(' title="Vaga &amp; ', i, '"'), ''), ' href="', if(i % 2 = 0, '', 'https://x.example'), '/vagas/v', i, '"><mark>Dev</mark> de  Software</a></h2>
-      <span class="emprVaga"> Casa ', i % 9, ' </span><span class="nivelVaga">Pleno</span><div class="detalhes"><p>Texto: <b>a</b>b</p></div><div class="vaga-local"><i></i> ', if(i % 4 = 0, '100% Home Office', 'Rio / RJ'), ' </div><span class="data-publicacao"><i></i>09/07/2026</span></li><li class="outra">x</li></ul>')"""
+    html = f"""concat('<ul><li class="vaga odd "><h2><a class="link-detalhes-vaga" ', if(i % 11 = 5, '', concat('data-id-vaga="', i, '"')), if(i % 3 = 0, concat(' title="Vaga &amp; ', i, ' ', {_marked('own_title')}, '"'), ''), ' href="', if(i % 2 = 0, '', 'https://x.example'), '/vagas/v', i, '"><mark>Dev</mark> de  Software ', {_marked('own_title')}, '</a></h2>
+      <span class="emprVaga"> Casa ', i % 9, ' </span><span class="nivelVaga">Pleno</span><div class="detalhes"><p>Texto: <b>a</b>', {_marked('own_html')}, '</p></div><div class="vaga-local"><i></i> ', if(i % 4 = 0, '100% Home Office', 'Rio / RJ'), ' </div><span class="data-publicacao"><i></i>09/07/2026</span></li><li class="outra">x</li></ul>')"""
     return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
 
 def programathor_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = """concat('<div class="wrapper-jobs-list"><a href="/jobs/', i, '-dev"><h3 class="x">', if(i % 5 = 2, '<span class="y color-red">Vencida</span> ', if(i % 5 = 3, '<span class="color-red">Nova</span>', '')), 'Programador ', i, '</h3><div class="cell-list-content-icon"><span><i class="fa fa-briefcase"></i>Casa ', i % 9, '</span>
+    html = f"""concat('<div class="wrapper-jobs-list"><a href="/jobs/', i, '-dev"><h3 class="x">', if(i % 5 = 2, '<span class="y color-red">Vencida</span> ', if(i % 5 = 3, '<span class="color-red">Nova</span>', '')), 'Programador ', i, ' ', {_marked('own_title')}, '</h3><div class="cell-list-content-icon"><span><i class="fa fa-briefcase"></i>Casa ', i % 9, '</span>
       <span><i class="fas fa-map-marker-alt"></i>', element_at(array('São Paulo  (Híbrido)', 'Remoto', 'Recife', ''), cast(i % 4 + 1 as int)), '</span>', if(i % 3 = 0, '<span><i class="far fa-money-bill-alt"></i>Até R$4.000</span>', ''), '<span><i class="far fa-chart-bar"></i>Júnior</span><span><i class="far fa-file-alt"></i>', if(i % 6 = 0, 'Estágio', 'PJ'), '</span></div>
-      <span class="tag-list z">PHP</span><span class="tag-list z">SQL</span></a><a href="/outro">y</a></div>')"""
+      ', concat_ws(' ', transform(regexp_extract_all(own_html, '<li><a href="[^"]*">([^<]*)</a>', 1), x -> concat('<span class="tag-list z">', {_marked('x')}, '</span>'))), '</a><a href="/outro">y</a></div>')"""
     return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
 
 def linkedin_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = """concat('<ul><li><div class="base-card job" data-entity-urn="', if(i % 11 = 5, 'urn:x', concat('urn:li:jobPosting:', i)), '"><a class="base-card__full-link" href="https://l.example/view/', i, '?position=1&amp;pageNum=0"><span>s</span></a><h3 class="base-search-card__title">', if(i % 13 = 7, '', concat('Dev &lt;', i, '&gt;')), '</h3>
+    html = f"""concat('<ul><li><div class="base-card job" data-entity-urn="', if(i % 11 = 5, 'urn:x', concat('urn:li:jobPosting:', i)), '"><a class="base-card__full-link" href="', {_marked('own_url')}, '?position=1&amp;pageNum=0"><span>s</span></a><h3 class="base-search-card__title">', if(i % 13 = 7, '', concat('Dev &lt;', i, '&gt; ', {_marked('own_title')})), '</h3>
       <h4 class="base-search-card__subtitle">Casa ', i % 9, '</h4><span class="job-search-card__location">', if(i % 4 = 0, 'Brasil (Remote)', 'São Paulo'), '</span><time datetime="2026-08-01T00">x</time></div></li></ul>')"""
     return _landed(spark, sf_dir).selectExpr("term", "i AS page", f"{_deep(html)} AS html")
 
@@ -446,5 +452,4 @@ def linkedin_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def collect_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.collect_union({p: f(spark, sf_dir) for p, f in _LANDED.items()})
-    return rows.select("ord", "source", "external_id", "search_term")
+    return W.collect_union({p: f(spark, sf_dir) for p, f in _LANDED.items()})
