@@ -327,3 +327,4 @@ ORACLE_SQL |= _PORTAL_SQL
 _IN_ORDER = ["gupy_json", "vagas_cards", "programathor_cards", "trampos_json", "linkedin_cards"]
 _PACKED = f"((((list_position({listed(PORTALS)}, source)::BIGINT << 12) | list_position({listed(SEARCH_TERMS)}, search_term)) << 31 | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT // 20 ELSE external_id::BIGINT END) << 16) | CASE WHEN source IN ('gupy', 'trampos') THEN external_id::BIGINT % 20 ELSE 0 END"
 ORACLE_SQL["collect_union"] = f"SELECT {_PACKED} AS ord, * FROM (" + " UNION ALL BY NAME ".join(f"({_PORTAL_SQL[k]})" for k in _IN_ORDER) + ")"
+ORACLE_SQL["landed_files"] = ORACLE_SQL["collect_union"]

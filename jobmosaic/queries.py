@@ -23,6 +23,7 @@ from jobmosaic.plans import store as S
 from jobmosaic.plans.adapter import REFERENCE, SNAPSHOT_FILES, jobs_raw, snapshot
 from jobmosaic.plans.versions import VersionedTable
 from jobmosaic.sources import portals as W
+from jobmosaic.sources.landed import read_portal
 from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS
 from jobmosaic.streaming.imports import stream_import as start_import
 from jobmosaic.streaming.keys import keep_source_keys, source_keys
@@ -453,3 +454,14 @@ def linkedin_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def collect_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.collect_union({p: f(spark, sf_dir) for p, f in _LANDED.items()})
+
+
+@query
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files: every portal's pages and records land in a folder of their own and are read by the portal's format."""
+    postings = {}
+    for portal, landed in _LANDED.items():
+        folder = scratch(spark, f"landed-{portal}")
+        landed(spark, sf_dir).write.parquet(folder)
+        postings[portal] = read_portal(spark, portal, folder)
+    return W.in_order(postings)

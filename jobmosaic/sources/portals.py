@@ -189,7 +189,12 @@ def linkedin_fields(root: Node) -> list[dict[str, str]]:
     return found
 
 
-def cards(pages: DataFrame, fields: Callable[[Node], list[dict[str, str]]]) -> DataFrame:
+#: Fields of the cards of a parsed page, in the order of the page.
+Fields = Callable[[Node], list[dict[str, str]]]
+CARD = "term string, page long, pos long, c map<string,string>"
+
+
+def cards(pages: DataFrame, fields: Fields) -> DataFrame:
     """pages: term, page, html. One row for each card: term, page, pos and a map of its fields."""
 
     def run(batches):
@@ -197,15 +202,15 @@ def cards(pages: DataFrame, fields: Callable[[Node], list[dict[str, str]]]) -> D
             rows = [(t, p, n, card) for t, p, h in zip(batch["term"], batch["page"], batch["html"], strict=True) for n, card in enumerate(fields(parse(h)))]
             yield pd.DataFrame(rows, columns=["term", "page", "pos", "c"])
 
-    return pages.select("term", "page", "html").mapInPandas(run, "term string, page long, pos long, c map<string,string>")
+    return pages.select("term", "page", "html").mapInPandas(run, CARD)
 
 
 def _field(name: str) -> Column:
     return F.coalesce(F.try_element_at(F.col("c"), F.lit(name)), F.lit(""))
 
 
-def vagas_cards(pages: DataFrame, site: str = "https://www.vagas.com.br") -> DataFrame:
-    c = cards(pages, vagas_fields).filter((_field("id") != "") & (_field("title") != ""))
+def vagas_postings(cards: DataFrame, site: str = "https://www.vagas.com.br") -> DataFrame:
+    c = cards.filter((_field("id") != "") & (_field("title") != ""))
     url = F.when(F.startswith(_field("href"), F.lit("http")), _field("href")).otherwise(F.concat(F.lit(site), _field("href")))
     return _placed(
         c, "vagas", external_id=_field("id"), title=_field("title"), company=_field("company"), url=url, description=_field("description"),
@@ -213,10 +218,10 @@ def vagas_cards(pages: DataFrame, site: str = "https://www.vagas.com.br") -> Dat
     )
 
 
-def programathor_cards(pages: DataFrame, site: str = "https://programathor.com.br") -> DataFrame:
+def programathor_postings(cards: DataFrame, site: str = "https://programathor.com.br") -> DataFrame:
     """Expired cards are dropped; a contract that begins with `est` is an internship, whatever the declared level."""
     number = F.regexp_extract(_field("href"), r"/jobs/(\d+)", 1)
-    c = cards(pages, programathor_fields).filter((number != "") & (_field("title") != "") & ~F.contains(F.lower(_field("badge")), F.lit("vencida")))
+    c = cards.filter((number != "") & (_field("title") != "") & ~F.contains(F.lower(_field("badge")), F.lit("vencida")))
     place, mode = squash_ws(_field("location")), r"\(([^)]+)\)\s*$"
     has_mode, bare = place.rlike(mode), normalize_workplace(place) == REMOTE
     said = lambda label, name: F.when(_field(name) != "", F.concat(F.lit(f"{label}: "), _field(name), F.lit(".")))
@@ -229,15 +234,35 @@ def programathor_cards(pages: DataFrame, site: str = "https://programathor.com.b
     )
 
 
-def linkedin_cards(pages: DataFrame) -> DataFrame:
+def linkedin_postings(cards: DataFrame) -> DataFrame:
     number = F.regexp_extract(_field("urn"), r"(\d+)$", 1)
-    c = cards(pages, linkedin_fields).filter((number != "") & (_field("title") != ""))
+    c = cards.filter((number != "") & (_field("title") != ""))
     return _placed(
         c, "linkedin", external_id=number, title=_field("title"), company=_field("company"), url=F.substring_index(_field("href"), "?", 1), description=F.lit(""),
         location=_field("location"), workplace_type=remote_if(_field("location"), "remoto", "remote"), published_date=F.substring(_field("date"), 1, 10),
     )
 
 
+#: Portals with pages: what is read from a page, and how cards become raw postings.
+CARDS: dict[str, tuple[Fields, Callable[[DataFrame], DataFrame]]] = {
+    "vagas": (vagas_fields, vagas_postings),
+    "programathor": (programathor_fields, programathor_postings),
+    "linkedin": (linkedin_fields, linkedin_postings),
+}
+
+
+def vagas_cards(pages: DataFrame, site: str = "https://www.vagas.com.br") -> DataFrame:
+    return vagas_postings(cards(pages, vagas_fields), site)
+
+
+def programathor_cards(pages: DataFrame, site: str = "https://programathor.com.br") -> DataFrame:
+    return programathor_postings(cards(pages, programathor_fields), site)
+
+
+def linkedin_cards(pages: DataFrame) -> DataFrame:
+    return linkedin_postings(cards(pages, linkedin_fields))
+
+
 #: Portal to the function that turns its landed table into raw postings; other portals can be added.
 READERS: dict[str, Callable[[DataFrame], DataFrame]] = {"gupy": gupy_json, "vagas": vagas_cards, "programathor": programathor_cards, "trampos": trampos_json, "linkedin": linkedin_cards}
 
@@ -253,12 +278,16 @@ def _fitting(c: str, bits: int) -> Column:
 
 
 def collect_union(landed: dict[str, DataFrame], portals: list[str] = PORTALS, terms: list[str] = SEARCH_TERMS) -> DataFrame:
-    """All portals in one table; portals without a reader are skipped. ord packs portal, term, page and place: a total order
-    that needs no sort, and the same in every call. A page or place beyond its bits fails."""
-    known = [p for p in portals if p in landed and p in READERS]
+    """All portals in one table, from their landed tables; portals without a reader are skipped."""
+    return in_order({p: READERS[p](rows) for p, rows in landed.items() if p in READERS}, portals, terms)
+
+
+def in_order(postings: dict[str, DataFrame], portals: list[str] = PORTALS, terms: list[str] = SEARCH_TERMS) -> DataFrame:
+    """Raw postings of portals in one table; portals that aren't listed are skipped. ord packs portal, term, page and place: a
+    total order that needs no sort, and the same in every call. A page or place beyond its bits fails."""
     if len(terms) + 1 >= 1 << TERM_BITS or len(portals) + 1 >= 1 << (63 - TERM_BITS - PAGE_BITS - PLACE_BITS):
         raise ValueError("too many portals or search terms for ord")
-    rows = reduce(DataFrame.unionByName, [READERS[p](landed[p]) for p in known])
+    rows = reduce(DataFrame.unionByName, [postings[p] for p in portals if p in postings])
     packed = _rank("source", portals)
     for value, bits in ((_rank("search_term", terms), TERM_BITS), (_fitting("page", PAGE_BITS), PAGE_BITS), (_fitting("pos", PLACE_BITS), PLACE_BITS)):
         packed = F.shiftleft(packed, bits).bitwiseOR(value)
