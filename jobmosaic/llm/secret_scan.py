@@ -48,12 +48,17 @@ _START = np.array([0, 0, _NEVER])
 WORD_CELLS = 1 << 12
 SHAPES = 1024
 FILE_CELLS = 64
+FORMS = 128
 #: Offsets of the feature groups in one weight table.
-_GROUPS = [("shape", SHAPES), ("before shape", SHAPES), ("after shape", SHAPES), ("word", WORD_CELLS), ("before", WORD_CELLS), ("before that", WORD_CELLS), ("after", WORD_CELLS), ("file", FILE_CELLS)]
+_GROUPS = [("shape", SHAPES), ("before shape", SHAPES), ("after shape", SHAPES), ("word", WORD_CELLS), ("before", WORD_CELLS), ("before that", WORD_CELLS), ("after", WORD_CELLS), ("form", FORMS), ("file", FILE_CELLS), ("hidden", 1)]
 _OFFSET = dict(zip([n for n, _ in _GROUPS], np.cumsum([0, *[s for _, s in _GROUPS[:-1]]]).tolist(), strict=True))
 SIZE = sum(s for _, s in _GROUPS)
-#: Features of each token: one of each group but file, which has three.
-PER_TOKEN = len(_GROUPS) + 2
+#: Features of each token: one of each group but file, which has three, and hidden, which stands for one that training hides.
+PER_TOKEN = len(_GROUPS) + 1
+HIDDEN = SIZE - 1
+#: Of a token's features, those that tell lengths and those that tell words; and how many windows don't show them in a pass.
+_BY_LENGTH, _BY_WORD = [0, 1, 2], [3, 4, 5, 6]
+HIDE = 1 / 2
 
 _SPACE = [9, 10, 11, 12, 13, 32]
 
@@ -147,6 +152,8 @@ def tokenise(texts: list[str], files: list[tuple[str | None, str | None]], share
     shape = (((size * 8 + case) * 2 + only_hex) * 4 + changes).astype(np.int32)
     is_mark = kind[start] == 64
     shape[is_mark] = SHAPES - 1 - points[start[is_mark]].astype(np.int32) % 100
+    mixing = np.searchsorted([0.01, 0.2, 0.4], turns / np.maximum(1, length - 1), side="right")
+    form = (((case * 2 + only_hex) * 4 + mixing) * 2 + (length > 5)).astype(np.int32)
     line = np.cumsum(points == 10)[start]
     of = np.searchsorted(first, start, side="right") - 1
     share = np.array(shares) if shares else np.add.reduceat(((kind & 1) > 0).astype(np.int64), first) / np.maximum(1, sizes)
@@ -155,7 +162,7 @@ def tokenise(texts: list[str], files: list[tuple[str | None, str | None]], share
     told = np.c_[named, FILE_CELLS - 16 + np.minimum(15, (share * 64).astype(np.int32))][of]
     columns = [
         shape + _OFFSET["shape"], _neighbour(shape, line, 1, 0) + _OFFSET["before shape"], _neighbour(shape, line, -1, 0) + _OFFSET["after shape"],
-        word + _OFFSET["word"], _neighbour(word, line, 1, 0) + _OFFSET["before"], _neighbour(word, line, 2, 0) + _OFFSET["before that"], _neighbour(word, line, -1, 0) + _OFFSET["after"],
+        word + _OFFSET["word"], _neighbour(word, line, 1, 0) + _OFFSET["before"], _neighbour(word, line, 2, 0) + _OFFSET["before that"], _neighbour(word, line, -1, 0) + _OFFSET["after"], form + _OFFSET["form"],
         *(told.T + _OFFSET["file"]),
     ]
     return Tokens(start - first[of], stop - first[of], of, line, np.stack(columns, 1).astype(np.int32))
@@ -244,7 +251,10 @@ def log_likelihood(weights: np.ndarray, moves: np.ndarray, features: np.ndarray,
 
 
 def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, passes: int = PASSES, ridge: float = 1e-4, rate: float = 0.5) -> Field:
-    """Adaptive gradient ascent on the penalised likelihood, from zero, by BATCH windows at a time in a fixed random order."""
+    """Adaptive gradient ascent on the penalised likelihood, from zero, by BATCH windows at a time in a fixed random order.
+
+    In each pass some windows hide what depends on lengths, some hide words: what the rules find is as long as they ask for
+    and follows the names that they know, and the field is to know secrets by form and setting where those are others."""
     weights, moves = np.zeros((SIZE, 3)), np.zeros((3, 3))
     if not len(features):
         moves[:, B] = moves[:, I] = _NEVER  # nothing learned: everything is outside
@@ -254,7 +264,11 @@ def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, passes: int
     parts = -(-len(features) // BATCH)
     for _ in range(passes * max(1, LEAST_STEPS // (passes * parts))):
         for at in np.array_split(draw.permutation(len(features)), parts):
-            _, slope, pairs = log_likelihood(weights, moves, features[at], tags[at], lengths[at])
+            shown = features[at]
+            for group in (_BY_LENGTH, _BY_WORD):
+                shown[np.ix_(draw.random(len(at)) < HIDE, range(shown.shape[1]), group)] = HIDDEN
+            _, slope, pairs = log_likelihood(weights, moves, shown, tags[at], lengths[at])
+            slope[HIDDEN] = 0
             slope, pairs = slope - ridge * weights, pairs - ridge * moves
             seen_w += slope**2
             seen_m += pairs**2

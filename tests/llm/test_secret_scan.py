@@ -176,7 +176,7 @@ def test_planted_secrets_that_no_rule_finds(spark):
     hexes, mixed = "0123456789abcdef", "ABCDEFGHKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789"
     taught = [lambda: f'password = "{draw(mixed, 20)}"', lambda: f"api_key: {draw(hexes, 32)}", lambda: f'secret="{draw(mixed, 24)}"', lambda: f"AKIA{draw('ABCDEFGHKLMNPQ234567', 16)}"]
     planted = {"other key": lambda c: f'credential = "{c}"', "short hex": lambda c: f"key: {c}", "split": lambda c: f'secret = "{c[:10]}#{c[10:]}"'}
-    decoys = ['version = "1.20.3"', 'name: "readable"', "width = 1024", 'token = "none"', 'path = "some/where"']
+    decoys = ['version = "1.20.3"', 'name: "readable"', "width = 1024", 'token = "none"', 'path = "some/where"', "codec: mp3", 'user = "anna42"', "date: 2024-01-15T10:20", 'model = "h264"']
     rows, hidden = [], {}
     for i in range(1200):
         lines = [" ".join(word() for _ in range(8)) for _ in range(6)]
@@ -194,4 +194,4 @@ def test_planted_secrets_that_no_rule_finds(spark):
     right = [(i, hidden[i][0]) for i, a, b in spans if i in hidden and a < hidden[i][2] and b > hidden[i][1]]
     recall = {k: len({i for i, kind in right if kind == k}) / sum(v[0] == k for v in hidden.values()) for k in planted}
     print("recall", recall, "precision", len(right) / max(1, len(spans)))
-    assert recall["other key"] >= 0.85 and len(right) >= 0.95 * len(spans)
+    assert min(recall.values()) >= 0.85 and len(right) >= 0.95 * len(spans)
