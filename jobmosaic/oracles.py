@@ -190,6 +190,7 @@ _LONG = """CASE WHEN ord % 19 = 3 THEN '"a' || chr(10) || description || chr(10)
 _HELD = "SELECT id, source, external_id, title, company, area, location, CAST(published_date AS VARCHAR) AS published_date, area_score, coalesce(array_to_string(skills, ', '), '') AS skills"
 _TIDY = {c: f"coalesce({c}, '') AS {c}" for c in ("source", "external_id", "area", "seniority", "title", "company", "skills", "area_matches", "search_term")}
 
+_WORDED = "(SELECT * REPLACE (" + ", ".join(f"CASE WHEN ord % 2 = 1 THEN {c} || ' ' || description ELSE {c} END AS {c}" for c in ("title", "company", "search_term", "raw_workplace")) + ") FROM raw)"
 _raw = lambda f: sql(_MAIN[:1], f)
 _jobs = lambda f: sql(_MAIN, f)
 _clean = lambda f: sql(_CLEAN, f)
@@ -200,14 +201,14 @@ ORACLE_SQL = {
     "normalize": f"SELECT doc_id, md5({words("coalesce(text, '')")}) AS value FROM documents",
     "normalize_tech": f"SELECT doc_id, md5({words("coalesce(text, '')", '#+')}) AS value FROM documents",
     "strip_html": "SELECT page_id, md5(" + squash("replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&quot;?', '\"', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')") + ") AS value FROM pages",
-    "normalize_workplace": _raw(f"SELECT ord, {workplace('raw_workplace')} AS value FROM raw"),
-    "fingerprint": _raw(f"SELECT ord, sha1({words('title')} || '|' || {words('company')}) AS value FROM raw"),
+    "normalize_workplace": _raw(f"SELECT ord, {workplace('raw_workplace')} AS value FROM {_WORDED}"),
+    "fingerprint": _raw(f"SELECT ord, sha1({words('title')} || '|' || {words('company')}) AS value FROM {_WORDED}"),
     "source_key": _raw("SELECT ord, source || ':' || external_id AS value FROM raw"),
     "searchable_text": _raw(f"SELECT ord, md5({words("title || ' ' || description")}) AS value FROM raw"),
-    "slugify_term": _raw(f"SELECT ord, replace({words('search_term')}, ' ', '-') AS value FROM raw"),
-    "company_identity": _raw(f"SELECT ord, array_to_string({identity('company')}, ' ') AS value FROM raw"),
+    "slugify_term": _raw(f"SELECT ord, replace({words('search_term')}, ' ', '-') AS value FROM {_WORDED}"),
+    "company_identity": _raw(f"SELECT ord, array_to_string({identity('company')}, ' ') AS value FROM {_WORDED}"),
     "parse_published_date": _raw(f"SELECT ord, CAST({date_of('published_date', f"DATE '{REFERENCE}'")} AS VARCHAR) AS value FROM raw"),
-    "seniority_label": _raw(f"SELECT ord, {label(words('title'))} AS label, {label(words('title'), True)} AS strict FROM raw"),
+    "seniority_label": _raw(f"SELECT ord, {label(words('title'))} AS label, {label(words('title'), True)} AS strict FROM {_WORDED}"),
     "extract_skills": sql([*_MAIN[:1], *classified("raw")[-2:]], "SELECT r.ord, coalesce(s.names, '') AS skills FROM raw r LEFT JOIN (SELECT ord, array_to_string(list_sort(list(skill)), ', ') AS names FROM skills_raw GROUP BY ord) s USING (ord)"),
     "term_first_seen": sql(_MAIN[:2], "SELECT ord, source, search_term, external_id FROM first"),
     "term_yield": sql(_MAIN[:2], "SELECT source, search_term, count(*) AS vagas FROM first GROUP BY ALL"),

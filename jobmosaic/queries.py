@@ -58,6 +58,12 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.clean(D.first_of_term(jobs_raw(spark, sf_dir)))
 
 
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of which every second one has its whole text in the short fields too, so that these are as varied as texts are."""
+    longer = lambda c: F.when(F.col("ord") % 2 == 1, F.concat(c, F.lit(" "), "description")).otherwise(F.col(c))
+    return jobs_raw(spark, sf_dir).withColumns({c: longer(c) for c in ("title", "company", "search_term", "raw_workplace")})
+
+
 def levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.entry_level(cleaned(spark, sf_dir), RULES)
 
@@ -79,18 +85,21 @@ on(
 )
 on(
     jobs_raw,
-    normalize_workplace=lambda d: d.select("ord", T.normalize_workplace("raw_workplace").alias("value")),
-    fingerprint=lambda d: d.select("ord", T.fingerprint("title", "company").alias("value")),
     source_key=lambda d: d.select("ord", T.source_key("source", "external_id").alias("value")),
     searchable_text=lambda d: d.select("ord", F.md5(T.searchable_text("title", "description")).alias("value")),
-    slugify_term=lambda d: d.select("ord", T.slugify_term("search_term").alias("value")),
-    company_identity=lambda d: d.select("ord", F.array_join(T.company_identity("company"), " ").alias("value")),
     parse_published_date=lambda d: d.select("ord", parse_published_date("published_date", DAY).cast("string").alias("value")),
-    seniority_label=lambda d: d.select("ord", L.seniority_label(T.normalize("title"), RULES).alias("label"), L.seniority_label(T.normalize("title"), RULES, True).alias("strict")),
     extract_skills=lambda d: d.select("ord", joined(A.extract_skills(T.normalize_tech(F.concat_ws(" ", "title", "description")), RULES), "skills")),
     term_first_seen=lambda d: D.first_of_term(d).select("ord", "source", "search_term", "external_id"),
     term_yield=lambda d: R.term_yield(D.first_of_term(d)),
 )
+on(
+    worded,
+    normalize_workplace=lambda d: d.select("ord", T.normalize_workplace("raw_workplace").alias("value")),
+    fingerprint=lambda d: d.select("ord", T.fingerprint("title", "company").alias("value")),
+    slugify_term=lambda d: d.select("ord", T.slugify_term("search_term").alias("value")),
+    company_identity=lambda d: d.select("ord", F.array_join(T.company_identity("company"), " ").alias("value")),
+    seniority_label=lambda d: d.select("ord", L.seniority_label(T.normalize("title"), RULES).alias("label"), L.seniority_label(T.normalize("title"), RULES, True).alias("strict")),
+)
 on(
     cleaned,
     entry_level=lambda d: L.entry_level(d, RULES).select("ord", "seniority"),
