@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["parse_published_date", "score_areas", "dedupe_full", "funnel", "pipeline_jobs", "skill_share_by_area", "upsert_vagas", "seed_tecnologias", "collect_union", "programathor_cards", "strip_html", "export_ranking", "all_rankings", "read_snapshot", "latest_snapshot", "import_files", "stream_import", "stream_source_keys", "search_vagas", "same_company_classes"]
+NAMES = ["parse_published_date", "score_areas", "dedupe_full", "funnel", "pipeline_jobs", "skill_share_by_area", "upsert_vagas", "seed_tecnologias", "collect_union", "programathor_cards", "strip_html", "export_ranking", "all_rankings", "read_snapshot", "latest_snapshot", "import_files", "stream_import", "stream_source_keys", "search_vagas", "same_company_classes", "landed_files", "fingerprint", "seniority_label"]
 
 
 def told(rows):
