@@ -17,8 +17,11 @@ from jobmosaic.functions.rules import COMPANY_NOISE, NOT_TOLD, REMOTE, WORKPLACE
 #: What Python calls white space in a text, as a Java character class.
 _WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
 SPACES = rf"[{_WHITE}]+"
-#: Runs of it that aren't one plain space already: most are, and needn't be written again.
+#: Runs of it that aren't one plain space already: most are, and needn't be written again. The second is for texts of ASCII alone.
 OTHER_SPACES = rf"[{_WHITE}&&[^ ]][{_WHITE}]*| [{_WHITE}]+"
+OTHER_ASCII_SPACES = r"[\t-\r\x1c-\x1f][\t-\r\x1c- ]*| [\t-\r\x1c- ]+"
+#: All but letters, digits and the space, by what else is kept. Spelled out, as Java takes several times as long for a class with ^.
+_NO_WORD = {"": r"\x00-\x1f!-/:-@\[-`{-\x{10ffff}", "#+": r"\x00-\x1f!\"$-*,-/:-@\[-`{-\x{10ffff}"}
 
 
 def _col(c: Column | str) -> Column:
@@ -42,7 +45,12 @@ def strip_ws(c: Column | str) -> Column:
 
 def squash_ws(c: Column | str) -> Column:
     """Each run of white space (Unicode) becomes one space, none at the ends; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), OTHER_SPACES, " "))
+    spaced = lambda text: F.when(_ascii(text), F.regexp_replace(text, OTHER_ASCII_SPACES, " ")).otherwise(F.regexp_replace(text, OTHER_SPACES, " "))
+    return F.trim(bound(F.coalesce(_col(c), F.lit("")), spaced))
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def character(code: Column) -> Column:
@@ -114,17 +122,30 @@ def folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single + delete), "".join(target), several
 
 
-def _fold(c: Column | str, keep: str) -> Column:
-    text = F.coalesce(_col(c), F.lit(""))
+#: A text with more different letters to fold is folded character by character.
+MOST_LETTERS = 64
+
+
+def _letters(text: Column) -> Column:
+    """A text with its letters folded, but for A-Z. Each of its letters that folds is replaced in the whole text at once: there are
+    few different ones in a text, and a table takes long for each character."""
     source, target, several = folding()
-    rare = F.length(F.translate(text, "".join(several), "")) < F.length(text)
     table = mapping(several)
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    whole = F.when(rare, spelled).otherwise(text)
-    # a text of ASCII alone only loses its capitals; there are many, and a table takes long for each character
-    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(whole, source, target))
+    own = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7f]+", ""), ""))
+    known = F.filter(own, lambda ch: F.contains(F.lit(source + "".join(several)), ch))
+    to = lambda ch: F.when(F.contains(F.lit("".join(several)), ch), F.try_element_at(table, ch)).otherwise(F.translate(ch, source, target))
+    one_by_one = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    rare = F.length(F.translate(text, "".join(several), "")) < F.length(text)
+    many = F.translate(F.when(rare, one_by_one).otherwise(text), source, target)
+    # nothing that a letter folds to folds on, so their order doesn't matter
+    folded = bound(known, lambda found: F.when(F.size(found) > MOST_LETTERS, many).otherwise(F.aggregate(found, text, lambda t, ch: F.replace(t, ch, to(ch)))))
+    return F.when(_ascii(text), text).otherwise(folded)
+
+
+def _fold(c: Column | str, keep: str) -> Column:
+    folded = bound(F.coalesce(_col(c), F.lit("")), _letters)
     # runs of other characters become a space, but for those that are one
-    return F.trim(F.regexp_replace(folded, f"[^a-z0-9{keep} ][^a-z0-9{keep}]*| [^a-z0-9{keep}]+", " "))
+    return F.lower(F.trim(F.regexp_replace(folded, f"[{_NO_WORD[keep]}][ {_NO_WORD[keep]}]*| [ {_NO_WORD[keep]}]+", " ")))
 
 
 def normalize(c: Column | str) -> Column:

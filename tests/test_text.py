@@ -37,6 +37,16 @@ def test_goldens(spark):
     assert got == [("desenvolvedor junior back end",) * 2, ("ci cd",) * 2, ("", ""), ("c e c", "c# e c++"), ("node js",) * 2, ("fi 1 2",) * 2]
 
 
+def test_texts_of_many_letters_and_no_class_that_is_slow(spark):
+    """More different letters than are replaced one by one, and fewer; Java takes several times as long for a class with ^."""
+    single, _, several = T.folding()
+    rows = [f"aB {letters} Zé" for letters in (single, "".join(several), single[26 : 26 + T.MOST_LETTERS], single[-9:] + "ﬁ½" + "日本", "日本语" * 50)]
+    got = values(spark, rows, T.normalize("t"), T.normalize_tech("t"))
+    assert got == [(plain(r), plain(r, "#+")) for r in rows]
+    with_classes = spark.createDataFrame([("x",)], "t string").select(T.normalize("t"), T.normalize_tech("t"))
+    assert "[^a-z0-9" not in with_classes._jdf.queryExecution().analyzed().toString()
+
+
 def test_words_and_marks_in_any_mix(spark):
     rng = random.Random(2)
     rows = ["".join(rng.choice("aB1é#+ \t-ﬁ") for _ in range(rng.randrange(12))) for _ in range(2000)]
