@@ -5,26 +5,22 @@ stays follows as in the batch operators, whatever the batches are and in whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobmosaic.functions.rules import Rules
-from jobmosaic.operators.dedupe import text_size
+from jobmosaic.operators.dedupe import by_source_key, text_size
 from jobmosaic.operators.levels import level_of
 from jobmosaic.plans.pipeline import clean
 
-STATE = "terms array<string>, ords array<long>, sizes array<long>, levels array<string>"
-KEPT = "source string, external_id string, stays boolean, ord long, first_ord long, search_term string, seniority string"
+#: The first row of a search term of a key: a change says that it is another one from this batch on.
+CHANGE = "source string, external_id string, search_term string, ord long, text_size long, level string"
 
 
 def survivor(rows: list[tuple[str, int, int, str | None]]) -> tuple[bool, int, int, str, str]:
-    """(stays, ord, first_ord, search_term, seniority) of the row that stays of (term, ord, size, level), the first of each term: of those with a
-    level the longest, the first of those; its term is the first that isn't empty among rows longer than all before them.
+    """What source_keys tells, for one key: (stays, ord, first_ord, search_term, seniority) of the row that stays of (term, ord, size, level), the
+    first of each term: of those with a level the longest, the first of those; its term is the first that isn't empty among rows longer than all before them.
     Nothing stays if none has a level."""
     told = sorted((r for r in rows if r[3] is not None), key=lambda r: r[1])
     if not told:
@@ -37,21 +33,12 @@ def survivor(rows: list[tuple[str, int, int, str | None]]) -> tuple[bool, int, i
     return True, best[1], told[0][1], term, best[3]
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = {t: (o, s, v) for t, o, s, v in zip(*state.get, strict=True)} if state.exists else {}
-    for batch in batches:
-        for term, ord_, size, level in zip(batch["search_term"], batch["ord"].tolist(), batch["text_size"].tolist(), batch["level"], strict=True):
-            if term not in first or ord_ < first[term][0]:
-                first[term] = (ord_, size, level)
-    state.update((list(first), [x[0] for x in first.values()], [x[1] for x in first.values()], [x[2] for x in first.values()]))
-    yield pd.DataFrame([(*key, *survivor([(t, *x) for t, x in first.items()]))], columns=[c.split(" ")[0] for c in KEPT.split(", ")])
-
-
 def by_source_key_stream(raw: DataFrame, rules: Rules | None = None, strict: bool = False) -> DataFrame:
-    """Changes (KEPT) of a stream of raw postings, a row for each key of each batch: the row that stays of all rows so far, or
-    that none does as none has a level."""
+    """Changes (CHANGE) of a stream of raw postings: the first row of all so far for each source, external id and term that the
+    batch has rows of. An aggregate: its state is a row for each of them, and no row leaves the JVM."""
     slim = clean(raw).select("source", "external_id", F.coalesce("search_term", F.lit("")).alias("search_term"), "ord", text_size(raw).cast("long").alias("text_size"), level_of(rules or Rules(), strict).alias("level"))
-    return slim.groupBy("source", "external_id").applyInPandasWithState(_update, KEPT, STATE, "update", GroupStateTimeout.NoTimeout)
+    firsts = slim.groupBy("source", "external_id", "search_term").agg(F.min(F.struct("ord", "text_size", "level")).alias("first"))
+    return firsts.select("source", "external_id", "search_term", "first.*")
 
 
 def keep_source_keys(raw: DataFrame, changes: str, checkpoint: str, rules: Rules | None = None, strict: bool = False) -> StreamingQuery:
@@ -64,8 +51,11 @@ def keep_source_keys(raw: DataFrame, changes: str, checkpoint: str, rules: Rules
     return by_source_key_stream(raw, rules, strict).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def source_keys(spark: SparkSession, changes: str) -> DataFrame:
-    """The row that stays of each key by its last change."""
-    rows = spark.read.schema(f"{KEPT}, batch long").parquet(changes)
-    last = rows.groupBy("source", "external_id").agg(F.max_by(F.struct("stays", "ord", "first_ord", "search_term", "seniority"), "batch").alias("last"))
-    return last.select("source", "external_id", "last.*").filter("stays").drop("stays")
+def source_keys(spark: SparkSession, changes: str, batch: int | None = None) -> DataFrame:
+    """The row that stays of each key after a batch (the last one); keys without a row that has a level have none."""
+    rows = spark.read.schema(f"{CHANGE}, batch long").parquet(changes)
+    rows = rows if batch is None else rows.filter(F.col("batch") <= batch)
+    # of a term's changes the last one has the least ord
+    firsts = rows.repartition("source", "external_id").groupBy("source", "external_id", "search_term").agg(F.min(F.struct("ord", "text_size", "level")).alias("first"))
+    told = firsts.select("source", "external_id", "search_term", "first.*").filter("level IS NOT NULL").withColumnRenamed("level", "seniority")
+    return by_source_key(told).select("source", "external_id", "ord", "first_ord", "search_term", "seniority")

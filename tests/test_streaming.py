@@ -6,7 +6,7 @@ from jobmosaic.functions.rules import Rules
 from jobmosaic.operators.dedupe import dedupe_source_key, first_of_term
 from jobmosaic.operators.levels import entry_level
 from jobmosaic.plans.pipeline import clean
-from jobmosaic.streaming.keys import keep_source_keys, source_keys, survivor
+from jobmosaic.streaming.keys import by_source_key_stream, keep_source_keys, source_keys, survivor
 
 SCHEMA = "ord long, source string, external_id string, title string, company string, url string, description string, location string, workplace_type string, published_date string, search_term string, seniority string"
 
@@ -34,3 +34,11 @@ def test_any_split_into_batches_gives_the_batch_result(spark, tmp_path):
         assert len(list((at / "changes").glob("batch=*"))) == len(parts)
         got = source_keys(spark, str(at / "changes"))
         assert sorted((r.source, r.external_id, r.ord, r.first_ord, r.search_term, r.seniority) for r in got.collect()) == want
+
+
+def test_state_stays_in_the_jvm_and_any_batch_can_be_asked_for(spark, tmp_path):
+    raw = spark.createDataFrame([(2, "p", "1", "Dev Júnior", "c", "", "xx", "", "", "", "t", ""), (3, "p", "2", "Dev Sênior", "c", "", "x", "", "", "", "t", "")], SCHEMA)
+    assert "Python" not in by_source_key_stream(raw)._jdf.queryExecution().toString()
+    for batch, rows in enumerate((raw, raw.filter("ord = 2").withColumn("ord", F.lit(1).cast("long")))):
+        by_source_key_stream(rows).write.parquet(str(tmp_path / f"batch={batch}"))
+    assert [[r.ord for r in source_keys(spark, str(tmp_path), batch).collect()] for batch in (0, 1, None)] == [[2], [1], [1]]
