@@ -68,7 +68,9 @@ def _crosstab(cells: DataFrame) -> DataFrame:
 
 
 def mentions(jobs: DataFrame) -> DataFrame:
-    return jobs.select("area", F.explode("skills").alias("tecnologia"))
+    """(area, tecnologia) for each skill of each posting. Spark puts a filter on what a plain explode of a column reads, and moves it
+    down to the raw postings: their texts would be folded and searched twice."""
+    return each_skill(jobs, "area").filter("tecnologia IS NOT NULL").select("area", "tecnologia")
 
 
 def overall_skills(jobs: DataFrame, top: int = 20) -> DataFrame:
