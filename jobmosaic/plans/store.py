@@ -18,14 +18,16 @@ from jobmosaic.sources.snapshots import SNAPSHOT_COLUMNS, latest_file, read_csv_
 COMPARED = ["title", "company", "area", "seniority", "location", "workplace_type", "published_date", "url", "description", "area_score", "area_matches", "search_term"]
 
 
-def to_row(jobs: DataFrame) -> DataFrame:
-    """The columns of a snapshot: the description cut to 500 characters, skills joined."""
+def to_row(jobs: DataFrame, *more: str) -> DataFrame:
+    """The columns of a snapshot (and more): the description cut to 500 characters, skills joined."""
     shaped = jobs.withColumns({"description": F.substring("description", 1, 500), "skills": F.concat_ws(", ", "skills")})
-    return shaped.select(*SNAPSHOT_COLUMNS)
+    return shaped.select(*SNAPSHOT_COLUMNS, *more)
 
 
 def sorted_export(jobs: DataFrame) -> DataFrame:
-    return to_row(jobs.orderBy("area", "title", "ord"))
+    """The rows of a snapshot in order. A sort reads its rows twice, first to cut them into ranges, so they are written before it."""
+    rows = kept(to_row(jobs, "ord"), "sorted-rows")
+    return rows.orderBy("area", "title", "ord").drop("ord")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -133,3 +133,10 @@ def test_streamed_import_equals_batches(spark, tmp_path):
     run()
     assert table.latest() == 1
     assert sorted(map(str, VersionedTable(spark, table.root).read().collect())) == before
+
+
+def test_skills_and_sorted_rows_are_worked_out_once(spark):
+    made = spark.createDataFrame([(1, "b a"), (2, "a")], "ord long, text string").withColumns({c: F.lit("x") for c in SNAPSHOT_COLUMNS}).withColumn("skills", F.split(F.lower("text"), " "))
+    told = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert told(R.skills_by_area(made, 3)).count("lower(") == 1
+    assert "lower(" not in told(S.sorted_export(made)) and [r.skills for r in S.sorted_export(made).collect()] == ["b, a", "a"]
