@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import string
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from html.entities import html5
 
@@ -17,11 +18,19 @@ from jobmosaic.functions.rules import COMPANY_NOISE, NOT_TOLD, REMOTE, WORKPLACE
 #: What Python calls white space in a text, as a Java character class.
 _WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
 SPACES = rf"[{_WHITE}]+"
-#: Runs of it that aren't one plain space already: most are, and needn't be written again. The second is for texts of ASCII alone.
-OTHER_SPACES = rf"[{_WHITE}&&[^ ]][{_WHITE}]*| [{_WHITE}]+"
-OTHER_ASCII_SPACES = r"[\t-\r\x1c-\x1f][\t-\r\x1c- ]*| [\t-\r\x1c- ]+"
-#: All but letters, digits and the space, by what else is kept. Spelled out, as Java takes several times as long for a class with ^.
-_NO_WORD = {"": r"\x00-\x1f!-/:-@\[-`{-\x{10ffff}", "#+": r"\x00-\x1f!\"$-*,-/:-@\[-`{-\x{10ffff}"}
+
+
+def _each(codes: Iterable[int], but: str = "") -> str:
+    """Characters up to U+00FF one by one: of those Java makes one table for a class, of ranges a chain of comparisons that takes
+    several times as long; and more again for a class with ^, or for a pattern with | in it."""
+    return "".join(f"\\x{n:02x}" for n in codes if chr(n) not in but)
+
+
+#: White space but for the plain space, in texts of ASCII alone and in others.
+_ASCII_WHITE = _each([*range(0x9, 0xE), *range(0x1C, 0x20)])
+_OTHER_WHITE = _ASCII_WHITE + _each([0x85, 0xA0]) + r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+#: All but letters, digits and the space, by what else is kept.
+_NO_WORD = {keep: _each(range(0x100), f" {string.ascii_letters}{string.digits}{keep}") + r"\x{100}-\x{10ffff}" for keep in ("", "#+")}
 
 
 def _col(c: Column | str) -> Column:
@@ -45,10 +54,16 @@ def strip_ws(c: Column | str) -> Column:
 
 def squash_ws(c: Column | str) -> Column:
     """Each run of white space (Unicode) becomes one space, none at the ends; null becomes ''."""
-    spaced = lambda text: F.when(_ascii(text), F.regexp_replace(text, OTHER_ASCII_SPACES, " ")).otherwise(F.regexp_replace(text, OTHER_SPACES, " "))
+    spaced = lambda text: F.when(_ascii(text), _spaced(text, _ASCII_WHITE)).otherwise(_spaced(text, _OTHER_WHITE))
     return F.trim(bound(F.coalesce(_col(c), F.lit("")), spaced))
 
 
+def _spaced(text: Column, others: str) -> Column:
+    """Runs of other characters (a class without the space) and spaces as one space."""
+    single = lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  +", " ")).otherwise(t)
+    return bound(F.regexp_replace(text, f"[{others}][{others} ]*", " "), single)
+
+
 def _ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
@@ -84,7 +99,8 @@ def _entity(piece: Column) -> Column:
     digits = lambda c: F.regexp_replace(c, "^#[xX]?0*|;$", "")
     code = lambda c, base, most: F.when(F.length(digits(c)) > most, None).otherwise(F.conv(F.concat(F.lit("0"), digits(c)), base, 10).cast("long"))  # noqa: E731  longer ones are beyond all characters
     spelled = lambda c, base, most: F.concat(F.transform(F.array(code(c, base, most)), _numbered)[0], rest(c))
-    return F.when(decimal != "", spelled(decimal, 10, 7)).when(hexadecimal != "", spelled(hexadecimal, 16, 6)).otherwise(named)
+    none = ~piece.rlike("^[A-Za-z#]")  # an ampersand that stands alone: most do
+    return F.when(none, F.concat(F.lit("&"), piece)).when(decimal != "", spelled(decimal, 10, 7)).when(hexadecimal != "", spelled(hexadecimal, 16, 6)).otherwise(named)
 
 
 def unescape(c: Column | str) -> Column:
@@ -97,7 +113,8 @@ def unescape(c: Column | str) -> Column:
 
 def strip_html(c: Column | str) -> Column:
     """Tags become spaces, then entities are decoded, then white space is squashed."""
-    return squash_ws(unescape(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "<[^>]+>", " ")))
+    untagged = lambda text: F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)
+    return squash_ws(bound(bound(F.coalesce(_col(c), F.lit("")), untagged), unescape))
 
 
 @lru_cache(maxsize=1)
@@ -144,8 +161,7 @@ def _letters(text: Column) -> Column:
 
 def _fold(c: Column | str, keep: str) -> Column:
     folded = bound(F.coalesce(_col(c), F.lit("")), _letters)
-    # runs of other characters become a space, but for those that are one
-    return F.lower(F.trim(F.regexp_replace(folded, f"[{_NO_WORD[keep]}][ {_NO_WORD[keep]}]*| [ {_NO_WORD[keep]}]+", " ")))
+    return F.lower(F.trim(_spaced(folded, _NO_WORD[keep])))
 
 
 def normalize(c: Column | str) -> Column:
@@ -160,7 +176,8 @@ def normalize_tech(c: Column | str) -> Column:
 
 def without_marks(norm_tech: Column | str) -> Column:
     """normalize of a text, from its normalize_tech."""
-    return F.trim(F.regexp_replace(_col(norm_tech), "[#+][#+ ]*| [#+ ]+", " "))
+    marked = lambda t: F.contains(t, F.lit("#")) | F.contains(t, F.lit("+"))
+    return bound(_col(norm_tech), lambda t: F.when(marked(t), F.trim(_spaced(t, "#+"))).otherwise(t))
 
 
 def normalize_workplace(c: Column | str, folded: bool = False) -> Column:

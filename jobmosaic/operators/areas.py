@@ -29,11 +29,14 @@ def is_tech(rules: Rules) -> Column:
 
 def _places(text: Column, phrase: Column) -> Column:
     """Offsets of a phrase that stands as whole words in a text with a space at either end; those that share a space too."""
-    mark = F.concat(F.lit(" "), phrase, F.lit(" "))
-    pieces = F.split(text, F.concat(F.lit("(?="), mark, F.lit(")")))  # phrases are plain words: nothing in them to quote
-    upto = F.aggregate(pieces, F.array(F.lit(0)), lambda ends, p: F.array_append(ends, F.element_at(ends, -1) + F.length(p)))
-    inner = F.slice(upto, 2, F.size(pieces) - 1)
-    return F.when(F.startswith(text, mark), F.array_prepend(inner, F.lit(0))).otherwise(inner)
+    pieces = F.split(text, F.concat(F.lit(" "), phrase, F.lit("(?= )")))  # phrases are plain words: nothing in them to quote
+    before = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(0)), lambda ends, p: F.array_append(ends, F.element_at(ends, -1) + F.length(p)))
+    return F.transform(F.slice(before, 2, F.size(pieces) - 1), lambda upto, n: upto + n * (F.length(phrase) + 1))
+
+
+def _first_place(text: Column, phrase: Column) -> Column:
+    """The first of them alone."""
+    return F.array(F.position(F.concat(F.lit(" "), phrase, F.lit(" ")), text) - 1)
 
 
 def _free(places: Column, size: Column, used: Column) -> Column:
@@ -65,45 +68,52 @@ def score_areas(rules: Rules) -> Column:
     """Array of (area, score, title_score, matches): areas named in the title first, then by falling score, then by name.
 
     norm_title, norm_body and the hits are read. Only keywords that occur are looked at: their places are found, then a
-    fold over them, longest first, carries the places used in each area."""
-    ordered = sorted(rules.keywords, key=lambda k: k.rank)
-    told = json.dumps([{"area": k.area, "phrase": k.phrase, "keyword": k.keyword, "weight": float(k.weight)} for k in ordered])
-    table = F.from_json(F.lit(told), "array<struct<area:string,phrase:string,keyword:string,weight:double>>")
-    hits = F.array_union("title_hits", "body_hits")
+    fold over them, longest first, carries the places used in each area. A keyword that is no part of another one of
+    its area has its first place free, so that only parts are looked for further on."""
+    told = json.dumps([{"rank": k.rank, "area": k.area, "phrase": k.phrase, "keyword": k.keyword, "weight": float(k.weight)} for k in rules.keywords])
+    table = F.from_json(F.lit(told), "array<struct<rank:int,area:string,phrase:string,keyword:string,weight:double>>")
     title, body = (F.concat(F.lit(" "), F.col(c), F.lit(" ")) for c in ("norm_title", "norm_body"))
     none = F.array().cast("array<int>")
-    there = lambda hit, text, k: F.when(F.array_contains(hit, k["phrase"]), _places(text, k["phrase"])).otherwise(none)
-    placed = lambda k: F.struct(
-        k["area"].alias("area"), k["keyword"].alias("keyword"), k["weight"].alias("weight"), F.length(k["phrase"]).alias("size"),
-        there(F.col("title_hits"), title, k).alias("title"), there(F.col("body_hits"), body, k).alias("body"),
-    )
+
+    def known(hits: Column) -> Column:
+        return F.array_sort(F.filter(table, lambda k: F.array_contains(hits, k["phrase"])))
+
+    def placed(texts: Column, found: Column) -> Column:
+        inside = lambda k: F.exists(found, lambda o: (o["area"] == k["area"]) & (o["rank"] != k["rank"]) & F.contains(o["phrase"], k["phrase"]))
+        there = lambda hit, text, k: F.when(~F.array_contains(hit, k["phrase"]), none).when(inside(k), _places(text, k["phrase"])).otherwise(_first_place(text, k["phrase"]))
+        return F.transform(found, lambda k: F.struct(
+            k["area"].alias("area"), k["keyword"].alias("keyword"), k["weight"].alias("weight"), F.length(k["phrase"]).alias("size"),
+            there(F.col("title_hits"), texts["title"], k).alias("title"), there(F.col("body_hits"), texts["body"], k).alias("body"),
+        ))
 
     def areas(found: Column) -> Column:
         own = F.array_distinct(F.transform(found, lambda k: k["area"]))
         return F.transform(own, lambda a: _scored(a, F.filter(found, lambda k: k["area"] == a), rules.title_boost))
 
-    scores = bound(F.transform(F.filter(table, lambda k: F.array_contains(hits, k["phrase"])), placed), areas)
+    texts = F.struct(title.alias("title"), body.alias("body"))
+    found = bound(bound(F.array_union("title_hits", "body_hits"), known), lambda found: bound(texts, lambda t: placed(t, found)))
+    scores = bound(found, areas)
     named = lambda x: F.when(x["title_score"] > 0, 0).otherwise(1)
     before = lambda x, y: F.when(named(x) != named(y), named(x) - named(y)).when(x["score"] != y["score"], F.when(x["score"] > y["score"], -1).otherwise(1)).when(x["area"] < y["area"], -1).when(x["area"] > y["area"], 1).otherwise(0)
     return F.array_sort(F.filter(scores, lambda x: x["score"] > 0), before)
 
 
 def with_scores(jobs: DataFrame, rules: Rules) -> DataFrame:
-    """jobs with the column scores. The one-element explode keeps the optimiser from copying the fold into each
-    expression that reads the scores, where it would run several times."""
-    return jobs.select("*", F.explode(F.array(score_areas(rules))).alias("scores"))
+    """jobs with the column scores, which aren't worked out where nothing reads them."""
+    return jobs.withColumn("scores", score_areas(rules))
 
 
 def classify(jobs: DataFrame, rules: Rules) -> DataFrame:
     """area, area_score and area_matches from the column scores: the best area named in the title if there is one,
     else the best of all; below min_score it is the fallback, with score 0 and no matches."""
-    best = F.try_element_at("scores", F.lit(1))
+    scored = jobs.withColumn("__best", F.try_element_at("scores", F.lit(1)))  # a column of its own, so that it's worked out once
+    best = F.col("__best")
     sure = F.coalesce(best["score"] >= rules.min_score, F.lit(False))
-    return jobs.withColumns({
+    return scored.withColumns({
         "area": F.when(sure, best["area"]).otherwise(F.lit(rules.fallback)),
         "area_score": F.when(sure, best["score"]).otherwise(F.lit(0.0)),
         "area_matches": F.when(sure, F.array_join(F.slice(best["matches"], 1, 12), ", ")).otherwise(F.lit("")),
-    })
+    }).drop("__best")
 
 
 def keyword_hits(jobs: DataFrame, rules: Rules) -> DataFrame:

@@ -93,3 +93,15 @@ def test_levels(spark):
     assert sorted(r.ord for r in entry_level(df, RULES).collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
     assert sorted(r.ord for r in entry_level(df, RULES, strict=True).collect()) == [0, 1, 2, 3, 4, 5, 9]
     assert all_levels(df).filter("seniority = 'Não filtrado'").count() == 10
+
+
+def test_scores_are_left_out_where_nothing_reads_them(spark):
+    jobs = A.classify(A.with_scores(frame(spark, [("Dev", "sql")]).withColumn("source", F.lit("p")), RULES), RULES)
+    told = lambda *columns: jobs.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "title_score" not in told("source") and "title_score" in told("area")
+
+
+def test_parts_of_keywords_are_looked_for_further_on(spark):
+    rows = [("", "banco de dados dados"), ("", "dados dados banco de dados"), ("sql sql server", "sql"), ("front end front-end", "front end")]
+    got = {r.ord: {s.area: (s.score, s.title_score, s.matches) for s in r.scores} for r in A.with_scores(frame(spark, rows), RULES).collect()}
+    assert all(got[i] == model(t, b) for i, (t, b) in enumerate(rows))
