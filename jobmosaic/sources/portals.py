@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from functools import reduce
@@ -106,6 +107,8 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    #: A tag without attributes, but for those after which the parser reads on in its own way.
+    PLAIN = re.compile(r"<(?!(?:script|style|textarea|title|iframe|noembed|noframes|noscript|xmp|plaintext)>)([a-z][a-z0-9]*)>")
     EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self):
@@ -113,6 +116,17 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("", {}, None)
         self.open: Counter[str] = Counter()
 
+    def parse_starttag(self, i):
+        """Most tags have no attributes and need none of the general steps."""
+        if plain := self.PLAIN.match(self.rawdata, i):
+            self.handle_starttag(plain[1], ())
+            return plain.end()
+        return super().parse_starttag(i)
+
+    def updatepos(self, i, j):
+        """Line numbers aren't asked for."""
+        return j
+
     def handle_starttag(self, tag, attrs):
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)

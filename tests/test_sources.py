@@ -98,3 +98,14 @@ def test_deep_and_broken_pages(spark):
     df = spark.createDataFrame(rows, "term string, page long, html string")
     assert fields(W.vagas_cards(df), "external_id", "title") == [("77", "Dev de Software Jr"), ("78", "Só texto")] * 2
     assert W.parse(deep).text() == W.parse(VAGAS).text()
+
+
+def test_plain_tags_skip_the_general_parser(monkeypatch):
+    tree = lambda node: [c if isinstance(c, str) else (c.tag, c.attributes, tree(c)) for c in node.children]
+    pages = ["<div><b>x</b><br>y<script>a<b>c</script><title>a<b>&amp;</title></div>", "<DIV><p >a<p/><a1>b<div", "<style><b></style><li><li>z</ul></li>&lt;b&gt;<h1-x>t</h1-x>", "<textarea><b></textarea><i>" * 2]
+    fast = [tree(W.parse(p)) for p in pages]
+    monkeypatch.setattr(W._Builder, "PLAIN", W.re.compile("(?!)"), raising=False)
+    assert fast == [tree(W.parse(p)) for p in pages]
+    monkeypatch.undo()
+    monkeypatch.setattr(W.HTMLParser, "parse_starttag", None)
+    assert W.parse("<div><b>x</b></div>").one("b").text() == "x"
