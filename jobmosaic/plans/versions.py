@@ -102,7 +102,8 @@ class VersionedTable:
         title = F.lower("title")
         grams = F.transform(F.sequence(F.lit(1), F.length(title) - 2), lambda i: F.substring(title, i, 3))
         if touched:
-            told = self.spark.read.parquet(data).filter(F.length("title") > 2).select("bucket", F.explode(grams).alias("gram")).distinct()
+            titles = self.spark.read.parquet(data).filter(F.length("title") > 2).select("bucket", "title").distinct()  # many postings, fewer titles
+            told = titles.select("bucket", F.explode(F.array_distinct(grams)).alias("gram")).distinct()
             told.withColumn("folder", _folder("gram")).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.root}/index/version={version}")
         written.union(same).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
         discard(rows)

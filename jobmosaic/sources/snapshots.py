@@ -61,10 +61,14 @@ def csv_records(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, columns: list[str], *paths: str) -> DataFrame:
-    """Rows of CSV files as strings, with ord (file order), file_name and file_time."""
+    """Rows of CSV files as strings, with ord (file order), file_name and file_time.
+
+    The cells are columns of a one-row inline: a filter on some of them isn't moved below it, where it would parse each record again
+    for each cell that it reads."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     cells = F.from_csv("record", schema, {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    return csv_records(spark, *paths).select("ord", file_of("path").alias("file_name"), "file_time", cells.alias("cells")).select("cells.*", "ord", "file_name", "file_time")
+    rows = csv_records(spark, *paths).select("ord", file_of("path").alias("file_name"), "file_time", F.inline(F.array(cells)))
+    return rows.select(*columns, "ord", "file_name", "file_time")
 
 
 def latest_file(spark: SparkSession, folder: str) -> str | None:

@@ -124,3 +124,9 @@ def test_search_reads_the_buckets_that_have_its_characters(spark, tmp_path):
             assert sorted(r.id for r in found.collect()) == sorted(r.id for r in Q.list_vagas(whole, RULES, q=q).collect()), q
         assert files(table.search(RULES, "flutter", version)) <= 3 < 28 <= files(table.search(RULES, "%%", version))
     assert [r.external_id for r in table.search(RULES, "flutter", area="Data").orderBy("id").collect()] == ["b", "e"]
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "vagas_1.csv").write_text(",".join(SNAPSHOT_COLUMNS) + "\n" + ",".join(["x"] * len(SNAPSHOT_COLUMNS)) + "\n", encoding="utf-8")
+    rows = S.read_snapshot(spark, str(tmp_path / "vagas_1.csv"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1 and rows.count() == 1
