@@ -82,6 +82,10 @@ def _numbered(code: Column) -> Column:
     return F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(letter.isNotNull(), letter).when(gone, "").otherwise(character(code))
 
 
+#: What an entity begins with, after its ampersand; other ampersands stand alone.
+_STARTS = "[A-Za-z][A-Za-z0-9]|#[0-9xX]"
+
+
 def _entity(piece: Column) -> Column:
     """What follows an ampersand, with the entity it starts with (if it does) decoded."""
     by_letter: dict[str, dict[str, str]] = {}
@@ -99,15 +103,14 @@ def _entity(piece: Column) -> Column:
     digits = lambda c: F.regexp_replace(c, "^#[xX]?0*|;$", "")
     code = lambda c, base, most: F.when(F.length(digits(c)) > most, None).otherwise(F.conv(F.concat(F.lit("0"), digits(c)), base, 10).cast("long"))  # noqa: E731  longer ones are beyond all characters
     spelled = lambda c, base, most: F.concat(F.transform(F.array(code(c, base, most)), _numbered)[0], rest(c))
-    none = ~piece.rlike("^[A-Za-z#]")  # an ampersand that stands alone: most do
-    return F.when(none, F.concat(F.lit("&"), piece)).when(decimal != "", spelled(decimal, 10, 7)).when(hexadecimal != "", spelled(hexadecimal, 16, 6)).otherwise(named)
+    return F.when(decimal != "", spelled(decimal, 10, 7)).when(hexadecimal != "", spelled(hexadecimal, 16, 6)).otherwise(named)
 
 
 def unescape(c: Column | str) -> Column:
     """Entities decoded once, as HTML says: names with and without semicolon, decimal and hexadecimal numbers."""
     text = _col(c)
-    pieces = F.split(text, "&")
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _entity), ""))
+    pieces = F.split(text, f"&(?={_STARTS})")
+    decoded = bound(pieces, lambda p: F.concat(F.element_at(p, 1), F.array_join(F.transform(F.slice(p, 2, F.size(p)), _entity), "")))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

@@ -34,9 +34,9 @@ def _places(text: Column, phrase: Column) -> Column:
     return F.transform(F.slice(before, 2, F.size(pieces) - 1), lambda upto, n: upto + n * (F.length(phrase) + 1))
 
 
-def _first_place(text: Column, phrase: Column) -> Column:
-    """The first of them alone."""
-    return F.array(F.position(F.concat(F.lit(" "), phrase, F.lit(" ")), text) - 1)
+def _elsewhere(rank: Column, longest: int) -> Column:
+    """A place before the text, of its own for each keyword of an area: free, and no place of the text is inside it."""
+    return F.array((rank + 1) * -(longest + 1))
 
 
 def _free(places: Column, size: Column, used: Column) -> Column:
@@ -68,19 +68,21 @@ def score_areas(rules: Rules) -> Column:
     """Array of (area, score, title_score, matches): areas named in the title first, then by falling score, then by name.
 
     norm_title, norm_body and the hits are read. Only keywords that occur are looked at: their places are found, then a
-    fold over them, longest first, carries the places used in each area. A keyword that is no part of another one of
-    its area has its first place free, so that only parts are looked for further on."""
+    fold over them, longest first, carries the places used in each area. A place can only be inside that of a keyword
+    that has this one as a part, so that only such keywords of one area and text, and their parts, are looked for."""
     told = json.dumps([{"rank": k.rank, "area": k.area, "phrase": k.phrase, "keyword": k.keyword, "weight": float(k.weight)} for k in rules.keywords])
     table = F.from_json(F.lit(told), "array<struct<rank:int,area:string,phrase:string,keyword:string,weight:double>>")
     title, body = (F.concat(F.lit(" "), F.col(c), F.lit(" ")) for c in ("norm_title", "norm_body"))
     none = F.array().cast("array<int>")
+    longest = max((len(k.phrase) for k in rules.keywords), default=0)
 
     def known(hits: Column) -> Column:
         return F.array_sort(F.filter(table, lambda k: F.array_contains(hits, k["phrase"])))
 
     def placed(texts: Column, found: Column) -> Column:
-        inside = lambda k: F.exists(found, lambda o: (o["area"] == k["area"]) & (o["rank"] != k["rank"]) & F.contains(o["phrase"], k["phrase"]))
-        there = lambda hit, text, k: F.when(~F.array_contains(hit, k["phrase"]), none).when(inside(k), _places(text, k["phrase"])).otherwise(_first_place(text, k["phrase"]))
+        part = lambda o, k: F.contains(o["phrase"], k["phrase"]) | F.contains(k["phrase"], o["phrase"])
+        meets = lambda hit, k: F.exists(found, lambda o: (o["area"] == k["area"]) & (o["rank"] != k["rank"]) & part(o, k) & F.array_contains(hit, o["phrase"]))
+        there = lambda hit, text, k: F.when(~F.array_contains(hit, k["phrase"]), none).when(meets(hit, k), _places(text, k["phrase"])).otherwise(_elsewhere(k["rank"], longest))
         return F.transform(found, lambda k: F.struct(
             k["area"].alias("area"), k["keyword"].alias("keyword"), k["weight"].alias("weight"), F.length(k["phrase"]).alias("size"),
             there(F.col("title_hits"), texts["title"], k).alias("title"), there(F.col("body_hits"), texts["body"], k).alias("body"),

@@ -105,3 +105,11 @@ def test_parts_of_keywords_are_looked_for_further_on(spark):
     rows = [("", "banco de dados dados"), ("", "dados dados banco de dados"), ("sql sql server", "sql"), ("front end front-end", "front end")]
     got = {r.ord: {s.area: (s.score, s.title_score, s.matches) for s in r.scores} for r in A.with_scores(frame(spark, rows), RULES).collect()}
     assert all(got[i] == model(t, b) for i, (t, b) in enumerate(rows))
+
+
+def test_places_are_looked_for_where_keywords_meet_in_one_text(spark):
+    rows = [("dados", "banco de dados"), ("banco de dados", "dados"), ("react native react", "react"), ("react", "react native"), ("suporte", "suporte tecnico suporte redes")]
+    scored = A.with_scores(frame(spark, rows), RULES)
+    got = {r.ord: {s.area: (s.score, s.title_score, s.matches) for s in r.scores} for r in scored.collect()}
+    assert all(got[i] == model(t, b) for i, (t, b) in enumerate(rows))
+    assert "locate(" not in scored._jdf.queryExecution().optimizedPlan().toString()
