@@ -27,6 +27,13 @@ def is_tech(rules: Rules) -> Column:
     return ~has_phrase(title, rules.gate_exclude) & (has_phrase(title, rules.gate_title + rules.strong) | has_phrase(body, rules.gate_body + rules.strong))
 
 
+def gate(norm_title: Column | str, norm_body: Column, rules: Rules) -> Column:
+    """The same from the texts. The title decides most postings; norm_body, an expression, is worked out for the others alone."""
+    by_body = F.size(phrase_hits(norm_body, rules.gate_body + rules.strong)) > 0
+    decided = lambda title: F.when(has_phrase(title, rules.gate_exclude), F.lit(False)).when(has_phrase(title, rules.gate_title + rules.strong), F.lit(True)).otherwise(by_body)
+    return bound(phrase_hits(norm_title, rules.gate_title + rules.gate_exclude + rules.strong), decided)
+
+
 def _places(text: Column, phrase: Column) -> Column:
     """Offsets of a phrase that stands as whole words in a text with a space at either end; those that share a space too."""
     pieces = F.split(text, F.concat(F.lit(" "), phrase, F.lit("(?= )")))  # phrases are plain words: nothing in them to quote

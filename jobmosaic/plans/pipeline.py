@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import Rules
 from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html, without_marks
-from jobmosaic.operators.areas import classify, extract_skills, is_tech, with_hits, with_scores
+from jobmosaic.operators.areas import classify, extract_skills, gate, with_hits, with_scores
 from jobmosaic.operators.dedupe import first_of_term, survivors_of, text_size
 from jobmosaic.operators.levels import all_levels, entry_level
 
@@ -40,7 +40,9 @@ def enrich(jobs: DataFrame, rules: Rules) -> DataFrame:
 
 @dataclass
 class Stages:
-    """The rows after each stage: raw and levelled are slim (keys, folded title, lengths), flagged has all columns and tech."""
+    """The rows after each stage: raw and levelled are slim (keys, folded title, lengths, tech), flagged has all columns and tech.
+
+    tech are the kept postings without area and skills: what reads neither is best taken from there, as no text is read for it again."""
 
     raw: DataFrame
     levelled: DataFrame
@@ -59,22 +61,22 @@ class Stages:
 def run(raw: DataFrame, rules: Rules | None = None, strict: bool = False, every_level: bool = False, keep_non_tech: bool = False, counted: bool = False) -> Stages:
     """first of its term -> level -> dedupe -> tech gate -> area and skills.
 
-    Up to the dedupe only slim rows go through shuffles; who survives is worked out at once, as a slim table. Then the
-    raw postings meet that table, and only survivors are cleaned, gated and scored, lazily. counted: the slim rows before the
+    Up to the dedupe only slim rows go through shuffles; who survives is worked out at once, as a slim table. The gate is
+    asked with them, where a text is cleaned for its length anyway. Then the raw postings meet that table, and only
+    survivors of the gate are cleaned and scored, lazily. counted: the slim rows before the
     level filter are written too, so that what counts them doesn't read the raw postings again."""
     rules = rules or Rules()
-    slim = clean(raw).select("ord", "source", "external_id", "search_term", "seniority", "norm_title", "fingerprint", "identity", text_size(raw))
+    slim = clean(raw).select("ord", "source", "external_id", "search_term", "seniority", "norm_title", "fingerprint", "identity", text_size(raw), gate("norm_title", normalize("description"), rules).alias("tech"))
     first = kept(first_of_term(slim), "first-of-term") if counted else first_of_term(slim)
     levelled = with_levels(first, rules, strict, every_level)
-    told = ["first_ord", "rep_ord", "title_ord", "search_term", "seniority"]
-    unique = clean(raw.drop("search_term", "seniority").join(survivors_of(levelled).select("ord", *told), "ord"))
-    flagged = with_hits(unique, rules).withColumn("tech", is_tech(rules))
-    return Stages(first, levelled, flagged, enrich(flagged if keep_non_tech else flagged.filter("tech"), rules).drop("title_hits", "body_hits"))
+    told = ["first_ord", "rep_ord", "title_ord", "search_term", "seniority", "tech"]
+    flagged = clean(raw.drop("search_term", "seniority").join(survivors_of(levelled).select("ord", *told), "ord"))
+    return Stages(first, levelled, flagged, enrich(with_hits(flagged if keep_non_tech else flagged.filter("tech"), rules), rules).drop("title_hits", "body_hits"))
 
 
 def funnel(raw: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(etapa, vagas): raw rows after S7, dropped by level, duplicates, not tech, kept. The first counts are of the slim table that
-    the dedupe starts from; the raw postings are read for it and for the gate, no more often than the pipeline does.
+    the dedupe starts from; the raw postings' texts are read for it once.
 
     Counts come from written tables, not from metrics observed on the way: a task that runs again would count twice there."""
     s = run(raw, rules, counted=True)

@@ -107,6 +107,14 @@ def test_parts_of_keywords_are_looked_for_further_on(spark):
     assert all(got[i] == model(t, b) for i, (t, b) in enumerate(rows))
 
 
+def test_gate_of_texts_reads_the_body_where_the_title_does_not_decide(spark):
+    rows = [("Analista Jr", "Experiência com banco de dados"), ("Analista Jr", "sistemas e aplicação"), ("Analista Jr", "devops"), ("Estágio em Pedagogia", "banco de dados"), ("Desenvolvedor I", ""), (None, None)]
+    df = frame(spark, rows)
+    assert all(r.gate is r.tech for r in df.select(A.gate("norm_title", normalize("description"), RULES).alias("gate"), A.is_tech(RULES).alias("tech")).collect())
+    unread = F.raise_error(F.lit("the body is read")).cast("string")
+    assert [r[0] for r in df.filter("ord > 2 and ord < 5").orderBy("ord").select(A.gate("norm_title", unread, RULES)).collect()] == [False, True]
+
+
 def test_places_are_looked_for_where_keywords_meet_in_one_text(spark):
     rows = [("dados", "banco de dados"), ("banco de dados", "dados"), ("react native react", "react"), ("react", "react native"), ("suporte", "suporte tecnico suporte redes")]
     scored = A.with_scores(frame(spark, rows), RULES)
