@@ -76,6 +76,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages(spark, sf_dir).jobs
 
 
+def tech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same postings, for what reads neither area nor skills."""
+    return stages(spark, sf_dir).tech
+
+
 # texts and fields
 on(
     documents,
@@ -137,22 +142,25 @@ on(
     pipeline_jobs=lambda d: d.select("ord", "source", "external_id", "seniority", "search_term", "area", "area_score", "area_matches", joined("skills"), "rep_ord", "title_ord"),
     area_ranking=R.area_ranking,
     rank_position=lambda d: R.ranked(R.counted(d, "area"), "area"),
-    workplace_ranking=R.workplace_ranking,
     workplace_by_area=R.workplace_by_area,
-    seniority_counts=lambda d: R.counted(d, "seniority"),
     source_counts=lambda d: R.counted(d, "source"),
-    top_companies=R.top_companies,
     overall_skills=R.overall_skills,
     skills_by_area=R.skills_by_area,
     topn_per_group=lambda d: R.skills_by_area(d, 3),
     skill_base_by_area=R.skill_base_by_area,
     skill_share_by_area=R.skill_share_by_area,
     sample_per_area=R.sample_per_area,
-    workplace_informed_share=R.workplace_informed_share,
     fallback_share_by_source=lambda d: R.fallback_share_by_source(d, RULES),
     best_area=lambda d: d.select("ord", "area", "area_score"),
     to_row=lambda d: S.to_row(d).select("source", "external_id", "area", "title", "skills", F.length("description").cast("long").alias("size")),
 )
+on(
+    tech,
+    workplace_ranking=R.workplace_ranking,
+    seniority_counts=lambda d: R.counted(d, "seniority"),
+    top_companies=R.top_companies,
+    workplace_informed_share=R.workplace_informed_share,
+)
 
 
 @query
