@@ -114,10 +114,15 @@ def unescape(c: Column | str) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
+def strip_tags(c: Column | str) -> Column:
+    """Tags become spaces, then entities are decoded; null becomes ''."""
+    untagged = lambda text: F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)
+    return bound(bound(F.coalesce(_col(c), F.lit("")), untagged), unescape)
+
+
 def strip_html(c: Column | str) -> Column:
     """Tags become spaces, then entities are decoded, then white space is squashed."""
-    untagged = lambda text: F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)
-    return squash_ws(bound(bound(F.coalesce(_col(c), F.lit("")), untagged), unescape))
+    return squash_ws(strip_tags(c))
 
 
 @lru_cache(maxsize=1)

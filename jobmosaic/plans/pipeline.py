@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from jobmosaic.functions.joins import kept
 from jobmosaic.functions.rules import Rules
-from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_html, without_marks
+from jobmosaic.functions.text import company_identity, normalize, normalize_tech, normalize_workplace, squash_ws, strip_tags, without_marks
 from jobmosaic.operators.areas import classify, extract_skills, gate, with_hits, with_scores
 from jobmosaic.operators.dedupe import first_of_term, survivors_of, text_size
 from jobmosaic.operators.levels import all_levels, entry_level
 
 
 def clean(jobs: DataFrame) -> DataFrame:
-    """Title, company and description cleaned, and the folded columns that later steps read, each made once."""
-    tidy = jobs.withColumns({"title": squash_ws("title"), "company": squash_ws("company"), "description": strip_html("description")})
+    """Title, company and description cleaned, and the folded columns that later steps read, each made once.
+
+    Folding takes white space of any kind as one space, so that it reads the description before its white space is squashed."""
+    tidy = jobs.withColumns({"title": squash_ws("title"), "company": squash_ws("company"), "description": strip_tags("description")})
     if "raw_workplace" in jobs.columns:
         tidy = tidy.withColumn("workplace_type", normalize_workplace("raw_workplace")).drop("raw_workplace")
     marked = tidy.withColumns({"tech_title": normalize_tech("title"), "tech_body": normalize_tech("description")})
-    folded = marked.withColumns({"norm_title": without_marks("tech_title"), "norm_company": normalize("company"), "norm_body": without_marks("tech_body")})
+    folded = marked.withColumns({"norm_title": without_marks("tech_title"), "norm_company": normalize("company"), "norm_body": without_marks("tech_body"), "description": squash_ws("description")})
     return folded.withColumns({
         "fingerprint": F.sha1(F.concat_ws("|", "norm_title", "norm_company").cast("binary")),
         "identity": company_identity("norm_company", folded=True),
